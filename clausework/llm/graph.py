@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +46,16 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component_id"))
     roots = stars.select(F.col("component_id").alias("node"), "component_id").distinct()
     return stars.unionByName(roots)
+
+
+def local_roots(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest id that each row reaches over the links (a, b), given as row numbers."""
+    root = ids.copy()
+    while True:
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        if (new == root).all():
+            return root
+        root = new

@@ -21,6 +21,13 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_NO_LETTER = np.ones(256, dtype=bool)
+_NO_LETTER[65:91] = _NO_LETTER[97:123] = _NO_LETTER[128:] = False
+#: Signs that stand for letters in disguised words.
+_ALIKE = _LOWER.copy()
+_ALIKE[list(b"0134578@$!|")] = list(b"oieastbasil")
+_NO_ALIKE = _NO_LETTER.copy()
+_NO_ALIKE[list(b"0134578@$!|")] = False
 _powers = np.ones(1, dtype=_U), np.ones(1, dtype=_U)
 
 
@@ -47,9 +54,9 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
-def _hash_segment(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_segment(raw: np.ndarray, starts: np.ndarray, lower: np.ndarray, gaps: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of concatenated texts, and for each text the number of words before it."""
-    space = _SPACE[raw]
+    space = gaps[raw]
     first = ~space
     cut = np.zeros(len(raw) + 1, dtype=bool)
     cut[starts] = True
@@ -61,8 +68,12 @@ def _hash_segment(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     up, down = _power_tables(len(raw) + 1)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(raw) + 1, dtype=_U)
-        np.cumsum((_LOWER[raw].astype(_U) + _U(1)) * up[: len(raw)], out=sums[1:])
-        h = mix((sums[e] - sums[s]) * down[s])
+        np.cumsum((lower[raw].astype(_U) + _U(1)) * up[: len(raw)], out=sums[1:])
+        if prefixes:
+            to = np.stack([np.minimum(s + k, e) if k else e for k in prefixes], axis=1)
+            h = mix((sums[to] - sums[s][:, None]) * down[s][:, None])
+        else:
+            h = mix((sums[e] - sums[s]) * down[s])
     return h, np.searchsorted(s, starts)
 
 
@@ -100,7 +111,18 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(binary).to_pylist()]
 
 
-def word_hashes(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+def letter_hashes(texts: list[bytes], prefixes: tuple[int, ...] = (), look_alikes: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+    """Hashes of the runs of letters of each text, lower-cased, one row per run.
+
+    The first column has the whole run, the others its first ``prefixes`` bytes (the whole run
+    where it is shorter). look_alikes reads digits and signs as the letters that they resemble.
+    """
+    texts = [t if t.isascii() else t.decode("utf-8", "replace").lower().encode() for t in texts]
+    tables = (_ALIKE, _NO_ALIKE) if look_alikes else (_LOWER, _NO_LETTER)
+    return word_hashes(texts, *tables, prefixes=(0, *prefixes))
+
+
+def word_hashes(texts: list[bytes], lower: np.ndarray = _LOWER, gaps: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()) -> Iterator[tuple[int, np.ndarray]]:
     """(index, hashes of its words in order) for each text, in order."""
     waiting: dict[int, list[np.ndarray]] = {}
     last = -1
@@ -109,9 +131,9 @@ def word_hashes(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
         lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
         starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
         if len(raw):
-            h, at = _hash_segment(raw, starts)
+            h, at = _hash_segment(raw, starts, lower, gaps, prefixes)
         else:
-            h, at = np.zeros(0, dtype=_U), np.zeros(len(parts), dtype=np.int64)
+            h, at = np.zeros((0, len(prefixes)) if prefixes else 0, dtype=_U), np.zeros(len(parts), dtype=np.int64)
         bounds = np.append(at, len(h))
         for k, i in enumerate(ids):
             piece = h[bounds[k] : bounds[k + 1]]
