@@ -11,11 +11,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausework.llm.graph import components
+from clausework.llm.graph import components, local_roots
 from clausework.llm.scratch import materialize
 from clausework.llm.words import as_bytes, mix, shingle_set, word_hashes
 
@@ -23,9 +24,10 @@ ROWS = 4
 BANDS = 48
 REGISTERS = ROWS * BANDS
 MANTISSA = 10
-#: Bands of up to this many different sets compare all pairs at once; larger ones go by hubs.
+#: Bands of up to this many different sets compare all pairs at once; larger ones go by a hub and by blocks.
 SMALL_BAND = 8
-HUBS = 16
+#: Classes on either side of a block pair, about.
+BLOCK = 256
 
 _EMPTY = np.uint16(0xFFFF)
 _PROBES = 96
@@ -153,20 +155,57 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 got, out, held = [], [], 0
 
 
-def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of different sets whose similarity is at least the threshold, by their full sets."""
+def _hopeful_pairs(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     side = reps.select("rep", "n_shingles", "registers")
-    hopeful = pairs.join(side.toDF("a", "na", "ra"), "a").join(side.toDF("b", "nb", "rb"), "b")
-    hopeful = materialize(hopeful.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_hopeful(percent / 100), "a long, b long"), "hopeful")
-    needed = hopeful.select(F.col("a").alias("rep")).unionByName(hopeful.select(F.col("b").alias("rep"))).distinct()
-    texts = docs.join(needed, docs["doc_id"] == needed["rep"], "left_semi").select("doc_id", "text")
-    sets = texts.mapInArrow(_sets, "rep long, shingles array<long>")
-    sets = materialize(sets, "sets")
+    both = pairs.join(side.toDF("a", "na", "ra"), "a").join(side.toDF("b", "nb", "rb"), "b")
+    return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_hopeful(percent / 100), "a long, b long")
+
+
+def _linked(hopeful: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
     both = hopeful.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
 
 
+def _block_links(percent: int):
+    """Exact links between the two sides of a block pair, as (a, b) to the smallest member of each local group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = (pdf[pdf["side"] == k] for k in (0, 1))
+        none = pd.DataFrame({"a": [], "b": []}).astype("int64")
+        if not len(left) or not len(right):
+            return none
+        sides = []
+        for part in (left, right):
+            sizes = part["shingles"].map(len).to_numpy()
+            sides.append((part["rep"].to_numpy(), part["component"].to_numpy(), sizes, np.concatenate(part["shingles"].to_numpy()), np.repeat(np.arange(len(part)), sizes)))
+        (ids, comps, nl, xs, xr), (jds, jomps, nr, ys, yr) = sides
+        both = np.intersect1d(xs, ys)
+        common = np.zeros((len(ids), len(jds)), dtype=np.float32)
+        if len(both):
+            at = [np.searchsorted(both, v).clip(max=len(both) - 1) for v in (xs, ys)]
+            (xr, xc), (yr, yc) = ((r[k], c[k]) for v, r, c in ((xs, xr, at[0]), (ys, yr, at[1])) for k in [both[c] == v])
+            for lo in range(0, len(both), 4096):
+                dense = []
+                for n, r, c in ((len(ids), xr, xc), (len(jds), yr, yc)):
+                    m = np.zeros((n, min(4096, len(both) - lo)), dtype=np.float32)
+                    k = (c >= lo) & (c < lo + 4096)
+                    m[r[k], c[k] - lo] = 1
+                    dense.append(m)
+                common += dense[0] @ dense[1].T
+        near = 100 * common.astype(np.float64) >= percent * (nl[:, None] + nr[None, :] - common.astype(np.float64))
+        i, j = np.nonzero(near & (comps[:, None] != jomps[None, :]))
+        if not len(i):
+            return none
+        nodes, back = np.unique(np.concatenate([ids[i], jds[j]]), return_inverse=True)
+        roots = local_roots(nodes, back[: len(i)], back[len(i) :])
+        out = pd.DataFrame({"a": nodes, "b": roots})
+        return out[out["a"] != out["b"]]
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Near-duplicate groups of ``docs`` (doc_id, text, more columns are ignored).
 
@@ -180,10 +219,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     null component_id and is kept; its text stands for no group. An empty table gives no rows.
 
     Equal sets form a class, for which its smallest doc_id stands, so copies never make pairs.
-    Bands of few classes compare all pairs; in a larger band some hubs are compared with all
-    others, and classes that link with no hub yet become hubs in turn until every pair of the
-    band is either compared or joined through a common hub. No pair of candidates is dropped
-    but by the estimate, which leaves five standard deviations.
+    Bands of few classes compare all pairs. In a larger band the hub is compared with all
+    others; members that are not in the hub's component by then meet the whole band in block
+    pairs, each one task that counts common shingles of the full sets and returns a spanning
+    forest. No pair of candidates is dropped but by the estimate, which leaves five standard
+    deviations, or because its ends are connected already.
     """
     docs = docs.select("doc_id", "text")
     signed = materialize(docs.mapInArrow(_sign, "doc_id long, n_shingles long, f1 long, f2 long, registers binary"), "signed")
@@ -195,31 +235,33 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     banded = reps.select("rep", "registers").mapInArrow(_bands, "band long, rep long")
     parts = banded.sparkSession.conf.get("spark.sql.shuffle.partitions")
     banded = banded.repartition(int(parts), "band")
-    sizes = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).where("n > 1")
+    sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialize(banded.join(sizes, "band"), "bands")
     few = shared.where(f"n <= {SMALL_BAND}").select("band", "rep")
     pairs = few.select("band", F.col("rep").alias("a")).join(few.select("band", F.col("rep").alias("b")), "band").where("a < b").select("a", "b")
-    many = shared.where(f"n > {SMALL_BAND}")
-    hubs = many.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    links = materialize(_linked(pairs.unionByName(hubs).distinct(), reps, docs, percent), "links")
-    found = [links]
-    left = many.where("rep != hub").join(links.select(F.col("a").alias("hub"), F.col("b").alias("rep")), ["hub", "rep"], "left_anti").select("band", "rep", "n")
-    left = materialize(left, "left")
-    while not left.isEmpty():
-        # the next hubs of each band: the smallest hashes among those that no hub has joined yet
-        rank = F.expr("row_number() over (partition by band order by xxhash64(rep, band))")
-        chosen = materialize(left.withColumn("k", rank).where(f"k <= {HUBS}").select("band", F.col("rep").alias("hub")), "hubs")
-        against = chosen.join(many.select("band", "rep"), "band").where("hub != rep")
-        against = materialize(against.select("band", "hub", "rep"), "against")
-        new = against.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
-        links = materialize(_linked(new, reps, docs, percent), "links")
-        found.append(links)
-        joined = against.join(links, (F.least("hub", "rep") == links["a"]) & (F.greatest("hub", "rep") == links["b"]), "left_semi").select("band", "rep")
-        done = joined.unionByName(chosen.select("band", F.col("hub").alias("rep"))).distinct()
-        left = materialize(left.join(done, ["band", "rep"], "left_anti"), "left")
-    links = found[0]
-    for more in found[1:]:
-        links = links.unionByName(more)
+    many = shared.where(f"n > {SMALL_BAND}").select("band", "rep", "n")
+    # the hub of a band is the class that is in most large bands: of variants of a text, the one nearest to all
+    often = many.groupBy("rep").agg(F.count("*").alias("bands"))
+    hubs = many.join(often, "rep").groupBy("band").agg(F.max(F.struct("bands", "rep"))["rep"].alias("hub"))
+    many = materialize(many.join(hubs, "band"), "large-bands")
+    stars = many.where("rep != hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
+    hopeful = materialize(_hopeful_pairs(pairs.unionByName(stars).distinct(), reps, percent), "hopeful")
+    needed = hopeful.select(F.explode(F.array("a", "b")).alias("needed")).unionByName(many.select(F.col("rep").alias("needed"))).distinct()
+    texts = docs.join(needed.hint("shuffle_merge"), docs["doc_id"] == needed["needed"], "left_semi")
+    sets = materialize(texts.mapInArrow(_sets, "rep long, shingles array<long>"), "sets")
+    links = materialize(_linked(hopeful, sets, percent), "links")
+    own = components(links, "a", "b").toDF("rep", "component")
+    # members outside the component of their band's hub may link with any member of the band
+    named = many.join(own, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = named.join(own.toDF("hub", "hub_component"), "hub", "left").withColumn("outside", F.col("component") != F.coalesce("hub_component", "hub"))
+    named = materialize(named.select("band", "rep", "component", "outside"), "members")
+    blocks = named.groupBy("band").agg(F.count("*").alias("n"), F.count_if("outside").alias("out")).where("out > 0")
+    blocks = blocks.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("n"), F.ceil(F.col("out") / BLOCK).cast("int").alias("out"))
+    placed = named.join(blocks, "band").withColumn("h", F.xxhash64("rep", "band"))
+    inner = placed.where("outside").select("band", F.expr("cast(pmod(h, out) as int)").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"), "rep", "component", F.lit(0).alias("side"))
+    outer = placed.select("band", F.explode(F.sequence(F.lit(0), F.col("out") - 1)).alias("i"), F.expr("cast(pmod(h, n) as int)").alias("j"), "rep", "component", F.lit(1).alias("side"))
+    facing = inner.unionByName(outer).join(sets, "rep").groupBy("band", "i", "j").applyInPandas(_block_links(percent), "a long, b long")
+    links = links.unionByName(materialize(facing.distinct(), "block-links"))
     groups = components(links, "a", "b")
     rows = signed.select("doc_id", "n_shingles", "f1", "f2").join(classes.hint("shuffle_merge"), ["f1", "f2", "n_shingles"], "left")
     rows = rows.join(groups.withColumnRenamed("node", "rep").hint("shuffle_merge"), "rep", "left")
