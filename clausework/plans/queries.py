@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from clausework.functions import vocab
 from clausework.functions.dialect import DUCK, layers_sql
-from clausework.operators import classify, quality
+from clausework.operators import classify, clauses, findings, quality, redact
+from clausework.plans import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -63,5 +64,110 @@ def _classify() -> None:
     register("p6_validate_responses", lambda s, d: classify.validate_responses(table(s, d, "conversations")).select("conv_id", "turn", "violation_type", "is_valid"), f"select conv_id, turn, violation_type, is_valid from {layers_sql('conversations', classify.validity_layers(DUCK))}")
 
 
+def _redact() -> None:
+    docs = lambda s, d: table(s, d, "documents")
+    over_documents("r10_mask_pii_fallback", redact.mask_pii_fallback, redact.mask_layers(DUCK), ("masked",))
+    bulk = lambda s, d: redact.redact_documents(docs(s, d))
+    flat = lambda df: df.select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.entity_type", "e.start", "e.end", "e.original_text", "e.confidence")
+    steps = {"r1_detect_candidates": 1, "r2_strip_leadin": 2, "r3_adjust_confidence": 3, "r4_classify_person": 4, "r5_reject_false_numbers": 5}
+    chain = (redact.detect_candidates, redact.strip_leadin, redact.adjust_confidence, redact.classify_person, redact.reject_false_numbers)
+    for name, n in steps.items():
+
+        def query(s, d, n=n):
+            out = docs(s, d).select("doc_id", "text")
+            for step in chain[:n]:
+                out = step(out)
+            return out.select("doc_id", F.explode("candidates").alias("c")).select("doc_id", "c.entity_type", "c.start", "c.end", "c.original_text", "c.confidence", *(["c.reason"] if n > 3 else []))
+
+        register(name, query)
+    places = redact.ENTITY_PATTERNS["LOCATION"][0]
+    mails = redact.ENTITY_PATTERNS["EMAIL"][0]
+    counted = " union all ".join(f"select doc_id, '{t}' as entity_type, len(regexp_extract_all(text, {DUCK.regex(p)})) as n from documents" for t, p in (("EMAIL", mails), ("LOCATION", places)))
+    register("r1_candidate_counts", lambda s, d: redact.detect_candidates(docs(s, d)).select("doc_id", F.explode("candidates").alias("c")).where("c.entity_type in ('EMAIL', 'LOCATION')").groupBy("doc_id", F.col("c.entity_type").alias("entity_type")).agg(F.count("*").alias("n")), f"select doc_id, entity_type, n from ({counted}) where n > 0")
+    register("r6_resolve_overlaps", lambda s, d: flat(redact.resolve_overlaps(redact.reject_false_numbers(redact.classify_person(redact.adjust_confidence(redact.strip_leadin(redact.detect_candidates(docs(s, d).select("doc_id", "text")))))))))
+    register("r7_reconcile_repeats", lambda s, d: flat(bulk(s, d)))
+    # given spans: two places of every text that is long enough
+    given = "transform(filter(sequence(0, 1), k -> length(text) >= 40), k -> struct('PERSON' as entity_type, cast(doc_id % 7 + 15 * k as int) as start, cast(doc_id % 7 + 15 * k + 4 as int) as end))"
+    put = lambda k, cut: f"substr({cut}, 1, doc_id % 7 + 15 * {k}) || '[REDACTED_PERSON]' || substr({cut}, doc_id % 7 + 15 * {k} + 5)"
+    spans = lambda s, d: docs(s, d).select("doc_id", "text").withColumn("entities", F.expr(given))
+    twice = put(0, "(" + put(1, "text") + ")")
+    register("r8_apply_redactions", lambda s, d: redact.apply_redactions(spans(s, d)).select("doc_id", "redacted_text"), f"select doc_id, case when length(text) >= 40 then {twice} else text end as redacted_text from documents")
+    register("r9_preview_redactions", lambda s, d: redact.preview_redactions(spans(s, d), ["PERSON"]).select("doc_id", "preview", "n_total", "n_active"), f"select doc_id, case when length(text) >= 40 then {twice} else text end as preview, case when length(text) >= 40 then 2 else 0 end as n_total, case when length(text) >= 40 then 2 else 0 end as n_active from documents")
+    register("r11_safe_entities", lambda s, d: redact.safe_entities(spans(s, d).withColumn("entities", F.expr("transform(entities, e -> struct(e.start as start, e.end as end, e.entity_type as entity_type, substr(text, e.start + 1, 4) as original_text, 1D as confidence))"))).select("doc_id", "text", F.expr("array_join(transform(entities, e -> e.original_text), ',')").alias("shown")), "select doc_id, '' as text, case when length(text) >= 40 then '[REDACTED_PERSON],[REDACTED_PERSON]' else '' end as shown from documents")
+    register("r12_entity_stats", lambda s, d: redact.entity_stats(redact.detect_candidates(docs(s, d)), "candidates").where("entity_type in ('EMAIL', 'LOCATION')"), f"select entity_type, cast(sum(n) as bigint) as n_entities, count(distinct doc_id) as n_docs from ({counted}) where n > 0 group by entity_type")
+
+
+def _clauses() -> None:
+    split_sql = f"(select doc_id, unnest(generate_series(0, len(clauses) - 1)) as clause_no, unnest(clauses) as clause from {layers_sql('documents', clauses.clause_layers(DUCK))})"
+    split = lambda s, d: clauses.split_clauses(table(s, d, "documents"))
+    register("c1_split_clauses", split, f"select doc_id, cast(clause_no as int) as clause_no, clause from {split_sql}")
+    flagged = layers_sql(split_sql, clauses.flag_layers(DUCK))
+    flags = "is_survival, is_termination, is_perpetual, is_finite, is_insufficient"
+    register("c2_clause_flags", lambda s, d: clauses.clause_flags(split(s, d)), f"select doc_id, cast(clause_no as int) as clause_no, {flags} from {flagged}")
+    register("c3_obligation_domains", lambda s, d: clauses.obligation_domains(table(s, d, "documents"), "text").select("doc_id", F.array_join("domains", "|").alias("domains")), f"select doc_id, array_to_string({clauses.topics(DUCK, 'text')}, '|') as domains from documents")
+    topics = f"(select *, unnest({clauses.topics(DUCK, 'clause')}) as domain from {flagged})"
+    conflicts = f"""(select n.doc_id, case when n.n >= 2 then coalesce(c.conflicts, '') else '' end as conflicts from (select doc_id, count(*) as n from {split_sql} group by doc_id) n
+      left join (select doc_id, string_agg(domain, '|' order by domain) as conflicts from (select doc_id, domain from {topics} group by doc_id, domain having bool_or(is_survival) and bool_or(is_termination)) group by doc_id) c using (doc_id))"""
+    register("c4_document_conflicts", lambda s, d: clauses.document_conflicts(split(s, d)), f"select * from {conflicts}")
+    whole = "concat_ws(' ', issue_title, quoted_text, risk_explanation)"
+    marked = f"(select doc_id, issue_no, {DUCK.has(whole, clauses.SURVIVAL)} as s, {DUCK.has(whole, clauses.TERMINATION)} as t, unnest({clauses.topics(DUCK, whole)}) as domain from {fixtures.issues_sql()})"
+    pairs = f"(select a.doc_id, a.issue_no as i, b.issue_no as j from {marked} a join {marked} b on a.doc_id = b.doc_id and a.domain = b.domain and a.s and b.t and a.issue_no <> b.issue_no)"
+    flagged_issues = f"(select doc_id, i as issue_no from {pairs} union select doc_id, j from {pairs})"
+    register("c5_issue_conflicts", lambda s, d: clauses.issue_conflicts(fixtures.issues(s, d)), f"select * from {flagged_issues}")
+    typed = layers_sql(fixtures.issues_sql(), clauses.contradiction_layers(DUCK))
+    register("c6_contradiction_types", lambda s, d: clauses.contradiction_types(fixtures.issues(s, d), clauses.document_conflicts(split(s, d))).select("doc_id", "issue_no", "contradiction_type"), f"select doc_id, issue_no, case when c.conflicts = '' then contradiction_type end as contradiction_type from {typed} left join {conflicts} c using (doc_id)")
+    register("c7_suppress_contradictions", lambda s, d: clauses.suppress_contradictions(fixtures.issues(s, d)).select("doc_id", "issue_no"), f"select doc_id, issue_no from {typed} where contradiction_type is null")
+    register("c8_elevate_contradictions", lambda s, d: clauses.elevate_contradictions(fixtures.issues(s, d), split(s, d)), f"""
+      select i.doc_id, i.issue_no, issue_title, severity, case when h.issue_no is not null and not {DUCK.has('category', '(?i)indemn|liab')} then 'Structural Inconsistency' else category end as category,
+        case when h.issue_no is not null and not {DUCK.has('category', '(?i)indemn|liab')} then category end as original_category, h.issue_no is not null as contradiction_detected
+      from {fixtures.issues_sql()} i left join {flagged_issues} h on i.doc_id = h.doc_id and i.issue_no = h.issue_no
+      union all select doc_id, 1000, 'Conflicting survival and termination terms', 'HIGH', 'Structural Inconsistency', null, true from {conflicts} where conflicts <> '' and doc_id not in (select doc_id from {flagged_issues})""")
+
+
+def _findings() -> None:
+    issues, sql = fixtures.issues, fixtures.issues_sql()
+    docs = lambda s, d: table(s, d, "documents")
+    flags = f"(select doc_id, {', '.join(findings.FLAGS)} from {layers_sql('documents', findings.document_flag_layers(DUCK))})"
+    joined = f"(select i.*, f.* exclude (doc_id) from {sql} i join {flags} f using (doc_id))"
+
+    def on_issues(name, operator, layers, columns):
+        register(name, lambda s, d: operator(issues(s, d)), f"select doc_id, issue_no, {', '.join(columns)} from {layers_sql(sql, layers)}")
+
+    on_issues("n1_balanced_indemnity_flags", findings.balanced_indemnity_flags, findings.indemnity_layers(DUCK), ("i_mutual", "i_cap", "i_exclusion", "i_risk", "i_balanced"))
+    on_issues("n2_override_severity", findings.override_severity, findings.severity_layers(DUCK), ("new_severity",))
+    on_issues("n3_remap_category", findings.remap_category, findings.category_layers(DUCK), ("new_category",))
+    on_issues("n4_sanitize_language", findings.sanitize_language, findings.wording_layers(DUCK), ("new_explanation",))
+    on_issues("n5_refine_improvement", findings.refine_improvement, findings.advice_layers(DUCK), ("new_improvement",))
+    key = findings.quote_key(DUCK)
+    register("n6_dedupe_quotes", lambda s, d: findings.dedupe_quotes(issues(s, d)), f"select doc_id, issue_no from (select *, {key} as k, row_number() over (partition by doc_id, {key} order by issue_no) as r from {sql}) where k = '' or r = 1")
+    dropped = layers_sql(joined, findings.suppression_layers(DUCK))
+    names = {7: "suppress_balanced", 8: "suppress_false_sla", 9: "suppress_ice", 10: "suppress_noncompete", 11: "suppress_invention", 12: "suppress_mismatched_title"}
+    for k, name in names.items():
+        register(f"n{k}_{name}", lambda s, d, f=getattr(findings, name): f(issues(s, d), docs(s, d)), f"select doc_id, issue_no from {dropped} where not coalesce(n{k}, false)")
+    on_issues("n13_rewrite_titles", findings.rewrite_titles, findings.title_layers(DUCK), ("new_title",))
+    levels = layers_sql(joined, findings.level_layers(DUCK))
+    for name, column in (("n14_document_bmi", "s14"), ("n15_cap_standard_nda", "s15"), ("n16_cap_mutual_indemnity", "s16")):
+        register(name, lambda s, d, c=column: findings.document_levels(issues(s, d), docs(s, d)).select("doc_id", "issue_no", c), f"select doc_id, issue_no, {column} from {levels}")
+    register("n17_detect_asymmetry", lambda s, d: findings.document_levels(issues(s, d), docs(s, d)).select("doc_id", "issue_no", "s17", "c17"), f"select doc_id, issue_no, s17, c17 from {levels}")
+    register("n18_suppression_log", lambda s, d: findings.suppressed(issues(s, d), docs(s, d)).where("suppressed_by is not null"), f"select doc_id, issue_no, suppressed_by from {dropped} where suppressed_by is not null")
+    stages = ", ".join(f"({k + 1}, '{x}')" for k, x in enumerate(("n7", "n8", "n12", "n9", "n10", "n11")))
+    register("n18_stage_trace", lambda s, d: findings.stage_trace(issues(s, d), docs(s, d)), f"""
+      with x as (select * from {dropped}), st(stage_no, stage) as (values {stages}), c as (select st.stage_no, st.stage, (select count(*) from x where suppressed_by = st.stage) as n_dropped from st)
+      select stage_no, stage, n_dropped, cast((select count(*) from x) - sum(n_dropped) over (order by stage_no) as bigint) as n_issues from c""")
+    verified = layers_sql("documents", clauses.verifier_layers(DUCK))
+    rules = (("no_warranty", "No Warranty Provided", "Warranty", "HIGH"), ("asymmetric_termination", "Asymmetric Termination Rights", "Termination", "HIGH"), ("single_trigger", "Single-Trigger Change of Control", "Change of Control", "MEDIUM"))
+    found = "(" + " union all ".join(f"select doc_id, '{t}' as issue_title, '{c}' as category, '{v}' as severity from {verified} where {f}" for f, t, c, v in rules) + ")"
+    quoted = lambda s, d: issues(s, d).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("quoted_text")), " ").alias("text"))
+    quoted_sql = f"(select doc_id, string_agg(quoted_text, ' ' order by quoted_text) as text from {sql} group by doc_id)"
+    found_quotes = found.replace(" from (select *, ", " from (select *, ").replace(verified, layers_sql(quoted_sql, clauses.verifier_layers(DUCK)))
+    register("n19_verify_clauses", lambda s, d: clauses.verify_clauses(docs(s, d)), f"select * from {found}")
+    register("n20_merge_verifier_findings", lambda s, d: findings.merge_verifier_findings(issues(s, d), clauses.verify_clauses(quoted(s, d))), f"""
+      select doc_id, issue_title, category, severity from {sql} union all
+      select f.doc_id, f.issue_title, f.category, f.severity from {found_quotes} f where not exists (select 1 from {sql} i where i.doc_id = f.doc_id and lower(i.issue_title) = lower(f.issue_title) and lower(i.category) = lower(f.category))""")
+
+
 _quality()
 _classify()
+_redact()
+_clauses()
+_findings()
