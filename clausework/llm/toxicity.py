@@ -13,7 +13,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausework.llm.features import byte_kinds, fold, held_out, labelled_ids, labelled_sample, with_features
+from clausework.llm.features import byte_kinds, held_out, labelled_ids, labelled_sample, with_features
 from clausework.llm.scratch import materialize
 from clausework.llm.words import as_bytes, letter_hashes
 
@@ -66,12 +66,12 @@ def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learned_lexicon(docs: DataFrame, labels: DataFrame, rows: int) -> np.ndarray:
-    """Codes of words and stems that tell toxic texts, from at most ``rows`` labelled rows of the folds FIT.
+    """Codes of words and stems that tell toxic texts, from at most ``rows`` labelled rows.
 
     A stem is a word's first STEMS bytes. A code counts if it is in at least a fiftieth of the
     sample's toxic texts, five at least, and at least PRECISION of the texts that have it are toxic.
     """
-    known = labelled_ids(labels, "toxic", rows).where(fold(F.col("doc_id")).isin(*FIT))
+    known = labelled_ids(labels, "toxic", rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "label")
     counts = texts.mapInArrow(_stem_counts, "code long, n long, toxic long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     least = max(5, known.where("label = 1").count() // 50)
