@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,6 +21,28 @@ SESSION_OUTPUT = "conv_id long, mode string, n_exchanges long, last_turn long"
 SESSION_STATE = "mode string, n long, last long, waiting long"
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder under the session's ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="clausework-")
+    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def replayed(table: DataFrame) -> DataFrame:
+    """A stream of the table's rows: a copy in the shared folder, read as a file stream."""
+    path = f"{work_folder(table.sparkSession)}/in"
+    table.write.parquet(path)
+    return table.sparkSession.readStream.schema(table.schema).parquet(path)
+
+
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """All rows that a stream gives until it has read what is there; each batch is written once under its number."""
+    spark = stream.sparkSession
+    folder = work_folder(spark)
+    keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+    stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out/*")
+
+
 def score_stream(docs: DataFrame) -> DataFrame:
     """T-1: arriving documents with their route: the batch projection, unchanged."""
     return route_documents(docs)
@@ -91,4 +115,4 @@ def running_summary(feed: DataFrame) -> DataFrame:
 
 def retain_stream(feed: DataFrame, days: int = 90) -> DataFrame:
     """T-5: records of arriving history within ``days`` of the newest time seen, once each by (record_type, id)."""
-    return feed.withWatermark("ts", f"{days} days").dropDuplicatesWithinWatermark(["record_type", "id"])
+    return feed.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", f"{days} days").dropDuplicatesWithinWatermark(["record_type", "id"])
