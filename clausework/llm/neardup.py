@@ -27,7 +27,7 @@ MANTISSA = 10
 #: Bands of up to this many different sets compare all pairs at once; larger ones go by a hub and by blocks.
 SMALL_BAND = 8
 #: Classes on either side of a block pair, about.
-BLOCK = 256
+BLOCK = 512
 
 _EMPTY = np.uint16(0xFFFF)
 _PROBES = 96
