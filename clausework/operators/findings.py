@@ -97,9 +97,6 @@ def advice_layers(q: SparkSql) -> list[Layer]:
     return [{"composed": f"case {' '.join(cases)} else '' end"}, {"new_improvement": f"case when {specific} then suggested_improvement when composed <> '' then composed else {q.text(DEFAULT_ADVICE)} end"}]
 
 
-QUOTE_KEY = "lower(trim({}))"
-
-
 def quote_key(q: SparkSql) -> str:
     return f"lower(trim({q.replace('coalesce(quoted_text, ' + chr(39) * 2 + ')', r'[ \t\n\r]+', ' ')}))"
 

@@ -159,7 +159,7 @@ def _findings() -> None:
     found = "(" + " union all ".join(f"select doc_id, '{t}' as issue_title, '{c}' as category, '{v}' as severity from {verified} where {f}" for f, t, c, v in rules) + ")"
     quoted = lambda s, d: issues(s, d).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("quoted_text")), " ").alias("text"))
     quoted_sql = f"(select doc_id, string_agg(quoted_text, ' ' order by quoted_text) as text from {sql} group by doc_id)"
-    found_quotes = found.replace(" from (select *, ", " from (select *, ").replace(verified, layers_sql(quoted_sql, clauses.verifier_layers(DUCK)))
+    found_quotes = found.replace(verified, layers_sql(quoted_sql, clauses.verifier_layers(DUCK)))
     register("n19_verify_clauses", lambda s, d: clauses.verify_clauses(docs(s, d)), f"select * from {found}")
     register("n20_merge_verifier_findings", lambda s, d: findings.merge_verifier_findings(issues(s, d), clauses.verify_clauses(quoted(s, d))), f"""
       select doc_id, issue_title, category, severity from {sql} union all

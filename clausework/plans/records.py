@@ -74,9 +74,9 @@ def _history() -> None:
     register("h8_page", lambda s, d: results.page(history(s, d), 20, 40).select("id", "record_type", "ts"), f"select id, record_type, ts from {HISTORY} order by ts desc, record_type, id desc limit 20 offset 40")
     register("h9_get_record", lambda s, d: results.get_record(history(s, d), "audit", 3).select("id", "record_type", "filename"), f"select id, record_type, filename from {HISTORY} where record_type = 'audit' and id = 3")
     register("h9_delete_records", lambda s, d: results.delete_records(history(s, d), history(s, d).where("item_count = 0").select("record_type", "id")).select("id", "record_type"), f"select id, record_type from {HISTORY} where item_count <> 0")
-    now = F.expr(NOW)
-    register("h10_retain", lambda s, d: results.retain(history(s, d), now).select("id", "record_type"), f"select id, record_type from {HISTORY} where ts >= {NOW} - interval 90 days")
-    register("h10_retention_report", lambda s, d: results.retention_report(history(s, d), now), f"select record_type, count(*) filter (ts >= {NOW} - interval 90 days) as n_kept, count(*) filter (not coalesce(ts >= {NOW} - interval 90 days, false)) as n_deleted from {HISTORY} group by record_type")
+    now = lambda: F.expr(NOW)
+    register("h10_retain", lambda s, d: results.retain(history(s, d), now()).select("id", "record_type"), f"select id, record_type from {HISTORY} where ts >= {NOW} - interval 90 days")
+    register("h10_retention_report", lambda s, d: results.retention_report(history(s, d), now()), f"select record_type, count(*) filter (ts >= {NOW} - interval 90 days) as n_kept, count(*) filter (not coalesce(ts >= {NOW} - interval 90 days, false)) as n_deleted from {HISTORY} group by record_type")
     register("h11_activity_summary", lambda s, d: results.activity_summary(history(s, d)), f"""
       select count(*) filter (record_type = 'audit') as total_audits, count(*) filter (record_type = 'redaction') as total_redactions, count(*) filter (record_type = 'advisory') as total_sessions,
         cast(coalesce(sum(item_count) filter (record_type = 'audit'), 0) as bigint) as total_findings, cast(coalesce(sum(item_count) filter (record_type = 'redaction'), 0) as bigint) as total_entities, count(*) as total_activities from {HISTORY}""")
