@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -70,8 +71,6 @@ def normalized(sentence: str) -> str:
 
 def _pieces(sentence: str) -> list[str]:
     """A known sentence as the text's splitting cuts it."""
-    import re
-
     return [normalized(p) for p in re.split(r"\n", re.sub(END_MARK, r"\1\n", sentence)) if normalized(p)]
 
 
