@@ -168,7 +168,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75) -> Da
     empty table on either side gives no rows. Texts of any length are read whole, in one map
     over the documents for every PASS_WORDS words of the benchmark and without a shuffle.
     """
-    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
+    spark, docs = docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = None
     for items in _passes(benchmark):
         index = BenchmarkIndex.build(items)

@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     forest. No pair of candidates is dropped but by the estimate, which leaves five standard
     deviations, or because its ends are connected already.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(docs.mapInArrow(_sign, "doc_id long, n_shingles long, f1 long, f2 long, registers binary"), "signed")
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     classes = materialize(classes, "classes")
