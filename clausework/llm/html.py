@@ -37,6 +37,8 @@ _SCOPES = frozenset("table ul ol dl select article section body div td th".split
 _BOILERPLATE_TAGS = frozenset("nav header footer aside form script style noscript template iframe button select textarea input svg canvas object dialog menu title".split())
 _BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _BOILERPLATE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split())
+#: Parts of a text that are no containers of one.
+_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl li dt dd table blockquote pre figure figcaption address details hr".split())
 _CONTENT_WORDS = frozenset("article content entry main post story".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>|[^<]+|<", re.S)
@@ -261,7 +263,7 @@ def _mass(node: Folded) -> int:
 
 
 def content_path(wrapper: Folded) -> str:
-    """Path of labels to the content node: the first article or main element, else the lowest node that holds most of the slots' text."""
+    """Path of labels to the content node: the first article or main element, else the lowest container that holds all of the slots' text."""
     marked = None
     todo = [(wrapper, "")]
     while todo:
@@ -273,15 +275,13 @@ def content_path(wrapper: Folded) -> str:
         todo += [(c, here) for c in node.children]
     if marked:
         return marked[0]
+    slots = _mass if _mass(wrapper) else lambda n: sum(x.chars for x in _nodes(n))
     node, path = wrapper, f"/{wrapper.label}"
-    while node.children:
-        total = _mass(node) or sum(n.chars for n in _nodes(node))
-        score = lambda n: _mass(n) or (0 if _mass(node) else sum(x.chars for x in _nodes(n)))  # noqa: B023,E731
-        best = max(node.children, key=score)
-        if 10 * score(best) < 8 * total or not total:
-            break
-        node, path = best, f"{path}/{best.label}"
-    return path
+    while True:
+        inner = [c for c in node.children if slots(c)]
+        if len(inner) != 1 or slots(node) > slots(inner[0]) or inner[0].label.split(".")[0] in _BLOCKS:
+            return path
+        node, path = inner[0], f"{path}/{inner[0].label}"
 
 
 def find(root: Node, path: str) -> list[Node]:

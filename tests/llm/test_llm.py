@@ -204,6 +204,20 @@ def test_main_text(spark):
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_main_text_of_pages_without_article(spark):
+    shell = "<html><body><div>Home About</div><div class=wrap><div class=content>%s</div></div><div class=footer>us</div></body></html>"
+    prose = "<h1>Title %d</h1><p>" + "long text %d " * 20 + "</p><p>more</p><ul><li>item %d</li></ul><table><tr><td>cell %d</td></tr></table><blockquote>quote %d</blockquote><pre>code %d</pre>"
+    items = "<h1>Title %d</h1><ul><li>" + "item %d " * 30 + "</li></ul><p>after %d</p>"
+    bodies = [(k, shell % (prose.replace("%d", str(k)))) for k in range(5)] + [(10 + k, shell % (items.replace("%d", str(10 + k)))) for k in range(2)]
+    alone = [(20, "http://alone.example/", "<div><h2>Head</h2><p>" + "word " * 60 + "</p><ul><li>point</li></ul></div>")]
+    got = dict(html.main_text(spark.createDataFrame([(k, f"http://a.example/{k}", b) for k, b in bodies] + alone, "page_id long, url string, html string")).select("page_id", "text").collect())
+    for k in range(5):
+        assert got[k].split() == f"Title {k} {f'long text {k} ' * 20} more item {k} cell {k} quote {k} code {k}".split()
+    for k in (10, 11):
+        assert got[k].split() == f"Title {k} {f'item {k} ' * 30} after {k}".split()
+    assert got[20].split() == ["Head"] + ["word"] * 60 + ["point"]
+
+
 def test_tree_matching():
     tree = lambda s: html._read_skeleton(s)
     assert html.simple_tree_match(tree("a(b,c(d),e)"), tree("a(b,c(d,f),g,e)"))[0] == 5
