@@ -1,7 +1,8 @@
 """Main text of pages by wrapper induction.
 
 All pages of a host are reduced to folded DOM trees, in which runs of equal siblings are one
-node. The frequent trees of a host are aligned by simple tree matching into one wrapper.
+node. Siblings of a folded tree differ in their labels, so that the trees of all pages of a host
+align by the paths of their labels into one wrapper.
 Nodes with the same text on all pages are its template, nodes with varying text its slots.
 The wrapper names the content node; its text on each page, without the parts that carry
 boilerplate marks, is the result.
@@ -23,8 +24,7 @@ from pyspark.sql import types as T
 
 from clausework.llm.scratch import materialize, stored_bytes
 
-#: Most frequent folded trees of a host that its wrapper is made of, and the wrappers' size up to which they are broadcast.
-TREES = 16
+#: The wrappers' size up to which they are broadcast.
 BROADCAST_BYTES = 16 << 20
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -243,20 +243,6 @@ def simple_tree_match(a: Folded, b: Folded) -> tuple[int, list[tuple[Folded, Fol
     return 1 + best[m][n], pairs
 
 
-def merge(wrapper: Folded, tree: Folded) -> None:
-    """Align ``tree`` with the wrapper: aligned nodes add up, the others become optional nodes of it."""
-    _, pairs = simple_tree_match(wrapper, tree)
-    of = {id(b): a for a, b in pairs}
-    for a, b in pairs:
-        a.varies |= b.varies or bool(a.chars and b.chars and a.digest != b.digest)
-        a.chars += b.chars
-        a.digest = a.digest or b.digest
-        known = {c.label: c for c in a.children}
-        for child in b.children:
-            if id(child) not in of and child.label not in known:
-                a.children.append(child)
-
-
 def _mass(node: Folded) -> int:
     """Varying text in a subtree."""
     return sum(n.chars for n in _nodes(node) if n.varies)
@@ -320,45 +306,56 @@ def host_of(url: str) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@\[\]]*)", 1)), F.lit(""))
 
 
+def _paths(node: Folded, above: str = "") -> Iterator[tuple[str, Folded]]:
+    here = f"{above}/{node.label}"
+    yield here, node
+    for c in node.children:
+        yield from _paths(c, here)
+
+
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, tree, slot, digest, chars) of each text node of each page's folded tree."""
+    """(host, path, place, digest, chars) of each text node of each page's folded tree."""
     for batch in batches:
         rows = []
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            tree = fold(parse(source or ""))
-            name = skeleton(tree)
-            rows += [(host, name, k, n.digest, n.chars) for k, n in enumerate(_nodes(tree)) if n.chars or not k]
+            rows += [(host, path, k, n.digest, n.chars) for k, (path, n) in enumerate(_paths(fold(parse(source or "")))) if n.chars]
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
         kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "tree", "slot", "digest", "chars"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "path", "place", "digest", "chars"])
+
+
+def aligned(slots: Iterator[tuple[str, int, bool]]) -> Folded:
+    """The wrapper of all (path, chars, varies)."""
+    wrapper = Folded("#")
+    at = {"/#": wrapper}
+    for path, chars, varies in slots:
+        node, here = wrapper, "/#"
+        for label in path.split("/")[2:]:
+            here = f"{here}/{label}"
+            if here not in at:
+                at[here] = Folded(label)
+                node.children.append(at[here])
+            node = at[here]
+        node.chars, node.varies = chars, varies
+    return wrapper
 
 
 def _induce(pdf: pd.DataFrame) -> pd.DataFrame:
-    wrapper = None
-    for row in pdf.sort_values(["n", "tree"], ascending=[False, True]).itertuples():
-        tree = _read_skeleton(row.tree)
-        nodes = list(_nodes(tree))
-        for s in row.slots:
-            node = nodes[s["slot"]]
-            node.chars, node.digest, node.varies = s["chars"], s["least"], s["least"] != s["most"] or row.n == 1
-        if wrapper is None:
-            wrapper = tree
-        else:
-            merge(wrapper, tree)
+    rows = pdf.sort_values(["place", "path"])
+    wrapper = aligned(zip(rows["path"], rows["chars"], (rows["least"] != rows["most"]) | (rows["n"] == 1), strict=True))
     return pd.DataFrame({"host": [pdf["host"].iloc[0]], "path": [content_path(wrapper)]})
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, path): the content path of each host's wrapper.
 
-    Text counts come from all pages, added up per host, folded tree and slot before they are
-    shuffled; the TREES most frequent trees of a host make its wrapper.
+    The texts of all pages make a host's wrapper, added up per host and path of labels before they
+    are shuffled, so that a host has as many rows as its wrapper has nodes. A text that stands on
+    one page only counts as varying.
     """
-    slots = pages.select(host_of("url").alias("host"), "html").mapInArrow(_slots, "host string, tree string, slot int, digest long, chars long")
-    counted = slots.groupBy("host", "tree", "slot").agg(F.count("*").alias("n"), F.min("digest").alias("least"), F.max("digest").alias("most"), F.sum("chars").alias("chars"))
-    trees = counted.groupBy("host", "tree").agg(F.max("n").alias("n"), F.collect_list(F.struct("slot", "least", "most", "chars")).alias("slots"))
-    best = trees.withColumn("k", F.expr("row_number() over (partition by host order by n desc, tree)")).where(f"k <= {TREES}")
-    return best.select("host", "tree", "n", "slots").groupBy("host").applyInPandas(_induce, "host string, path string")
+    slots = pages.select(host_of("url").alias("host"), "html").mapInArrow(_slots, "host string, path string, place int, digest long, chars long")
+    counted = slots.groupBy("host", "path").agg(F.count("*").alias("n"), F.min("place").alias("place"), F.min("digest").alias("least"), F.max("digest").alias("most"), F.sum("chars").alias("chars"))
+    return counted.groupBy("host").applyInPandas(_induce, "host string, path string")
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -218,6 +218,20 @@ def test_main_text_of_pages_without_article(spark):
     assert got[20].split() == ["Head"] + ["word"] * 60 + ["point"]
 
 
+def test_all_layouts_of_a_host_make_its_wrapper(spark):
+    orders = list(itertools.permutations(("<p>p %d</p>", "<ul><li>l %d</li></ul>", "<table><tr><td>t %d</td></tr></table>", "<h2>h %d</h2>")))
+    common = [(k, "http://a.example/", f"<body><div>Home About</div><section><p>only {k}</p></section></body>") for k in range(40)]
+    rare = [(100 + k, "http://a.example/", "<body><div>Home About</div><section>" + "".join(o).replace("%d", str(k)) + "</section></body>") for k, o in enumerate(orders)]
+    deep = [(200, "http://a.example/", "<body><div>Home About</div><section><div><b>deep</b><div>down</div></div></section></body>")]
+    rows = [(i, u, h) for i, u, h in common + rare + deep] + [(300 + k, "http://b.example/", f"<body><div>Menu</div><dl><dt>{k}</dt></dl>" + f"<div><div>{'<div>' * k}x{'</div>' * k}</div></div>" + "</body>") for k in range(1, 20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert dict(html.wrappers(df).collect()) == {"a.example": "/#/body/section", "b.example": "/#/body"}
+    got = dict(html.main_text(df).select("page_id", "text").collect())
+    assert got[3] == "only 3" and got[200] == "deep down"
+    assert {k: got[100 + k] for k in range(len(orders))} == {k: " ".join(f"{re.search('[plth](?= %d)', x)[0]} {k}" for x in o) for k, o in enumerate(orders)}
+    assert all(got[300 + k] == f"Menu {k} x" for k in range(1, 20))
+
+
 def test_tree_matching():
     tree = lambda s: html._read_skeleton(s)
     assert html.simple_tree_match(tree("a(b,c(d),e)"), tree("a(b,c(d,f),g,e)"))[0] == 5
