@@ -36,6 +36,7 @@ SENTENCES: Mapping[str, str] = {
     "cc-by-sa-line": "Licensed under CC BY-SA 4.0.",
     "cc-by-work": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "all-rights": "All rights reserved under license.",
+    "all-rights-line": "All rights reserved.",
 }
 #: (rule, licence, sentences in order); other sentences may stand between them.
 RULES: Sequence[tuple[str, str, tuple[str, ...]]] = (
@@ -55,9 +56,22 @@ RULES: Sequence[tuple[str, str, tuple[str, ...]]] = (
     ("cc-by-4.0-reference", "CC-BY-4.0", ("cc-by-line",)),
     ("cc-by-sa-4.0-reference", "CC-BY-SA-4.0", ("cc-by-sa-line",)),
     ("cc-by-4.0-notice", "CC-BY-4.0", ("cc-by-work",)),
+    ("all-rights-reserved-line", "All-Rights-Reserved", ("all-rights-line",)),
 )
-#: Every known sentence holds one of these words, so that a text without them is passed over.
-CUES = r"(?i)licen[sc]|permission|copyright|redistribut|free software|without warranty|without any warranty"
+
+
+def cues(sentences: Mapping[str, str] = SENTENCES) -> str:
+    """A pattern of words of which every known sentence holds one, so that a text without them is passed over."""
+    left = {name: set(re.findall(r"[a-z0-9]+", text.lower())) for name, text in sentences.items()}
+    chosen = []
+    while left := {name: words for name, words in left.items() if words}:
+        usable = [w for words in left.values() for w in words if len(w) >= min(7, max(map(len, words)))]
+        chosen.append(max(sorted(set(usable)), key=lambda w: (usable.count(w), len(w))))
+        left = {name: words for name, words in left.items() if chosen[-1] not in words}
+    return "(?i)" + "|".join(chosen)
+
+
+CUES = cues()
 #: A sentence ends at a stop, mark or colon before white space, and at a line's end.
 END_MARK = r"([.!?:])[\x20\t\r\x0B\f]+"
 NOT_WORD = r"[^a-z0-9]+"
@@ -98,7 +112,7 @@ def find_licenses(docs: DataFrame, sentences: Mapping[str, str] = SENTENCES, rul
     Null and empty texts match nothing; repeated rows each give their rows; an empty table gives
     no rows. A map over the documents without Python and without a shuffle.
     """
-    named = docs.where(F.col("text").rlike(CUES)).select("doc_id", _known(F.col("text"), sentences).alias("ids")).where(F.size("ids") > 0)
+    named = docs.where(F.col("text").rlike(cues(sentences))).select("doc_id", _known(F.col("text"), sentences).alias("ids")).where(F.size("ids") > 0)
     joined = named.select("doc_id", F.size("ids").alias("n_sentences"), F.array_join("ids", " ").alias("sentence_ids"), F.concat_ws("", F.transform("ids", lambda i: F.concat(F.lit("<"), i, F.lit(">")))).alias("_marked"))
     hits = F.filter(
         F.array(*[F.when(F.col("_marked").like("%" + "%".join(f"<{i}>" for i in ids) + "%"), F.struct(F.lit(name).alias("rule"), F.lit(license).alias("license"))) for name, license, ids in rules]),

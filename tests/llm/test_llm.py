@@ -248,6 +248,17 @@ def test_licenses(spark):
     assert all(re.search(licenses.CUES.removeprefix("(?i)"), s, re.I) for s in licenses.SENTENCES.values())
 
 
+def test_each_known_sentence_alone_is_found(spark):
+    rows = list(enumerate(licenses.SENTENCES.values()))
+    alone = [(name, name, (name,)) for name in licenses.SENTENCES]
+    got = {r.doc_id: r.rule for r in licenses.find_licenses(documents(spark, rows), rules=alone).collect()}
+    assert got == dict(enumerate(licenses.SENTENCES))
+    (line,) = licenses.find_licenses(documents(spark, [(1, "Some prose. All rights reserved.")])).collect()
+    assert (line.rule, line.license) == ("all-rights-reserved-line", "All-Rights-Reserved")
+    (own,) = licenses.find_licenses(documents(spark, [(1, "a. Use it as you like.")]), {"own": "Use it as you like."}, [("r", "own", ("own",))]).collect()
+    assert own.rule == "r"
+
+
 def test_mixing(spark):
     rows = [(i, prose(i, i % 9), f"s{i % 5}" if i % 11 else None) for i in range(300)] + [(None, "a b", "s1"), (7, None, "zero"), (5, prose(5, 5), "s0"), (5, prose(5, 5), "s0")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"rank": F.lit(1), "target": F.lit(2)})
