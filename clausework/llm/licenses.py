@@ -72,9 +72,18 @@ def cues(sentences: Mapping[str, str] = SENTENCES) -> str:
 
 
 CUES = cues()
-#: A sentence ends at a stop, mark or colon before white space, and at a line's end.
+#: In the SQL a sentence ends at a stop, mark or colon before white space, and at a line's end.
 END_MARK = r"([.!?:])[\x20\t\r\x0B\f]+"
-NOT_WORD = r"[^a-z0-9]+"
+#: Steps to words in lower case with one mark between them: \x01 where a sentence can end (a stop, mark
+#: or colon before white space, or a blank line), else a line's end, else a space.
+STEPS = (
+    (r"[.!?:](?=[\x20\t\r\x0B\f\n])", "\x01"),
+    (r"\n[^a-z0-9\x01]*\n", "\x01"),
+    (r"[^a-z0-9\x01\n]+", " "),
+    (r" ?\n ?", "\n"),
+    (r"[ \n]*\x01[ \n\x01]*", "\x01"),
+    (r"^[ \n\x01]+|[ \n\x01]+$", ""),
+)
 
 
 def normalized(sentence: str) -> str:
@@ -89,16 +98,31 @@ def _pieces(sentence: str) -> list[str]:
 
 
 def sentence_ids(sentences: Mapping[str, str] = SENTENCES) -> dict[str, str]:
-    """Normalized sentence -> identifier; of a sentence that splitting cuts, the last piece stands for all."""
+    """For the SQL: normalized sentence -> identifier; of a sentence that splitting cuts, the last piece stands for all."""
     return {_pieces(text)[-1]: name for name, text in sentences.items()}
 
 
+def _marked(sentence: str) -> str:
+    """A known sentence after STEPS, its line ends as spaces."""
+    out = sentence.lower()
+    for pattern, mark in STEPS:
+        out = re.sub(pattern, mark, out)
+    return out.replace("\n", " ")
+
+
 def _known(text: Column, sentences: Mapping[str, str]) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
-    table = F.create_map(*[F.lit(x) for pair in sentence_ids(sentences).items() for x in pair])
-    lines = F.split(F.regexp_replace(F.lower(text), END_MARK, "$1\n"), "\n")
-    clean = F.transform(lines, lambda s: F.trim(F.regexp_replace(s, NOT_WORD, " ")))
-    return F.filter(F.transform(F.filter(clean, lambda s: s != ""), lambda s: F.try_element_at(table, s)), lambda x: x.isNotNull())
+    """Identifiers of the known sentences of a text, in order; the longest where several begin.
+
+    A sentence begins and ends at a line's or sentence's end, and can be wrapped between any words.
+    """
+    ids = {_marked(known): name for name, known in sentences.items()}
+    table = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
+    out = F.lower(text)
+    for pattern, mark in STEPS:
+        out = F.regexp_replace(out, pattern, mark)
+    either = "|".join(s.replace(" ", "[ \n]") for s in sorted(ids, key=len, reverse=True))
+    found = F.regexp_extract_all(out, F.lit(rf"(?<![^\x01\n])(?:{either})(?![^\x01\n])"), F.lit(0))
+    return F.transform(found, lambda s: F.try_element_at(table, F.translate(s, "\n", " ")))
 
 
 def find_licenses(docs: DataFrame, sentences: Mapping[str, str] = SENTENCES, rules: Sequence[tuple[str, str, tuple[str, ...]]] = RULES) -> DataFrame:

@@ -259,6 +259,22 @@ def test_each_known_sentence_alone_is_found(spark):
     assert own.rule == "r"
 
 
+def test_wrapped_and_split_sentences(spark):
+    import textwrap
+
+    full = {name: " ".join(licenses.SENTENCES[k] for k in ids) for name, _, ids in licenses.RULES}
+    names = list(full)
+    rows = [(k, "Title\n\n" + textwrap.fill(full[n], 40)) for k, n in enumerate(names)]
+    rows += [(100 + k, "/*\r\n" + textwrap.indent(textwrap.fill(full[n], 66), " * ").replace("\n", "\r\n") + "\r\n */\r\ncode") for k, n in enumerate(names)]
+    rows += [(200, "Licensed under the Apache License, v. 2.0."), (201, "2.0."), (202, "A title\nReleased under the MIT License.\nmore text"), (203, "Released under\n\nthe MIT License."), (204, "Released under. The MIT License."), (205, "It is released under the MIT License."), (206, "x\n" + "? ! \n" * 30000 + "All rights\nreserved.")]
+    got = {}
+    for r in licenses.find_licenses(documents(spark, rows)).collect():
+        got.setdefault(r.doc_id, set()).add(r.rule)
+    more = {"bsd-3-clause-text": {"bsd-2-clause-text"}}
+    want = {k + at: {n} | more.get(n, set()) for k, n in enumerate(names) for at in (0, 100)}
+    assert got == want | {202: {"mit-reference"}, 206: {"all-rights-reserved-line"}}
+
+
 def test_mixing(spark):
     rows = [(i, prose(i, i % 9), f"s{i % 5}" if i % 11 else None) for i in range(300)] + [(None, "a b", "s1"), (7, None, "zero"), (5, prose(5, 5), "s0"), (5, prose(5, 5), "s0")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"rank": F.lit(1), "target": F.lit(2)})
