@@ -86,3 +86,19 @@ def test_ranks_of_ties(spark):
     p = df.toPandas()
     assert evaluate.spearman(df, "x", "y").first().rho == pytest.approx(p["x"].rank().corr(p["y"].rank()))
     assert evaluate.spearman(df.withColumn("y", df["y"] * 0), "x", "y").first().rho == 0
+
+
+def test_word_lists_are_whole():
+    from clausework.functions import vocab
+
+    assert {"abatement", "affidavit", "appellate", "apportionment"} <= set(vocab.LEGAL_WORDS) and "warrantion" not in vocab.LEGAL_WORDS
+    assert {"admissions", "accreditation", "accommodation"} <= set(vocab.POLICY_WORDS)
+    sizes = {"DICTIONARY": 470, "LEGAL_WORDS": 511, "LEGAL_PHRASES": 234, "POLICY_WORDS": 353, "CONTRACT_SIGNALS": 66, "CONTRACT_STRUCTURE": 26, "POLICY_STRUCTURE": 18}
+    assert {k: len(set(getattr(vocab, k))) for k in sizes} == sizes
+
+
+def test_policy_of_admissions_scores(spark):
+    from clausework.operators import classify
+
+    (row,) = classify.keyword_score(spark.createDataFrame([(1, "admissions accreditation accommodation xyz")], "doc_id long, text string")).collect()
+    assert row.term_score == 0.75 and row.term_matched == "accommodation|accreditation|admissions"
