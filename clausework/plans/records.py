@@ -172,6 +172,10 @@ def _streams() -> None:
     register("t1_scored_stream", lambda s, d: scored(s, d).groupBy("route").agg(F.count("*").alias("n_docs")), f"select route, count(*) as n_docs from {layers_sql('documents', classify.route_layers(DUCK))} group by route")
     register("t4_running_stream", lambda s, d: streams.drained(streams.running_summary(streams.replayed(fixtures.history(s, d))), "complete"), f"select mode, count(*) as n_records, cast(sum(item_count) as bigint) as n_items from {HISTORY} group by mode")
     register("t5_retain_stream", lambda s, d: streams.drained(streams.retain_stream(streams.replayed(fixtures.history(s, d).unionByName(fixtures.history(s, d))))).select("id", "record_type"), f"select id, record_type from {HISTORY}")
+    timed = lambda s, d: table(s, d, "conversations").selectExpr("*", "timestamp_seconds(1700000000 + turn) as ts")
+    register("t3_session_state", lambda s, d: streams.drained(streams.session_state(streams.replayed(timed(s, d))), "update").where("n_exchanges > 0").select("conv_id", "n_exchanges"), """
+      select conv_id, count(*) as n_exchanges from (select *, lead(role) over w as next_role, lead(text) over w as next_text from conversations window w as (partition by conv_id order by turn))
+      where role = 'user' and next_role = 'assistant' and trim(coalesce(text, '')) <> '' and trim(coalesce(next_text, '')) <> '' group by conv_id""")
     register("t4_running_summary", lambda s, d: streams.running_summary(fixtures.history(s, d)), f"select mode, count(*) as n_records, cast(sum(item_count) as bigint) as n_items from {HISTORY} group by mode")
 
 

@@ -18,12 +18,19 @@ from clausework.operators.classify import route_documents
 DEFAULT_TITLE = "Advisory session"
 DEFAULT_MODE = "AUDIT"
 SESSION_OUTPUT = "conv_id long, mode string, n_exchanges long, last_turn long"
-SESSION_STATE = "mode string, n long, last long, waiting long"
+SESSION_STATE = "mode string, n long, last long, waiting long, newest long"
+IDLE_DAYS = 1
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder under the session's ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="clausework-")
+    """A new folder under the session's ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session takes a temporary folder and a cluster the warehouse, which its machines share.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        local = spark.sparkContext.master.startswith("local")
+        shared = tempfile.mkdtemp(prefix="clausework-") if local else spark.conf.get("spark.sql.warehouse.dir")
     return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -83,14 +90,16 @@ def session_sink(path: str):
 
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Count exchanges: a user's turn followed by an assistant's, both not blank."""
-    mode, n, last, waiting = state.get if state.exists else (DEFAULT_MODE, 0, -1, -1)
     if state.hasTimedOut:
         state.remove()
         return
+    mode, n, last, waiting, newest = state.get if state.exists else (DEFAULT_MODE, 0, -1, -1, 0)
     rows = pd.concat(list(batches)).sort_values("turn")
     for turn, role, text in zip(rows["turn"], rows["role"], rows["text"], strict=True):
         if role == "system" and text == "reset":
             mode, n, waiting = DEFAULT_MODE, 0, -1
+        elif role == "system" and (text or "").startswith("mode "):
+            mode = text[5:].strip().upper()
         elif not (text or "").strip():
             waiting = -1
         elif role == "user":
@@ -98,14 +107,20 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         elif waiting >= 0:
             n, waiting = n + 1, -1
         last = max(last, int(turn))
-    state.update((mode, n, last, waiting))
-    state.setTimeoutDuration(24 * 3600 * 1000)
+    newest = max(newest, int(rows["ts"].max().timestamp() * 1000))
+    state.update((mode, n, last, waiting, newest))
+    state.setTimeoutTimestamp(max(newest + IDLE_DAYS * 24 * 3600 * 1000, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame({"conv_id": [key[0]], "mode": [mode], "n_exchanges": [n], "last_turn": [last]})
 
 
 def session_state(turns: DataFrame) -> DataFrame:
-    """T-3: per conversation (conv_id, turn, role, text) the mode and the number of exchanges so far; a reset clears it, a day without turns ends it."""
-    return turns.groupBy("conv_id").applyInPandasWithState(_fold, SESSION_OUTPUT, SESSION_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    """T-3: per conversation (conv_id, turn, role, text, ts) the mode and the number of exchanges so far.
+
+    A system turn "reset" clears a conversation, "mode X" sets its mode. State ends by event time, IDLE_DAYS after the
+    conversation's last turn, so a run over what is there ends and replays agree.
+    """
+    timed = turns.withWatermark("ts", f"{IDLE_DAYS} days").groupBy("conv_id")
+    return timed.applyInPandasWithState(_fold, SESSION_OUTPUT, SESSION_STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def running_summary(feed: DataFrame) -> DataFrame:

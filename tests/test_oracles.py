@@ -20,7 +20,7 @@ def duck(sf_dir):
 
 
 def cell(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and np.isnan(v)):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and np.isnan(v)):
         return "null"
     return f"{float(v):.8g}" if isinstance(v, (float, np.floating)) else str(v)
 

@@ -60,7 +60,7 @@ def test_sessions_are_upserted(spark, tmp_path):
 
 
 def test_session_state_counts_the_batch_exchanges(spark, sf_dir, tmp_path):
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("ts", F.timestamp_seconds(F.lit(1700000000) + F.col("turn")))
     turns.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(turns.schema).parquet(str(tmp_path / "in"))
     query = streams.session_state(stream).writeStream.format("memory").queryName("sessions").outputMode("update").trigger(availableNow=True).start()
