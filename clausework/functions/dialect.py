@@ -76,6 +76,31 @@ class SparkSql:
     def contains(self, t: str, part: str) -> str:
         return f"contains({t}, {part})"
 
+    def strip(self, t: str) -> str:
+        """Without white space at either end."""
+        return self.replace(t, r"^\s+|\s+$")
+
+    def at(self, items: str, index: str) -> str:
+        """The item at an index from 0, null where there is none."""
+        return f"get({items}, cast({index} as int))"
+
+    def last(self, items: str) -> str:
+        return f"try_element_at({items}, -1)"
+
+    def cut(self, items: str, start: str, length: str) -> str:
+        """Items from an index from 0."""
+        return f"slice({items}, cast({start} + 1 as int), cast({length} as int))"
+
+    def where(self, items: str, x: str, condition: str) -> str:
+        """Indexes from 0 of the items for which the condition holds."""
+        return f"filter(transform({items}, ({x}, _k) -> if({condition}, _k, -1)), _k -> _k >= 0)"
+
+    def least_of(self, items: str) -> str:
+        return f"array_min({items})"
+
+    def most_of(self, items: str) -> str:
+        return f"array_max({items})"
+
 
 class DuckSql(SparkSql):
     """DuckDB's spelling."""
@@ -134,6 +159,24 @@ class DuckSql(SparkSql):
     def total(self, items: str) -> str:
         return f"coalesce(list_sum({items}), 0)"
 
+    def at(self, items: str, index: str) -> str:
+        return f"({items})[cast({index} as int) + 1]"
+
+    def last(self, items: str) -> str:
+        return f"({items})[-1]"
+
+    def cut(self, items: str, start: str, length: str) -> str:
+        return f"({items})[cast({start} as int) + 1 : cast({start} + {length} as int)]"
+
+    def where(self, items: str, x: str, condition: str) -> str:
+        return f"list_filter(list_transform({items}, lambda {x}, _k: case when {condition} then cast(_k - 1 as int) else -1 end), lambda _k: _k >= 0)"
+
+    def least_of(self, items: str) -> str:
+        return f"list_min({items})"
+
+    def most_of(self, items: str) -> str:
+        return f"list_max({items})"
+
 
 SPARK, DUCK = SparkSql(), DuckSql()
 Layer = Mapping[str, str]

@@ -1,59 +1,111 @@
-"""Clauses and contradictions (C-1 to C-8) and rule checks on clauses (N-19)."""
+"""Clauses and contradictions (C-1 to C-8) and rule checks on whole documents (N-19).
+
+A document's clauses stay an array on its row, so splitting and conflicts are one map; null and
+blank documents have no clauses. Findings of a document meet by equi-joins on (doc_id, topic).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausework.functions.dialect import SPARK, Layer, SparkSql, any_of, with_layers
+from clausework.functions.dialect import SPARK, Layer, SparkSql, with_layers, words_in
 
-#: Topics of obligations and the clause signs.
+#: The 21 topics of obligations.
 TOPICS: dict[str, str] = {
-    "confidentiality": r"(?i)\bconfidential", "payment": r"(?i)\b(?:payment|fees?|invoice)", "indemnity": r"(?i)\bindemnif", "liability": r"(?i)\bliab(?:le|ility)",
-    "warranty": r"(?i)\bwarrant", "license": r"(?i)\blicen[sc]e", "return": r"(?i)\breturn(?:ed|s)?\b", "notice": r"(?i)\bnotice", "audit": r"(?i)\baudit",
-    "insurance": r"(?i)\binsurance", "non_compete": r"(?i)\bnon-?compet", "data": r"(?i)\b(?:data protection|personal data)", "dispute": r"(?i)\b(?:dispute|arbitration)",
+    "confidential": r"(?i)\bconfidential", "proprietary": r"(?i)\bproprietary", "non_disclosure": r"(?i)\bnon-?disclos", "nda": r"(?i)\bnda\b",
+    "non_compete": r"(?i)\bnon-?compete", "competition": r"(?i)\bcompetition", "restrictive_covenant": r"(?i)\brestrictive\s+covenant", "governing_law": r"(?i)\bgoverning\s+law",
+    "choice_of_law": r"(?i)\bchoice\s+of\s+law", "jurisdiction": r"(?i)\bjurisdiction", "venue": r"(?i)\bvenue\b", "indemnity": r"(?i)\bindemnif",
+    "hold_harmless": r"(?i)\bhold\s+harmless", "entire_agreement": r"(?i)\bentire\s+agreement", "merger": r"(?i)\bmerger\b", "integration": r"(?i)\bintegration\s+clause",
+    "supersede": r"(?i)\bsupersed", "survival": r"(?i)\bsurviv", "post_termination": r"(?i)\bpost-?termination", "termination": r"(?i)\bterminat(?:e|ion|ing)", "expiry": r"(?i)\bexpir",
 }
-SURVIVAL = r"(?i)\bsurviv(?:e|es|al|ing)\b|\bcontinue\s+(?:after|beyond)\b|\bremain\s+in\s+(?:effect|force)\b"
-TERMINATION = r"(?i)\bterminat(?:e|es|ed|ion|ing)\b|\bexpir(?:e|es|ed|ation)\b|\bcease[sd]?\b"
-PERPETUAL = r"(?i)\b(?:perpetual(?:ly)?|indefinite(?:ly)?|forever)\b"
-FINITE = r"(?i)\b(?:\d+|one|two|three|five|ten)\s*(?:\(\d+\)\s*)?(?:day|month|year)s?\b"
-HEADING = r"^\s*(?:\d+[.)]|(?:Section|Article|Clause)\s+\d+|[A-Z][A-Z \t]{3,}$)"
+#: Signs of survival, ending, duration and of findings that deny themselves.
+SURVIVAL = (
+    r"(?i)\bsurvive\s+(?:the\s+)?termination\b|\bcontinues?\s+(?:to\s+)?(?:be\s+)?(?:in\s+)?effect\s+(?:after\s+)?(?:the\s+)?termination\b"
+    r"|\bremain\s+(?:in\s+)?effect\s+(?:after\s+)?(?:termination|expiration)\b|\bshall\s+survive\b|\bwill\s+survive\b|\bobligations?\s+[^\n]*\bsurvive\b"
+    r"|\bprovisions?\s+[^\n]*\bsurvive\b|\bterms?\s+[^\n]*\bsurvive\b|\bcontinues?\s+after\s+termination\b"
+)
+TERMINATION = (
+    r"(?i)\b(?:cease|shall\s+not\s+survive|shall\s+not\s+continue|shall\s+not\s+remain|no\s+longer\s+bound)\b|\bimmediately\s+(?:cease|terminate|end)\b"
+    r"|\b(?:terminates?\s+immediately|termination\s+of\s+[^\n]*\s+obligations)\b"
+)
+FINITE = r"(?i)\w+\s*\(\d+\)\s*years?|\d+\s*\(\w+\)\s*years?|\d+\s+years?|(?:for\s+a\s+period\s+of|lasts?\s+for)\s+\d+\s*years?"
+PERPETUAL = r"(?i)\b(?:perpetual|indefinite|without\s+limit|permanently|in\s+perpetuity|indefinitely)\b"
+TOO_SHORT = (
+    r"(?i)\b(?:duration|period|time\s*frame|timeframe|length)\s+(?:is\s+)?(?:insufficient|inadequate|too\s+short|too\s+brev)"
+    r"|\b(?:does\s+not\s+specify|fails?\s+to\s+specify|lacks?)\s+(?:(?:a|an|any|the)\s+(?:\w+\s+)?)?(?:duration|period|time\s*(?:limit|frame|period)|survival\s+period|length|expiration\s*date|end\s*date)"
+    r"|\b(?:no\s+)?(?:specified|defined|stated)\s+(?:duration|period|end\s*date|termination\s*date)|\b(?:survival\s+)?(?:period|duration)\s+(?:is\s+)?(?:unspecified|undefined|not\s+stated|missing)"
+    r"|\b(?:indefinite|perpetual|permanent)\s+(?:obligation|duty|commitment|survival)|\b(?:no\s+)?(?:end\s*date|expiration\s*date|termination\s*date)\s+(?:is\s+)?(?:provided|specified|stated|defined)"
+    r"|\b(?:continues\s+(?:indefinitely|forever|perpetually)|no\s+end\s+to\s+obligations)"
+)
+MISSING = r"(?i)\b(?:missing|absent|lacks?|no\s+(?:survival|provision|clause)|omitted|not\s+found|not\s+present|does\s+not\s+(?:exist|appear|state|specify))\b"
+ENDING = r"(?i)\b(?:terminate|termination|expire|expiration|cease|dissolve)\b"
+SELF_NEGATING = (
+    r"(?i)does\s+not\s+create\s+(?:significant\s+)?risk|does\s+not\s+appear\s+(?:to\s+)?(?:create\s+)?(?:significant\s+)?(?:risk|problematic)"
+    r"|(?:is|appears?\s+to\s+be)\s+standard\s+and\s+(?:does\s+not|is\s+not)|commercially\s+reasonable|no\s+suggested\s+improvement\s+needed|does\s+not\s+warrant\s+a\s+finding"
+    r"|not\s+a\s+risk|no\s+significant\s+risk"
+)
+PROHIBITED = (
+    "confidentiality termination", "missing survival clause", "termination survival", "survival clause missing", "no survival provision", "absence of survival",
+    "survival omission", "confidentiality ends on termination", "termination of confidentiality",
+)
+NEVER_STRUCTURAL = ("indemnification", "liability exposure")
+HEADING = r"^(?:\d+(?:\.\d+)*[.)]\s+[A-Z]|(?:Section|Article|Clause|Paragraph)\s+\d+|(?:EXHIBIT|APPENDIX|SCHEDULE)\s+[A-Z])"
+GENERATED_RISK = (
+    "The contract contains contradictory language across different sections: one clause specifies that certain obligations survive termination for a defined period, while another clause "
+    "states that all obligations cease immediately upon termination. These provisions cannot both be satisfied simultaneously."
+)
+EXCERPT = 300
+_MARK = "\x1e\x1f\x1e"
+
+
+def _not_empty(q: SparkSql, items: str) -> str:
+    return q.keep(items, "c", "c <> ''")
 
 
 def clause_layers(q: SparkSql, t: str = "text") -> list[Layer]:
-    """Blank-line parts, the condition under which they stand, and the parts that start at headings."""
-    parts = q.keep(q.each(q.split(f"coalesce({t}, '')", r"\n[ \t]*\n"), "c", "trim(c)"), "c", "c <> ''")
-    marked = q.replace(f"coalesce({t}, '')", "(?m)(" + HEADING + ")", "\x1e<1>")
-    headed = q.keep(q.each(q.split(marked, "\x1e"), "c", "trim(c)"), "c", "c <> ''")
-    first = lambda p: q.keep("parts", "c", q.has("c", p))
+    """Blank-line parts, which stand if their first surviving and first ending ones differ; else lines grouped at headings; else the whole text."""
+    x = f"coalesce({t}, '')"
+    first = lambda p: q.at(q.keep("parts", "c", q.has("c", p)), "0")
+    marked = q.join(q.each("lines", "c", f"case when {q.has('c', HEADING)} then concat({q.text(_MARK)}, c) else c end"), " ")
     return [
-        {"parts": parts, "headed": headed},
-        {"n_parts": q.size("parts"), "survivors": first(SURVIVAL), "enders": first(TERMINATION)},
-        {"same_first": f"coalesce({q.size('survivors')} > 0 and {q.size('enders')} > 0 and survivors[{0 if q is SPARK else 1}] = enders[{0 if q is SPARK else 1}], false)" if q is not SPARK else "coalesce(get(survivors, 0) = get(enders, 0), false)"},
-        {"clauses": f"case when n_parts >= 2 and not same_first then parts when {q.size('headed')} >= 2 then headed else {q.keep(q.array([f'trim(coalesce({t}, {chr(39) * 2}))']), 'c', 'c <> ' + chr(39) * 2)} end"},
+        {"parts": _not_empty(q, q.each(q.split(x, r"\n\s*\n+"), "c", q.strip("c"))), "lines": _not_empty(q, q.each(q.split(x, r"\n"), "c", q.strip("c")))},
+        {"survivor": first(SURVIVAL), "ender": first(TERMINATION), "headed": _not_empty(q, q.each(q.split(marked, _MARK), "c", "trim(c)"))},
+        {"clauses": f"case when {q.size('parts')} >= 2 and coalesce(survivor <> ender, false) then parts when {q.size('headed')} >= 2 then headed else {_not_empty(q, q.array([q.strip(x)]))} end"},
     ]
 
 
 def flag_layers(q: SparkSql, c: str = "clause") -> list[Layer]:
-    return [
-        {"is_survival": q.has(c, SURVIVAL), "is_termination": q.has(c, TERMINATION), "is_perpetual": q.has(c, PERPETUAL), "is_finite": q.has(c, FINITE)},
-        {"is_insufficient": "is_finite and not is_perpetual"},
-    ]
+    return [{"is_survival": q.has(c, SURVIVAL), "is_termination": q.has(c, TERMINATION), "is_finite": q.has(c, FINITE), "is_perpetual": q.has(c, PERPETUAL), "is_insufficient": q.has(c, TOO_SHORT)}]
 
 
 def topics(q: SparkSql, t: str) -> str:
     return q.keep(q.array([f"case when {q.has(t, p)} then '{name}' else '' end" for name, p in TOPICS.items()]), "x", "x <> ''")
 
 
+def conflict_layers(q: SparkSql) -> list[Layer]:
+    """Topics shared by surviving and ending clauses. Clauses are joined by a sign that no topic's pattern spans."""
+    return [
+        *clause_layers(q),
+        {"surviving": q.keep("clauses", "c", q.has("c", SURVIVAL)), "ending": q.keep("clauses", "c", q.has("c", TERMINATION))},
+        {"s_text": q.join("surviving", " | "), "t_text": q.join("ending", " | "), "several": f"{q.size('clauses')} >= 2"},
+        {"shared": q.sorted(q.both(topics(q, "s_text"), topics(q, "t_text")))},
+        {"conflicts": f"case when several then {q.join('shared', '|')} else '' end"},
+        {"first_surviving": f"case when several then coalesce({q.at('surviving', '0')}, '') else '' end", "first_ending": f"case when several then coalesce({q.at('ending', '0')}, '') else '' end"},
+    ]
+
+
 def split_clauses(docs: DataFrame) -> DataFrame:
-    """C-1: (doc_id, clause_no, clause). Parts between blank lines if there are two and the first that survives is not the first that ends; else parts at headings; else the whole text."""
+    """C-1: (doc_id, clause_no, clause)."""
     split = with_layers(docs.select("doc_id", "text"), clause_layers(SPARK))
     return split.select("doc_id", F.posexplode("clauses").alias("clause_no", "clause"))
 
 
 def clause_flags(clauses: DataFrame) -> DataFrame:
-    """C-2: survival, termination, perpetual and finite marks of each clause."""
-    return with_layers(clauses, flag_layers(SPARK)).select("doc_id", "clause_no", "is_survival", "is_termination", "is_perpetual", "is_finite", "is_insufficient")
+    """C-2: survival, ending, finite, perpetual and insufficient-duration signs of each clause."""
+    return with_layers(clauses, flag_layers(SPARK)).select("doc_id", "clause_no", "is_survival", "is_termination", "is_finite", "is_perpetual", "is_insufficient")
 
 
 def obligation_domains(rows: DataFrame, text: str = "clause") -> DataFrame:
@@ -61,73 +113,151 @@ def obligation_domains(rows: DataFrame, text: str = "clause") -> DataFrame:
     return rows.withColumn("domains", F.expr(topics(SPARK, text)))
 
 
-def document_conflicts(clauses: DataFrame) -> DataFrame:
-    """C-4: topics that clauses of survival and clauses of termination of one document share; documents of one clause have none.
+def document_conflicts(docs: DataFrame) -> DataFrame:
+    """C-4: (doc_id, conflicts, first_surviving, first_ending, n_surviving, n_ending): topics that surviving and ending clauses share; documents of one clause have none. No shuffle.
 
-    Topics are exploded and counted by (doc_id, topic), so that no document's clauses are gathered.
+    The row passes through a generator, so that a filter on it is not pushed below and the rules copied into it.
     """
-    flagged = with_layers(obligation_domains(clauses), flag_layers(SPARK)).select("doc_id", "clause_no", "is_survival", "is_termination", F.explode_outer("domains").alias("domain"))
-    sizes = clauses.groupBy("doc_id").agg(F.count("*").alias("n_clauses"))
-    both = flagged.groupBy("doc_id", "domain").agg(F.max("is_survival").alias("s"), F.max("is_termination").alias("t")).where("s and t and domain is not null")
-    found = both.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("domain")), "|").alias("conflicts"))
-    return sizes.join(found, "doc_id", "left").select("doc_id", F.when(F.col("n_clauses") >= 2, F.coalesce("conflicts", F.lit(""))).otherwise("").alias("conflicts"))
+    out = with_layers(docs.select("doc_id", "text"), conflict_layers(SPARK))
+    row = F.struct("conflicts", "first_surviving", "first_ending", F.size("surviving").alias("n_surviving"), F.size("ending").alias("n_ending"))
+    return out.select("doc_id", F.inline(F.array(row)))
+
+
+WHOLE = "concat_ws(' ', coalesce(category, ''), coalesce(quoted_text, ''), coalesce(risk_explanation, ''))"
 
 
 def issue_conflicts(issues: DataFrame) -> DataFrame:
-    """C-5: findings of which one survives and another ends in the same topic of the same document, by an equi-join on (doc_id, topic)."""
-    whole = "concat_ws(' ', issue_title, quoted_text, risk_explanation)"
-    marked = issues.select("doc_id", "issue_no", F.expr(topics(SPARK, whole)).alias("domains"), F.expr(SPARK.has(whole, SURVIVAL)).alias("s"), F.expr(SPARK.has(whole, TERMINATION)).alias("t"))
+    """C-5: findings of which one quotes survival and another an ending in the same topic of the same document, by an equi-join on (doc_id, topic)."""
+    quote = "coalesce(quoted_text, '')"
+    marked = issues.select("doc_id", "issue_no", F.expr(topics(SPARK, WHOLE)).alias("domains"), F.expr(SPARK.has(quote, SURVIVAL)).alias("s"), F.expr(SPARK.has(quote, TERMINATION)).alias("t")).where("s or t")
     each = marked.withColumn("domain", F.explode("domains"))
     a, b = each.where("s").select("doc_id", "domain", F.col("issue_no").alias("i")), each.where("t").select("doc_id", "domain", F.col("issue_no").alias("j"))
     pairs = a.join(b, ["doc_id", "domain"]).where("i <> j")
     return pairs.select("doc_id", F.explode(F.array("i", "j")).alias("issue_no")).distinct()
 
 
+REASONS = {
+    "survival_category_mismatch": "The quote says that the obligation survives, but the category says that it does not.",
+    "semantic_mismatch": "The quote says that the obligation survives, but the explanation says that it ends or is missing.",
+    "finite_duration_contradiction": "The quote has a finite duration, but the title or explanation says perpetual or indefinite.",
+    "self_negating": "The finding's own explanation says that the clause is not risky.",
+}
+
+
 def contradiction_layers(q: SparkSql) -> list[Layer]:
-    quote, why = "coalesce(quoted_text, '')", "coalesce(risk_explanation, '')"
-    lasting = r"(?i)\b(?:indefinite|perpetual|no (?:time )?limit|unlimited duration)"
-    negating = r"(?i)\b(?:no (?:real |significant )?risk|not a (?:risk|concern)|standard clause|acceptable)"
-    kinds = f"""case when {q.has("coalesce(category, '')", "(?i)surviv")} and {q.has(quote, TERMINATION)} and not {q.has(quote, SURVIVAL)} then 'survival_category_mismatch'
-      when {q.has(why, SURVIVAL)} and {q.has(quote, TERMINATION)} and not {q.has(quote, SURVIVAL)} then 'semantic_mismatch'
-      when {q.has(why, lasting)} and {q.has(quote, FINITE)} and not {q.has(quote, PERPETUAL)} then 'finite_duration_contradiction'
-      when severity in ('LOW', 'MEDIUM') and {q.has(why, negating)} then 'self_negating' end"""
-    return [{"contradiction_type": kinds}]
+    quote, why, title = "coalesce(quoted_text, '')", "coalesce(risk_explanation, '')", "coalesce(issue_title, '')"
+    mild = r"(?i)^\s*(?:low|medium)\s*(?:/|$)"
+    return [
+        {"q_survives": q.has(quote, SURVIVAL), "w_short": q.has(why, TOO_SHORT)},
+        {
+            "contradiction_type": f"""case when q_survives and lower(trim(coalesce(category, ''))) in {words_in(PROHIBITED)} and not w_short then 'survival_category_mismatch'
+              when q_survives and not w_short and ({q.has(why, MISSING)} or {q.has(why, ENDING)}) then 'semantic_mismatch'
+              when {q.has(quote, FINITE)} and ({q.has(title, PERPETUAL)} or {q.has(why, PERPETUAL)}) then 'finite_duration_contradiction'
+              when {q.has("coalesce(severity, '')", mild)} and {q.has(why, SELF_NEGATING)} then 'self_negating' end"""
+        },
+    ]
 
 
-def contradiction_types(issues: DataFrame, conflicts: DataFrame | None = None) -> DataFrame:
-    """C-6: the first contradiction within a finding, null if none; none in documents with conflicts of their own."""
-    typed = with_layers(issues, contradiction_layers(SPARK))
-    if conflicts is None:
-        return typed
-    held = conflicts.where("conflicts <> ''").select(F.col("doc_id").alias("_d"))
-    return typed.join(held, typed["doc_id"] == held["_d"], "left").withColumn("contradiction_type", F.when(F.col("_d").isNull(), F.col("contradiction_type"))).drop("_d")
+def contradiction_types(issues: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """C-6: the first contradiction within a finding with its reason, null if none. Findings in ``held`` (doc_id, issue_no; by default those of ``issue_conflicts``) have none: their clauses really conflict."""
+    typed = with_layers(issues, contradiction_layers(SPARK)).drop("q_survives", "w_short")
+    keys = (issue_conflicts(issues) if held is None else held).select(F.col("doc_id").alias("_d"), F.col("issue_no").alias("_i"))
+    joined = typed.join(keys, (typed["doc_id"] == F.col("_d")) & (typed["issue_no"] == F.col("_i")), "left")
+    out = joined.withColumn("contradiction_type", F.when(F.col("_d").isNull(), F.col("contradiction_type"))).drop("_d", "_i")
+    reason = F.expr("case contradiction_type " + " ".join(f"when '{k}' then {SPARK.text(r)}" for k, r in REASONS.items()) + " end")
+    return out.withColumn("contradiction_reason", reason)
 
 
 def suppress_contradictions(issues: DataFrame) -> DataFrame:
-    """C-7: findings without a contradiction of their own; the others are ``contradiction_types`` rows with a type."""
-    return contradiction_types(issues).where("contradiction_type is null").drop("contradiction_type")
+    """C-7: findings without a contradiction of their own; the log of the others is ``contradiction_types`` where a type stands."""
+    return contradiction_types(issues).where("contradiction_type is null").select(*issues.columns)
 
 
-def elevate_contradictions(issues: DataFrame, clauses: DataFrame) -> DataFrame:
-    """C-8: findings in conflict become structural inconsistencies; a document with conflicts and no such finding gets one."""
+def elevate_contradictions(issues: DataFrame, docs: DataFrame) -> DataFrame:
+    """C-8: findings in conflict, with each other or with the document's own conflict, become structural inconsistencies.
+
+    Indemnities and liabilities keep their category. A document whose clauses conflict without any such finding gets one
+    made from the first surviving and the first ending clause; its issue_no follows the document's last.
+    """
+    found = document_conflicts(docs).where("conflicts <> ''")
     flagged = issue_conflicts(issues).withColumn("hit", F.lit(True))
-    fixed = F.col("category").rlike("(?i)indemn|liab")
-    marked = issues.join(flagged, ["doc_id", "issue_no"], "left")
-    kept = marked.select("doc_id", "issue_no", "issue_title", "severity", F.when(F.col("hit") & ~fixed, "Structural Inconsistency").otherwise(F.col("category")).alias("category"), F.when(F.col("hit") & ~fixed, F.col("category")).alias("original_category"), F.coalesce("hit", F.lit(False)).alias("contradiction_detected"))
-    bare = document_conflicts(clauses).where("conflicts <> ''").join(flagged.select("doc_id").distinct(), "doc_id", "left_anti")
-    made = bare.select("doc_id", F.lit(1000).alias("issue_no"), F.lit("Conflicting survival and termination terms").alias("issue_title"), F.lit("HIGH").alias("severity"), F.lit("Structural Inconsistency").alias("category"), F.lit(None).cast("string").alias("original_category"), F.lit(True).alias("contradiction_detected"))
+    marked = issues.join(flagged, ["doc_id", "issue_no"], "left").join(found.select("doc_id", "conflicts"), "doc_id", "left")
+    touches = F.expr(f"arrays_overlap({topics(SPARK, WHOLE)}, split(coalesce(conflicts, '-'), '[|]'))")
+    marked = marked.withColumn("hit", F.coalesce("hit", F.lit(False)) | touches)
+    raised = F.col("hit") & (F.coalesce("category", F.lit("")) != "Structural Inconsistency") & ~F.lower(F.coalesce("category", F.lit(""))).isin(*NEVER_STRUCTURAL)
+    kept = marked.withColumn("_up", raised).select(
+        "doc_id", "issue_no", "issue_title", "severity", F.when(F.col("_up"), "Structural Inconsistency").otherwise(F.col("category")).alias("category"),
+        F.when(F.col("_up"), F.col("category")).alias("original_category"), F.col("_up").alias("contradiction_detected"), "quoted_text",
+    )
+    counts = marked.groupBy("doc_id").agg(F.max("issue_no").alias("_last"), F.max("hit").alias("_hit"))
+    bare = found.where("first_surviving <> first_ending").join(counts, "doc_id", "left").where("not coalesce(_hit, false)")
+    made = bare.select(
+        "doc_id", F.expr("cast(coalesce(_last, 0) + 1 as int)").alias("issue_no"), F.lit("Structural Inconsistency").alias("issue_title"), F.lit("MEDIUM").alias("severity"),
+        F.lit("Structural Inconsistency").alias("category"), F.lit(None).cast("string").alias("original_category"), F.lit(False).alias("contradiction_detected"),
+        F.expr(f"concat(left(first_surviving, {EXCERPT}), ' | ', left(first_ending, {EXCERPT}))").alias("quoted_text"),
+    )
     return kept.unionByName(made)
 
 
+#: Fixed values of the three document rules: title, category, severity, place.
+RULES = {
+    "as_is": ("AS-IS No Warranty Provision", "Enforceability Weakness", "MEDIUM", "Warranty / Disclaimer Clause"),
+    "asymmetric": ("Asymmetric Termination Rights", "Negotiation Imbalance", "MEDIUM", "Termination Clause"),
+    "single_trigger": ("Single-Trigger Change of Control Acceleration", "Enforceability Weakness", "MEDIUM", "Change of Control Clause"),
+}
+WARRANTY_LINE = r"(?i)as is|as available|no warranties|warranties|warranty|disclaimer"
+WARRANTY_CONFIRM = r"(?i)as is|as available|no warrant"
+AS_IS = r"(?i)as\s+is|as\s+available"
+NO_WARRANTY = r"(?i)no\s+warrant(?:y|ies)|warranties\s+of\s+any\s+kind|disclaim(?:s|ed)?\s+all\s+warranties|without\s+warrant(?:y|ies)"
+AT_WILL = r"(?i)\bterminate\b[^\n]*\b(?:at any time|for convenience|for any reason|for no reason)\b"
+ONLY_BREACH = r"(?i)\bterminate\b[^\n]*\bonly for\b[^\n]*\bbreach\b|\bonly\b[^\n]*\bif\b[^\n]*\bbreach\b"
+CONTROL_LINE = r"(?i)change of control"
+SINGLE_TRIGGER = r"(?i)immediately\s+accelerate|become\s+fully\s+vested|(?:accelerat|vest)[^\n]*upon[^\n]*change of control|upon\s+(?:a\s+)?change of control[^\n]*accelerat"
+DOUBLE_TRIGGER = r"(?i)if[^\n]*(?:employ|terminat)[^\n]*accelerat|accelerat[^\n]*only[^\n]*if"
+
+
+def _section(q: SparkSql, at: str) -> str:
+    """Lines from one before the first index to two behind the last; null without an index."""
+    first, last = q.least_of(at), q.most_of(at)
+    return f"case when {q.size(at)} > 0 then {q.join(q.cut('d_lines', f'greatest(0, {first} - 1)', f'(least({q.size('d_lines')}, {last} + 3) - greatest(0, {first} - 1))'), chr(10))} end"
+
+
+def _quoted(q: SparkSql, section: str, n: int) -> str:
+    """The first n lines that are not blank, stripped, on one line."""
+    return q.join(q.head(_not_empty(q, q.each(q.split(section, r"\n"), "c", q.strip("c"))), n), " ")
+
+
 def verifier_layers(q: SparkSql, t: str = "text") -> list[Layer]:
+    """Each rule finds lines, takes the section around them and tests it; documents without the rule's words skip the lines."""
     x = f"coalesce({t}, '')"
-    as_is = any_of([q.has(x, r"(?i)\bas[\s-]is\b"), q.has(x, r"(?i)\b(?:no warrant(?:y|ies)|without warrant(?:y|ies)|disclaims? all warrant)")])
-    one_side = f"({q.has(x, r'(?i)(?:company|employer|customer|provider) may terminate[^.]*(?:at any time|for convenience|without cause)')} and not {q.has(x, r'(?i)either party may terminate')})"
-    trigger = f"({q.has(x, r'(?i)change (?:of|in) control')} and {q.has(x, r'(?i)\b(?:accelerat|vest)')} and not {q.has(x, r'(?i)double[\s-]trigger')})"
-    return [{"no_warranty": as_is, "asymmetric_termination": one_side, "single_trigger": trigger}]
+    find = lambda p: f"case when {q.has(x, p)} then {q.where('d_lines', 'c', q.has('c', p))} else {q.keep(q.array(['0']), 'k', 'k < 0')} end"
+    low, high = "least(at_will, only_breach)", "greatest(at_will, only_breach)"
+    same = q.join(q.cut("d_lines", "greatest(0, at_will - 1)", f"(least({q.size('d_lines')}, at_will + 1) - greatest(0, at_will - 1))"), "\n")
+    rest = q.join(q.cut("d_lines", f"greatest(0, {low} - 1)", f"(greatest({q.size('d_lines')}, {high} + 1) - greatest(0, {low} - 1))"), "\n")
+    return [
+        {"d_lines": q.split(x, r"\n")},
+        {"w_at": find(WARRANTY_LINE), "c_at": find(CONTROL_LINE), "u_at": find(AT_WILL), "b_at": find(ONLY_BREACH)},
+        {"w_section": _section(q, "w_at"), "c_section": _section(q, "c_at"), "at_will": q.most_of("u_at"), "only_breach": q.most_of("b_at")},
+        {"t_section": f"case when at_will = only_breach then {same} else {rest} end", "t_lines": "case when at_will = only_breach then 1 else 2 end"},
+        {
+            "as_is": f"coalesce({q.has('w_section', WARRANTY_CONFIRM)} and {q.has('w_section', AS_IS)} and {q.has('w_section', NO_WARRANTY)}, false)",
+            "asymmetric": "at_will is not null and only_breach is not null",
+            "single_trigger": f"coalesce({q.has('c_section', SINGLE_TRIGGER)} and not {q.has('c_section', DOUBLE_TRIGGER)}, false)",
+        },
+        {
+            "as_is_quote": _quoted(q, "w_section", 4), "single_trigger_quote": _quoted(q, "c_section", 4),
+            "asymmetric_quote": f"concat('Asymmetric termination rights clause: ', case when t_lines = 1 then {_quoted(q, 't_section', 1)} else {_quoted(q, 't_section', 2)} end)",
+        },
+    ]
 
 
 def verify_clauses(docs: DataFrame) -> DataFrame:
-    """N-19: findings of three rules on the text itself, one row each: doc_id, issue_title, category, severity."""
+    """N-19: findings of three rules on the text itself, one row each: doc_id, issue_title, category, severity, location, quoted_text."""
     found = with_layers(docs.select("doc_id", "text"), verifier_layers(SPARK))
-    return found.select("doc_id", F.expr("explode(filter(array(if(no_warranty, named_struct('issue_title', 'No Warranty Provided', 'category', 'Warranty', 'severity', 'HIGH'), null), if(asymmetric_termination, named_struct('issue_title', 'Asymmetric Termination Rights', 'category', 'Termination', 'severity', 'HIGH'), null), if(single_trigger, named_struct('issue_title', 'Single-Trigger Change of Control', 'category', 'Change of Control', 'severity', 'MEDIUM'), null)), x -> x is not null))").alias("f")).select("doc_id", "f.issue_title", "f.category", "f.severity")
+
+    def item(rule: str, values: Sequence[str]) -> str:
+        fields = ", ".join(f"'{k}', {SPARK.text(x)}" for k, x in zip(("issue_title", "category", "severity", "location"), values, strict=True))
+        return f"if({rule} and {rule}_quote <> '', named_struct({fields}, 'quoted_text', {rule}_quote), null)"
+
+    rows = F.expr(f"explode(filter(array({', '.join(item(r, x) for r, x in RULES.items())}), x -> x is not null))")
+    return found.select("doc_id", rows.alias("f")).select("doc_id", "f.*")

@@ -2,7 +2,8 @@
 
 A finding is (doc_id, issue_no, issue_title, severity, category, location, quoted_text,
 risk_explanation, suggested_improvement); issue_no is its place in the list. Rules that need
-the document join ``document_flags``, a few booleans per document, never its text.
+the document join ``document_flags``, a few booleans per document, never its text. Null fields
+count as empty; a blank document lets no document-level rule fire.
 """
 
 from __future__ import annotations
@@ -12,135 +13,221 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausework.functions.dialect import SPARK, Layer, SparkSql, flag_sum, with_layers
+from clausework.functions import findings_values as v
+from clausework.functions.dialect import SPARK, Layer, SparkSql, any_of, with_layers, words_in
 
 COLUMNS = ("doc_id", "issue_no", "issue_title", "severity", "category", "location", "quoted_text", "risk_explanation", "suggested_improvement")
-#: Signs of indemnities, limits and exclusions.
-MUTUAL = r"(?i)\b(?:mutual(?:ly)?|each party|both parties|either party)\b"
-INDEMNITY = r"(?i)\bindemnif"
-CAP = r"(?i)\b(?:cap(?:ped)?|limited to|not exceed|aggregate liability|maximum liability)\b"
-EXCLUSION = r"(?i)\b(?:consequential|incidental|indirect|punitive) damages\b"
-EXTRA_RISK = r"(?i)\b(?:uncapped|unlimited|no limit|without limit(?:ation)?)\b"
-UNLIMITED = r"(?i)\bunlimited (?:liability|indemnit)"
-CONFIDENTIAL_EXCLUSIONS = (r"(?i)publicly (?:available|known)|public domain", r"(?i)independently developed", r"(?i)(?:prior knowledge|already known|rightfully known)", r"(?i)required by law|court order|compelled")
-ONE_SIDED = r"(?i)\b(?:vendor|customer|employee|contractor|recipient|supplier|client) shall indemnify\b"
-RANK = "case {} when 'LOW' then 0 when 'MEDIUM' then 1 when 'HIGH' then 2 when 'CRITICAL' then 3 else 0 end"
-NAMES = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
-#: Names that stand for the same category.
-SYNONYMS = {
-    "ip": "Intellectual Property", "intellectual property": "Intellectual Property", "liability": "Liability", "limitation of liability": "Liability", "indemnity": "Indemnification",
-    "indemnification": "Indemnification", "termination": "Termination", "confidentiality": "Confidentiality", "nda": "Confidentiality", "payment": "Payment", "fees": "Payment",
-    "law": "Governing Law", "governing law": "Governing Law", "jurisdiction": "Governing Law", "survival": "Survival", "warranty": "Warranty", "data": "Data Protection", "privacy": "Data Protection",
-}
-#: Advice by category and the risk words that call for it.
-ADVICE: dict[str, tuple[tuple[str, str], ...]] = {
-    "Liability": (("(?i)uncapped|unlimited", "cap total liability at the fees paid in twelve months"), ("(?i)consequential", "exclude consequential damages for both parties")),
-    "Indemnification": (("(?i)one.sided|only", "make the indemnity mutual"), ("(?i)notice|defen[cs]e", "add notice and defence procedures")),
-    "Termination": (("(?i)immediate|without notice", "require thirty days of notice"), ("(?i)cure|breach", "add a cure period")),
-    "Confidentiality": (("(?i)perpetual|indefinite", "limit the duration to a number of years"), ("(?i)exclusion", "list the usual exclusions")),
-}
-DEFAULT_ADVICE = "clarify the scope, the duration and the remedies of this clause"
+LEVELS = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
+RANK = "case upper(trim({})) when 'LOW' then 0 when 'MEDIUM' then 1 when 'HIGH' then 2 when 'CRITICAL' then 3 else -1 end"
+KINDS = tuple(v.EXCLUSION_KINDS)
+
+
+def _text(column: str) -> str:
+    return f"coalesce({column}, '')"
+
+
+TITLE, QUOTE, WHY, ADVICE, CATEGORY = (_text(c) for c in ("issue_title", "quoted_text", "risk_explanation", "suggested_improvement", "category"))
+
+
+def _holds_any(q: SparkSql, t: str, terms: Sequence[str]) -> str:
+    return any_of([q.contains(t, q.text(w)) for w in terms])
 
 
 def document_flag_layers(q: SparkSql, t: str = "text") -> list[Layer]:
-    x = f"coalesce({t}, '')"
-    return [
-        {
-            "d_sla": q.has(x, r"(?i)\b(?:service level|uptime|sla)\b"), "d_no_sla": q.has(x, r"(?i)\b(?:no (?:sla|service level)|without (?:any )?(?:sla|uptime))"), "d_saas": q.has(x, r"(?i)\b(?:saas|software as a service|subscription|hosted)\b"),
-            "d_exclusions": flag_sum([q.has(x, p) for p in CONFIDENTIAL_EXCLUSIONS]), "d_mutual": f"({q.has(x, MUTUAL)} and {q.has(x, INDEMNITY)})", "d_cap": q.has(x, CAP), "d_excluded": q.has(x, EXCLUSION),
-            "d_unlimited": q.has(x, EXTRA_RISK), "d_term": q.has(x, r"(?i)\bterm of\b.{0,40}\byears?\b"), "d_return": q.has(x, r"(?i)\breturn or destroy\b"), "d_one_sided": f"({q.has(x, ONE_SIDED)} and not {q.has(x, MUTUAL)})", "d_long": f"length({x}) > 100",
-        }
-    ]
+    x = _text(t)
+    flags = {
+        "d_any": f"length({x}) > 0", "d_long": f"length({x}) > 100",
+        "d_disclaims_sla": _holds_any(q, "d_low", v.SLA_DISCLAIMERS), "d_saas": _holds_any(q, "d_low", v.SAAS_TERMS), "d_sla": _holds_any(q, "d_low", v.SLA_TERMS),
+        **{f"d_{k}": q.has(x, p) for k, p in v.EXCLUSION_KINDS.items()}, "d_excludes": q.has(x, v.HAS_EXCLUSIONS),
+        "d_mutual": q.has(x, v.MUTUAL), "d_cap": q.has(x, v.DOCUMENT_CAP), "d_exclusion": q.has(x, v.DOCUMENT_EXCLUSION),
+        "d_wide_cap": q.has(x, v.WIDE_CAP), "d_wide_exclusion": q.has(x, v.WIDE_EXCLUSION), "d_unlimited": q.has(x, v.UNLIMITED),
+        "d_standard_nda": f"({q.has(x, v.NDA_EXCLUSIONS)} and {q.has(x, v.NDA_TERM)} and {q.has(x, v.NDA_RETURN)})",
+        "d_one_sided_strict": _one_sided(q, x, strict=True), "d_one_sided_stems": _one_sided(q, x, strict=False),
+    }
+    return [{"d_low": f"lower({x})"}, flags]
 
 
-FLAGS = ("d_sla", "d_no_sla", "d_saas", "d_exclusions", "d_mutual", "d_cap", "d_excluded", "d_unlimited", "d_term", "d_return", "d_one_sided", "d_long")
+def _one_sided(q: SparkSql, x: str, strict: bool) -> str:
+    """A duty beside an explicit denial, or a denial in a document without mutual language. ``strict`` ends stems at whole words."""
+    end = r"\b" if strict else ""
+    return f"(({q.has(x, v.SOME_DUTY + end)} and {q.has(x, v.EXPLICIT_NO_DUTY)}) or ({q.has(x, v.NO_DUTY + end)} and not {q.has(x, v.MUTUAL_WORDS)}))"
+
+
+FLAGS = (
+    "d_any", "d_long", "d_disclaims_sla", "d_saas", "d_sla", *(f"d_{k}" for k in KINDS), "d_excludes", "d_mutual", "d_cap", "d_exclusion",
+    "d_wide_cap", "d_wide_exclusion", "d_unlimited", "d_standard_nda", "d_one_sided_strict", "d_one_sided_stems",
+)
 
 
 def document_flags(docs: DataFrame) -> DataFrame:
-    """What the rules need to know of each document: booleans and a count, (doc_id, d_...)."""
+    """What the rules need to know of each document: booleans, (doc_id, d_...)."""
     return with_layers(docs.select("doc_id", "text"), document_flag_layers(SPARK)).select("doc_id", *FLAGS)
 
 
 def indemnity_layers(q: SparkSql, t: str = "quoted_text") -> list[Layer]:
-    x = f"coalesce({t}, '')"
+    x = _text(t)
     return [
-        {"i_mutual": f"({q.has(x, MUTUAL)} and {q.has(x, INDEMNITY)})", "i_cap": q.has(x, CAP), "i_exclusion": q.has(x, EXCLUSION), "i_risk": q.has(x, EXTRA_RISK)},
-        {"i_balanced": "i_mutual and (i_cap or i_exclusion) and not i_risk"},
+        {"i_mutual": q.has(x, v.MUTUAL), "i_cap": q.has(x, v.CAP), "i_exclusion": q.has(x, v.EXCLUSION), "i_risk": q.has(x, v.UNLIMITED)},
+        {"i_balanced": "i_mutual and i_cap and i_exclusion"},
     ]
 
 
 def severity_layers(q: SparkSql) -> list[Layer]:
-    whole = "concat_ws(' ', issue_title, quoted_text, risk_explanation)"
-    rank = RANK.format("severity")
-    level = f"case when {q.has(whole, UNLIMITED)} then 3 when {q.has('coalesce(category, issue_title)', '(?i)governing law|residual')} then greatest(2, {rank}) when i_balanced then 0 when i_cap and i_exclusion then least(1, {rank}) else {rank} end"
-    return [*indemnity_layers(q), {"new_rank": level}, {"new_severity": "case new_rank " + " ".join(f"when {k} then '{n}'" for k, n in enumerate(NAMES)) + " end"}]
+    rank = RANK.format
+    shielded = (
+        f"({q.has(QUOTE, v.WIDE_CAP)} and {q.has(QUOTE, v.WIDE_EXCLUSION)} and not i_risk and ({q.has(QUOTE, v.INDEMNITY)} or {q.has(QUOTE, v.LIABILITY_WORDS)}))"
+    )
+    lawful = f"(upper(trim({CATEGORY})) in ('GOVERNING LAW', 'GOVERNING LAW RISK') or {q.contains(f'upper({CATEGORY})', q.text('RESIDUALS'))})"
+    return [
+        *indemnity_layers(q),
+        {"s_given": f"upper(trim({_text('severity')}))"},
+        {"s_risk": "case when i_risk then 'CRITICAL' else s_given end"},
+        {"s_law": f"case when {lawful} and {rank('s_risk')} < 2 then 'HIGH' else s_risk end"},
+        {"s_balanced": f"case when i_balanced and {rank('s_law')} > 0 then 'LOW' else s_law end"},
+        {"s_shielded": f"case when {rank('s_balanced')} >= 2 and {shielded} then 'MEDIUM' else s_balanced end"},
+        {"new_severity": "case when s_shielded <> '' and s_shielded <> s_given then s_shielded else severity end"},
+    ]
 
 
-def category_layers(q: SparkSql) -> list[Layer]:
-    known = "case lower(trim(coalesce(category, ''))) " + " ".join(f"when {q.text(k)} then {q.text(v)}" for k, v in SYNONYMS.items()) + " when '' then 'Uncategorized' else trim(category) end"
-    return [{"mapped": known}, {"new_category": f"case when {q.has('coalesce(quoted_text, ' + chr(39) * 2 + ')', INDEMNITY)} and mapped in ('Liability', 'Uncategorized') then 'Indemnification' else mapped end"}]
+def _replaced(q: SparkSql, t: str, rules: Sequence[tuple[str, str]]) -> str:
+    for pattern, to in rules:
+        t = q.replace(t, pattern, to)
+    return t
 
 
-def wording_layers(q: SparkSql) -> list[Layer]:
-    fixed = q.replace("coalesce(risk_explanation, '')", r"(?i)\bunlimited\b", "uncapped")
-    capped = q.replace(q.replace("fixed", r"(?i)\buncapped liability\b", "capped liability"), r"(?i)\bcatastrophic\b", "material")
-    return [*indemnity_layers(q), {"fixed": fixed}, {"new_explanation": f"case when i_balanced then 'Mutual indemnity with usual limits; review the amounts.' when i_cap then {capped} else fixed end"}]
+def field_layers(q: SparkSql) -> list[Layer]:
+    """Wording, category and advice of a finding: one chain, since each step sees the one before."""
+    everything = f"concat_ws(' ', c_given, {QUOTE}, {WHY}, {ADVICE})"
+    uncapped = ((r"(?i)\bunlimited\b", "uncapped"),)
+    residual = ((r"(?i)\b(?:unlimited|uncapped|no limit|no cap)\b", "unrestricted"), (r"(?i)\b(?:liability|liable|damages|exposure)\b", ""), (r"\s+", " "))
+    return [
+        *indemnity_layers(q),
+        {"c_given": q.strip(CATEGORY)},
+        {"c_low": "lower(c_given)", "f_all": everything},
+        {"f_indemnity": f"({q.contains('c_low', q.text('indemnification'))} or {q.has('f_all', v.INDEMNITY)})", "f_capped": q.has(QUOTE, v.CAP_CUES), "f_why": _replaced(q, WHY, uncapped), "f_advice": _replaced(q, ADVICE, uncapped)},
+        {"f_why_capped": f"case when f_indemnity and f_capped then {_replaced(q, 'f_why', v.CAPPED_WORDING)} else f_why end", "f_advice_capped": f"case when f_indemnity and f_capped then {_replaced(q, 'f_advice', v.CAPPED_WORDING)} else f_advice end"},
+        {"f_why_balanced": f"case when i_balanced and {q.has('f_why_capped', v.ALARMING)} then {q.text(v.BALANCED_TEXT)} else f_why_capped end"},
+        {
+            "c_mapped": f"""case when c_low in {words_in(v.STRUCTURAL_NAMES)} then 'Structural Inconsistency' when c_low in {words_in(v.INDEMNITY_NAMES)} then 'Indemnification'
+              when c_low = 'liability exposure' and {q.has('f_all', v.INDEMNITY)} then 'Indemnification' when c_low = 'enforceability weakness' and f_indemnity and f_capped then 'Indemnification'
+              when c_low = 'legal risk exposure' then 'Liability Exposure' when c_low = 'residuals risk' then 'Residuals' when c_low = 'governing law risk' then 'Governing Law' else c_given end"""
+        },
+        {
+            "new_category": f"""case when lower(c_mapped) in {words_in(v.NEVER_STRUCTURAL)} then c_mapped
+              when upper(trim({_text('severity')})) in ('HIGH', 'CRITICAL') and {q.has('f_all', v.STRUCTURAL_PHRASES)} then 'Structural Inconsistency'
+              when {q.has('f_why_balanced', v.STRUCTURAL_CUES)} or {q.has(QUOTE, v.STRUCTURAL_CUES)} then 'Structural Inconsistency' else c_mapped end"""
+        },
+        {"c_new": "lower(new_category)"},
+        {
+            "new_explanation": f"case when {q.contains('c_new', q.text('residuals'))} then trim({_replaced(q, 'f_why_balanced', residual)}) else f_why_balanced end",
+            "new_advice": f"""case when {q.contains('c_new', q.text('indemnification'))} and {q.has(QUOTE, v.UNLIMITED_TOKENS)} then {q.text(v.INDEMNITY_ADVICE)}
+              when {q.contains('c_new', q.text('confidentiality'))} and not {q.has(TITLE, v.INCOMPLETE_TITLE)} then {q.text(v.CONFIDENTIALITY_ADVICE)}
+              when {q.contains('c_new', q.text('residuals'))} then {q.text(v.RESIDUALS_ADVICE)} else f_advice_capped end""",
+        },
+    ]
 
 
-def advice_layers(q: SparkSql) -> list[Layer]:
-    risk = "concat_ws(' ', quoted_text, risk_explanation)"
-    cases = []
-    for category, parts in ADVICE.items():
-        items = q.keep(q.array([f"case when {q.has(risk, p)} then {q.text(a)} else '' end" for p, a in parts]), "a", "a <> ''")
-        cases.append(f"when category = {q.text(category)} then {q.join(items, ' and ')}")
-    specific = q.has("coalesce(suggested_improvement, '')", r"(?i)\b(?:\d+|cap|mutual|days|exclude)\b")
-    return [{"composed": f"case {' '.join(cases)} else '' end"}, {"new_improvement": f"case when {specific} then suggested_improvement when composed <> '' then composed else {q.text(DEFAULT_ADVICE)} end"}]
+def advice_layers(q: SparkSql, category: str = "category", advice: str = "suggested_improvement") -> list[Layer]:
+    """Advice that is short or says nothing specific is composed from the group's parts whose signs the finding shows."""
+    now = q.strip(_text(advice))
+    groups = " ".join(f"when {_holds_any(q, 'a_low', words)} then {q.text(name)}" for words, name in v.GROUPS)
+    good = " ".join(f"when {q.text(name)} then {_holds_any(q, 'lower(a_now)', words)}" for name, words in v.GOOD_WORDS.items())
+    whole = f"concat_ws(' ', {QUOTE}, {WHY}, {TITLE})"
+
+    def parts(rules: Sequence[tuple[str, str]]) -> str:
+        return q.array([q.text(a) if not sign else f"case when {q.has('a_all', rf'(?i)(?:\b(?:{sign})\b)')} then {q.text(a)} else '' end" for sign, a in rules])
+
+    chosen = " ".join(f"when {q.text(name)} then {parts(rules)}" for name, rules in v.RISK_ADVICE.items())
+    return [
+        {"a_low": f"lower({q.strip(_text(category))})", "a_now": now, "a_all": whole},
+        {"a_group": f"case {groups} else a_low end"},
+        {"a_good": f"case a_group {good} else false end", "a_known": f"a_group in {words_in(list(v.RISK_ADVICE))}"},
+        {"a_needed": f"a_known and (length(a_now) < 25 or (not a_good and (length(a_now) < 40 or not {q.has('a_now', v.SPECIFIC_ADVICE)})))"},
+        {"a_parts": q.keep(f"case a_group {chosen} end", "a", "a <> ''")},
+        {"a_n": q.size("a_parts")},
+        {
+            "new_improvement": f"""case when {_text(category)} = '' then {advice} when not a_needed then a_now when a_n = 1 then {q.at('a_parts', '0')}
+              when a_n = 2 then concat({q.at('a_parts', '0')}, ' and ', {q.at('a_parts', '1')}) else concat({q.join(q.cut('a_parts', '0', 'greatest(a_n - 1, 0)'), ', ')}, ', and ', {q.last('a_parts')}) end"""
+        },
+    ]
 
 
 def quote_key(q: SparkSql) -> str:
-    return f"lower(trim({q.replace('coalesce(quoted_text, ' + chr(39) * 2 + ')', r'[ \t\n\r]+', ' ')}))"
+    """Quoted text without outer white space and quotation marks, in lower case, with single spaces."""
+    return f"lower({q.replace(q.replace(q.replace(q.strip(QUOTE), '^\"+|\"+$'), '^\\x27+|\\x27+$'), r'\s+', ' ')})"
 
 
 def suppression_layers(q: SparkSql) -> list[Layer]:
     """Reasons for which findings (joined with document flags) are dropped, in order; null keeps a finding."""
-    title, quote, why = "coalesce(issue_title, '')", "coalesce(quoted_text, '')", "coalesce(risk_explanation, '')"
-    sla = q.has(title, r"(?i)\bno sla\b|missing (?:sla|service level)")
-    months = f"case when {q.has(quote, '(?i)[0-9]+ *month')} then cast(nullif({q.first(quote, '(?i)([0-9]{1,4}) *month', 1)}, '') as int) end"
-    topic = q.keep(q.split(f"lower({title})", r"[^a-z]+"), "w", "length(w) >= 4 and w not in ('risk', 'clause', 'missing', 'excessive', 'incomplete', 'overbroad', 'potential', 'terms')")
-    tokens = q.split(f"lower({quote})", r"[^a-z]+")
+    title = f"trim({TITLE})"
+    months = f"try_cast(nullif({q.first(QUOTE, v.MONTHS, 1)}, '') as bigint)"
+    word = "[a-z][a-z-]+"
+    topic = q.keep(q.all("t_low", word), "w", f"length(w) > 2 and w not in {words_in(v.STOP_WORDS)}")
+    root = "greatest(5, least(length(a), length(b)) - 2)"
+    parts = f"(length(a) > 3 and length(b) > 3 and (left(a, length(b)) = b or left(b, length(a)) = a or left(a, {root}) = left(b, {root})))"
+    near = q.some(q.split("w", "-"), "a", q.some(q.split("t", "-"), "b", parts))
+    met = q.some("topic", "w", q.some("quote_words", "t", f"(left(t, length(w)) = w or left(w, length(t)) = t or {near})"))
+    searched = q.array([f"case when d_long then d_{k} else {q.has(QUOTE, p)} end" for k, p in v.EXCLUSION_KINDS.items()])
+    kinds = q.keep(q.array([f"case when {q.at('searched', str(i))} then '{k}' else '' end" for i, k in enumerate(KINDS)]), "k", "k <> ''")
     return [
         *indemnity_layers(q),
-        {"is_sla": sla, "is_ice": q.has(title, "(?i)incomplete confidentiality exclusion"), "months": months, "topic": topic, "quote_tokens": tokens},
-        {"related": f"({q.size('topic')} = 0 or {q.some('topic', 'w', q.some('quote_tokens', 't', 't = w or (length(t) >= 4 and (left(t, 5) = left(w, 5)))'))})"},
+        {"t_low": f"lower({TITLE})", "q_low": f"lower({QUOTE})", "is_ice": q.has(TITLE, v.INCOMPLETE_TITLE), "searched": searched},
+        {"topic": topic, "quote_words": q.all("q_low", word), "kinds": kinds, "is_sla": _holds_any(q, "t_low", ("no service level agreement", "no sla"))},
         {
-            "n7": "i_balanced", "n8": "is_sla and not d_no_sla and (not d_saas or d_sla)", "n9": f"is_ice and ((d_long and d_exclusions = {len(CONFIDENTIAL_EXCLUSIONS)}) or ({q.has(quote, '(?i)shall (?:hold|keep|maintain)')} and d_exclusions > 0))",
-            "n10": f"{q.has(title, '(?i)excessive non-?compete')} and months is not null and months <= 6", "n11": f"{q.has(title, '(?i)overbroad invention')} and {q.has(quote, '(?i)own time')}",
-            "n12": f"length(trim({quote})) > 0 and not related", "why_len": f"length({why})",
+            "n7": "i_balanced and not i_risk", "n8": "is_sla and d_any and not d_disclaims_sla and (d_sla or not d_saas)",
+            "n9": f"is_ice and {q.size('kinds')} = {len(KINDS)}", "n9b": f"is_ice and d_excludes and {q.has(QUOTE, v.OBLIGATION_QUOTE)}",
+            "n10": f"{title} = 'Excessive Non-Compete Duration' and coalesce({months} <= 6, false)", "n11": f"{title} = 'Overbroad Invention Assignment' and {q.has(QUOTE, v.OWN_TIME)}",
+            "n12": f"q_low <> '' and t_low <> '' and {q.size('topic')} > 0 and not {met}",
         },
-        {"suppressed_by": "case " + " ".join(f"when {k} then '{k}'" for k in ("n7", "n8", "n12", "n9", "n10", "n11")) + " end"},
+        {"suppressed_by": "case " + " ".join(f"when {k} then '{k}'" for k in STAGES) + " end"},
+        {"suppression_reason": "case suppressed_by " + " ".join(f"when {q.text(k)} then {q.text(r)}" for k, r in REASONS.items()) + " end", "matched_categories": f"case when suppressed_by = 'n9' then {q.join('kinds', '|')} else '' end"},
     ]
 
 
+#: The rules in the order in which they drop findings, with the log's reasons.
+REASONS = {
+    "n7": "Balanced mutual indemnity without additional risk",
+    "n8": "Document is not a hosted service or has service levels",
+    "n12": "Title shares no topic with the quoted text",
+    "n9": "All 4 standard exclusion categories found",
+    "n10": "Non-compete duration <= 6 months (within acceptable threshold)",
+    "n11": "Invention assignment clause contains own-time carve-out (not overbroad)",
+    "n9b": "Quote is from the obligations; the document has exclusions elsewhere",
+}
+STAGES = tuple(REASONS)
+
+
 def title_layers(q: SparkSql) -> list[Layer]:
-    quote = "coalesce(quoted_text, '')"
-    return [{"new_title": f"""case when {q.has(quote, r'(?i)non-?compete')} and {q.has(quote, '(?i)[0-9]+ *(?:year|month)')} then concat('Non-Compete of ', {q.first(quote, '(?i)([0-9]+ *(?:year|month)s?)', 1)})
-      when {q.has(quote, r'(?i)as[ -]is')} then 'No Warranty Provided' when {q.has(quote, '(?i)sole discretion')} then 'Sole Discretion' when {q.has(quote, EXTRA_RISK)} then 'Uncapped Liability' else issue_title end"""}]
+    coc = "Single-Trigger Change of Control Acceleration"
+    long_months = f"coalesce(try_cast(nullif({q.first('q_low', v.MONTHS, 1)}, '') as bigint) > 6, false)"
+    has = lambda w: q.contains("q_low", q.text(w))
+    return [
+        {"q_low": f"lower({QUOTE})"},
+        {
+            "new_title": f"""case when issue_title = {q.text(coc)} and {has('solicit')} and not {has('change of control')} then 'Non-Solicitation Clause in NDA'
+              when issue_title = {q.text(coc)} and {has('compete')} and not {has('change of control')} and {long_months} then 'Excessive Non-Compete Duration'
+              when issue_title = 'Non-Competition' and {long_months} then 'Excessive Non-Compete Duration'
+              when issue_title = 'Intellectual Property Ownership' and {q.contains(f'lower({CATEGORY})', q.text('intellectual property'))} and {has('consultant')} and {has('retain')} then 'Consultant Retains All Deliverable IP'
+              else issue_title end"""
+        },
+    ]
 
 
 def level_layers(q: SparkSql, strict: bool = True) -> list[Layer]:
     """Document-level changes of severity (N-14 to N-17), each with its own column."""
-    whole = "concat_ws(' ', issue_title, category, quoted_text)"
-    indemnity = q.has(whole, r"(?i)\b(?:indemn|indemnif)\b" if strict else "(?i)indemn")
-    about = q.has(whole, "(?i)indemnif|indemnity|indemnification")
     rank = RANK.format("severity")
+    category = f"lower(trim({CATEGORY}))"
+    named = any_of([any_of([q.contains(category, q.text(c)), q.contains(f"lower({TITLE})", q.text(c))]) for c in v.NDA_CATEGORIES] + [q.has(TITLE, v.NDA_TITLES)])
+    about = q.has(f"concat({category}, ' ', {TITLE})", v.INDEMNITY_STEM + (r"\b" if strict else ""))
+    one_sided = f"(d_one_sided_{'strict' if strict else 'stems'} and {about})"
+    open_ended = f"({q.has(QUOTE, v.UNLIMITED)} or {q.has(WHY, v.UNLIMITED)})"
     return [
-        *indemnity_layers(q),
         {
-            "s14": "case when i_mutual and not (i_cap and i_exclusion) and d_cap and d_excluded and not d_unlimited then 'LOW' else severity end",
-            "s15": f"case when {q.has(whole, '(?i)confidential')} and d_exclusions > 0 and d_term and d_return then 'LOW' else severity end",
-            "s16": f"case when {about} and d_mutual and d_cap and d_excluded and {rank} <= 1 and not {q.has(whole, EXTRA_RISK)} then 'LOW' else severity end",
-            "s17": f"case when {indemnity} and d_one_sided and severity = 'CRITICAL' and not d_unlimited then 'HIGH' else severity end",
-            "c17": f"case when {indemnity} and d_one_sided then 'Negotiation Imbalance' else category end",
+            "s14": f"case when {rank} > 0 and {q.has(QUOTE, v.WIDE_MUTUAL)} and not ({q.has(QUOTE, v.WIDE_CAP)} and {q.has(QUOTE, v.WIDE_EXCLUSION)}) and d_wide_cap and d_wide_exclusion and not d_unlimited then 'LOW' else severity end",
+            "s15": f"case when d_standard_nda and {rank} > 0 and {named} then 'LOW' else severity end",
+            "s16": f"case when d_mutual and d_cap and d_exclusion and {category} in {words_in(v.CAPPED_CATEGORIES)} and {rank} = 1 and not {q.has(WHY, v.FORBIDDEN)} then 'LOW' else severity end",
+            "s17": f"case when {one_sided} and {rank} > 2 and not {open_ended} then 'HIGH' else severity end",
+            "c17": f"case when {one_sided} then 'Negotiation Imbalance' else category end",
         },
     ]
 
@@ -150,27 +237,27 @@ def _keys(issues: DataFrame, layers: Sequence[Layer], columns: Sequence[str]) ->
 
 
 def balanced_indemnity_flags(issues: DataFrame) -> DataFrame:
-    """N-1: mutual, cap, exclusion, additional risk, balanced, for each finding's quote."""
+    """N-1: mutual, cap, exclusion, additional risk of each finding's quote; balanced if the first three hold."""
     return _keys(issues, indemnity_layers(SPARK), ("i_mutual", "i_cap", "i_exclusion", "i_risk", "i_balanced"))
 
 
 def override_severity(issues: DataFrame) -> DataFrame:
-    """N-2: unlimited is CRITICAL; governing law and residuals at least HIGH; balanced LOW; capped and excluded at most MEDIUM."""
+    """N-2: an unlimited quote is CRITICAL; governing law and residuals at least HIGH; balanced at most LOW; capped and excluded at most MEDIUM."""
     return _keys(issues, severity_layers(SPARK), ("new_severity",))
 
 
 def remap_category(issues: DataFrame) -> DataFrame:
-    """N-3: one name for each category; indemnities are not filed under liability."""
-    return _keys(issues, category_layers(SPARK), ("new_category",))
+    """N-3: one name for each category; indemnities are not filed under liability; contradictory texts are structural, liabilities never."""
+    return _keys(issues, field_layers(SPARK), ("new_category",))
 
 
 def sanitize_language(issues: DataFrame) -> DataFrame:
-    """N-4: calmer explanations where the quote is capped or balanced."""
-    return _keys(issues, wording_layers(SPARK), ("new_explanation",))
+    """N-4: explanations and advice without "unlimited", calmer where the quote is capped or balanced, canned for residuals, confidentiality and uncapped indemnities."""
+    return _keys(issues, field_layers(SPARK), ("new_explanation", "new_advice"))
 
 
 def refine_improvement(issues: DataFrame) -> DataFrame:
-    """N-5: specific advice stays, other advice is composed from the risk's words, else a default."""
+    """N-5: specific advice stays, other advice is composed from the group's parts; categories outside the groups keep theirs."""
     return _keys(issues, advice_layers(SPARK), ("new_improvement",))
 
 
@@ -182,45 +269,48 @@ def dedupe_quotes(issues: DataFrame) -> DataFrame:
 
 
 def suppressed(issues: DataFrame, docs: DataFrame) -> DataFrame:
-    """N-7 to N-12: (doc_id, issue_no, suppressed_by), the first rule that drops a finding, null if none does."""
-    return _keys(issues.join(document_flags(docs), "doc_id"), suppression_layers(SPARK), ("suppressed_by",))
+    """N-7 to N-12: (doc_id, issue_no, suppressed_by, suppression_reason, matched_categories): the first rule that drops a finding, null if none does."""
+    return _keys(issues.join(document_flags(docs), "doc_id"), suppression_layers(SPARK), ("suppressed_by", "suppression_reason", "matched_categories"))
 
 
-def _dropped_by(rule: str):
+def _dropped_by(*rules: str):
     def run(issues: DataFrame, docs: DataFrame) -> DataFrame:
-        return _keys(issues.join(document_flags(docs), "doc_id"), suppression_layers(SPARK), (rule,)).where(f"not coalesce({rule}, false)").select("doc_id", "issue_no")
+        marked = _keys(issues.join(document_flags(docs), "doc_id"), suppression_layers(SPARK), rules)
+        return marked.where(" and ".join(f"not coalesce({r}, false)" for r in rules)).select("doc_id", "issue_no")
 
     return run
 
 
-suppress_balanced, suppress_false_sla, suppress_ice, suppress_noncompete, suppress_invention, suppress_mismatched_title = (_dropped_by(f"n{k}") for k in (7, 8, 9, 10, 11, 12))
+suppress_balanced, suppress_false_sla, suppress_noncompete, suppress_invention, suppress_mismatched_title = (_dropped_by(f"n{k}") for k in (7, 8, 10, 11, 12))
+suppress_ice = _dropped_by("n9", "n9b")
 
 
 def rewrite_titles(issues: DataFrame) -> DataFrame:
-    """N-13: titles that name the duration, the missing warranty, the discretion or the missing cap."""
+    """N-13: titles whose quote shows a non-solicitation, a long non-compete or a consultant's retained rights instead."""
     return _keys(issues, title_layers(SPARK), ("new_title",))
 
 
 def document_levels(issues: DataFrame, docs: DataFrame, strict: bool = True) -> DataFrame:
-    """N-14 to N-17: severity by the document's other terms: s14, s15, s16, s17 and the category c17. ``strict`` keeps whole words only."""
+    """N-14 to N-17: severity by the document's other terms: s14, s15, s16, s17 and the category c17. ``strict`` ends the stems of N-17 at whole words."""
     return _keys(issues.join(document_flags(docs), "doc_id"), level_layers(SPARK, strict), ("s14", "s15", "s16", "s17", "c17"))
 
 
 def stage_trace(issues: DataFrame, docs: DataFrame) -> DataFrame:
     """N-18: findings after each suppression rule, and how many it dropped: (stage, n_issues, n_dropped), in one pass."""
     marked = with_layers(issues.join(document_flags(docs), "doc_id"), suppression_layers(SPARK))
-    stages = ("n7", "n8", "n12", "n9", "n10", "n11")
     counts = marked.groupBy("suppressed_by").agg(F.count("*").alias("n"))
-    order = F.expr("case suppressed_by " + " ".join(f"when '{s}' then {k + 1}" for k, s in enumerate(stages)) + " else 99 end")
+    order = F.expr("case suppressed_by " + " ".join(f"when '{s}' then {k + 1}" for k, s in enumerate(STAGES)) + " else 99 end")
     total = counts.agg(F.sum("n").alias("total"))
-    every = issues.sparkSession.createDataFrame([(k + 1, s) for k, s in enumerate(stages)], "stage_no int, stage string")
+    every = issues.sparkSession.createDataFrame([(k + 1, s) for k, s in enumerate(STAGES)], "stage_no int, stage string")
     by = counts.withColumn("stage_no", order).select("stage_no", "n")
     joined = every.join(by, "stage_no", "left").join(F.broadcast(total), how="cross").withColumn("n_dropped", F.coalesce("n", F.lit(0)).cast("long"))
     return joined.withColumn("n_issues", F.expr("cast(total - sum(n_dropped) over (order by stage_no) as bigint)")).select("stage_no", "stage", "n_issues", "n_dropped")
 
 
 def merge_verifier_findings(issues: DataFrame, found: DataFrame) -> DataFrame:
-    """N-20: add rule findings unless the document has one of the same title and category, whatever the case."""
-    key = lambda df: df.select("doc_id", F.lower("issue_title").alias("_t"), F.lower("category").alias("_c"))
-    new = found.withColumns({"_t": F.lower("issue_title"), "_c": F.lower("category")}).join(key(issues).distinct(), ["doc_id", "_t", "_c"], "left_anti")
-    return issues.select("doc_id", "issue_title", "category", "severity").unionByName(new.select("doc_id", "issue_title", "category", "severity"))
+    """N-20: add rule findings unless the document has one of the same title and category, whatever the case and outer blanks."""
+    key = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    known = issues.select("doc_id", key("issue_title").alias("_t"), key("category").alias("_c")).distinct()
+    new = found.withColumns({"_t": key("issue_title"), "_c": key("category")}).join(known, ["doc_id", "_t", "_c"], "left_anti")
+    columns = ["doc_id", "issue_title", "category", "severity", "quoted_text"]
+    return issues.select(*columns).unionByName(new.select(*columns))

@@ -9,24 +9,49 @@ from pyspark.sql import functions as F
 
 from clausework.functions.dialect import DUCK, SPARK, Layer, SparkSql, layers_sql, with_layers
 
-TITLES = ("No SLA", "Incomplete Confidentiality Exclusions", "Excessive Non-Compete Duration", "Overbroad Invention Assignment", "Uncapped Liability", "Governing Law Risk", "One-sided Indemnification", "Perpetual Survival", "Late Payment Fees", "No Warranty Provided")
-CATEGORIES = ("liability", "Confidentiality", "IP", "termination", "Indemnification", "Governing Law", "", "survival", "Payment", "data")
-SEVERITIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL", "HIGH", "MEDIUM")
+TITLES = (
+    "No SLA", "Incomplete Confidentiality Exclusions", "Excessive Non-Compete Duration", "Overbroad Invention Assignment", "Uncapped Liability", "Governing Law Risk", "One-sided Indemn Duty",
+    "Perpetual Survival", "Non-Competition", "Single-Trigger Change of Control Acceleration", "Intellectual Property Ownership", "Mutual Indemnification", "Residuals Clause",
+)
+CATEGORIES = (
+    "liability exposure", "Confidentiality", "Intellectual Property", "Confidentiality Termination", "Indemnification", "Governing Law Risk", "", "Enforceability Weakness", "Residuals Risk",
+    "Negotiation Imbalance", "Uncapped Liability", "legal risk exposure", "missing survival clause", "Privacy Risk", "Conflicting Structure",
+)
+SEVERITIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL", "HIGH", "medium")
 QUOTES = (
-    "Each party shall indemnify the other, limited to the fees paid, excluding consequential damages.",
-    "The employee shall not compete: non-compete for 6 months after termination.",
-    "The receiving party shall hold all information confidential; this obligation survives termination for 3 years.",
+    "Each party shall defend and indemnifies the other; capped at the fees paid, and excludes consequential damages.",
+    "The employee shall not compete: non-compete for 6 months after leaving.",
+    "The receiving party shall hold all information in confidence; this obligation shall survive termination for 3 years.",
+    "All confidentiality obligations shall immediately cease on termination.",
     "Vendor shall indemnify customer with unlimited liability.",
-    "Work done on own time is excluded from the invention assignment.",
+    "Except an invention that the employee develops entirely on his or her own time.",
     "The service is provided as is, at the sole discretion of the provider.",
     "Uptime is not guaranteed and no service level applies.",
-    "This agreement may be terminated by either party on 30 days notice.",
+    "Employee shall not solicit staff for twelve (12) months.",
+    "Consultant shall retain all deliverables.",
+    "Each party indemnifies the other for third-party claims.",
+    "The restriction on competing lasts 18 months and bars compete activity.",
+    "Liability is limited to fees paid, excluding any indirect damages, and the vendor shall hold harmless and indemnify.",
 )
 EXPLANATIONS = (
-    "Unlimited liability could be catastrophic for the company.", "The obligation is indefinite and perpetual.", "This is a standard clause and acceptable.", "Termination is immediate and without notice.",
-    "The duty survives the end of the contract.", "One-sided risk without a cap on consequential losses.", "",
+    "Unlimited liability could be catastrophic; substantial risk.", "The obligation is indefinite and perpetual.", "The clause is commercially reasonable and not a risk.", "The clause is missing and obligations terminate.",
+    "The duration is too short.", "Conflicting clauses leave no cap on uncapped exposure.", "", "Termination is immediate and without cause; any loss is covered.",
 )
-ADVICE = ("Cap the liability at 12 months of fees.", "Clarify this clause.", "", "Make it mutual.", "Review with counsel.")
+ADVICE = ("Cap the liability at 12 months of fees under an aggregate cap.", "Clarify this clause.", "", "Review the whole of this provision with outside counsel soon.", "Add unlimited notice for termination rights.")
+#: Sections that are put behind texts, so that document rules fire: each is a list of paragraphs.
+SECTIONS = (
+    ("1. Survival\nThe confidentiality obligations shall survive termination for 3 years.", "2. End\nAll confidentiality obligations shall immediately cease on termination."),
+    ("Section 4 Warranty\nTHE SERVICE IS PROVIDED AS IS.\nProvider makes no warranties of any kind.",),
+    ("Provider may terminate this agreement at any time.\nCustomer may terminate only for material breach.",),
+    ("Upon a change of control all unvested shares immediately accelerate.\nThe board decides.",),
+    ("This SaaS subscription has an uptime of 99.5%.", "Each party indemnifies the other. Liability is capped at the fees paid. Neither is liable for any consequential damages."),
+    ("The vendor disclaims service levels: no SLA applies to this cloud platform.",),
+    ("Exclusions from confidential information: what is publicly available, in prior possession, independently developed, or received from a third party.", "The term of this agreement is two years.\nThe recipient shall return all confidential information."),
+    ("The customer shall hold harmless the vendor. The vendor shall not indemnify the customer and there is no indemnification by the vendor.",),
+    ("Section 1 Term\nThe obligations of each party shall survive.\nSection 2 Law\nThe governing law is that of the state.",),
+    ("Shares vest upon a change of control only if the employment is terminated and then accelerate.",),
+    (),
+)
 
 
 def _pick(q: SparkSql, index: str, values: Sequence[str]) -> str:
@@ -60,6 +85,21 @@ def issues_sql() -> str:
     return f"(select {', '.join(ISSUES)} from {layers_sql(base, layers)})"
 
 
+def contract_layers(q: SparkSql) -> list[Layer]:
+    """Each text with one of the sections behind it, after a blank line."""
+    bodies = [q.join(q.array([q.text("")] + [q.text(p) for p in parts]), "\n\n") if parts else "''" for parts in SECTIONS]
+    return [{"contract": f"concat(coalesce(text, ''), case doc_id % {len(SECTIONS)} " + " ".join(f"when {k} then {b}" for k, b in enumerate(bodies)) + " end)"}]
+
+
+def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with a contract section behind their text: doc_id, text."""
+    return with_layers(spark.read.parquet(f"{sf_dir}/documents.parquet"), contract_layers(SPARK)).selectExpr("doc_id", "contract as text")
+
+
+def contracts_sql() -> str:
+    return f"(select doc_id, contract as text from {layers_sql('documents', contract_layers(DUCK))})"
+
+
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected findings: those of ``issues`` with every third severity and category changed."""
     return issues(spark, sf_dir).selectExpr(*_TRUTH)

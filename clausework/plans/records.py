@@ -162,14 +162,14 @@ def _sources() -> None:
 
 def _streams() -> None:
     """The streams' logic on whole tables; tests hold the streaming runs against these."""
-    register("t1_score_stream", lambda s, d: streams.score_stream(table(s, d, "documents")).select("doc_id", "route"), f"select doc_id, route from {layers_sql('documents', classify.route_layers(DUCK))}")
+    register("t1_score_stream", lambda s, d: streams.score_stream(table(s, d, "documents")).select("doc_id", "route"), f"select doc_id, route from {layers_sql('documents', [*classify.route_counts_sql(), *classify.route_layers(DUCK)])}")
     sessions = lambda s, d: table(s, d, "conversations").selectExpr("conv_id as session_id", "text as messages", "turn as message_count", "timestamp_seconds(turn) as ts")
     current = lambda s, d: sessions(s, d).where("message_count = 0 and session_id % 2 = 0").selectExpr("session_id", "concat('Title ', cast(session_id as string)) as title", "messages", "message_count", "ts")
     register("t2_upsert_sessions", lambda s, d: streams.upsert_sessions(current(s, d), sessions(s, d).where("message_count >= 1")).select("session_id", "title", "message_count"), """
       with l as (select conv_id as session_id, max(turn) as n from conversations where turn >= 1 group by conv_id), c as (select distinct conv_id as session_id, 'Title ' || conv_id as title from conversations where turn = 0 and conv_id % 2 = 0)
       select session_id, coalesce(title, 'Advisory session') as title, coalesce(n, 0) as message_count from l full join c using (session_id)""")
     scored = lambda s, d: streams.drained(streams.score_stream(streams.replayed(table(s, d, "documents"))))
-    register("t1_scored_stream", lambda s, d: scored(s, d).groupBy("route").agg(F.count("*").alias("n_docs")), f"select route, count(*) as n_docs from {layers_sql('documents', classify.route_layers(DUCK))} group by route")
+    register("t1_scored_stream", lambda s, d: scored(s, d).groupBy("route").agg(F.count("*").alias("n_docs")), f"select route, count(*) as n_docs from {layers_sql('documents', [*classify.route_counts_sql(), *classify.route_layers(DUCK)])} group by route")
     register("t4_running_stream", lambda s, d: streams.drained(streams.running_summary(streams.replayed(fixtures.history(s, d))), "complete"), f"select mode, count(*) as n_records, cast(sum(item_count) as bigint) as n_items from {HISTORY} group by mode")
     register("t5_retain_stream", lambda s, d: streams.drained(streams.retain_stream(streams.replayed(fixtures.history(s, d).unionByName(fixtures.history(s, d))))).select("id", "record_type"), f"select id, record_type from {HISTORY}")
     timed = lambda s, d: table(s, d, "conversations").selectExpr("*", "timestamp_seconds(1700000000 + turn) as ts")
