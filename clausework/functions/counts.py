@@ -30,20 +30,26 @@ PARTS = {
     "policy": "policy_hits long, policy_matched string, contract_hits long, contract_matched string",
     "types": "t_hits array<long>",
 }
-#: Tokens that a worker remembers before it starts anew; results do not depend on it.
+#: Tokens whose marks a worker remembers, the first it meets; results do not depend on it.
 REMEMBERED = 200_000
+CLEAN = (False, False, 0)
 _SPECIAL_2 = re.compile(r"[^\w\s]{2,}")
 _BURST = re.compile(r"[!@#$%^&*]{2,}")
 _CONSONANTS = re.compile(r"[bcdfghjklmnpqrstvwxyz]{5,}", re.IGNORECASE)
 _INNER = re.compile(r"[a-zA-Z][^\w\s][a-zA-Z]")
 _CODE = re.compile(r"[a-zA-Z0-9]{3,}")
 _SWAPS = re.compile(r"[01](?=[a-zA-Z])|(?<=[a-zA-Z])[01]")
+_NO_WORD = re.compile(r"\W")
 _WORDS = re.compile(r"[a-z]{3,}")
 
 
 def token_marks(w: str) -> tuple[bool, bool, int]:
     """(damaged, damaged by the tests for quotes, marks of digits mixed with letters) of one token."""
-    clean = re.sub(r"\W", "", w)
+    plain = w if w[-1].isalnum() else w[:-1]
+    if plain.isalpha():
+        # a word of letters, with at most one sign behind it, fails the test of consonants or none
+        return (True, False, 0) if len(plain) >= 3 and _CONSONANTS.search(plain) else CLEAN
+    clean = _NO_WORD.sub("", w)
     doubled = bool(_SPECIAL_2.search(w))
     burst = bool(_BURST.search(w))
     if len(clean) < 3:
@@ -127,16 +133,18 @@ def text_counts(
                 out += sign_counts(text)
             elif part == "tokens":
                 marks: dict[str, tuple[bool, bool, int]] = state["marks"]
-                total = [0, 0, 0, 0]
-                for w, n in Counter(text.split()).items():
+                tokens = text.split()
+                total = [len(tokens), 0, 0, 0]
+                for w, n in Counter(tokens).items():
                     seen = marks.get(w)
                     if seen is None:
-                        if len(marks) >= REMEMBERED:
-                            marks.clear()
-                        seen = marks[w] = token_marks(w)
-                    total[0] += n
-                    for i in (0, 1, 2):
-                        total[i + 1] += n * seen[i]
+                        seen = token_marks(w)
+                        if len(marks) < REMEMBERED:
+                            marks[w] = seen
+                    if seen is not CLEAN:
+                        total[1] += n * seen[0]
+                        total[2] += n * seen[1]
+                        total[3] += n * seen[2]
                 out += total
             elif part == "words":
                 out += [sum(words.values()), *(sum(n for w, n in words.items() if w in s) for s in sets)]
