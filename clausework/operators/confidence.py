@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausework.functions.dialect import SPARK, Layer, SparkSql, clamp, flag_sum, with_layers, words_in
+from clausework.operators.classify import AUTHORITY, INDIA
 from clausework.operators.quality import WORD, label
 
 #: Weights, accepted categories, penalties and caps.
@@ -19,14 +20,20 @@ VALID_CATEGORIES = (
 )
 ADVISORY_WEIGHTS = {"refusal_absent": 0.25, "topic_relevance": 0.20, "completeness": 0.20, "no_generic": 0.20, "no_uncertainty": 0.15}
 TOPIC_WORDS = (
-    "contract clause liability indemnif termination confidential breach damages jurisdiction governing\\slaw arbitration compliance regulation statute obligation "
-    "warranty disclaimer copyright trademark patent non-disclosure nda employment severance non-compete non-solicit"
-).split()
-REFUSALS = r"(?i)\b(?:i cannot|i can't|cannot assist|can't help|won't help|i refuse|i will not answer)"
+    "contract", "clause", "liability", "indemnif", "termination", "confidential", "breach", "damages", "jurisdiction", "governing law", "arbitration", "compliance", "regulation",
+    "statute", "obligation", "warranty", "disclaimer", "intellectual property", "copyright", "trademark", "patent", "non-disclosure", "nda", "employment", "severance", "non-compete", "non-solicit",
+)
+#: Refusals, each tried by itself; the service's name before "advisory scope" may be any word.
+REFUSALS = (
+    r"(?i)\b(?:I cannot|I can't|I am unused|I'm unused)", r"(?i)\b(?:cannot assist|can't help|won't help)", r"(?i)\b(?:I refuse|I will not answer)",
+    r"(?i)\bdoes not generate full legal agreements\b", r"(?i)\boutside \S+ advisory scope\b", r"(?i)\bI assist only with legal practice\b",
+)
+DISCLAIMERS = r"(?i)\b(?:I am not a lawyer|I am not an attorney|not legal advice|consult a lawyer|consult an attorney|seek legal counsel|seek professional legal advice|for informational purposes only)"
 ANSWERS = r"(?i)\b(?:is (?:generally |likely )?enforceable|is unenforceable|is void|is valid|appears? (?:to be|enforceable)|you (?:should|can|may|must)|is likely|the clause is)\b"
-CONTRAST = r"(?i)\b(?:but|however|that said|nevertheless|in general|generally)\b"
-GENERIC = r"(?i)\b(?:it depends|this is a complex|there are many factors|generally speaking|in general|typically|i would recommend|you should consider)"
-UNCERTAIN = r"(?i)\b(?:to the best of my knowledge|as far as i know|i cannot verify|i am not certain|may not be accurate|information may be inaccurate)"
+CONTRAST = r"(?i)\b(?:but|however|that said|that being said|nevertheless|in general|generally)\b"
+REDIRECT = r"(?i)\b(?:please consult|consult (?:a|an|your) (?:lawyer|attorney)|seek (?:legal|professional) (?:counsel|advice)|contact a (?:lawyer|attorney)|I(?:'m| am) sorry)\b"
+GENERIC = (r"(?i)\b(?:it depends|this is a complex|there are many factors)", r"(?i)\b(?:generally speaking|in general|typically)", r"(?i)\b(?:I would recommend|you should consider)")
+UNCERTAIN = (r"(?i)\b(?:to the best of my knowledge|as far as I know|I cannot verify|I am not certain)", r"(?i)\b(?:may not be accurate|information may be inaccurate|details may be incorrect)")
 
 
 def quote_match(q: SparkSql) -> str:
@@ -102,23 +109,43 @@ def audit_confidence(factors: DataFrame) -> DataFrame:
     return with_layers(factors, score_layers()).select("doc_id", "score", "confidence_label")
 
 
-def advisory_layers(q: SparkSql, t: str = "text") -> list[Layer]:
+def advisory_layers(q: SparkSql, t: str = "text", query: str = "''", degraded: str = "false", fallback: str = "false", jurisdiction: str = "''") -> list[Layer]:
+    """A refusal that goes on to answer counts as none: it holds an answer's words, or a contrast behind a refusing phrase with no mere redirection there."""
     x = f"coalesce({t}, '')"
+    # what follows the first match of each refusing phrase; (?s) lets the rest span lines
+    tails = {f"tail_{k}": q.first(x, "(?s)" + p + "(.*)$", 1) for k, p in enumerate(REFUSALS)}
+    goes_on = [f"({q.has(f'tail_{k}', CONTRAST)} and not {q.has(f'tail_{k}', REDIRECT)})" for k in range(len(REFUSALS))]
+    both = f"lower(concat({x}, ' ', coalesce({query}, '')))"
     return [
-        {"refuses": f"({q.has(x, REFUSALS)} and not {q.has(x, ANSWERS)} and not {q.has(x, CONTRAST)})", "n_topics": flag_sum([q.has(x, "(?i)" + w) for w in TOPIC_WORDS]), "n_words": q.count(x, WORD)},
+        {**tails, "n_words": q.count(x, WORD), "a_both": both},
+        {
+            "refuses": f"(({' or '.join(q.has(x, p) for p in REFUSALS)}) and not {q.has(x, ANSWERS)} and not ({' or '.join(goes_on)}))", "n_topics": flag_sum([q.contains("a_both", q.text(w)) for w in TOPIC_WORDS]),
+            "has_disclaimer": q.has(x, DISCLAIMERS), "n_generic": flag_sum([q.has(x, p) for p in GENERIC]), "n_uncertain": flag_sum([q.has(x, p) for p in UNCERTAIN]),
+            "is_grounded": f"({q.has(x, AUTHORITY)} or {q.has(x, INDIA)})",
+        },
         {
-            "refusal_absent": "case when refuses then 0.0 else 1.0 end", "topic_relevance": "least(1.0, n_topics / 4.0)", "completeness": _tiers("n_words", ((150, 1.0), (80, 0.8), (40, 0.6), (15, 0.4)), 0.2),
-            "no_generic": f"greatest(0.0, 1.0 - 0.25 * {q.count(x, GENERIC)})", "no_uncertainty": f"greatest(0.0, 1.0 - 0.5 * {q.count(x, UNCERTAIN)})",
+            "refusal_absent": "case when refuses then 0.0 else 1.0 end", "topic_relevance": "least(1.0, n_topics / 4.0)", "completeness": _tiers("n_words", ((200, 1.0), (100, 0.8), (50, 0.6), (20, 0.4)), 0.2),
+            "no_generic": "greatest(0.0, 1.0 - 0.3 * n_generic)", "no_uncertainty": "greatest(0.0, 1.0 - 0.25 * n_uncertain)",
         },
-        {"base": clamp(" + ".join(f"{k} * {w}" for k, w in ADVISORY_WEIGHTS.items()))},
-        {"score": "cast(case when refuses then least(base, 0.40) else base end as double)"},
+        {"base": f"cast({clamp(' + '.join(f'{k} * {w}' for k, w in ADVISORY_WEIGHTS.items()))} as double)"},
+        {"limited": f"cast(case when {degraded} and {fallback} then least(base, 0.25) when {degraded} then least(base, 0.30) else base end as double)"},
+        {"held": "cast(case when refuses then least(limited, 0.40) else limited end as double)"},
+        {"score": f"cast(case when {jurisdiction} = 'not specified' and not is_grounded and held > 0.5 then held * 0.5 else held end as double)"},
         {"confidence_label": label("score")},
     ]
 
 
 def advisory_confidence(responses: DataFrame, text: str = "text") -> DataFrame:
-    """K-3: score and label of each advisory answer; genuine refusals stay at 0.40 at most. Other columns pass through."""
-    return with_layers(responses, advisory_layers(SPARK, text)).select(*responses.columns, "score", "confidence_label")
+    """K-3: score and label of each advisory answer; other columns pass through.
+
+    Columns query, input_degraded, fallback_used and jurisdiction count where they are there. Disclaimers (has_disclaimer)
+    lower nothing; genuine refusals stay at 0.40, degraded input at 0.30, at 0.25 with a fallback; answers without a
+    jurisdiction and without an authority lose half.
+    """
+    given = {"query": "query", "degraded": "coalesce(input_degraded, false)", "fallback": "coalesce(fallback_used, false)", "jurisdiction": "coalesce(jurisdiction, '')"}
+    needed = {"query": "query", "degraded": "input_degraded", "fallback": "fallback_used", "jurisdiction": "jurisdiction"}
+    chosen = {k: e for k, e in given.items() if needed[k] in responses.columns}
+    return with_layers(responses, advisory_layers(SPARK, text, **chosen)).select(*responses.columns, "score", "confidence_label", "has_disclaimer")
 
 
 def confidence_label(rows: DataFrame, score: str = "score") -> DataFrame:

@@ -14,14 +14,26 @@ def normalized(q: SparkSql, c: str) -> str:
     return f"trim({q.replace(f'lower(coalesce({c}, {chr(39) * 2}))', r'[ \t\n\r]+', ' ')})"
 
 
-MATCH = "lower(i.category) = lower(g.expected_category) and upper(i.severity) = upper(g.expected_severity)"
+def _any(q: SparkSql, patterns: str, text: str) -> str:
+    return q.some(f"coalesce({patterns}, {q.keep(q.array([q.text('')]), 'p', 'false')})", "p", q.contains(text, "lower(p)"))
+
+
+def match_condition(q: SparkSql) -> str:
+    """Category and severity are allowed; the quote and the explanation hold one of their patterns, where there are any, and no forbidden one."""
+    quote, why = normalized(q, "i.quoted_text"), normalized(q, "i.risk_explanation")
+    needs = lambda patterns, text: f"({q.size(f'g.{patterns}')} = 0 or {_any(q, f'g.{patterns}', text)})"
+    allowed = q.some("g.allowed_categories", "c", "lower(c) = lower(coalesce(i.category, ''))") + " and " + q.some("g.allowed_severities", "c", "upper(c) = upper(coalesce(i.severity, ''))")
+    return f"{allowed} and {needs('quote_patterns', quote)} and {needs('explanation_patterns', why)} and not {_any(q, 'g.quote_not_patterns', quote)} and not {_any(q, 'g.explanation_not_patterns', why)}"
 
 
 def match_findings(issues: DataFrame, truth: DataFrame) -> DataFrame:
-    """E-1: pairs of a finding and an expected one of its document: same category and severity, and the expected quote's words in the quote."""
+    """E-1: pairs of a finding and an expected one of its document that it satisfies.
+
+    Truth rows hold allowed_categories, allowed_severities, quote_patterns, quote_not_patterns, explanation_patterns and
+    explanation_not_patterns as arrays; an empty array of patterns asks for nothing.
+    """
     i, g = issues.alias("i"), truth.alias("g")
-    quote = f"({SPARK.contains(normalized(SPARK, 'i.quoted_text'), normalized(SPARK, 'g.quote_pattern'))})"
-    return i.join(g, F.expr(f"i.doc_id = g.doc_id and {MATCH} and {quote}")).select("i.doc_id", "i.issue_no", "g.gt_no", "i.issue_title", "g.expected_title")
+    return i.join(g, F.expr(f"i.doc_id = g.doc_id and {match_condition(SPARK)}")).select("i.doc_id", "i.issue_no", "g.gt_no", "i.issue_title", "g.expected_title")
 
 
 def first_match(pairs: DataFrame) -> DataFrame:
@@ -41,19 +53,34 @@ def title_match_class(matches: DataFrame) -> DataFrame:
 
 _METRICS = {
     "precision": "case when tp + fp > 0 then cast(tp as double) / (tp + fp) when gt_count = 0 then 1.0 else 0.0 end",
-    "recall": "case when tp + fn > 0 then cast(tp as double) / (tp + fn) when tp + fp = 0 then 1.0 else 0.0 end",
+    "recall": "case when tp + fn > 0 then cast(tp as double) / (tp + fn) when gt_count = 0 then 1.0 else 0.0 end",
+    "title_accuracy": "case when tp > 0 then cast(n_exact + n_partial as double) / tp else 1.0 end",
+    "severity_accuracy": "1.0D",
 }
+_VERDICT = {
+    "fail_reasons": """concat_ws('; ', case when not parse_ok then 'parse_failed' end, case when red_flag and tp = 0 and gt_count > 0 then 'catastrophic_false_negative' end,
+      case when gt_count > 0 and tp < gt_count then concat('missing ', cast(gt_count - tp as varchar(20)), '/', cast(gt_count as varchar(20)), ' findings') end,
+      case when gt_count > 0 and fp > 0 then concat(cast(fp as varchar(20)), ' false positive(s)') end)""",
+}
+
 
+def document_metrics(issues: DataFrame, truth: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """E-4: for every document on either side, and those of ``docs`` (doc_id, parse_ok, red_flag): tp (findings that match), fp, fn
+    (expected ones that nothing matches), rates, title accuracy, the reasons why it fails, and whether it passes.
 
-def document_metrics(issues: DataFrame, truth: DataFrame) -> DataFrame:
-    """E-4: tp (findings that match), fp, fn (expected ones that nothing matches), precision and recall of each document on either side."""
-    matched = first_match(match_findings(issues, truth))
+    Precision is 1 without findings and truth, recall 1 without truth. Matches have an allowed severity, so its accuracy is 1.
+    """
+    matched = title_match_class(first_match(match_findings(issues, truth)))
     found = issues.groupBy("doc_id").agg(F.count("*").alias("n_found"))
     expected = truth.groupBy("doc_id").agg(F.count("*").alias("gt_count"))
-    hits = matched.groupBy("doc_id").agg(F.count("*").alias("tp"), F.count_distinct("gt_no").alias("n_gt_hit"))
-    both = found.join(expected, "doc_id", "full").join(hits, "doc_id", "left").na.fill(0)
-    out = both.selectExpr("doc_id", "tp", "n_found - tp as fp", "gt_count - n_gt_hit as fn", "gt_count")
-    return out.selectExpr("*", *[f"{e} as {k}" for k, e in _METRICS.items()])
+    named = lambda c: F.count_if(F.col("title_class") == c)
+    hits = matched.groupBy("doc_id").agg(F.count("*").alias("tp"), F.count_distinct("gt_no").alias("n_gt_hit"), named("exact").alias("n_exact"), named("partial").alias("n_partial"))
+    both = found.join(expected, "doc_id", "full").join(hits, "doc_id", "left")
+    both = both.join(docs.select("doc_id", "parse_ok", "red_flag"), "doc_id", "full") if docs is not None else both.withColumns({"parse_ok": F.lit(True), "red_flag": F.lit(False)})
+    out = both.na.fill(0).na.fill({"parse_ok": True, "red_flag": False})
+    out = out.selectExpr("doc_id", "tp", "n_found - tp as fp", "gt_count - n_gt_hit as fn", "gt_count", "n_exact", "n_partial", "parse_ok", "red_flag")
+    out = out.selectExpr("*", *[f"{e} as {k}" for k, e in _METRICS.items()]).selectExpr("*", *[f"{e} as {k}" for k, e in _VERDICT.items()])
+    return out.withColumn("pass", F.expr("fail_reasons = ''")).drop("red_flag")
 
 
 def composite(parse: str = "parse_rate", precision: str = "precision", recall: str = "recall", severity: str = "severity_accuracy", fpr: str = "fpr", fnr: str = "fnr") -> str:
@@ -65,26 +92,37 @@ def composite(parse: str = "parse_rate", precision: str = "precision", recall: s
 _CORPUS = {
     "tp": "cast(sum(tp) as bigint)", "fp": "cast(sum(fp) as bigint)", "fn": "cast(sum(fn) as bigint)", "n_docs": "count(*)", "parse_rate": "avg(cast(parse_ok as int))",
 }
-_RATES = {"precision": "coalesce(cast(tp as double) / nullif(tp + fp, 0), 0.0)", "recall": "coalesce(cast(tp as double) / nullif(tp + fn, 0), 0.0)", "fpr": "coalesce(cast(fp as double) / nullif(tp + fp, 0), 0.0)", "fnr": "coalesce(cast(fn as double) / nullif(tp + fn, 0), 0.0)", "severity_accuracy": "1.0"}
+_RATES = {
+    "precision": "coalesce(cast(tp as double) / nullif(tp + fp, 0), 0.0)", "recall": "coalesce(cast(tp as double) / nullif(tp + fn, 0), 0.0)", "fpr": "coalesce(cast(fp as double) / nullif(tp + fp, 0), 0.0)",
+    "fnr": "coalesce(cast(fn as double) / nullif(tp + fn, 0), 0.0)",
+}
+#: Sums and rates that need columns which not every table has, and the value where they are missing.
+_OPTIONAL = {
+    "severity_accuracy": (("severity_accuracy",), "sum(tp * severity_accuracy)", "1.0D"),
+    "title_accuracy": (("n_exact", "n_partial"), "cast(sum(n_exact + n_partial) as double)", "cast(null as double)"),
+}
+_CORPUS_COLUMNS = ("tp", "fp", "fn", "n_docs", "parse_rate", "precision", "recall", "fpr", "fnr", "severity_accuracy", "title_accuracy")
+
+
+def _corpus(docs: DataFrame, grouped) -> DataFrame:
+    has = {k: all(c in docs.columns for c in needs) for k, (needs, _, _) in _OPTIONAL.items()}
+    sums = _CORPUS | {f"s_{k}": total for k, (_, total, _) in _OPTIONAL.items() if has[k]}
+    rates = _RATES | {k: f"coalesce(cast(s_{k} as double) / nullif(tp, 0), 0.0)" if has[k] else missing for k, (_, _, missing) in _OPTIONAL.items()}
+    return grouped.agg(*[F.expr(e).alias(k) for k, e in sums.items()]).selectExpr("*", *[f"{e} as {k}" for k, e in rates.items()])
 
 
 def corpus_metrics(docs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """E-5: sums and rates over documents (tp, fp, fn, parse_ok; severity accuracy 1 where no column severity_accuracy is given) and the composite, for each group of ``by``."""
-    rates = dict(_RATES)
-    sums = dict(_CORPUS)
-    if "severity_accuracy" in docs.columns:
-        sums["sev"] = "sum(tp * severity_accuracy)"
-        rates["severity_accuracy"] = "coalesce(cast(sev as double) / nullif(tp, 0), 0.0)"
-    out = docs.groupBy(*by).agg(*[F.expr(e).alias(k) for k, e in sums.items()])
-    out = out.selectExpr("*", *[f"{e} as {k}" for k, e in rates.items()])
-    return out.selectExpr(*by, "tp", "fp", "fn", "n_docs", "precision", "recall", f"cast({composite()} as double) as composite")
+    """E-5: sums and rates over documents (tp, fp, fn, parse_ok) and the composite, for each group of ``by``.
+
+    Severity accuracy weighs documents by tp, and is 1 where no such column is given; title accuracy needs n_exact and
+    n_partial. Rates over nothing are 0.
+    """
+    return _corpus(docs, docs.groupBy(*by)).selectExpr(*by, *_CORPUS_COLUMNS, f"cast({composite()} as double) as composite")
 
 
 def metrics_by_type(docs: DataFrame) -> DataFrame:
     """E-6: the same overall (doc_type null) and for each type, by grouping sets in one pass."""
-    out = docs.rollup("doc_type").agg(*[F.expr(e).alias(k) for k, e in _CORPUS.items()])
-    out = out.selectExpr("*", *[f"{e} as {k}" for k, e in _RATES.items()])
-    return out.selectExpr("doc_type", "tp", "fp", "fn", "n_docs", "precision", "recall", f"cast({composite()} as double) as composite")
+    return _corpus(docs, docs.rollup("doc_type")).selectExpr("doc_type", "tp", "fp", "fn", "n_docs", "precision", "recall", f"cast({composite()} as double) as composite")
 
 
 SCORES = {
@@ -110,11 +148,16 @@ def _ranks(df: DataFrame, x: str, by: Sequence[str]) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """E-8: rank correlation with averaged ties, 0 where a side is constant, for each group of ``by``."""
+    """E-8: rank correlation with averaged ties, 0 where a side is constant, and its approximate p value, for each group of ``by``."""
     df = df.where(f"{x} is not null and {y} is not null")
     ranked = df.join(_ranks(df, x, by), [*by, x]).join(_ranks(df, y, by), [*by, y])
     sums = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.covar_pop(f"rank_{x}", f"rank_{y}").alias("c"), F.var_pop(f"rank_{x}").alias("vx"), F.var_pop(f"rank_{y}").alias("vy"))
-    return sums.select(*by, "n", F.expr("case when vx > 0 and vy > 0 then c / sqrt(vx * vy) else 0D end").alias("rho"))
+    out = sums.select(*by, "n", F.expr("case when vx > 0 and vy > 0 then c / sqrt(vx * vy) else 0D end").alias("rho"), F.expr("vx > 0 and vy > 0").alias("_varies"))
+    return out.withColumn("p_value", F.expr(P_VALUE)).drop("_varies")
+
+
+#: The approximate p value of a rank correlation; 1 for constants, 0 for a perfect one.
+P_VALUE = "cast(case when not _varies or n < 2 then 1.0 when abs(rho) >= 1.0 then 0.0 else least(1.0, 2.0 * exp(-0.5 * abs(rho * sqrt((n - 2) / (1.0 - rho * rho))))) end as double)"
 
 
 def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -146,9 +189,11 @@ def confidence_gap(df: DataFrame) -> DataFrame:
     return df.agg(F.avg(F.expr("case when pass then confidence_score end")).alias("mean_pass"), F.avg(F.expr("case when not pass then confidence_score end")).alias("mean_fail"), F.min("confidence_score").alias("lo"), F.max("confidence_score").alias("hi")).selectExpr("*", "mean_pass - mean_fail as gap")
 
 
-def overconfident(df: DataFrame, high: float = 0.75) -> DataFrame:
-    """E-13: failed documents of high confidence, and documents of at least 0.5 with no true finding."""
-    return df.where(f"(not pass and confidence_score >= {high}) or (tp = 0 and confidence_score >= 0.5)").select("run_id", "doc_id", "confidence_score", "pass", "tp")
+def overconfident(df: DataFrame, high: float = 0.8, some: float = 0.5) -> DataFrame:
+    """E-13: failed documents of high confidence, and documents of some confidence whose precision and recall are both 0, with the reason."""
+    rated = df.selectExpr("*", f"{_METRICS['precision']} as _precision", f"{_METRICS['recall']} as _recall")
+    high_fail, empty = f"(not pass and confidence_score >= {high})", f"(_precision = 0 and _recall = 0 and confidence_score >= {some})"
+    return rated.where(f"{high_fail} or {empty}").selectExpr("run_id", "doc_id", "confidence_score", "pass", "tp", f"{high_fail} as high_confidence_failure", f"{empty} as nothing_correct")
 
 
 def compare_runs(df: DataFrame, before: str, after: Sequence[str]) -> DataFrame:
@@ -158,33 +203,71 @@ def compare_runs(df: DataFrame, before: str, after: Sequence[str]) -> DataFrame:
     return wide.withColumn("mean_after", mean).withColumn("delta", F.col("mean_after") - F.col(before))
 
 
+RUN_METRICS = ("precision", "recall", "fpr", "fnr", "composite")
+
+
+def compare_overall(df: DataFrame, before: str, after: Sequence[str]) -> DataFrame:
+    """E-14: each corpus metric before, its mean over the runs after, and the change: (metric, before, mean_after, delta)."""
+    per = corpus_metrics(df.where(F.col("run_id").isin(before, *after)), ["run_id"]).unpivot("run_id", list(RUN_METRICS), "metric", "value")
+    wide = per.groupBy("metric").agg(F.avg(F.when(F.col("run_id") == before, F.col("value"))).alias("before"), F.avg(F.when(F.col("run_id") != before, F.col("value"))).alias("mean_after"))
+    return wide.withColumn("delta", F.col("mean_after") - F.col("before"))
+
+
 def run_stats(df: DataFrame) -> DataFrame:
     """E-15: mean and sample deviation over runs of each run-level metric."""
-    per = corpus_metrics(df, ["run_id"]).unpivot("run_id", ["precision", "recall", "composite"], "metric", "value")
+    per = corpus_metrics(df, ["run_id"]).unpivot("run_id", list(RUN_METRICS), "metric", "value")
     return per.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
 
 
+def misleading_scores(df: DataFrame) -> DataFrame:
+    """E-15: a document's means over runs, and whether its weighted score is too high (over 0.7 with false findings or no truth) or too low (under 0.3 with true findings)."""
+    means = df.withColumn("_w", F.expr(f"cast({SCORES['weighted']} as double)")).groupBy("doc_id").agg(
+        F.avg("_w").alias("weighted"), F.avg("tp").alias("tp"), F.avg("fp").alias("fp"), F.avg("fn").alias("fn"), F.max("gt_count").alias("gt_count")
+    )
+    return means.selectExpr("*", "weighted > 0.7 and (fp > 0 or gt_count = 0) as too_high", "weighted < 0.3 and gt_count > 0 and tp > 0 as too_low")
+
+
 def sensitivity_grid(df: DataFrame, fps: Sequence[float] = (0.05, 0.10, 0.15, 0.20, 0.25), fns: Sequence[float] = (0.15, 0.25, 0.35, 0.45, 0.55), k: int = 10) -> DataFrame:
-    """E-16: mean, deviation, range of the weighted score and its rank correlation with confidence at each pair of penalties; the k best by correlation.
+    """E-16: each pair of penalties by the weighted score it gives: mean, deviation, range, rank correlation with confidence (rho), gap between
+    passed and failed (separation), mean rank correlation with the other pairs (agreement), 1 - the range of rho among neighbours on the grid
+    (robustness), and their weighted sum; the k best by it.
 
-    The grid meets distinct (tp, fp, fn, gt_count, confidence) combinations with their counts, not documents.
+    The grid meets distinct (tp, fp, fn, gt_count, confidence, pass) combinations with their counts, not documents.
     """
-    cells = df.groupBy("tp", "fp", "fn", "gt_count", "confidence_score").agg(F.count("*").alias("n"))
-    grid = df.sparkSession.createDataFrame([(float(a), float(b)) for a in fps for b in fns], "fp_penalty double, fn_penalty double")
+    cells = df.groupBy("tp", "fp", "fn", "gt_count", "confidence_score", "pass").agg(F.count("*").alias("n"))
+    rows = [(i * len(fns) + j, i, j, float(a), float(b)) for i, a in enumerate(fps) for j, b in enumerate(fns)]
+    grid = df.sparkSession.createDataFrame(rows, "point int, gi int, gj int, fp_penalty double, fn_penalty double")
     score = f"cast(case when gt_count = 0 then case when fp > 0 then 0.0 else 1.0 end else {clamp('cast(tp as double) / nullif(gt_count, 0) - fp * fp_penalty - fn * fn_penalty')} end as double)"
     scored = cells.join(F.broadcast(grid), how="cross").withColumn("score", F.round(F.expr(score), 9))
-    by = ["fp_penalty", "fn_penalty"]
+    by = ["point", "fp_penalty", "fn_penalty", "gi", "gj"]
     ranks = []
     for x in ("score", "confidence_score"):
-        values = scored.groupBy(*by, x).agg(F.sum("n").alias("_n"))
-        ranks.append(values.withColumn(f"rank_{x}", F.expr(f"cast(coalesce(sum(_n) over (partition by {', '.join(by)} order by {x} rows between unbounded preceding and 1 preceding), 0) + (_n + 1) / 2.0 as double)")).drop("_n"))
-    ranked = scored.join(ranks[0], [*by, "score"]).join(ranks[1], [*by, "confidence_score"])
+        values = scored.groupBy("point", x).agg(F.sum("n").alias("_n"))
+        ranks.append(values.withColumn(f"rank_{x}", F.expr(f"cast(coalesce(sum(_n) over (partition by point order by {x} rows between unbounded preceding and 1 preceding), 0) + (_n + 1) / 2.0 as double)")).drop("_n"))
+    ranked = scored.join(ranks[0], ["point", "score"]).join(ranks[1], ["point", "confidence_score"])
     weighted = lambda e: F.sum(F.expr(f"n * ({e})"))
     a, b = "rank_score", "rank_confidence_score"
-    sums = ranked.groupBy(*by).agg(F.sum("n").alias("n"), weighted("score").alias("s"), weighted("score * score").alias("ss"), F.min("score").alias("lo"), F.max("score").alias("hi"), weighted(a).alias("sa"), weighted(b).alias("sb"), weighted(f"{a} * {a}").alias("saa"), weighted(f"{b} * {b}").alias("sbb"), weighted(f"{a} * {b}").alias("sab"))
-    rho = "coalesce((n * sab - sa * sb) / nullif(sqrt(greatest(0D, n * saa - sa * sa)) * sqrt(greatest(0D, n * sbb - sb * sb)), 0D), 0D)"
-    out = sums.selectExpr(*by, "s / n as mean", "sqrt(greatest(0D, ss / n - (s / n) * (s / n))) as sd", "hi - lo as spread", f"{rho} as rho")
-    return out.orderBy(F.round("rho", 9).desc(), *by).limit(k)
+    gap = lambda flag: F.expr(f"coalesce(sum(case when {flag} then n * score end) / nullif(sum(case when {flag} then n end), 0), 0D)")
+    sums = ranked.groupBy(*by).agg(
+        F.sum("n").alias("n"), weighted("score").alias("s"), weighted("score * score").alias("ss"), F.min("score").alias("lo"), F.max("score").alias("hi"), (gap("pass") - gap("not pass")).alias("separation"),
+        weighted(a).alias("sa"), weighted(b).alias("sb"), weighted(f"{a} * {a}").alias("saa"), weighted(f"{b} * {b}").alias("sbb"), weighted(f"{a} * {b}").alias("sab"),
+    )
+    out = sums.selectExpr(*by, "s / n as mean", "sqrt(greatest(0D, ss / n - (s / n) * (s / n))) as sd", "hi - lo as spread", "separation", f"{_RHO} as rho")
+    # ranks of two penalties meet on the outcomes (tp, fp, fn, gt_count), whose ranks hold for all their documents
+    key = ["tp", "fp", "fn", "gt_count"]
+    slim = ranked.groupBy("point", *key).agg(F.sum("n").alias("n"), F.first(a).alias("r"))
+    pair = slim.alias("x").join(slim.selectExpr("point as point2", *key, "r as r2"), key).where("point <> point2")
+    agreed = pair.groupBy("point", "point2").agg(F.sum("n").alias("n"), weighted("r").alias("sa"), weighted("r2").alias("sb"), weighted("r * r").alias("saa"), weighted("r2 * r2").alias("sbb"), weighted("r * r2").alias("sab"))
+    agreement = agreed.selectExpr("point", f"{_RHO} as rho").groupBy("point").agg(F.avg("rho").alias("agreement"))
+    near = out.select(F.col("gi").alias("hi_"), F.col("gj").alias("hj_"), F.col("rho").alias("near_rho"))
+    robust = out.select("point", "gi", "gj").join(F.broadcast(near), F.expr("abs(gi - hi_) <= 1 and abs(gj - hj_) <= 1")).groupBy("point").agg((1 - (F.max("near_rho") - F.min("near_rho"))).alias("robustness"))
+    full = out.join(agreement, "point", "left").join(robust, "point").na.fill(0.0, ["agreement"])
+    full = full.withColumn("composite", F.expr("rho * 0.35 + agreement * 0.25 + robustness * 0.20 + separation * 0.10 + sd * 0.10"))
+    columns = ["fp_penalty", "fn_penalty", "mean", "sd", "spread", "rho", "separation", "agreement", "robustness", "composite"]
+    return full.orderBy(F.round("composite", 9).desc(), "fp_penalty", "fn_penalty").limit(k).select(*columns)
+
+
+_RHO = "coalesce((n * sab - sa * sb) / nullif(sqrt(greatest(0D, n * saa - sa * sa)) * sqrt(greatest(0D, n * sbb - sb * sb)), 0D), 0D)"
 
 
 def rank_formulas(scores: DataFrame) -> DataFrame:
@@ -209,6 +292,19 @@ def ab_compare(a: DataFrame, b: DataFrame, key: str = "doc_id") -> DataFrame:
     return both.selectExpr(key, "tp_b - tp_a as d_tp", "fp_b - fp_a as d_fp", "fn_b - fn_a as d_fn", "tp_a = tp_b and fp_a = fp_b and fn_a = fn_b as is_same")
 
 
+def ab_identity(a: DataFrame, b: DataFrame) -> DataFrame:
+    """E-18: rows of either side that the other lacks, repeats counted: (n_only_a, n_only_b, is_identical). Both sides need the same columns."""
+    sides = a.exceptAll(b.select(*a.columns)).select(F.lit("a").alias("side")).unionByName(b.select(*a.columns).exceptAll(a).select(F.lit("b").alias("side")))
+    counts = sides.agg(F.count_if(F.col("side") == "a").alias("n_only_a"), F.count_if(F.col("side") == "b").alias("n_only_b"))
+    return counts.withColumn("is_identical", F.expr("n_only_a = 0 and n_only_b = 0"))
+
+
+def ab_corpus(a: DataFrame, b: DataFrame) -> DataFrame:
+    """E-18: corpus metrics of two tables of document metrics and their changes: (metric, a, b, delta)."""
+    sides = [corpus_metrics(df).unpivot([], list(RUN_METRICS), "metric", name) for df, name in ((a, "a"), (b, "b"))]
+    return sides[0].join(sides[1], "metric").withColumn("delta", F.col("b") - F.col("a"))
+
+
 def regression_gates(results: DataFrame, gates: Sequence[tuple[str, str, float]]) -> DataFrame:
     """E-19: named limits (gate, condition, bound) on each row of ``results``: (doc_id, gate, passed). Conditions are SQL over the row with {} for the bound."""
     checks = F.array(*[F.struct(F.lit(name).alias("gate"), F.expr(condition.format(bound)).alias("passed")) for name, condition, bound in gates])

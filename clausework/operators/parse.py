@@ -57,7 +57,7 @@ def _items(value: object) -> list[dict[str, str]] | None:
 def labelled(text: str) -> list[dict[str, str]]:
     """J-3: blocks that start with "Issue:", a field on each labelled line."""
     found = []
-    for block in re.split(r"(?im)^(?=\s*Issue\s*:)", text)[1:]:
+    for block in re.split(r"(?im)^(?=[ \t]*Issue[ \t]*:)", text)[1:]:
         pairs = re.findall(r"(?ims)^\s*(" + "|".join(LABELS) + r")\s*:\s*(.*?)(?=^\s*(?:" + "|".join(LABELS) + r")\s*:|\Z)", block)
         found.append({LABELS[next(k for k in LABELS if k.lower() == name.lower())]: " ".join(value.split()) for name, value in pairs})
     return found
@@ -101,7 +101,8 @@ def parse_issues(responses: DataFrame) -> DataFrame:
     text = F.trim("response_text")
     array = F.from_json(F.when(text.startswith("["), text), ITEMS)
     wrapped = F.from_json(F.when(text.startswith("{"), text), f"struct<issues:{ITEMS}>")["issues"]
-    fast = responses.withColumn("_fast", F.coalesce(array, wrapped))
+    single = F.when(text.startswith("{") & F.try_parse_json(text).isNotNull(), F.array(F.from_json(text, "map<string,string>")))
+    fast = responses.withColumn("_fast", F.coalesce(array, wrapped, single))
     good = fast.where("_fast is not null").select("doc_id", F.lit("strict").alias("parse_method"), F.col("_fast").alias("items"))
     slow = fast.where("_fast is null").select("doc_id", _rescued("response_text").alias("r")).select("doc_id", F.col("r.method").alias("parse_method"), F.col("r.items").alias("items"))
     each = good.unionByName(slow).select("doc_id", "parse_method", F.posexplode("items").alias("pos", "item")).withColumn("item", normalize_keys(F.col("item"))).where("cardinality(item) > 0")

@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from clausework.functions.dialect import SPARK, SparkSql
+from clausework.functions.dialect import SPARK
 
 SEVERITIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 #: Terms that are highlighted.
-TERMS = ("indemnify", "liability", "terminate", "confidential", "warranty", "damages", "breach", "exclusive", "perpetual", "arbitration")
-RANK = "case severity when 'LOW' then 0 when 'MEDIUM' then 1 when 'HIGH' then 2 when 'CRITICAL' then 3 else -1 end"
+TERMS = {
+    "indemnify": r"(?i)\bindemnif(?:y|ies|ication)\b", "perpetual": r"(?i)\bperpetual\b", "unlimited liability": r"(?i)\bunlimited liability\b", "termination": r"(?i)\btermination\b",
+    "exclusive jurisdiction": r"(?i)\bexclusive jurisdiction\b", "confidentiality survives": r"(?i)\bconfidentiality survives\b", "force majeure": r"(?i)\bforce majeure\b",
+    "limitation of liability": r"(?i)\blimitation of liability\b", "governing law": r"(?i)\bgoverning law\b", "arbitration": r"(?i)\barbitration\b",
+}
 
 
 def severity_counts(issues: DataFrame) -> DataFrame:
@@ -29,29 +32,44 @@ def category_counts(issues: DataFrame) -> DataFrame:
 
 
 def risk_level(issues: DataFrame, confidence: DataFrame) -> DataFrame:
-    """H-2: SAFE, LOW, MODERATE or HIGH of every document of ``confidence`` (doc_id, score), by its worst findings."""
-    worst = issues.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.expr(f"{RANK} >= 2")).alias("n_high"), F.count_if(F.expr(f"{RANK} = 3")).alias("n_critical"))
-    level = F.expr("case when coalesce(n, 0) = 0 then 'SAFE' when n_critical > 0 or n_high >= 2 then 'HIGH' when n_high = 1 or score < 0.45 then 'MODERATE' else 'LOW' end")
-    return confidence.join(worst, "doc_id", "left").select("doc_id", level.alias("risk_level"))
-
-
-def document_summary(issues: DataFrame, k: int = 5) -> DataFrame:
-    """H-3: up to k different key findings of a document: severe titles first, then other categories, each by issue_no."""
-    severe = issues.where(F.expr(f"{RANK} >= 2")).select("doc_id", F.lit(1).alias("part"), "issue_no", F.col("issue_title").alias("finding"))
-    others = issues.where("trim(category) <> ''").select("doc_id", F.lit(2).alias("part"), "issue_no", F.col("category").alias("finding"))
-    first = severe.unionByName(others).groupBy("doc_id", "finding").agg(F.min(F.struct("part", "issue_no")).alias("at"))
-    ranked = first.withColumn("r", F.row_number().over(W.partitionBy("doc_id").orderBy("at", "finding"))).where(F.col("r") <= k)
-    return ranked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("r", "finding"))).alias("f")).select("doc_id", F.array_join(F.expr("transform(f, x -> x.finding)"), "; ").alias("key_findings"), F.size("f").alias("n_key"))
-
-
-def term_counts(q: SparkSql, t: str = "text") -> dict[str, str]:
-    return {f"n_{w}": q.count(f"coalesce({t}, '')", rf"(?i)\b{w}") for w in TERMS}
+    """H-2: SAFE, LOW_RISK, MODERATE_RISK or HIGH_RISK of every document of ``confidence`` (doc_id, score; null counts as 0).
+
+    Critical and high findings are high risk, but moderate under a confidence of 0.45; medium ones are moderate, low ones
+    low. A finding with contradiction_detected makes the first two high and the last moderate. Unrated findings are safe.
+    """
+    n = lambda *levels: F.count_if(F.col("severity").isin(*levels))
+    seen = issues.groupBy("doc_id").agg(n("HIGH", "CRITICAL").alias("high"), n("MEDIUM").alias("medium"), n("LOW").alias("low"), F.coalesce(F.max("contradiction_detected"), F.lit(False)).alias("clash"))
+    level = F.expr("""case when high > 0 then if(clash or coalesce(score, 0) >= 0.45, 'HIGH_RISK', 'MODERATE_RISK') when medium > 0 then if(clash, 'HIGH_RISK', 'MODERATE_RISK')
+      when low > 0 then if(clash, 'MODERATE_RISK', 'LOW_RISK') else 'SAFE' end""")
+    return confidence.join(seen, "doc_id", "left").select("doc_id", level.alias("risk_level"))
+
+
+def document_summary(issues: DataFrame, risk: DataFrame, k: int = 5) -> DataFrame:
+    """H-3: for every document of ``risk`` (doc_id, risk_level) one line, and up to k key findings.
+
+    Key findings are contradictions by category, titles of critical and high findings, then each other category that no
+    finding so far names, in the order of issue_no. A document's findings stay in one row: they are a list to show.
+    """
+    item = F.struct("issue_no", F.coalesce("issue_title", F.lit("")).alias("title"), F.coalesce("severity", F.lit("")).alias("severity"), F.coalesce("category", F.lit("")).alias("category"), F.coalesce("contradiction_detected", F.lit(False)).alias("clash"))
+    lists = issues.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("f"))
+    rows = risk.join(lists, "doc_id", "left").withColumn("f", F.expr("coalesce(f, array())"))
+    rows = rows.withColumns({"severe": F.expr("filter(f, x -> x.severity in ('HIGH', 'CRITICAL'))"), "categories": F.expr("array_distinct(transform(f, x -> x.category))")})
+    clashes = "transform(filter(f, x -> x.clash), x -> concat('Contradictory ', lower(x.category), ' clauses found'))"
+    titles = "filter(transform(severe, x -> case when x.title = '' or endswith(x.title, 'detected') or endswith(x.title, 'found') then x.title else concat(x.title, ' detected') end), t -> t <> '')"
+    named = "exists(acc, t -> contains(lower(t), lower(c)))"
+    told = "case when size(filter(f, x -> x.category = c)) > 1 then concat('Multiple ', lower(c), ' issues found') else concat(c, ' concern identified') end"
+    key = f"slice(aggregate(categories, array_distinct(concat({clashes}, {titles})), (acc, c) -> if({named}, acc, concat(acc, array({told})))), 1, {k})"
+    line = """case when size(f) = 0 then 'No compliance issues detected in this document.'
+      when risk_level = 'HIGH_RISK' and size(severe) > 0 then concat('High-risk ', lower(severe[0].category), ' and other critical concerns detected.')
+      when risk_level = 'MODERATE_RISK' then concat(array_join(slice(categories, 1, 2), ' and '), ' concerns found. Review recommended before signing.')
+      when risk_level = 'LOW_RISK' then 'Minor compliance observations. Document is generally sound.' else 'Document appears compliant. No significant issues found.' end"""
+    return rows.select("doc_id", F.expr(line).alias("summary"), F.expr(f"array_join({key}, '; ')").alias("key_findings"))
 
 
 def term_hits(docs: DataFrame) -> DataFrame:
     """H-4: occurrences of the highlighted terms, (doc_id, term, n) for terms that occur."""
-    wide = docs.select("doc_id", *[F.expr(e).alias(n) for n, e in term_counts(SPARK).items()])
-    return wide.unpivot("doc_id", [f"n_{w}" for w in TERMS], "term", "n").where("n > 0").withColumn("term", F.expr("substr(term, 3)"))
+    wide = docs.select("doc_id", *[F.expr(SPARK.count("coalesce(text, '')", p)).alias(t) for t, p in TERMS.items()])
+    return wide.unpivot("doc_id", [F.col(f"`{t}`") for t in TERMS], "term", "n").where("n > 0")
 
 
 def build_results(docs: DataFrame, issues: DataFrame) -> DataFrame:

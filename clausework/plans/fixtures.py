@@ -69,6 +69,8 @@ def issue_layers(q: SparkSql) -> list[Layer]:
 
 
 ISSUES = ("doc_id", "issue_no", "issue_title", "severity", "category", "location", "quoted_text", "risk_explanation", "suggested_improvement")
+#: Some findings are marked as contradictions where a query needs it.
+CLASH = "(doc_id + issue_no) % 6 = 0 as contradiction_detected"
 
 
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,25 +102,34 @@ def contracts_sql() -> str:
     return f"(select doc_id, contract as text from {layers_sql('documents', contract_layers(DUCK))})"
 
 
-def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected findings: those of ``issues`` with every third severity and category changed."""
-    return issues(spark, sf_dir).selectExpr(*_TRUTH)
+def _truth(q: SparkSql) -> tuple[str, ...]:
+    none = q.keep(q.array(["''"]), "x", "x <> ''")
+    changed = "(doc_id + issue_no) % 3 = 0"
+    return (
+        "doc_id", "issue_no as gt_no", "case when doc_id % 2 = 0 then issue_title else concat('Missing ', issue_title) end as expected_title",
+        f"case when {changed} then {q.array([q.text('LOW')])} else {q.array(['severity', q.text('critical')])} end as allowed_severities",
+        f"case when (doc_id + 2 * issue_no) % 5 = 0 then {q.array([q.text('Other')])} else {q.array(['category', q.text('Payment')])} end as allowed_categories",
+        f"case when doc_id % 7 = 0 then {none} else {q.array(['left(trim(quoted_text), 12)', q.text('no such words')])} end as quote_patterns",
+        f"case when doc_id % 5 = 0 then {q.array([q.text('Uptime')])} else {none} end as quote_not_patterns",
+        f"case when doc_id % 6 = 1 then {q.array([q.text('Liability'), q.text('obligation'), q.text('clause')])} else {none} end as explanation_patterns",
+        f"case when doc_id % 8 = 2 then {q.array([q.text('perpetual')])} else {none} end as explanation_not_patterns",
+    )
 
 
-_TRUTH = (
-    "doc_id", "issue_no as gt_no", "issue_title as expected_title", "case when (doc_id + issue_no) % 3 = 0 then 'LOW' else severity end as expected_severity",
-    "case when (doc_id + 2 * issue_no) % 3 = 0 then 'Other' else category end as expected_category", "left(quoted_text, 12) as quote_pattern",
-)
+def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected findings from ``issues``: some with other severities or categories, titles with a word more, patterns of all four kinds."""
+    return issues(spark, sf_dir).selectExpr(*_truth(SPARK))
 
 
 def truth_sql() -> str:
-    return f"(select {', '.join(_TRUTH)} from {issues_sql()})"
+    return f"(select {', '.join(_truth(DUCK))} from {issues_sql()})"
 
 
 _RUNS = (
     "concat('run', cast(run_no as varchar(10))) as run_id", "doc_id", "case doc_id % 3 when 0 then 'NDA' when 1 then 'EMP' else 'VEN' end as doc_type", "((doc_id * 3 + run_no) % 10) > 0 as parse_ok",
     "cast((doc_id + run_no) % 4 as int) as tp", "cast((doc_id * 3 + run_no) % 3 as int) as fp", "cast((doc_id * 5 + run_no) % 3 as int) as fn",
     "cast(((doc_id * 37 + run_no * 11) % 101) as double) / 100 as confidence_score", "quality = 1 as pass",
+    "cast((doc_id + run_no) % 3 as double) / 2 as severity_accuracy", "cast((doc_id + run_no) % 4 as int) - cast((doc_id + run_no) % 4 as int) % 2 as n_exact", "cast((doc_id + run_no) % 4 as int) % 2 as n_partial",
 )
 
 
@@ -152,18 +163,20 @@ def history_sql() -> str:
     return f"(select {', '.join(_history(DUCK))} from events)"
 
 
-def response_layers(q: SparkSql) -> list[Layer]:
-    """Model responses around each document's first finding: valid, fenced, cut off or labelled."""
-    item = "concat('{\"Issue Title\": \"', issue_title, '\", \"severity\": \"', severity, '\", \"quotedText\": \"', replace(replace(replace(quoted_text, chr(92), ' '), chr(34), ' '), chr(10), ' '), '\"}')"
-    return [
-        {"item": item},
-        {"response_text": "case doc_id % 5 when 0 then concat('[', item, ']') when 1 then concat('{\"issues\": [', item, ']}') when 2 then concat('```json', chr(10), '{\"issues\": [', item, ',]}', chr(10), '```') when 3 then concat('{\"issues\": [', item) else concat('Issue: ', issue_title, chr(10), 'Severity: ', severity, chr(10), 'Quoted Text: ', replace(quoted_text, chr(10), ' ')) end"},
-    ]
+def _item(q: SparkSql) -> str:
+    clean = "replace(replace(replace(quoted_text, chr(92), ' '), chr(34), ' '), chr(10), ' ')"
+    return f"concat('{{\"Issue Title\": \"', issue_title, '\", \"severity\": \"', severity, '\", \"quotedText\": \"', {clean}, '\"}}')"
 
 
-def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_layers(issues(spark, sf_dir).where("issue_no = 1"), response_layers(SPARK)).select("doc_id", "response_text")
+_LABELLED = "concat('Issue: ', issue_title, chr(10), 'Severity: ', severity, chr(10), 'Quoted Text: ', replace(quoted_text, chr(10), ' '))"
+#: Five kinds of response around a document's findings: array, object, fenced with a comma too many, cut off after the last finding, labelled text.
+_RESPONSE = """case doc_id % 5 when 0 then concat('[', items, ']') when 1 then concat('{"issues": [', items, ']}') when 2 then concat('```json', chr(10), '{"issues": [', items, ',]}', chr(10), '```')
+  when 3 then concat('{"issues": [', items, ', {"Issue Ti') else labelled end as response_text"""
 
 
-def responses_sql() -> str:
-    return f"(select doc_id, response_text from {layers_sql(f'(select * from {issues_sql()} where issue_no = 1)', response_layers(DUCK))})"
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's response for each document, with all its findings in order."""
+    each = issues(spark, sf_dir).selectExpr("doc_id", "issue_no", f"{_item(SPARK)} as item", f"{_LABELLED} as label")
+    lists = each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("issue_no", "item", "label"))).alias("f"))
+    texts = lists.selectExpr("doc_id", "array_join(transform(f, x -> x.item), ', ') as items", "array_join(transform(f, x -> x.label), '\\n\\n') as labelled")
+    return texts.selectExpr("doc_id", _RESPONSE)

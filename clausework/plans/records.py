@@ -17,12 +17,13 @@ NOW = "timestamp '2024-03-01 00:00:00'"
 
 def _parse() -> None:
     parsed = lambda s, d: parse.parse_issues(fixtures.responses(s, d))
-    register("j1_parse_issues", lambda s, d: parsed(s, d).select("doc_id", "issue_no", "issue_title", "severity", F.regexp_replace(F.trim("quoted_text"), r"\s+", " ").alias("quoted_text"), "parse_method"), f"""
-      select doc_id, cast(1 as int) as issue_no, issue_title, severity, nullif(trim(regexp_replace(case when doc_id % 5 < 4 then replace(replace(replace(quoted_text, chr(92), ' '), chr(34), ' '), chr(10), ' ') else quoted_text end, '\\s+', ' ', 'g')), '') as quoted_text,
-        case doc_id % 5 when 0 then 'strict' when 1 then 'strict' when 4 then 'labeled' else 'repaired' end as parse_method
-      from (select * from {ISSUES} where issue_no = 1)""")
-    register("j2_repair_json", lambda s, d: parsed(s, d).where("parse_method = 'repaired'").select("doc_id", "issue_title", "severity"), f"select doc_id, issue_title, severity from {ISSUES} where issue_no = 1 and doc_id % 5 in (2, 3)")
-    register("j3_parse_labeled_text", lambda s, d: parsed(s, d).where("parse_method = 'labeled'").select("doc_id", "issue_title", "severity"), f"select doc_id, issue_title, severity from {ISSUES} where issue_no = 1 and doc_id % 5 = 4")
+    kinds = "case doc_id % 5 when 0 then 'strict' when 1 then 'strict' when 2 then 'repaired' when 3 then 'truncated' else 'labeled' end as parse_method"
+    clean = "case when doc_id % 5 < 4 then replace(replace(replace(quoted_text, chr(92), ' '), chr(34), ' '), chr(10), ' ') else quoted_text end"
+    read = f"(select doc_id, issue_no, issue_title, severity, nullif(trim(regexp_replace({clean}, '\\s+', ' ', 'g')), '') as quoted_text, {kinds} from {ISSUES})"
+    flat = lambda s, d: parsed(s, d).select("doc_id", "issue_no", "issue_title", "severity", F.regexp_replace(F.trim("quoted_text"), r"\s+", " ").alias("quoted_text"), "parse_method")
+    register("j1_parse_issues", flat, f"select * from {read}")
+    register("j2_repair_json", lambda s, d: flat(s, d).where("parse_method in ('repaired', 'truncated')"), f"select * from {read} where doc_id % 5 in (2, 3)")
+    register("j3_parse_labeled_text", lambda s, d: flat(s, d).where("parse_method = 'labeled'"), f"select * from {read} where doc_id % 5 = 4")
     register("j4_normalize_keys", lambda s, d: fixtures.issues(s, d).select("doc_id", "issue_no", parse.normalize_keys(F.create_map(F.lit("Issue Title"), F.col("issue_title"), F.lit("quotedText"), F.col("quoted_text"), F.lit("Extra-Key"), F.col("location"))).alias("m")).select("doc_id", "issue_no", F.expr("try_element_at(m, 'issue_title')").alias("issue_title"), F.expr("try_element_at(m, 'extra_key')").alias("extra_key"), F.size("m").alias("n_keys")), f"select doc_id, issue_no, issue_title, location as extra_key, cast(2 + case when trim(quoted_text) <> '' then 1 else 0 end as int) as n_keys from {ISSUES}")
     labels = " || chr(10) || ".join(f"'{name}: ' || coalesce({field}, '')" for name, field in parse.LABELS.items())
     register("j5_render_issues", lambda s, d: parse.render_issues(fixtures.issues(s, d)), f"select doc_id, string_agg({labels}, chr(10) || chr(10) order by issue_no) as rendered from {ISSUES} group by doc_id")
@@ -43,7 +44,11 @@ def _confidence() -> None:
     register("k1_audit_factors", audit, f"select doc_id, {columns} from {factors}")
     extra = {"domain_signal": "cast(doc_id % 10 as double) / 10", "parse_success": "case when doc_id % 9 = 0 then 0.0 else 1.0 end", "policy_detected": "doc_id % 7 = 0", "non_legal_detected": "doc_id % 8 = 0", "duplicate_suppressed": "doc_id % 3", "fallback_used": "doc_id % 6 = 0", "input_degraded": "doc_id % 5 = 0"}
     register("k2_audit_confidence", lambda s, d: confidence.audit_confidence(audit(s, d).selectExpr("*", *[f"{e} as {k}" for k, e in extra.items()])), f"select doc_id, score, confidence_label from {layers_sql(factors, [extra, *confidence.score_layers()])}")
-    register("k3_advisory_confidence", lambda s, d: confidence.advisory_confidence(table(s, d, "conversations")).select("conv_id", "turn", "score", "confidence_label"), f"select conv_id, turn, score, confidence_label from {layers_sql('conversations', confidence.advisory_layers(DUCK))}")
+    tails = ("", " I cannot say, but the clause is enforceable.", " I cannot help; please consult a lawyer.", " Generally speaking it depends on the contract, liability, breach and damages.", " As far as I know the statute applies.", " I refuse. However, consult an attorney.")
+    asked = "text || case (conv_id + turn) % 6 " + " ".join(f"when {k} then '{x}'" for k, x in enumerate(tails)) + " end as text, 'termination clause' as query, turn % 5 = 0 as input_degraded, turn % 10 = 0 as fallback_used, case when conv_id % 2 = 0 then 'not specified' else 'India' end as jurisdiction"
+    turns = lambda s, d: table(s, d, "conversations").selectExpr("conv_id", "turn", *[x for x in (asked.split(", 'termination")[0], "'termination clause' as query", "turn % 5 = 0 as input_degraded", "turn % 10 = 0 as fallback_used", "case when conv_id % 2 = 0 then 'not specified' else 'India' end as jurisdiction")])
+    given = confidence.advisory_layers(DUCK, "text", "query", "input_degraded", "fallback_used", "jurisdiction")
+    register("k3_advisory_confidence", lambda s, d: confidence.advisory_confidence(turns(s, d)).select("conv_id", "turn", "score", "confidence_label", "has_disclaimer"), f"select conv_id, turn, score, confidence_label, has_disclaimer from {layers_sql(f'(select conv_id, turn, {asked} from conversations)', given)}")
     register("k4_confidence_label", lambda s, d: confidence.confidence_label(fixtures.runs(s, d), "confidence_score").select("run_id", "doc_id", "confidence_label"), f"select run_id, doc_id, {quality.label('confidence_score')} as confidence_label from {RUNS}")
 
 
@@ -53,15 +58,30 @@ def _history() -> None:
     pivot = ", ".join([f"count(*) filter (severity = '{x}') as {x}" for x in results.SEVERITIES] + [f"count(*) filter (severity not in ({known}) or severity is null) as UNRATED"])
     register("h1_severity_counts", lambda s, d: results.severity_counts(issues(s, d)), f"select doc_id, {pivot} from {ISSUES} group by doc_id")
     register("h1_category_counts", lambda s, d: results.category_counts(issues(s, d)), f"select doc_id, case when trim(coalesce(category, '')) = '' then 'Uncategorized' else category end as category, count(*) as n from {ISSUES} group by all")
-    register("h2_risk_level", lambda s, d: results.risk_level(issues(s, d), table(s, d, "documents").selectExpr("doc_id", "cast(doc_id % 10 as double) / 10 as score")), f"""
-      select doc_id, case when coalesce(n, 0) = 0 then 'SAFE' when n_critical > 0 or n_high >= 2 then 'HIGH' when n_high = 1 or (doc_id % 10) / 10.0 < 0.45 then 'MODERATE' else 'LOW' end as risk_level
-      from documents left join (select doc_id, count(*) as n, count(*) filter ({results.RANK} >= 2) as n_high, count(*) filter ({results.RANK} = 3) as n_critical from {ISSUES} group by doc_id) using (doc_id)""")
-    register("h3_document_summary", lambda s, d: results.document_summary(issues(s, d)), f"""
-      with p as (select doc_id, 1 as part, issue_no, issue_title as finding from {ISSUES} where {results.RANK} >= 2 union all select doc_id, 2, issue_no, category from {ISSUES} where trim(category) <> ''),
-      f as (select doc_id, finding, min(part * 1000 + issue_no) as place from p group by doc_id, finding), r as (select *, row_number() over (partition by doc_id order by place, finding) as r from f)
-      select doc_id, string_agg(finding, '; ' order by r) as key_findings, cast(count(*) as int) as n_key from r where r <= 5 group by doc_id""")
-    terms = " union all ".join(f"select doc_id, '{w}' as term, {DUCK.count(chr(116) + 'ext', '(?i)' + chr(92) + 'b' + w)} as n from documents" for w in results.TERMS)
-    register("h4_term_hits", lambda s, d: results.term_hits(table(s, d, "documents")), f"select * from ({terms}) where n > 0")
+    clashing = lambda s, d: issues(s, d).selectExpr("*", fixtures.CLASH)
+    scored = lambda s, d: table(s, d, "documents").selectExpr("doc_id", "cast(doc_id % 10 as double) / 10 as score")
+    clashing_sql = f"(select *, {fixtures.CLASH} from {ISSUES})"
+    risks = f"""(select doc_id, case when high > 0 and (clash or doc_id % 10 >= 5) then 'HIGH_RISK' when high > 0 then 'MODERATE_RISK' when medium > 0 and clash then 'HIGH_RISK' when medium > 0 then 'MODERATE_RISK'
+        when low > 0 and clash then 'MODERATE_RISK' when low > 0 then 'LOW_RISK' else 'SAFE' end as risk_level
+      from documents left join (select doc_id, count(*) filter (severity in ('HIGH', 'CRITICAL')) as high, count(*) filter (severity = 'MEDIUM') as medium, count(*) filter (severity = 'LOW') as low, bool_or(contradiction_detected) as clash from {clashing_sql} group by doc_id) using (doc_id))"""
+    risk = lambda s, d: results.risk_level(clashing(s, d), scored(s, d))
+    register("h2_risk_level", risk, f"select * from {risks}")
+    register("h3_document_summary", lambda s, d: results.document_summary(clashing(s, d), risk(s, d)), f"""
+      with recursive i as (select * from {clashing_sql}), r as (select * from {risks}),
+      a as (select doc_id, 1 as part, issue_no, 'Contradictory ' || lower(category) || ' clauses found' as finding from i where contradiction_detected union all select doc_id, 2, issue_no, issue_title || ' detected' from i where severity in ('HIGH', 'CRITICAL')),
+      a1 as (select doc_id, list(finding order by place) as acc from (select doc_id, finding, min(part * 1000 + issue_no) as place from a group by all) group by doc_id),
+      c as (select doc_id, category, count(*) as n, row_number() over (partition by doc_id order by min(issue_no)) as k from i group by doc_id, category),
+      w as (select r.doc_id, coalesce(a1.acc, []) as acc, 0 as k from r left join a1 using (doc_id) union all
+        select w.doc_id, case when len(list_filter(w.acc, lambda f: contains(lower(f), lower(c.category)))) > 0 then w.acc else list_append(w.acc, case when c.n > 1 then 'Multiple ' || lower(c.category) || ' issues found' else c.category || ' concern identified' end) end, w.k + 1
+        from w join c on c.doc_id = w.doc_id and c.k = w.k + 1),
+      f as (select doc_id, max_by(acc, k) as acc from w group by doc_id),
+      first as (select doc_id, min_by(lower(category), issue_no) as top from i where severity in ('HIGH', 'CRITICAL') group by doc_id), two as (select doc_id, string_agg(category, ' and ' order by k) as cats from c where k <= 2 group by doc_id)
+      select r.doc_id, array_to_string(f.acc[1:5], '; ') as key_findings, case when two.cats is null then 'No compliance issues detected in this document.' when risk_level = 'HIGH_RISK' and top is not null then 'High-risk ' || top || ' and other critical concerns detected.'
+        when risk_level = 'MODERATE_RISK' then cats || ' concerns found. Review recommended before signing.' when risk_level = 'LOW_RISK' then 'Minor compliance observations. Document is generally sound.' else 'Document appears compliant. No significant issues found.' end as summary
+      from r join f using (doc_id) left join first using (doc_id) left join two using (doc_id)""")
+    terms = ("indemnify", "perpetual", "unlimited liability", "termination", "exclusive jurisdiction", "confidentiality survives", "force majeure", "limitation of liability", "governing law", "arbitration")
+    hits = " union all ".join(f"select doc_id, '{w}' as term, len(regexp_extract_all(lower(text), '\\b{'indemnif(?:y|ies|ication)' if w == 'indemnify' else w}\\b')) as n from {fixtures.contracts_sql()}" for w in terms)
+    register("h4_term_hits", lambda s, d: results.term_hits(fixtures.contracts(s, d)), f"select * from ({hits}) where n > 0")
     routed = lambda s, d: table(s, d, "documents").selectExpr("doc_id", "case when doc_id % 3 = 0 then 'policy' else 'audit' end as route")
     item = "'{\"issue_no\":' || issue_no || ',\"issue_title\":\"' || issue_title || '\",\"severity\":\"' || severity || '\",\"category\":\"' || category || '\"}'"
     register("h5_build_results", lambda s, d: results.build_results(routed(s, d), issues(s, d)), f"""
@@ -92,25 +112,40 @@ def _history() -> None:
 def _evaluate() -> None:
     issues, truth, runs = fixtures.issues, fixtures.truth, lambda s, d: fixtures.runs(s, d).withColumn("gt_count", F.expr("tp + fn"))
     rows = f"(select *, tp + fn as gt_count from {RUNS})"
-    quote = f"contains({evaluate.normalized(DUCK, 'i.quoted_text')}, {evaluate.normalized(DUCK, 'g.quote_pattern')})"
-    pairs = f"(select i.doc_id, i.issue_no, g.gt_no, i.issue_title, g.expected_title from {ISSUES} i join {TRUTH} g on i.doc_id = g.doc_id and {evaluate.MATCH} and {quote})"
+    plain = lambda c: f"trim(regexp_replace(lower(coalesce({c}, '')), '\\s+', ' ', 'g'))"
+    anywhere = lambda patterns, c: f"exists (select 1 from (select unnest({patterns}) as p) where contains({c}, lower(p)))"
+    pairs = f"""(select doc_id, issue_no, gt_no, issue_title, expected_title from (select i.*, g.* exclude (doc_id), {plain("quoted_text")} as q, {plain("risk_explanation")} as w from {ISSUES} i join {TRUTH} g using (doc_id))
+      where list_contains(list_transform(allowed_categories, lambda c: lower(c)), lower(category)) and list_contains(list_transform(allowed_severities, lambda c: upper(c)), upper(severity))
+        and (len(quote_patterns) = 0 or {anywhere("quote_patterns", "q")}) and (len(explanation_patterns) = 0 or {anywhere("explanation_patterns", "w")}) and not {anywhere("quote_not_patterns", "q")} and not {anywhere("explanation_not_patterns", "w")})"""
     first = f"(select doc_id, issue_no, gt_no, issue_title, expected_title from (select *, row_number() over (partition by doc_id, issue_no order by gt_no) as r from {pairs}) where r = 1)"
     register("e1_match_findings", lambda s, d: evaluate.match_findings(issues(s, d), truth(s, d)), f"select * from {pairs}")
     register("e2_first_match", lambda s, d: evaluate.first_match(evaluate.match_findings(issues(s, d), truth(s, d))), f"select * from {first}")
     register("e3_title_match_class", lambda s, d: evaluate.title_match_class(evaluate.match_findings(issues(s, d), truth(s, d))).select("doc_id", "issue_no", "gt_no", "title_class"), f"select doc_id, issue_no, gt_no, {evaluate.title_class(DUCK, 'issue_title', 'expected_title')} as title_class from {pairs}")
-    counted = f"""(select f.doc_id, coalesce(tp, 0) as tp, n_found - coalesce(tp, 0) as fp, gt_count - coalesce(n_gt_hit, 0) as fn, gt_count from (select doc_id, count(*) as n_found from {ISSUES} group by doc_id) f
-      join (select doc_id, count(*) as gt_count from {TRUTH} group by doc_id) g using (doc_id) left join (select doc_id, count(*) as tp, count(distinct gt_no) as n_gt_hit from {first} group by doc_id) h on h.doc_id = f.doc_id)"""
-    metrics = ", ".join(f"{e} as {k}" for k, e in evaluate._METRICS.items())
-    register("e4_document_metrics", lambda s, d: evaluate.document_metrics(issues(s, d), truth(s, d)), f"select *, {metrics} from {counted}")
-    sums = ", ".join(f"{e} as {k}" for k, e in evaluate._CORPUS.items())
-    rates = ", ".join(f"{e} as {k}" for k, e in evaluate._RATES.items())
-    total = lambda by, group: f"(select *, cast({evaluate.composite()} as double) as composite from (select *, {rates} from (select {by}{sums} from {rows} {group})))"
-    register("e5_corpus_metrics", lambda s, d: evaluate.corpus_metrics(runs(s, d)), f"select tp, fp, fn, n_docs, precision, recall, composite from {total('', '')}")
+    classed = lambda source: f"(select *, {evaluate.title_class(DUCK, 'issue_title', 'expected_title')} as tc from {source})"
+
+    def metrics_sql(found: str, firsts: str) -> str:
+        return f"""(select *, case when tp + fp > 0 then tp / (tp + fp) when gt_count = 0 then 1.0 else 0.0 end as precision, case when tp + fn > 0 then tp / (tp + fn) when gt_count = 0 then 1.0 else 0.0 end as recall,
+          case when tp > 0 then (n_exact + n_partial) / tp else 1.0 end as title_accuracy, 1.0 as severity_accuracy from (
+          select d.doc_id, coalesce(tp, 0) as tp, coalesce(n_found, 0) - coalesce(tp, 0) as fp, coalesce(gt_count, 0) - coalesce(n_gt_hit, 0) as fn, coalesce(gt_count, 0) as gt_count, coalesce(n_exact, 0) as n_exact, coalesce(n_partial, 0) as n_partial,
+            doc_id % 9 > 0 as parse_ok, doc_id % 4 = 1 as red_flag
+          from documents d left join (select doc_id, count(*) as n_found from {found} group by doc_id) f using (doc_id) left join (select doc_id, count(*) as gt_count from {TRUTH} group by doc_id) g using (doc_id)
+          left join (select doc_id, count(*) as tp, count(distinct gt_no) as n_gt_hit, count(*) filter (tc = 'exact') as n_exact, count(*) filter (tc = 'partial') as n_partial from {classed(firsts)} group by doc_id) h using (doc_id)))"""
+
+    flags = lambda s, d: table(s, d, "documents").selectExpr("doc_id", "doc_id % 9 > 0 as parse_ok", "doc_id % 4 = 1 as red_flag")
+    counted = metrics_sql(ISSUES, first)
+    register("e4_document_metrics", lambda s, d: evaluate.document_metrics(issues(s, d), truth(s, d), flags(s, d)), f"""
+      select * exclude (red_flag), fail_reasons = '' as pass from (select *, array_to_string(list_filter([case when not parse_ok then 'parse_failed' end, case when red_flag and tp = 0 and gt_count > 0 then 'catastrophic_false_negative' end,
+        case when gt_count > 0 and tp < gt_count then 'missing ' || (gt_count - tp) || '/' || gt_count || ' findings' end, case when gt_count > 0 and fp > 0 then fp || ' false positive(s)' end], lambda x: x is not null), '; ') as fail_reasons from {counted})""")
+    sums = "cast(sum(tp) as bigint) as tp, cast(sum(fp) as bigint) as fp, cast(sum(fn) as bigint) as fn, count(*) as n_docs, avg(parse_ok::int) as parse_rate, sum(tp * severity_accuracy) as sv, sum(n_exact + n_partial) as tt"
+    rates = "coalesce(tp / nullif(tp + fp, 0), 0.0) as precision, coalesce(tp / nullif(tp + fn, 0), 0.0) as recall, coalesce(fp / nullif(tp + fp, 0), 0.0) as fpr, coalesce(fn / nullif(tp + fn, 0), 0.0) as fnr, coalesce(sv / nullif(tp, 0), 0.0) as severity_accuracy, coalesce(tt / nullif(tp, 0), 0.0) as title_accuracy"
+    weighing = "100.0 * (parse_rate * 0.20 + precision * 0.20 + recall * 0.25 + severity_accuracy * 0.15 + (1 - least(greatest(fpr - 0.30, 0) / 0.30, 1)) * 0.10 + (1 - least(greatest(fnr - 0.35, 0) / 0.35, 1)) * 0.10)"
+    total = lambda by, group, source=rows: f"(select * exclude (sv, tt), cast({weighing} as double) as composite from (select *, {rates} from (select {by}{sums} from {source} {group})))"
+    register("e5_corpus_metrics", lambda s, d: evaluate.corpus_metrics(runs(s, d)), f"select * from {total('', '')}")
     register("e6_metrics_by_type", lambda s, d: evaluate.metrics_by_type(runs(s, d)), f"select doc_type, tp, fp, fn, n_docs, precision, recall, composite from {total('doc_type, ', 'group by grouping sets ((), (doc_type))')}")
     scores = ", ".join(f"cast({e} as double) as {k}" for k, e in evaluate.SCORES.items())
     register("e7_correctness_scores", lambda s, d: evaluate.correctness_scores(runs(s, d)), f"select run_id, doc_id, {scores} from {rows}")
     average = lambda c: f"rank() over (partition by run_id order by {c}) + (count(*) over (partition by run_id, {c}) - 1) / 2.0"
-    register("e8_spearman", lambda s, d: evaluate.spearman(runs(s, d), "confidence_score", "tp", ["run_id"]), f"select run_id, count(*) as n, coalesce(corr(rx, ry), 0) as rho from (select run_id, cast({average('confidence_score')} as double) as rx, cast({average('tp')} as double) as ry from {rows}) group by run_id")
+    register("e8_spearman", lambda s, d: evaluate.spearman(runs(s, d), "confidence_score", "tp", ["run_id"]), f"select *, case when abs(rho) >= 1 then 0.0 else least(1.0, 2 * exp(-0.5 * abs(rho * sqrt((n - 2) / (1 - rho * rho))))) end as p_value from (select run_id, count(*) as n, coalesce(corr(rx, ry), 0) as rho from (select run_id, cast({average('confidence_score')} as double) as rx, cast({average('tp')} as double) as ry from {rows}) group by run_id)")
     register("e9_kendall", lambda s, d: evaluate.kendall(runs(s, d), "fp", "tp"), f"""
       with p as (select fp as x, tp as y, count(*) as n from {rows} group by all), m as (select sum(case when a.y < b.y then a.n * b.n else 0 end) as c, sum(case when a.y > b.y then a.n * b.n else 0 end) as d from p a join p b on a.x < b.x and a.y <> b.y)
       select cast(coalesce(c, 0) as bigint) as concordant, cast(coalesce(d, 0) as bigint) as discordant, coalesce(cast(c - d as double) / nullif(c + d, 0), 0.0) as tau from m""")
@@ -121,17 +156,26 @@ def _evaluate() -> None:
     edges = "(values (0.0, 0.25), (0.25, 0.45), (0.45, 0.6), (0.6, 0.75), (0.75, 0.9), (0.9, 1.01)) as b(lo, hi)"
     register("e11_calibration_bins", lambda s, d: evaluate.calibration_bins(runs(s, d)), f"select cast(lo as double) as lo, cast(hi as double) as hi, count(*) as n_docs, cast(sum(tp) as bigint) as tp, cast(sum(fp) as bigint) as fp, cast(sum(fn) as bigint) as fn, cast(sum(tp) as double) / nullif(sum(tp + fp), 0) as micro_precision, avg(cast(tp as double) / nullif(tp + fp, 0)) as mean_precision from {rows} join {edges} on confidence_score >= cast(lo as double) and confidence_score < cast(hi as double) group by lo, hi")
     register("e12_confidence_gap", lambda s, d: evaluate.confidence_gap(runs(s, d)), f"select avg(confidence_score) filter (pass) as mean_pass, avg(confidence_score) filter (not pass) as mean_fail, min(confidence_score) as lo, max(confidence_score) as hi, avg(confidence_score) filter (pass) - avg(confidence_score) filter (not pass) as gap from {rows}")
-    register("e13_overconfident", lambda s, d: evaluate.overconfident(runs(s, d)), f"select run_id, doc_id, confidence_score, pass, tp from {rows} where (not pass and confidence_score >= 0.75) or (tp = 0 and confidence_score >= 0.5)")
+    register("e13_overconfident", lambda s, d: evaluate.overconfident(runs(s, d)), f"select run_id, doc_id, confidence_score, pass, tp, not pass and confidence_score >= 0.8 as high_confidence_failure, tp = 0 and fp + fn > 0 and (fp > 0 or gt_count > 0) and gt_count > 0 and confidence_score >= 0.5 as nothing_correct from {rows} where (not pass and confidence_score >= 0.8) or (tp = 0 and gt_count > 0 and confidence_score >= 0.5)")
     register("e14_compare_runs", lambda s, d: evaluate.compare_runs(runs(s, d), "run1", ["run2", "run3"]), f"select *, (run2 + run3) / 2 as mean_after, (run2 + run3) / 2 - run1 as delta from (select doc_id, avg(confidence_score) filter (run_id = 'run1') as run1, avg(confidence_score) filter (run_id = 'run2') as run2, avg(confidence_score) filter (run_id = 'run3') as run3 from {rows} group by doc_id)")
     per = total("run_id, ", "group by run_id")
-    register("e15_run_stats", lambda s, d: evaluate.run_stats(runs(s, d)), " union all ".join(f"select '{m}' as metric, avg({m}) as mean, stddev_samp({m}) as sd from {per}" for m in ("precision", "recall", "composite")))
-    grid = "(select a.x as fp_penalty, b.x as fn_penalty from (values (0.05), (0.10), (0.15), (0.20), (0.25)) a(x), (values (0.15), (0.25), (0.35), (0.45), (0.55)) b(x))"
+    names = ("precision", "recall", "fpr", "fnr", "composite")
+    register("e14_compare_overall", lambda s, d: evaluate.compare_overall(runs(s, d), "run1", ["run2", "run3"]), " union all ".join(f"select '{m}' as metric, b as before, a as mean_after, a - b as delta from (select max({m}) filter (run_id = 'run1') as b, avg({m}) filter (run_id <> 'run1') as a from {per})" for m in names))
+    register("e15_run_stats", lambda s, d: evaluate.run_stats(runs(s, d)), " union all ".join(f"select '{m}' as metric, avg({m}) as mean, stddev_samp({m}) as sd from {per}" for m in names))
+    weight = "case when gt_count = 0 then case when fp > 0 then 0.0 else 1.0 end else greatest(0.0, least(1.0, tp / gt_count - fp * 0.15 - fn * 0.35)) end"
+    register("e15_misleading_scores", lambda s, d: evaluate.misleading_scores(runs(s, d)), f"select *, weighted > 0.7 and (fp > 0 or gt_count = 0) as too_high, weighted < 0.3 and gt_count > 0 and tp > 0 as too_low from (select doc_id, avg(cast({weight} as double)) as weighted, avg(tp) as tp, avg(fp) as fp, avg(fn) as fn, max(gt_count) as gt_count from {rows} group by doc_id)")
+    grid = "(select a.x as fp_penalty, b.x as fn_penalty, a.i, b.i as j from (values (0.05, 0), (0.10, 1), (0.15, 2), (0.20, 3), (0.25, 4)) a(x, i), (values (0.15, 0), (0.25, 1), (0.35, 2), (0.45, 3), (0.55, 4)) b(x, i))"
     score = "case when gt_count = 0 then case when fp > 0 then 0.0 else 1.0 end else greatest(0.0, least(1.0, cast(tp as double) / nullif(gt_count, 0) - fp * cast(fp_penalty as double) - fn * cast(fn_penalty as double))) end"
-    ranked = lambda c: f"cast(rank() over (partition by fp_penalty, fn_penalty order by {c}) + (count(*) over (partition by fp_penalty, fn_penalty, {c}) - 1) / 2.0 as double)"
-    register("e16_sensitivity_grid", lambda s, d: evaluate.sensitivity_grid(runs(s, d)).selectExpr("fp_penalty", "fn_penalty", "round(mean, 6) as mean", "round(sd, 6) as sd", "round(spread, 6) as spread", "round(rho, 6) as rho"), f"""
-      with s as (select *, round(cast({score} as double), 9) as score from {rows}, {grid}), r as (select *, {ranked('score')} as ra, {ranked('confidence_score')} as rb from s)
-      select cast(fp_penalty as double) as fp_penalty, cast(fn_penalty as double) as fn_penalty, round(avg(score), 6) as mean, round(stddev_pop(score), 6) as sd, round(max(score) - min(score), 6) as spread, round(coalesce(corr(ra, rb), 0), 6) as rho
-      from r group by fp_penalty, fn_penalty order by round(coalesce(corr(ra, rb), 0), 9) desc, fp_penalty, fn_penalty limit 10""")
+    ranked = lambda c: f"cast(rank() over (partition by i, j order by {c}) + (count(*) over (partition by i, j, {c}) - 1) / 2.0 as double)"
+    shown = ("mean", "sd", "spread", "rho", "separation", "agreement", "robustness", "composite")
+    rounded = ", ".join(f"round({c}, 6) as {c}" for c in shown)
+    register("e16_sensitivity_grid", lambda s, d: evaluate.sensitivity_grid(runs(s, d)).selectExpr("fp_penalty", "fn_penalty", *[f"round({c}, 6) as {c}" for c in shown]), f"""
+      with s as (select *, round(cast({score} as double), 9) as score from {rows}, {grid}), r as (select *, {ranked('score')} as ra, {ranked('confidence_score')} as rb from s),
+      g as (select i, j, cast(fp_penalty as double) as fp_penalty, cast(fn_penalty as double) as fn_penalty, avg(score) as mean, stddev_pop(score) as sd, max(score) - min(score) as spread, coalesce(corr(ra, rb), 0) as rho, coalesce(avg(score) filter (pass), 0) - coalesce(avg(score) filter (not pass), 0) as separation from r group by all),
+      t as (select x.i, x.j, coalesce(corr(x.ra, y.ra), 0) as c from r x join r y on x.run_id = y.run_id and x.doc_id = y.doc_id and (x.i <> y.i or x.j <> y.j) group by x.i, x.j, y.i, y.j), t2 as (select i, j, avg(c) as agreement from t group by i, j),
+      n as (select a.i, a.j, 1 - (max(b.rho) - min(b.rho)) as robustness from g a join g b on abs(a.i - b.i) <= 1 and abs(a.j - b.j) <= 1 group by a.i, a.j),
+      f as (select *, rho * 0.35 + agreement * 0.25 + robustness * 0.20 + separation * 0.10 + sd * 0.10 as composite from g join t2 using (i, j) join n using (i, j))
+      select fp_penalty, fn_penalty, {rounded} from f order by round(composite, 9) desc, fp_penalty, fn_penalty limit 10""")
     long = " union all ".join(f"select run_id, doc_id, confidence_score, pass, '{k}' as formula, cast({e} as double) as value from {rows}" for k, e in evaluate.SCORES.items())
     scale = lambda c: f"coalesce(({c} - min({c}) over ()) / nullif(max({c}) over () - min({c}) over (), 0), 0.0)"
     register("e17_rank_formulas", lambda s, d: evaluate.rank_formulas(evaluate.formula_criteria(runs(s, d))).selectExpr("formula", "round(total, 6) as total", "place"), f"""
@@ -139,11 +183,16 @@ def _evaluate() -> None:
       c as (select formula, coalesce(corr(value, confidence_score), 0.0) as rho, avg(value) filter (pass) - avg(value) filter (not pass) as separation, stddev_pop(value) as spread from l group by formula),
       t as (select formula, {scale('rho')} * 0.25 + {scale('separation')} * 0.15 + {scale('spread')} * 0.30 + {scale('stability')} * 0.30 as total from c join st using (formula))
       select formula, round(total, 6) as total, cast(rank() over (order by round(total, 9) desc, formula) as int) as place from t""")
-    a, b = lambda s, d: evaluate.document_metrics(issues(s, d), truth(s, d)), lambda s, d: evaluate.document_metrics(issues(s, d).where("issue_no <> 2"), truth(s, d))
-    second = counted.replace(f"from {ISSUES} group by doc_id) f", f"from {ISSUES} where issue_no <> 2 group by doc_id) f").replace(first, first.replace(pairs, f"(select * from {pairs} where issue_no <> 2)"))
+    a, b = lambda s, d: evaluate.document_metrics(issues(s, d), truth(s, d), flags(s, d)), lambda s, d: evaluate.document_metrics(issues(s, d).where("issue_no <> 2"), truth(s, d), flags(s, d))
+    second = metrics_sql(f"(select * from {ISSUES} where issue_no <> 2)", f"(select * from {first} where issue_no <> 2)")
     register("e18_ab_compare", lambda s, d: evaluate.ab_compare(a(s, d), b(s, d)), f"select doc_id, y.tp - x.tp as d_tp, y.fp - x.fp as d_fp, y.fn - x.fn as d_fn, x.tp = y.tp and x.fp = y.fp and x.fn = y.fn as is_same from {counted} x join {second} y using (doc_id)")
+    register("e18_ab_corpus", lambda s, d: evaluate.ab_corpus(a(s, d), b(s, d)), " union all ".join(f"select '{m}' as metric, x.{m} as a, y.{m} as b, y.{m} - x.{m} as delta from {total('', '', counted)} x, {total('', '', second)} y" for m in names))
+    side = "doc_id, issue_no, issue_title, category"
+    register("e18_ab_identity", lambda s, d: evaluate.ab_identity(issues(s, d).select(*side.split(", ")), issues(s, d).selectExpr("doc_id", "issue_no", "case when issue_title = 'No SLA' then 'SLA' else issue_title end as issue_title", "category").where("issue_no <> 3")), f"""
+      with x as (select {side} from {ISSUES}), y as (select doc_id, issue_no, case when issue_title = 'No SLA' then 'SLA' else issue_title end as issue_title, category from {ISSUES} where issue_no <> 3)
+      select (select count(*) from (select * from x except all select * from y)) as n_only_a, (select count(*) from (select * from y except all select * from x)) as n_only_b, (select count(*) from (select * from x except all select * from y)) + (select count(*) from (select * from y except all select * from x)) = 0 as is_identical""")
     gates = [("few_false", "fp <= {}", 1), ("recall", "recall >= {}", 0.5), ("some_found", "tp >= {}", 1)]
-    register("e19_regression_gates", lambda s, d: evaluate.regression_gates(a(s, d), gates), " union all ".join(f"select doc_id, '{n}' as gate, {c.format(v)} as passed from (select *, {metrics} from {counted})" for n, c, v in gates))
+    register("e19_regression_gates", lambda s, d: evaluate.regression_gates(a(s, d), gates), " union all ".join(f"select doc_id, '{n}' as gate, {c.format(v)} as passed from {counted}" for n, c, v in gates))
 
 
 def _sources() -> None:
