@@ -1,14 +1,18 @@
 """Redaction (R-1 to R-12): spans stay an array on the document's row until they are counted.
 
-R-1 is the one helper outside Spark's expressions, since its functions give no match offsets.
+Spark's functions give no match offsets, so candidates come from Python. The single steps R-2 to R-7 are
+expressions over arrays; bulk work takes ``detect_entities``, the same seven steps as one Arrow kernel.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,9 +93,9 @@ def _in(values: Sequence[str]) -> str:
 
 def strip_leadin(docs: DataFrame, out: str = "candidates") -> DataFrame:
     """R-2: a person's leading salutation word goes, and the start moves behind it."""
-    first = "split_part(c.original_text, ' ', 1)"
-    lead = rf"c.entity_type = 'PERSON' and lower({first}) in {_in(LEADIN)} and size(split(c.original_text, r'\s+')) >= 2"
-    return docs.withColumn(out, F.expr(f"transform({out}, c -> if({lead}, named_struct('entity_type', c.entity_type, 'start', c.start + length({first}) + 1, 'end', c.end, 'original_text', substr(c.original_text, length({first}) + 2), 'confidence', c.confidence, 'before', right(concat(c.before, {first}, ' '), 36), 'after', c.after, 'repeated', c.repeated), c))"))
+    first = r"regexp_extract(c.original_text, r'^\S+', 0)"
+    lead = rf"c.entity_type = 'PERSON' and lower({first}) in {_in(LEADIN)} and c.original_text rlike r'\s'"
+    return docs.withColumn(out, F.expr(rf"transform({out}, c -> if({lead}, named_struct('entity_type', c.entity_type, 'start', c.start + length({first}) + 1, 'end', c.end, 'original_text', array_join(slice(split(c.original_text, r'\s+'), 2, 9), ' '), 'confidence', c.confidence, 'before', right(concat(c.before, substr(c.original_text, 1, length({first}) + 1)), 36), 'after', c.after, 'repeated', c.repeated), c))"))
 
 
 def adjust_confidence(docs: DataFrame, out: str = "candidates") -> DataFrame:
@@ -119,8 +123,10 @@ def classify_person(docs: DataFrame, out: str = "candidates") -> DataFrame:
         f"when exists({words}, w -> w in {_in(LEGAL_TERMS)}) then 'legal document terminology' when {q.has(near24, TEMPLATE)} then 'legal clause template' "
         f"when {company} then null when c.confidence < 0.45 then 'low confidence' end"
     )
-    kind = f"case when c.entity_type = 'PERSON' and {place} then 'LOCATION' when c.entity_type = 'PERSON' and {company} then 'COMPANY' else c.entity_type end"
-    sure = f"case when c.entity_type = 'PERSON' and {place} then greatest(c.confidence - 0.08, 0.5) when c.entity_type = 'PERSON' and {company} then greatest(c.confidence, 0.82) else c.confidence end"
+    # a rejected candidate stays a person of its own confidence
+    kept = f"c.entity_type = 'PERSON' and ({reason}) is null"
+    kind = f"case when {kept} and {place} then 'LOCATION' when {kept} and {company} then 'COMPANY' else c.entity_type end"
+    sure = f"case when {kept} and {place} then greatest(c.confidence - 0.08, 0.5) when {kept} and {company} then greatest(c.confidence, 0.82) else c.confidence end"
     return docs.withColumn(out, F.expr(f"transform({out}, c -> named_struct('entity_type', {kind}, 'base_type', c.entity_type, 'start', c.start, 'end', c.end, 'original_text', c.original_text, 'confidence', cast({sure} as double), 'before', c.before, 'after', c.after, 'reason', {reason}))"))
 
 
@@ -173,10 +179,22 @@ def apply_redactions(docs: DataFrame, entities: str = "entities", out: str = "re
     return docs.withColumn(out, _overlaid(entities))
 
 
-def preview_redactions(docs: DataFrame, active_types: Sequence[str], entities: str = "entities") -> DataFrame:
-    """R-9: as R-8 for the chosen types only, with total and active counts."""
-    chosen = docs.withColumn("_active", F.expr(f"filter({entities}, e -> e.entity_type in {_in(active_types)})"))
-    return chosen.withColumn("preview", _overlaid("_active")).withColumn("n_total", F.size(entities)).withColumn("n_active", F.size("_active")).drop("_active")
+def preview_redactions(docs: DataFrame, active: DataFrame | None = None, active_types: Sequence[str] | None = None, entities: str = "entities") -> DataFrame:
+    """R-9: as R-8 for the chosen entities only, with total and active counts.
+
+    ``active`` (doc_id, position) names entities by their place in the document's list, from 0; ``active_types`` limits
+    them to types. Without either all are active; a document that ``active`` does not name has none.
+    """
+    chosen = f"transform({entities}, (e, i) -> named_struct('e', e, 'i', i))"
+    if active_types is not None:
+        chosen = f"filter({chosen}, x -> x.e.entity_type in {_in(active_types) if active_types else '(null)'})"
+    if active is not None:
+        places = active.groupBy("doc_id").agg(F.collect_set("position").alias("_places"))
+        docs = docs.join(places, "doc_id", "left")
+        chosen = f"filter({chosen}, x -> array_contains(coalesce(_places, array()), x.i))"
+    shown = docs.withColumn("_active", F.expr(f"transform({chosen}, x -> x.e)"))
+    shown = shown.withColumn("preview", _overlaid("_active")).withColumn("n_total", F.size(entities)).withColumn("n_active", F.size("_active"))
+    return shown.drop("_active", "_places")
 
 
 def mask_layers(q: SparkSql, t: str = "text") -> list[Layer]:
@@ -199,15 +217,167 @@ def safe_entities(docs: DataFrame, entities: str = "entities") -> DataFrame:
     return docs.withColumn(entities, F.expr(f"transform({entities}, e -> struct(e.start as start, e.end as end, e.entity_type as entity_type, concat('[REDACTED_', e.entity_type, ']') as original_text, e.confidence as confidence))")).withColumn("text", F.lit(""))
 
 
-def entity_stats(docs: DataFrame, entities: str = "entities") -> DataFrame:
-    """R-12: entities and documents for each type, by priority; partial sums before the shuffle."""
-    each = docs.select("doc_id", F.explode(entities).alias("e"))
-    return each.groupBy(F.col("e.entity_type").alias("entity_type")).agg(F.count("*").alias("n_entities"), F.count_distinct("doc_id").alias("n_docs"))
+#: The order in which types are shown.
+SHOWN = ("PERSON", "EMAIL", "PHONE", "ADDRESS", "COMPANY", "LOCATION", "MONEY", "DATE", "ID_NUMBER")
+
+
+def entity_stats(docs: DataFrame, active_types: Sequence[str] | None = None, entities: str = "entities") -> DataFrame:
+    """R-12: entities, active entities and documents for each type, with the type's place in the list shown; partial sums before the shuffle."""
+    each = docs.select("doc_id", F.explode(entities).alias("e")).select("doc_id", F.col("e.entity_type").alias("entity_type"))
+    active = F.col("entity_type").isin(*(SHOWN if active_types is None else active_types))
+    order = F.expr("case entity_type " + " ".join(f"when '{t}' then {k}" for k, t in enumerate(SHOWN)) + " else 99 end")
+    counts = each.groupBy("entity_type").agg(F.count("*").alias("n_entities"), F.count_if(active).alias("n_active"), F.count_distinct("doc_id").alias("n_docs"))
+    return counts.withColumn("shown_at", order)
+
+
+def entity_positions(docs: DataFrame, entities: str = "entities") -> DataFrame:
+    """R-12: the places of a document's entities by type, in order: (doc_id, entity_type, positions)."""
+    each = docs.select("doc_id", F.posexplode(entities).alias("position", "e"))
+    return each.groupBy("doc_id", F.col("e.entity_type").alias("entity_type")).agg(F.array_sort(F.collect_list("position")).alias("positions"))
+
+
+class _Spans:
+    """Spans that do not overlap, in order of their starts."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: dict[int, int] = {}
+
+    def add(self, start: int, end: int) -> bool:
+        """Take a span if it is free; only its neighbours can overlap it."""
+        k = bisect_left(self.starts, end)
+        if k and self.ends[self.starts[k - 1]] > start:
+            return False
+        self.starts.insert(k, start)
+        self.ends[start] = end
+        return True
+
+
+_STRIPPED = ".,:;()[]\"'?!"
+_WORD_SIGNS = ".,:;()[]"
+_PLACES = frozenset(ENTITY_PATTERNS["LOCATION"][0].removeprefix(r"\b(?:").removesuffix(r")\b").split("|"))
+_NEAR_COMPANY = re.compile(r"\b(?:" + "|".join(COMPANY_WORDS) + r")\.?\b")
+_TEMPLATE, _BOILERPLATE = re.compile(TEMPLATE), re.compile(BOILERPLATE)
+_THIS = re.compile(r"\b(?:This|The)\s+$")
+_FIXED_ID = re.compile(r"(?:[A-Z]{5}\d{4}[A-Z]|[A-Z]{2}\d{2}[A-Z0-9]{11}|\d{3}-\d{2}-\d{4})")
+_LABEL_IN_ID = re.compile(r"\b(?:ID|Passport|Aadhaar|SSN|TIN|GSTIN|License)\b")
+_CODE = re.compile(r"([A-Z]{1,4})[- ]?(\d{5,12})")
+_ID_LABELS = ("id", "passport", "aadhaar", "ssn", "tin", "gstin", "license", "employee")
+
+
+def _person(name: str, start: int, end: int, text: str, low: str, counts: dict[str, int]) -> tuple[str, float, bool]:
+    """(type, confidence, rejected) of a person's candidate after R-3 and R-4."""
+    small = name.lower()
+    words = {w.lower().strip(_WORD_SIGNS) for w in name.split()}
+    legal = any(t in small for t in LEGAL_TERMS)
+    stop = start + len(name)
+    sure = ENTITY_PATTERNS["PERSON"][2] - 0.18 * legal - 0.16 * bool(_TEMPLATE.search(text[max(0, start - 24) : stop + 24]))
+    if legal:
+        if small not in counts:
+            counts[small] = low.count(small)
+        sure -= 0.12 * (counts[small] > 1)
+    sure -= 0.1 * bool(_BOILERPLATE.search(text[max(0, start - 36) : stop + 36]))
+    sure = max(round(sure, 2), 0.0)
+    if name in EXCLUDED:
+        return "PERSON", sure, True
+    if name in _PLACES:
+        return "LOCATION", max(sure - 0.08, 0.5), False
+    if name.split()[0] in ("This", "The") or _THIS.search(text[max(0, start - 12) : start]) or words & set(LEGAL_TERMS) or _TEMPLATE.search(text[max(0, start - 24) : end + 24]):
+        return "PERSON", sure, True
+    if words & set(COMPANY_WORDS) or _NEAR_COMPANY.search(text[max(0, start - 20) : end + 20].lower()):
+        return "COMPANY", max(sure, 0.82), False
+    return "PERSON", sure, sure < 0.45
+
+
+def _no_number(kind: str, found: str, start: int, end: int, text: str) -> bool:
+    """R-5 for one candidate."""
+    if kind == "PHONE":
+        bare = found.translate({ord(c): None for c in "+()"})
+        return bool(re.fullmatch(r"\d{4}-\d{4}", found)) or (bool(re.fullmatch(r"\d+", bare)) and len(bare) > 11)
+    if kind != "ID_NUMBER" or _FIXED_ID.fullmatch(found) or _LABEL_IN_ID.search(found):
+        return False
+    code = _CODE.fullmatch(found)
+    if not code:
+        return False
+    window = text[max(0, start - 24) : end + 24].lower()
+    return (len(code[1]) > 1 and not any(t in window for t in _ID_LABELS)) or len(code[2]) > 9
+
+
+def entities_of(text: str | None, compiled: dict[str, re.Pattern[str]]) -> list[tuple[int, int, str, str, float]]:
+    """R-1 to R-7 for one text: (start, end, type, text, confidence) by start. Sorting once and looking at neighbours only keeps it near linear in the candidates."""
+    if not text:
+        return []
+    low, counts = text.lower(), {}
+    taken, refused = [], []
+    for kind, pattern in compiled.items():
+        for m in pattern.finditer(text):
+            found, start, end, sure, now, no = m[0], m.start(), m.end(), ENTITY_PATTERNS[kind][2], kind, False
+            if kind == "PERSON":
+                words = found.split()
+                if len(words) >= 2 and words[0].lower() in LEADIN:
+                    found, start = " ".join(words[1:]), start + len(words[0]) + 1
+                now, sure, no = _person(found, start, end, text, low, counts)
+            if no:
+                refused.append((found, start, end, sure))
+            elif not _no_number(kind, found, start, end, text):
+                taken.append((PRIORITY[now], -sure, start - end, start, end, now, kind, found, sure))
+    spans, kept = _Spans(), []
+    for c in sorted(taken):
+        if spans.add(c[3], c[4]):
+            kept.append(c[3:])
+    key = lambda t: " ".join(t.strip().strip(_STRIPPED).lower().split())
+    groups: dict[str, list] = {}
+    for e in kept:
+        groups.setdefault(key(e[4]), []).append(e)
+    again: dict[str, list] = {}
+    for r in refused:
+        if key(r[0]) in groups:
+            again.setdefault(key(r[0]), []).append(r)
+    out = []
+    for name, members in groups.items():
+        votes = Counter(e[2] for e in members)
+        kind = min(votes, key=lambda t: (-votes[t], PRIORITY[t]))
+        if any(e[3] == "PERSON" for e in members) and len(members) + len(again.get(name, ())) >= 2:
+            kind = "PERSON"
+        out += [(e[0], e[1], kind, e[4], e[5]) for e in members]
+        out += [(start, end, kind, found, sure) for found, start, end, sure in again.get(name, ()) if spans.add(start, end)]
+    return sorted(out)
+
+
+def entity_kernel(types: Sequence[str]):
+    """R-1 to R-7 as one Arrow function from texts to arrays of entities: flat arrays with offsets, no object per entity."""
+    compiled = {t: re.compile(ENTITY_PATTERNS[t][0], ENTITY_PATTERNS[t][1]) for t in types}
+
+    @F.arrow_udf(ENTITIES)
+    def run(texts: pa.Array) -> pa.Array:
+        offsets, flat = [0], []
+        for text in texts.to_pylist():
+            flat += entities_of(text, compiled)
+            offsets.append(len(flat))
+        start, end, kind, found, sure = zip(*flat, strict=True) if flat else ((),) * 5
+        items = pa.StructArray.from_arrays(
+            [pa.array(kind, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(found, pa.string()), pa.array(sure, pa.float64())],
+            ["entity_type", "start", "end", "original_text", "confidence"],
+        )
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)
+
+    return run
+
+
+def detect_entities(docs: DataFrame, options: dict[str, bool] | None = None, out: str = "entities") -> DataFrame:
+    """R-1 to R-7 in one map: the entities that the single steps above give, as an array by start."""
+    off = {t for name, on in (options or {}).items() if not on for t in OPTIONS[name]}
+    return docs.withColumn(out, entity_kernel([t for t in ENTITY_PATTERNS if t not in off])("text"))
 
 
 def redact_documents(docs: DataFrame, options: dict[str, bool] | None = None) -> DataFrame:
     """Bulk redaction: R-1 to R-8 as one map over the documents. Adds entities and redacted_text."""
-    out = docs
-    for step in (lambda d: detect_candidates(d, options), strip_leadin, adjust_confidence, classify_person, reject_false_numbers, resolve_overlaps, reconcile_repeats, apply_redactions):
+    return apply_redactions(detect_entities(docs, options))
+
+
+def stepwise_entities(docs: DataFrame, options: dict[str, bool] | None = None) -> DataFrame:
+    """The same by the single operators R-1 to R-7, for looking into their steps."""
+    out = detect_candidates(docs, options)
+    for step in (strip_leadin, adjust_confidence, classify_person, reject_false_numbers, resolve_overlaps, reconcile_repeats):
         out = step(out)
     return out.drop("candidates")

@@ -98,6 +98,27 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_layers(spark.read.parquet(f"{sf_dir}/documents.parquet"), contract_layers(SPARK)).selectExpr("doc_id", "contract as text")
 
 
+#: Sentences with entities of all types, put behind texts.
+LETTERS = (
+    "Contact Jane Smith at jane.smith@example.com or +1 555 123 4567.", "This Agreement between Jane Smith and Acme Corp. Separately, Jane Smith is a consultant.", "Pay $1,200.50 to Blue River Holdings by 01/02/2024.",
+    "He lives at 12 Old Mill Road near New York. Order ABC123456 shipped, license A12345678.", "SSN 123-45-6789, call 1234-5678 in 2024-2025. The Governing Law of England applies to Mary Ann Jones.",
+    "Dear\nPeter Parker, whereas Effective Date is March 3, 2021, Peter Parker agrees.", "Confidential Party met Confidential Party hereby.", "Hello Maria Garcia of Garcia Services LLC, Austin, Texas. Maria Garcia signs.",
+)
+
+
+def letter_layers(q: SparkSql) -> list[Layer]:
+    return [{"letter": "concat(coalesce(text, ''), ' ', " + _pick(q, "doc_id", LETTERS) + ")"}]
+
+
+def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with a sentence of entities behind their text: doc_id, text."""
+    return with_layers(spark.read.parquet(f"{sf_dir}/documents.parquet"), letter_layers(SPARK)).selectExpr("doc_id", "letter as text")
+
+
+def letters_sql() -> str:
+    return f"(select doc_id, letter as text from {layers_sql('documents', letter_layers(DUCK))})"
+
+
 def contracts_sql() -> str:
     return f"(select doc_id, contract as text from {layers_sql('documents', contract_layers(DUCK))})"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clausework.functions.dialect import DUCK, layers_sql
-from clausework.operators import classify, confidence, evaluate, parse, quality, results
+from clausework.operators import classify, confidence, evaluate, parse, quality, redact, results
 from clausework.plans import fixtures
 from clausework.plans.queries import register, table
 from clausework.sources import corpus
@@ -201,9 +201,46 @@ def _sources() -> None:
     pages = lambda s, d: table(s, d, "pages").selectExpr("page_id div 4 as doc_id", "page_id % 4 as page_no", "html as text")
     pages_sql = "(select page_id // 4 as doc_id, page_id % 4 as page_no, html as text from pages)"
     register("io3_assemble_pages", lambda s, d: corpus.assemble_pages(pages(s, d)), f"select doc_id, string_agg(coalesce(text, ''), '' order by page_no, text) as text, cast(count(*) as int) as n_pages from {pages_sql} group by doc_id")
-    short = lambda s, d: table(s, d, "conversations").selectExpr("conv_id as doc_id", "turn as page_no", "text")
-    register("io4_page_text_triage", lambda s, d: corpus.page_text_triage(short(s, d)), "select *, n_deficient / n_pages as deficient_ratio, n_deficient / n_pages < 0.2 as few_deficient from (select conv_id as doc_id, count(*) as n_pages, count(*) filter (length(trim(coalesce(text, ''))) < 50) as n_deficient from conversations group by conv_id)")
-    register("io5_fix_merged_words", lambda s, d: corpus.fix_merged_words(table(s, d, "documents")), f"select doc_id, fixed from {layers_sql('documents', corpus.merged_word_layers(DUCK))}")
+    # conversations as pages, with noise that degrades some
+    noise = "' @@## T3XT %%% w0rd !!! $$$ 1nput ### &&& *** x9x9x9 @@@ ### 0o0o1l1l'"
+    paged = f"conv_id as doc_id, turn as page_no, case when turn % 3 = 2 and conv_id % 4 > 0 then 'no' when conv_id % 2 = 1 then {noise} || {noise} || text else text end as text"
+    short = lambda s, d: table(s, d, "conversations").selectExpr(*paged.replace("conv_id as doc_id, turn as page_no, ", "conv_id as doc_id|turn as page_no|").split("|", 2))
+    whole = layers_sql(f"(select doc_id, string_agg(coalesce(text, ''), '' order by page_no, text) as text from (select {paged} from conversations) group by doc_id)", [*quality.quality_counts_sql(), *quality.quality_layers(DUCK)])
+    register("io4_page_text_triage", lambda s, d: corpus.page_text_triage(short(s, d)), f"""
+      select *, n_deficient > 0 and deficient_ratio < 0.2 and is_degraded as needs_full_ocr from (select c.*, n_deficient / n_pages as deficient_ratio, is_degraded from
+        (select conv_id as doc_id, count(*) as n_pages, count(*) filter (length(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) < 50) as n_deficient from (select conv_id, text from (select doc_id as conv_id, text from (select {paged} from conversations))) group by conv_id) c join {whole} q using (doc_id))""")
+    stops = "regexp_replace(regexp_replace(coalesce(text, ''), '([a-zA-Z0-9])\\.([A-Z])', '\\1. \\2', 'g'), '([a-zA-Z0-9])\\.([A-Z])', '\\1. \\2', 'g')"
+    register("io5_fix_merged_words", lambda s, d: corpus.fix_merged_words(table(s, d, "documents")), f"select doc_id, regexp_replace({stops}, '([a-z])([A-Z])', '\\1 \\2', 'g') as fixed from documents")
+
+    def text_files(s, d):
+        path = f"{streams.work_folder(s)}/texts"
+        results.transcripts(table(s, d, "conversations")).write.partitionBy("conv_id").text(path)
+        return corpus.read_text_corpus(s, path).select(F.regexp_extract("path", "conv_id=([0-9]+)", 1).cast("long").alias("conv_id"), "text")
+
+    register("io1_read_text_corpus", text_files, "select conv_id, string_agg(case when role = 'user' then 'User: ' else 'Assistant: ' end || coalesce(text, ''), chr(10) order by turn) || chr(10) as text from conversations group by conv_id")
+
+    def packed(df, fields: str, folder: str) -> None:
+        """JSON arrays of at most 100 documents in a file each, as review and run files hold them."""
+        rows = df.selectExpr("doc_id div 100 as part", f"to_json(struct({fields})) as j").groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("j")), ","), F.lit("]")).alias("value"))
+        rows.write.partitionBy("part").text(folder)
+
+    def review_files(s, d):
+        folder = f"{streams.work_folder(s)}/reviews"
+        item = "struct(gt_no, concat(doc_id, '-', gt_no) as id, expected_title as expected_issue_title, allowed_severities, allowed_categories, quote_patterns as must_contain_quoted_text_pattern)"
+        lists = fixtures.truth(s, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.expr(item))).alias("issues"))
+        packed(lists, "cast(doc_id as string) as document_id, struct(issues) as ground_truth", folder)
+        return corpus.load_ground_truth(s, folder, "*").selectExpr("cast(doc_id as bigint) as doc_id", "gt_no", "id", "expected_issue_title", "array_join(allowed_severities, '|') as severities", "size(must_contain_quoted_text_pattern) as n_patterns")
+
+    register("io6_load_ground_truth", review_files, f"select doc_id, cast(gt_no - 1 as int) as gt_no, doc_id || '-' || gt_no as id, expected_title as expected_issue_title, array_to_string(allowed_severities, '|') as severities, len(quote_patterns) as n_patterns from {TRUTH}")
+
+    def run_files(s, d):
+        folder = f"{streams.work_folder(s)}/runs"
+        lists = fixtures.runs(s, d).selectExpr("doc_id", "run_id", "array(struct(cast(doc_id as string) as doc_id, tp, fp, fn, confidence_score)) as per_document")
+        packed(lists, "run_id, per_document", folder)
+        return corpus.load_runs(s, folder).selectExpr("run_id", "cast(doc_id as bigint) as doc_id", "tp", "fp", "fn", "confidence_score")
+
+    register("io7_load_runs", run_files, f"select run_id, doc_id, tp, fp, fn, confidence_score from {RUNS}")
+    register("io8_redaction_rows", lambda s, d: corpus.redaction_rows(redact.redact_documents(fixtures.letters(s, d))))
     item = "'{\"issue_no\":' || issue_no || ',\"issue_title\":\"' || issue_title || '\",\"severity\":\"' || severity || '\"}'"
     register("io8_history_rows", lambda s, d: corpus.history_rows(fixtures.issues(s, d)), f"select doc_id, 'doc' || doc_id || '.txt' as filename, cast(count(*) as int) as issue_count, '[' || string_agg({item}, ',' order by issue_no) || ']' as issues_json, 'HIGH' as severity_level from {ISSUES} group by doc_id")
     register("io9_report_text", lambda s, d: corpus.report_text(fixtures.issues(s, d)), f"select doc_id, 'Findings of document ' || doc_id || chr(10) || string_agg(issue_no || '. ' || issue_title || ' [' || severity || '] ' || coalesce(category, ''), chr(10) order by issue_no) as report from {ISSUES} group by doc_id")

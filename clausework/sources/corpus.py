@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausework.functions.dialect import SPARK, Layer, SparkSql, with_layers
+from clausework.operators.quality import assess_quality
 
 #: Accepted kinds of files with their size limits in megabytes, and the text limit.
 LIMITS_MB = {"pdf": 25, "docx": 15, "txt": 2}
@@ -47,30 +48,44 @@ def assemble_pages(pages: DataFrame, separator: str = "") -> DataFrame:
 
 
 def page_text_triage(pages: DataFrame, min_chars: int = 50, bad_ratio: float = 0.20) -> DataFrame:
-    """IO-4: pages of a document with under ``min_chars`` characters, their share, and whether it stays under ``bad_ratio``."""
-    short = F.length(F.trim(F.coalesce("text", F.lit("")))) < min_chars
+    """IO-4: pages of a document with under ``min_chars`` characters, their share, and whether the whole must be read again: the
+    assembled text is degraded although some, but under ``bad_ratio``, of its pages are deficient (with more, those pages are the fault)."""
+    short = F.length(F.expr(SPARK.strip("coalesce(text, '')"))) < min_chars
     counts = pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.count_if(short).alias("n_deficient"))
-    return counts.withColumn("deficient_ratio", F.col("n_deficient") / F.col("n_pages")).withColumn("few_deficient", F.col("deficient_ratio") < bad_ratio)
+    quality = assess_quality(assemble_pages(pages)).select("doc_id", "is_degraded")
+    rated = counts.withColumn("deficient_ratio", F.col("n_deficient") / F.col("n_pages")).join(quality, "doc_id")
+    return rated.withColumn("needs_full_ocr", (F.col("n_deficient") > 0) & (F.col("deficient_ratio") < bad_ratio) & F.col("is_degraded"))
 
 
-def merged_word_layers(q: SparkSql, t: str = "text") -> list[Layer]:
-    return [{"fixed": q.replace(q.replace(f"coalesce({t}, '')", r"\.([A-Z])", ". <1>"), r"([a-z])([A-Z])", "<1> <2>")}]
+def fix_merged_words(docs: DataFrame) -> DataFrame:
+    """IO-5: a space behind a stop between a letter or digit and a capital, and between a small letter and a capital."""
+    stops = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?<=[a-zA-Z0-9])\.(?=[A-Z])", ". ")
+    return docs.select("doc_id", F.regexp_replace(stops, "(?<=[a-z])(?=[A-Z])", " ").alias("fixed"))
 
 
-def fix_merged_words(docs: DataFrame) -> DataFrame:
-    """IO-5: a space after a stop before a capital, and between a small letter and a capital."""
-    return with_layers(docs.select("doc_id", "text"), merged_word_layers(SPARK)).select("doc_id", "fixed")
+META_SCHEMA = "document_id string, title string, type string, subtype string, risk_level string, red_flag boolean, word_count int, jurisdiction string"
+
+
+def _reviews(spark: SparkSession, path: str, schema: str, pattern: str) -> DataFrame:
+    return spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").json(path)
 
 
-def load_ground_truth(spark: SparkSession, path: str) -> DataFrame:
-    """IO-6: expected findings of review files, one row each, in order (gt_no)."""
-    reviews = spark.read.schema(REVIEW_SCHEMA).option("multiLine", True).option("pathGlobFilter", "*.review.json").option("recursiveFileLookup", "true").json(path)
+def load_ground_truth(spark: SparkSession, path: str, pattern: str = "*.review.json") -> DataFrame:
+    """IO-6: expected findings of review files (one document or an array of them in each), one row each, in order (gt_no)."""
+    reviews = _reviews(spark, path, REVIEW_SCHEMA, pattern)
     return reviews.select(F.col("document_id").alias("doc_id"), F.posexplode("ground_truth.issues").alias("gt_no", "g")).select("doc_id", "gt_no", "g.*")
 
 
-def load_runs(spark: SparkSession, path: str) -> DataFrame:
+def load_reviewed_documents(spark: SparkSession, path: str, reviews: str = "*.review.json", metas: str = "*.meta.json") -> DataFrame:
+    """IO-6: every reviewed document with its counts and limits, joined with its meta file; without one, those columns are null."""
+    truth = _reviews(spark, path, REVIEW_SCHEMA, reviews).selectExpr("document_id as doc_id", "ground_truth.parse_should_succeed", "ground_truth.max_allowed_issues", "coalesce(size(ground_truth.issues), 0) as gt_count")
+    meta = _reviews(spark, path, META_SCHEMA, metas).selectExpr("document_id as doc_id", "type", "subtype", "risk_level", "coalesce(red_flag, false) as red_flag", "word_count", "jurisdiction")
+    return truth.join(meta, "doc_id", "left")
+
+
+def load_runs(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """IO-7: run files as one row for each run and document, with the file's name."""
-    runs = spark.read.schema(RUN_SCHEMA).option("multiLine", True).option("recursiveFileLookup", "true").json(path)
+    runs = _reviews(spark, path, RUN_SCHEMA, pattern)
     return runs.select("run_id", "model", F.input_file_name().alias("file"), F.explode("per_document").alias("d")).select("run_id", "model", "file", "d.*")
 
 
@@ -80,6 +95,13 @@ def history_rows(issues: DataFrame) -> DataFrame:
     return lists.select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), F.size("l").alias("issue_count"), F.to_json("l").alias("issues_json"), F.when(F.size("l") > 0, "HIGH").otherwise("LOW").alias("severity_level"))
 
 
+def redaction_rows(docs: DataFrame) -> DataFrame:
+    """IO-8: one redaction record per document (doc_id, entities, redacted_text): filename, count, entities without raw values as JSON, the redacted text, and the types found, sorted."""
+    safe = F.to_json(F.expr("transform(entities, e -> named_struct('entity_type', e.entity_type, 'replacement', concat('[REDACTED_', e.entity_type, ']'), 'start', e.start, 'end', e.end))"))
+    types = F.array_join(F.array_sort(F.array_distinct(F.expr("transform(entities, e -> e.entity_type)"))), ",")
+    return docs.select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), F.size("entities").alias("redaction_count"), safe.alias("entities_json"), "redacted_text", types.alias("redaction_types"))
+
+
 def append_history(rows: DataFrame, path: str) -> None:
     """IO-8: append records with the time of writing, in folders by date."""
     stamped = rows.withColumn("timestamp", F.current_timestamp()).withColumn("date", F.current_date())
