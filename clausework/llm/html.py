@@ -1,18 +1,21 @@
 """Main text of pages by wrapper induction.
 
-All pages of a host are reduced to folded DOM trees, in which runs of equal siblings are one
-node. Siblings of a folded tree differ in their labels, so that the trees of all pages of a host
-align by the paths of their labels into one wrapper.
-Nodes with the same text on all pages are its template, nodes with varying text its slots.
-The wrapper names the content node; its text on each page, without the parts that carry
-boilerplate marks, is the result.
+All pages of a host are reduced to folded trees: repeated siblings of one label (paragraphs, list
+items, rows) are one node, containers without a class are told apart by their place. Siblings of a
+folded tree then differ in their labels, so that simple tree matching aligns the trees of all pages
+of a host by the paths of their labels, and the wrapper is what the pages' paths add up to.
+Nodes whose text is the same on most pages are the template; nodes with varying text are slots, and
+the content is the slots of the lowest container that holds them all. Links only and boilerplate
+marks (elements, roles, words of class and id) break ties: they tell menus, adverts and comments,
+which vary too, from content.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,16 +42,27 @@ _BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary sear
 _BOILERPLATE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split())
 #: Parts of a text that are no containers of one.
 _BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl li dt dd table blockquote pre figure figcaption address details hr".split())
-_CONTENT_WORDS = frozenset("article content entry main post story".split())
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>|[^<]+|<", re.S)
+#: Elements that two of which are two things, unless they share a class.
+_CONTAINERS = frozenset("div section article main table tbody".split())
+#: Elements whose text is never read.
+_SILENT = frozenset("head script style noscript template iframe svg canvas object".split())
+
+#: Possessive repeats: each sign is looked at once, and a quote that is never closed is a plain sign.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|[^<]++|<",
+    re.S,
+)
+#: Elements nested deeper than this are read as their ancestor's children, as browsers do.
+MAX_NESTING = 500
+#: Classes and ids whose words carry digits are made by machines and name nothing.
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z_-]*")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in _RAW}
 
 
 @dataclass
 class Node:
-    """An element: its label for alignment, whether it is boilerplate, and its children and texts in order."""
+    """An element: its label for alignment, whether it is marked as boilerplate or as main text, and its children and texts in order."""
 
     tag: str
     label: str
@@ -61,24 +75,37 @@ def _element(tag: str, attributes: str) -> Node:
     if "=" not in attributes:
         return Node(tag, tag, tag in _BOILERPLATE_TAGS, tag in ("article", "main"))
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
-    words = re.split(r"[^a-z]+", (found.get("class", "") + " " + found.get("id", "")).lower())
+    names = (found.get("class", "") + " " + found.get("id", "")).lower()
+    words = re.split(r"[^a-z]+", names)
     role = found.get("role", "").lower()
     main = tag in ("article", "main") or role in ("main", "article") or found.get("itemprop", "") == "articleBody"
     page = tag in ("html", "body")
     boilerplate = tag in _BOILERPLATE_TAGS or not page and (role in _BOILERPLATE_ROLES or not main and not _BOILERPLATE_WORDS.isdisjoint(words))
-    marks = sorted({w for w in words if w in _BOILERPLATE_WORDS or w in _CONTENT_WORDS})
-    return Node(tag, ".".join([tag, *marks]), boilerplate, main)
+    stable = sorted({n for n in names.split() if _NAME.fullmatch(n)})[:3] if tag in _CONTAINERS and not page else []
+    return Node(tag, ".".join([tag, *stable]), boilerplate, main)
 
 
 def parse(source: str) -> Node:
     """The page's tree; unclosed and stray tags are repaired by the usual implied ends."""
     root = Node("#", "#")
     stack = [root]
-    at, n = 0, len(source)
+    # open elements by tag, and those beyond MAX_NESTING that were not opened
+    held: Counter[str] = Counter()
+    unopened: Counter[str] = Counter()
+
+    def close(k: int) -> None:
+        for x in stack[k:]:
+            held[x.tag] -= 1
+        del stack[k:]
+
+    at, n, last = 0, len(source), source.rfind(">")
     while at < n:
+        if at > last:
+            stack[-1].children.append(source[at:])
+            break
         m = _TOKEN.match(source, at)
         at = m.end()
-        tag = m[2]
+        tag, ending, attributes = (m[2], m[1], m[3]) if m[2] else (m[5], m[4], m[6])
         if tag is None:
             text = m[0]
             if text[0] != "<" or text == "<":
@@ -87,18 +114,21 @@ def parse(source: str) -> Node:
                 stack[-1].children.append(text[9:].removesuffix("]]>"))
             continue
         tag = tag.lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+        if ending:
+            if unopened[tag]:
+                unopened[tag] -= 1
+                continue
+            for k in range(len(stack) - 1, 0, -1) if held[tag] else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in ("article", "body", "td", "table") and tag in _INLINE | {"p"}:
                     break
             continue
         if tag in _CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if held["p"] else ():
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag not in _INLINE:
                     break
@@ -106,91 +136,144 @@ def parse(source: str) -> Node:
             ends = _SELF_CLOSING[tag]
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in ends:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in _SCOPES:
                     break
-        node = _element(tag, m[3])
+        node = _element(tag, attributes)
+        if len(stack) > MAX_NESTING:
+            if tag not in _RAW and tag not in _VOID and not attributes.rstrip().endswith("/"):
+                unopened[tag] += 1
+                stack[-1].children.append(" ")
+                continue
         stack[-1].children.append(node)
         if tag in _RAW:
             end = _RAW_END[tag].search(source, at)
             if tag in ("title", "textarea"):
                 node.children.append(source[at : end.start() if end else n])
             at = end.end() if end else n
-        elif tag not in _VOID and not m[3].rstrip().endswith("/"):
+        elif tag not in _VOID and not attributes.rstrip().endswith("/"):
             stack.append(node)
+            held[tag] += 1
     return root
 
 
-def _append_text(node: Node, out: list[str]) -> None:
-    todo = [iter(node.children)]
-    ends: list[bool] = [False]
+def labelled(node: Node) -> Iterator[tuple[str, Node | str]]:
+    """The node's children, seen through inline elements, with their labels in a folded tree; texts have an empty one.
+
+    Containers without a stable class get their place among their kind, since two of them are two things; other
+    siblings of one label are records of one thing.
+    """
+    todo = list(reversed(node.children))
+    places: Counter[str] = Counter()
     while todo:
-        for child in todo[-1]:
-            if isinstance(child, str):
-                out.append(html.unescape(child) if "&" in child else child)
-            elif not child.boilerplate:
-                block = child.tag not in _INLINE
-                if block:
-                    out.append(" ")
-                todo.append(iter(child.children))
-                ends.append(block)
-                break
-            elif child.tag not in _INLINE:
-                out.append(" ")
+        child = todo.pop()
+        if isinstance(child, str):
+            yield "", child
+        elif child.tag in _INLINE and not child.boilerplate:
+            if child.tag == "a":
+                yield "<a", child
+            todo += reversed(child.children)
+            if child.tag == "a":
+                todo.insert(len(todo) - len(child.children), _LINK_END)
+        elif child is _LINK_END:
+            yield "a>", child
+        elif child.label == child.tag and child.tag in _CONTAINERS:
+            places[child.tag] += 1
+            yield f"{child.label}~{places[child.tag]}", child
         else:
-            todo.pop()
-            if ends.pop():
-                out.append(" ")
+            yield child.label, child
+
+
+_LINK_END = Node("/a", "/a")
 
 
-def text_of(nodes: list[Node]) -> str:
-    """The nodes' text without boilerplate: references decoded, white space as one space, blocks joined by one space."""
+def text_of(nodes: list[Node], path: str = "", dropped: frozenset[str] = frozenset()) -> str:
+    """The nodes' text without marked parts and without the wrapper's ``dropped`` paths: references decoded, white space as one space, blocks joined by one space."""
     out: list[str] = []
     for node in nodes:
-        _append_text(node, out)
+        todo = [(labelled(node), path)]
+        while todo:
+            rest, here = todo[-1]
+            for label, child in rest:
+                if label == "":
+                    out.append(html.unescape(child) if "&" in child else child)
+                elif label in ("<a", "a>"):
+                    continue
+                elif child.boilerplate:
+                    if child.tag not in _INLINE:
+                        out.append(" ")
+                else:
+                    out.append(" ")
+                    if f"{here}/{label}" not in dropped:
+                        todo.append((labelled(child), f"{here}/{label}"))
+                        break
+            else:
+                todo.pop()
+                out.append(" ")
         out.append(" ")
     return " ".join("".join(out).split())
 
 
 @dataclass
 class Folded:
-    """A node of a folded tree or of a wrapper. chars and varies are those of its own text."""
+    """A node of a folded tree or of a wrapper. chars, links (those of them in links) and varies are those of its own text."""
 
     label: str
     children: list[Folded] = field(default_factory=list)
     chars: int = 0
+    links: int = 0
     digest: int = 0
     varies: bool = False
+    template: bool = False
+    marked: bool = False
 
 
-def fold(node: Node) -> Folded:
-    """Siblings of the same label become one node with all their children; boilerplate is left out.
+def fold(*same: Node) -> Folded:
+    """Siblings of the same label become one node with all their children; a marked part is one node with the digest of all its text.
 
-    Inline elements count as their parent's text, so that style does not tell trees apart.
+    Inline elements count as their parent's text, so that style does not tell trees apart. Parts that
+    never hold text to read, such as scripts and the head, are left out.
     """
-    out = Folded(node.label)
+    out = Folded(same[0].label)
     groups: dict[str, list[Node]] = {}
-    todo = list(node.children)
-    texts = []
-    while todo:
-        child = todo.pop(0)
-        if isinstance(child, str):
+    texts, linked = [], 0
+    for label, child in (pair for node in same for pair in labelled(node)):
+        if label == "<a":
+            linked += 1
+        elif label == "a>":
+            linked -= 1
+        elif label == "":
             if not child.isspace():
                 texts.append(child)
-        elif child.tag in _INLINE and not child.boilerplate:
-            todo[:0] = child.children
-        elif not child.boilerplate and child.tag not in _VOID and child.tag != "head":
-            groups.setdefault(child.label, []).append(child)
+                out.links += len(child) if linked else 0
+        elif child.tag not in _VOID and child.tag not in _SILENT:
+            groups.setdefault(label, []).append(child)
     if texts:
         joined = "".join(texts)
         out.chars, out.digest = len(joined), hash_of(joined)
-    for label, same in groups.items():
-        merged = Node(same[0].tag, label, children=[c for x in same for c in x.children])
-        out.children.append(fold(merged))
+    for label, nodes in groups.items():
+        if nodes[0].boilerplate:
+            whole = _all_text(nodes)
+            out.children.append(Folded(f"{label}!", chars=len(whole), digest=hash_of(whole), marked=True))
+        else:
+            inner = fold(*nodes)
+            inner.label = label
+            out.children.append(inner)
     return out
 
 
+def _all_text(nodes: list[Node]) -> str:
+    out, todo = [], list(reversed(nodes))
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str):
+            out.append(node)
+        elif node.tag not in _SILENT:
+            todo += reversed(node.children)
+    return "".join(out)
+
+
 def hash_of(text: str) -> int:
     raw = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8).astype(np.uint64)
     weights = np.arange(1, len(raw) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -216,9 +299,11 @@ def _read_skeleton(text: str) -> Folded:
 
 
 def _nodes(node: Folded) -> Iterator[Folded]:
-    yield node
-    for c in node.children:
-        yield from _nodes(c)
+    todo = [node]
+    while todo:
+        n = todo.pop()
+        yield n
+        todo += reversed(n.children)
 
 
 def simple_tree_match(a: Folded, b: Folded) -> tuple[int, list[tuple[Folded, Folded]]]:
@@ -243,61 +328,80 @@ def simple_tree_match(a: Folded, b: Folded) -> tuple[int, list[tuple[Folded, Fol
     return 1 + best[m][n], pairs
 
 
-def _mass(node: Folded) -> int:
-    """Varying text in a subtree."""
-    return sum(n.chars for n in _nodes(node) if n.varies)
+#: Share of a node's text in links from which it is a menu, and of a host's pages that a template stands on.
+LINK_SHARE = 0.6
+TEMPLATE_SHARE = 0.5
+#: Distinct pages that have to agree before a text is a template.
+TEMPLATE_PAGES = 3
 
 
-def content_path(wrapper: Folded) -> str:
-    """Path of labels to the content node: the first article or main element, else the lowest container that holds all of the slots' text."""
-    marked = None
-    todo = [(wrapper, "")]
+def _weigh(wrapper: Folded) -> dict[int, tuple[int, int, int]]:
+    """For each node: varying text, all text and text in links of its subtree, marked parts aside."""
+    order = list(_nodes(wrapper))
+    out: dict[int, tuple[int, int, int]] = {}
+    for n in reversed(order):
+        own = (0, 0, 0) if n.marked else (n.chars if n.varies else 0, n.chars, n.links)
+        out[id(n)] = tuple(x + sum(out[id(c)][k] for c in n.children) for k, x in enumerate(own))
+    return out
+
+
+def content_of(wrapper: Folded) -> tuple[str, list[str]]:
+    """Path to the content node, and the paths below it of containers that are template and of menus.
+
+    The content node is the lowest container that holds all slots; an article or main element with slots breaks the
+    tie between it and what varies beside it. Text that is all links is a menu, but not in such an element.
+    """
+    mass = _weigh(wrapper)
+    slot = (lambda n: mass[id(n)][0]) if mass[id(wrapper)][0] else (lambda n: mass[id(n)][1])
+    menu = lambda n: mass[id(n)][1] > 0 and mass[id(n)][2] >= LINK_SHARE * mass[id(n)][1]
+    best: tuple[int, Folded, str] | None = None
+    todo = [(wrapper, f"/{wrapper.label}")]
     while todo:
-        node, path = todo.pop(0)
-        here = f"{path}/{node.label}"
-        tag, *marks = node.label.split(".")
-        if node is not wrapper and (tag in ("article", "main")):
-            marked = marked or (here, _mass(node), sum(n.chars for n in _nodes(node)))
-        todo += [(c, here) for c in node.children]
-    if marked:
-        return marked[0]
-    slots = _mass if _mass(wrapper) else lambda n: sum(x.chars for x in _nodes(n))
-    node, path = wrapper, f"/{wrapper.label}"
-    while True:
-        inner = [c for c in node.children if slots(c)]
-        if len(inner) != 1 or slots(node) > slots(inner[0]) or inner[0].label.split(".")[0] in _BLOCKS:
-            return path
-        node, path = inner[0], f"{path}/{inner[0].label}"
+        node, path = todo.pop()
+        if node is not wrapper and node.label.split(".")[0].split("~")[0] in ("article", "main") and not node.marked and slot(node) and (best is None or slot(node) > best[0]):
+            best = (slot(node), node, path)
+        todo += [(c, f"{path}/{c.label}") for c in reversed(node.children)]
+    if best:
+        node, path = best[1:]
+    else:
+        node, path = wrapper, f"/{wrapper.label}"
+        while True:
+            inner = [c for c in node.children if not c.marked and slot(c) and not menu(c)]
+            own = node.varies and node.chars
+            if len(inner) != 1 or own or inner[0].label.split(".")[0].split("~")[0] in _BLOCKS:
+                break
+            node, path = inner[0], f"{path}/{inner[0].label}"
+    dropped = []
+    todo = [(c, f"{path}/{c.label}") for c in node.children]
+    while todo:
+        n, here = todo.pop()
+        constant = n.label.split(".")[0].split("~")[0] in _CONTAINERS and mass[id(n)][1] > 0 and all(x.template or not x.chars for x in _nodes(n))
+        if not n.marked and (constant or (not best and menu(n))):
+            dropped.append(here)
+        else:
+            todo += [(c, f"{here}/{c.label}") for c in n.children]
+    return path, sorted(dropped)
 
 
 def find(root: Node, path: str) -> list[Node]:
     """The page's nodes that align with the wrapper's path, seen through inline elements."""
     level = [root]
     for label in path.split("/")[2:]:
-        found = []
-        todo = [c for n in level for c in n.children]
-        while todo:
-            c = todo.pop(0)
-            if isinstance(c, str) or c.boilerplate:
-                continue
-            if c.label == label:
-                found.append(c)
-            elif c.tag in _INLINE:
-                todo[:0] = c.children
-        level = found
+        level = [c for n in level for name, c in labelled(n) if name == label and not c.boilerplate]
     return level
 
 
-def extract(source: str, path: str | None) -> str:
+def extract(source: str, path: str | None, dropped: frozenset[str] = frozenset()) -> str:
     """A page's main text at the wrapper's content path; a page that has no such node is its own wrapper."""
     root = parse(source)
     nodes = find(root, path) if path else []
-    text = text_of(nodes) if nodes else ""
+    text = text_of(nodes, path or "", dropped) if nodes else ""
     if not text:
         own = fold(root)
         for n in _nodes(own):
             n.varies = n.chars > 0
-        text = text_of(find(root, content_path(own)))
+        path, menus = content_of(own)
+        text = text_of(find(root, path), path, frozenset(menus))
     return text
 
 
@@ -306,29 +410,36 @@ def host_of(url: str) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@\[\]]*)", 1)), F.lit(""))
 
 
-def _paths(node: Folded, above: str = "") -> Iterator[tuple[str, Folded]]:
-    here = f"{above}/{node.label}"
-    yield here, node
-    for c in node.children:
-        yield from _paths(c, here)
+def _paths(node: Folded) -> Iterator[tuple[str, Folded]]:
+    todo = [(node, f"/{node.label}")]
+    while todo:
+        n, here = todo.pop()
+        yield here, n
+        todo += [(c, f"{here}/{c.label}") for c in reversed(n.children)]
+
+
+_SLOT_SCHEMA = "host string, path string, place int, digest long, chars long, links long, marked boolean, page long"
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, place, digest, chars) of each text node of each page's folded tree."""
+    """A row for each node with text of each page's folded tree, and one for the tree itself; page is the digest of all its text."""
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
+    names = [c.split()[0] for c in _SLOT_SCHEMA.split(", ")]
     for batch in batches:
         rows = []
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rows += [(host, path, k, n.digest, n.chars) for k, (path, n) in enumerate(_paths(fold(parse(source or "")))) if n.chars]
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "path", "place", "digest", "chars"])
+            nodes = list(_paths(fold(parse(source or ""))))
+            page = hash_of(" ".join(f"{path}:{n.digest}" for path, n in nodes if n.chars and not n.marked))
+            rows += [(host, path, k, n.digest, n.chars, n.links, n.marked, page) for k, (path, n) in enumerate(nodes) if n.chars or k == 0]
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
 
-def aligned(slots: Iterator[tuple[str, int, bool]]) -> Folded:
-    """The wrapper of all (path, chars, varies)."""
+def aligned(slots: Iterable[tuple]) -> Folded:
+    """The wrapper of all (path, chars, links, varies, template, marked)."""
     wrapper = Folded("#")
     at = {"/#": wrapper}
-    for path, chars, varies in slots:
+    for path, chars, links, varies, template, marked in slots:
         node, here = wrapper, "/#"
         for label in path.split("/")[2:]:
             here = f"{here}/{label}"
@@ -336,26 +447,41 @@ def aligned(slots: Iterator[tuple[str, int, bool]]) -> Folded:
                 at[here] = Folded(label)
                 node.children.append(at[here])
             node = at[here]
-        node.chars, node.varies = chars, varies
+        node.chars, node.links, node.varies, node.template, node.marked = int(chars), int(links), bool(varies), bool(template), bool(marked)
     return wrapper
 
 
 def _induce(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One host's wrapper from the sums of its paths. A text counts as template if it is the same on all its pages, which are enough and most of the host's."""
     rows = pdf.sort_values(["place", "path"])
-    wrapper = aligned(zip(rows["path"], rows["chars"], (rows["least"] != rows["most"]) | (rows["n"] == 1), strict=True))
-    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "path": [content_path(wrapper)]})
+    whole = rows.loc[rows["path"] == "/#", "pages"].max()
+    same = rows["least"] == rows["most"]
+    template = same & (rows["pages"] >= max(TEMPLATE_PAGES, TEMPLATE_SHARE * whole))
+    path, dropped = content_of(aligned(zip(rows["path"], rows["chars"], rows["links"], ~same | (rows["pages"] <= 1), template, rows["marked"], strict=True)))
+    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "path": [path], "dropped": [dropped]})
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, path): the content path of each host's wrapper.
+    """(host, path, dropped): the content path of each host's wrapper, and the template and menu paths in it.
 
     The texts of all pages make a host's wrapper, added up per host and path of labels before they
-    are shuffled, so that a host has as many rows as its wrapper has nodes. A text that stands on
-    one page only counts as varying.
+    are shuffled, so that a host has as many rows as its wrapper has nodes. Copies of a page count
+    once for a template (by an approximate distinct count of pages, exact for the few that matter).
     """
-    slots = pages.select(host_of("url").alias("host"), "html").mapInArrow(_slots, "host string, path string, place int, digest long, chars long")
-    counted = slots.groupBy("host", "path").agg(F.count("*").alias("n"), F.min("place").alias("place"), F.min("digest").alias("least"), F.max("digest").alias("most"), F.sum("chars").alias("chars"))
-    return counted.groupBy("host").applyInPandas(_induce, "host string, path string")
+    slots = pages.select(host_of("url").alias("host"), "html").mapInArrow(_slots, _SLOT_SCHEMA)
+    counted = slots.groupBy("host", "path").agg(
+        F.approx_count_distinct("page", 0.02).alias("pages"), F.min("place").alias("place"), F.min("digest").alias("least"), F.max("digest").alias("most"),
+        F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.max("marked").alias("marked"),
+    )
+    return counted.groupBy("host").applyInPandas(_induce, "host string, path string, dropped array<string>")
+
+
+def _fresh(names: list[str], wanted: str) -> str:
+    """A column name that is not among ``names``, whatever their case."""
+    taken = {n.lower() for n in names}
+    while wanted in taken:
+        wanted = f"_{wanted}"
+    return wanted
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -364,21 +490,26 @@ def main_text(pages: DataFrame) -> DataFrame:
     Returns page_id, url, text (empty if there is none) and n_chars (its code points), with the
     other columns but html. A null html is empty; pages without a host form a group of their
     own; a page without its wrapper's content node, such as the first of its kind, is its own
-    wrapper. Repeated rows each give their row; an empty table gives no rows.
-
-    Text inside the content node is kept even where it is the same on all pages of a host, since
-    copies and common passages are content. Wrappers are broadcast up to BROADCAST_BYTES and
-    joined by host beyond that.
+    wrapper, in which all text varies. Repeated rows each give their row; an empty table gives no
+    rows. Elements nested beyond MAX_NESTING are read as their ancestor's text; tags that never
+    end are text; both take linear time.
+
+    Text inside the content node goes only where a whole container is template, that is the same on
+    at least TEMPLATE_PAGES distinct pages and TEMPLATE_SHARE of the host's; paragraphs and lists
+    that pages share, and copies of pages, are content. Wrappers are broadcast up to BROADCAST_BYTES
+    and joined by host beyond that.
     """
-    found = materialize(wrappers(pages), "wrappers").toDF("_host", "_path")
+    host, path, cuts, key = (_fresh(pages.columns, n) for n in ("_host", "_path", "_cuts", "_key"))
+    found = materialize(wrappers(pages), "wrappers").toDF(host, path, cuts)
     small = stored_bytes(found) <= BROADCAST_BYTES
-    joined = pages.withColumn("_key", host_of("url")).join(F.broadcast(found) if small else found, F.col("_key") == F.col("_host"), "left").drop("_key", "_host")
-    at, way = joined.columns.index("html"), joined.columns.index("_path")
-    keep = [i for i, c in enumerate(joined.columns) if c not in ("html", "_path", "text", "n_chars")]
+    joined = pages.withColumn(key, host_of("url")).join(F.broadcast(found) if small else found, F.col(key) == F.col(host), "left").drop(key, host)
+    at, way, out = (joined.columns.index(c) for c in ("html", path, cuts))
+    keep = [i for i, c in enumerate(joined.columns) if c not in ("html", path, cuts, "text", "n_chars")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(h or "", p) for h, p in zip(batch.column(at).to_pylist(), batch.column(way).to_pylist(), strict=True)]
+            rows = zip(batch.column(at).to_pylist(), batch.column(way).to_pylist(), batch.column(out).to_pylist(), strict=True)
+            texts = [extract(h or "", p, frozenset(d or ())) for h, p, d in rows]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*(batch.schema.names[i] for i in keep), "text", "n_chars"])
 
     return joined.mapInArrow(run, T.StructType([*(joined.schema.fields[i] for i in keep), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
