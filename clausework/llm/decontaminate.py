@@ -1,10 +1,11 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 Each window of a text as long as a benchmark item gets a 256-bit SimHash of its five-word
-shingles, weighted by their occurrences. A multi-index over blocks of the items'
-fingerprints returns every item within the Hamming radius: two fingerprints that differ in
-at most RADIUS bits agree up to RADIUS // BLOCKS bits in some block. The exact weighted
-similarity of the shingles decides.
+shingles, weighted by their occurrences. A multi-index of two levels returns every item
+within the Hamming radius: two fingerprints that differ in at most RADIUS bits agree up to
+RADIUS // BLOCKS bits in some block of 32, and there up to a quarter of that in some byte.
+Postings by byte give what is looked at, the block's distance decides what is a candidate,
+the whole distance and then the exact weighted similarity of the shingles decide the rest.
 """
 
 from __future__ import annotations
@@ -21,16 +22,20 @@ from pyspark.sql import functions as F
 from clausework.llm.words import as_bytes, mix, shingle_hashes, word_hashes
 
 BITS = 256
-BLOCKS = 32
-WIDTH = BITS // BLOCKS
+BLOCKS = 8
+BYTES = BITS // 8
 #: Shingle vectors of a similarity of 0.75 differ in 44 bits on average, with a deviation of 6; others in 128.
-RADIUS = 80
-#: Benchmark words indexed at a time; a larger benchmark is matched in several passes over the texts.
-PASS_WORDS = 2_000_000
+RADIUS = 63
+BLOCK_RADIUS = RADIUS // BLOCKS
+BYTE_RADIUS = BLOCK_RADIUS // (BYTES // BLOCKS)
+#: Share of repeated shingles from which a window's or item's angle no longer follows from the similarity; such are compared with all.
+HEAVY = 0.05
+#: Benchmark items and bytes of text indexed at a time; a larger benchmark is matched in several passes over the texts.
+LOT_ITEMS = 20_000
+LOT_BYTES = 16 << 20
 MATCH_SCHEMA = "doc_id long, item_id long, start_word int, end_word int, similarity double"
 
 _SIGNS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int16) * 2 - 1
-_POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
 def _bit_signs(shingles: np.ndarray) -> np.ndarray:
@@ -43,16 +48,63 @@ def _fingerprints(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1)
 
 
+_FLIPS = np.array([0] + [sum(1 << b for b in c) for r in range(1, BYTE_RADIUS + 1) for c in combinations(range(8), r)], dtype=np.uint8)
+
+
+def repeats(shingles: np.ndarray) -> int:
+    """Occurrences of shingles after their first."""
+    return len(shingles) - len(np.unique(shingles))
+
+
+@dataclass
+class Postings:
+    """Fingerprints of the items of one length, and for each byte and value the items whose byte is within BYTE_RADIUS of it."""
+
+    items: np.ndarray
+    prints: np.ndarray
+    heavy: np.ndarray  # items that every window meets
+    starts: np.ndarray  # (BYTES * 256 + 1): where the postings of a byte's value begin
+    owners: np.ndarray
+
+    @classmethod
+    def build(cls, items: np.ndarray, prints: np.ndarray, heavy: np.ndarray) -> Postings:
+        slots = (np.arange(BYTES)[:, None, None] * 256 + (prints.T[:, :, None] ^ _FLIPS)).ravel()
+        owners = np.broadcast_to(np.arange(len(items), dtype=np.int32)[None, :, None], (BYTES, len(items), len(_FLIPS))).ravel()
+        order = np.argsort(slots, kind="stable")
+        return cls(items, prints, heavy, np.searchsorted(slots[order], np.arange(BYTES * 256 + 1)).astype(np.int32), owners[order])
+
+    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, row of items) that agree up to BLOCK_RADIUS bits in some block, each pair once."""
+        slots = (np.arange(BYTES) * 256 + prints).ravel()
+        first, count = self.starts[slots], self.starts[slots + 1] - self.starts[slots]
+        ends = np.cumsum(count, dtype=np.int64)
+        at = np.repeat(np.arange(len(slots)), count)
+        k = self.owners[np.repeat(first - (ends - count), count) + np.arange(len(at))]
+        w, block = at // BYTES, at % BYTES // (BYTES // BLOCKS)
+        close = np.bitwise_count(np.ascontiguousarray(prints).view(np.uint32)[w, block] ^ self.prints.view(np.uint32)[k, block]) <= BLOCK_RADIUS
+        pairs = np.unique(w[close] * len(self.items) + k[close])
+        return pairs // len(self.items), pairs % len(self.items)
+
+    def near(self, prints: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) with at most RADIUS differing bits; heavy windows and items meet all."""
+        w, k = self.candidates(prints)
+        close = np.bitwise_count(prints[w] ^ self.prints[k]).sum(axis=1, dtype=np.int32) <= RADIUS
+        w, k = w[close], k[close]
+        if heavy.any() or self.heavy.any():
+            all_w, all_k = np.nonzero(heavy[:, None] | self.heavy[None, :])
+            pairs = np.unique(np.stack([np.concatenate([w, all_w]), np.concatenate([k, all_k])], axis=1), axis=0)
+            w, k = pairs[:, 0], pairs[:, 1]
+        return w, self.items[k]
+
+
 @dataclass
 class BenchmarkIndex:
-    """The items of one pass, their fingerprints and the multi-index over their blocks."""
+    """The items of one pass, their shingles and the multi-index for each length."""
 
     item_ids: list[int]
-    lengths: np.ndarray  # in shingles
     counts: list[tuple[np.ndarray, np.ndarray]]  # distinct shingles, occurrences
     known: np.ndarray  # all shingles of the items, sorted
-    prints: np.ndarray
-    blocks: np.ndarray  # (BLOCKS, 2 ** WIDTH, items): the item agrees with that value up to the block's radius
+    lengths: dict[int, Postings]  # by length in shingles
 
     @classmethod
     def build(cls, items: list[tuple[int, str]]) -> BenchmarkIndex:
@@ -61,24 +113,14 @@ class BenchmarkIndex:
             if len(words):
                 ids.append(items[i][0])
                 shingles.append(shingle_hashes(words))
-        prints = np.stack([_fingerprints(_bit_signs(s).sum(axis=0, keepdims=True, dtype=np.int32))[0] for s in shingles]) if ids else np.zeros((0, BITS // 8), np.uint8)
-        flips = [0] + [sum(1 << b for b in c) for r in range(1, RADIUS // BLOCKS + 1) for c in combinations(range(WIDTH), r)]
-        blocks = np.zeros((BLOCKS, 1 << WIDTH, len(ids)), dtype=bool)
-        for f in flips:
-            blocks[np.arange(BLOCKS)[:, None], (prints.T ^ f), np.arange(len(ids))[None, :]] = True
-        counts = [np.unique(s, return_counts=True) for s in shingles]
+        sizes = np.array([len(s) for s in shingles], dtype=np.int64)
+        lengths = {}
+        for length in np.unique(sizes):
+            own = np.flatnonzero(sizes == length)
+            prints = np.stack([_fingerprints(_bit_signs(shingles[k]).sum(axis=0, keepdims=True, dtype=np.int32))[0] for k in own])
+            lengths[int(length)] = Postings.build(own, prints, np.array([repeats(shingles[k]) > HEAVY * length for k in own]))
         known = np.unique(np.concatenate(shingles)) if ids else np.zeros(0, np.uint64)
-        return cls(ids, np.array([len(s) for s in shingles], dtype=np.int64), counts, known, prints, blocks)
-
-    def near(self, prints: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) with at most RADIUS differing bits, items among the given ones."""
-        hit = np.zeros((len(prints), len(items)), dtype=bool)
-        for b in range(BLOCKS):
-            hit |= self.blocks[b][prints[:, b]][:, items]
-        w, k = np.nonzero(hit)
-        k = items[k]
-        close = _POPCOUNT[prints[w] ^ self.prints[k]].sum(axis=1, dtype=np.int32) <= RADIUS
-        return w[close], k[close]
+        return cls(ids, [np.unique(s, return_counts=True) for s in shingles], known, lengths)
 
 
 def weighted_similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
@@ -88,8 +130,8 @@ def weighted_similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, n
     return common / (int(x[1].sum()) + int(y[1].sum()) - common)
 
 
-def _matches(words: np.ndarray, index: BenchmarkIndex, filter_bits: np.ndarray, percent: int) -> list[tuple[int, int, int, float]]:
-    """(item, first word, end word, similarity) of the best window for each item found in a text."""
+def _matches(words: np.ndarray, index: BenchmarkIndex, filter_bits: np.ndarray, percent: int, first_only: bool = False) -> list[tuple[int, int, int, float]]:
+    """(item, first word, end word, similarity) of the best window for each item found in a text; with ``first_only`` any one match."""
     shingles = shingle_hashes(words)
     if not len(shingles):
         return []
@@ -104,13 +146,12 @@ def _matches(words: np.ndarray, index: BenchmarkIndex, filter_bits: np.ndarray,
     flags[maybe + 1] = 1
     seen = np.cumsum(flags)
     best: dict[int, tuple[float, int, int]] = {}
-    for length in np.unique(index.lengths):
-        span = min(int(length), len(shingles))
+    for length, postings in index.lengths.items():
+        span = min(length, len(shingles))
         if 100 * span < percent * length:
             continue
         # a window with too few shingles of any item can reach the similarity with none
         starts = np.flatnonzero(100 * (seen[span:] - seen[: len(seen) - span]) >= percent * length)
-        items = np.flatnonzero(index.lengths == length)
         for lot in range(0, len(starts), 4096):
             some = starts[lot : lot + 4096]
             lo, hi = int(some[0]), int(some[-1]) + span
@@ -120,22 +161,30 @@ def _matches(words: np.ndarray, index: BenchmarkIndex, filter_bits: np.ndarray,
                 prints = _fingerprints(sums[some - lo + span] - sums[some - lo])
             else:
                 prints = np.concatenate([_fingerprints(_bit_signs(shingles[s : s + span]).sum(axis=0, keepdims=True, dtype=np.int32)) for s in some])
-            for w, k in zip(*index.near(prints, items), strict=True):
+            heavy = np.fromiter((repeats(shingles[s : s + span]) > HEAVY * span for s in some), dtype=bool, count=len(some)) if repeats(shingles[lo:hi]) else np.zeros(len(some), dtype=bool)
+            for w, k in zip(*postings.near(prints, heavy), strict=True):
                 start = int(some[w])
                 value = weighted_similarity(np.unique(shingles[start : start + span], return_counts=True), index.counts[k])
-                if 100 * value >= percent - 1e-9 and value > best.get(k, (0.0,))[0]:
+                if 100 * value >= percent - 1e-9 and value > best.get(int(k), (0.0,))[0]:
                     end = start + span + 4 if len(words) >= 5 else len(words)
                     best[int(k)] = (value, start, end)
-    return [(index.item_ids[k], s, e, v) for k, (v, s, e) in best.items()]
+                    if first_only:
+                        return [(index.item_ids[k], start, end, value)]
+    return [(index.item_ids[k], s, e, v) for k, (v, s, e) in sorted(best.items())]
+
+
+def _filter_bits(index: BenchmarkIndex) -> np.ndarray:
+    bits = np.zeros(1 << 24, dtype=bool)
+    bits[(index.known >> np.uint64(40)).astype(np.int64)] = True
+    return bits
 
 
 def _finder(index: BenchmarkIndex, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_bits = np.zeros(1 << 24, dtype=bool)
-        filter_bits[(index.known >> np.uint64(40)).astype(np.int64)] = True
+        bits = _filter_bits(index)
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            rows = [(ids[i], *m) for i, words in word_hashes(as_bytes(batch.column(1))) for m in _matches(words, index, filter_bits, percent)]
+            rows = [(ids[i], *m) for i, words in word_hashes(as_bytes(batch.column(1))) for m in _matches(words, index, bits, percent)]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "start_word", "end_word", "similarity"])
@@ -143,13 +192,27 @@ def _finder(index: BenchmarkIndex, percent: int):
     return run
 
 
+def _keeper(index: BenchmarkIndex, percent: int, text: int):
+    """Batches without the rows whose text holds an item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = _filter_bits(index)
+        for batch in batches:
+            clean = np.ones(batch.num_rows, dtype=bool)
+            for i, words in word_hashes(as_bytes(batch.column(text))):
+                clean[i] = not _matches(words, index, bits, percent, first_only=True)
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
 def _passes(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in lots of about PASS_WORDS words, streamed to the driver lot by lot."""
+    """The items in lots of at most LOT_ITEMS items and about LOT_BYTES, streamed to the driver lot by lot."""
     lot, held = [], 0
     for row in benchmark.select("item_id", "text").where("item_id is not null and text is not null").toLocalIterator():
         lot.append((row.item_id, row.text))
-        held += row.text.count(" ") + 1
-        if held >= PASS_WORDS:
+        held += len(row.text.encode())
+        if len(lot) >= LOT_ITEMS or held >= LOT_BYTES:
             yield lot
             lot, held = [], 0
     if lot:
@@ -166,7 +229,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75) -> Da
     texts and items match nothing; items with a null id are left out; repeated items of one id
     can give several rows. Repeated documents each give their rows, null doc_ids included. An
     empty table on either side gives no rows. Texts of any length are read whole, in one map
-    over the documents for every PASS_WORDS words of the benchmark and without a shuffle.
+    over the documents for every lot of the benchmark and without a shuffle.
     """
     spark, docs = docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = None
@@ -180,6 +243,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75) -> Da
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item was found; rows with a null doc_id stay."""
-    bad = contaminated(docs, benchmark, percent).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    """The rows of ``docs``, all columns, in whose text no benchmark item was found; one map for every lot, no shuffle. Each row stands for itself, whatever its doc_id."""
+    for items in _passes(benchmark):
+        index = BenchmarkIndex.build(items)
+        if index.item_ids:
+            docs = docs.mapInArrow(_keeper(index, percent, docs.columns.index("text")), docs.schema)
+    return docs

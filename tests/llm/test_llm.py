@@ -149,14 +149,55 @@ def test_decontamination_against_all_windows(spark):
     assert decontaminate.contaminated(documents(spark, docs), documents(spark, [], "item_id long, text string")).count() == 0
 
 
+def _postings(n):
+    (postings,) = decontaminate.BenchmarkIndex.build([(k, prose(k, 30)) for k in range(n)]).lengths.values()
+    return postings
+
+
 def test_multi_index_returns_all_within_the_radius():
-    index = decontaminate.BenchmarkIndex.build([(k, prose(k, 30)) for k in range(5)])
+    postings = _postings(5)
     r = np.random.default_rng(3)
     for item in range(5):
         for flips in (0, 20, decontaminate.RADIUS):
-            bits = np.unpackbits(index.prints[item])
-            bits[r.choice(decontaminate.BITS, flips, replace=False)] ^= 1
-            assert item in index.near(np.packbits(bits)[None, :], np.arange(5))[1]
+            for _ in range(20):
+                bits = np.unpackbits(postings.prints[item])
+                bits[r.choice(decontaminate.BITS, flips, replace=False)] ^= 1
+                assert item in postings.near(np.packbits(bits)[None, :], np.zeros(1, bool))[1]
+
+
+def test_multi_index_looks_at_few_strangers():
+    strangers = np.random.default_rng(4).integers(0, 256, (500, decontaminate.BYTES)).astype(np.uint8)
+    windows, _ = _postings(300).candidates(strangers)
+    assert len(windows) < 0.02 * 300 * 500
+
+
+def test_copies_at_the_threshold_lie_within_the_radius():
+    """Items of 60 shingles of which 51.4 / 60 are common, a similarity of 0.75: the share that the radius misses."""
+    r = np.random.default_rng(6)
+    n, missed, total = 60, 0, 4000
+    for _ in range(total):
+        a = r.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.concatenate([a[: n - 8], r.integers(0, 1 << 63, 8).astype(np.uint64)])
+        x, y = (decontaminate._fingerprints(decontaminate._bit_signs(v).sum(axis=0, keepdims=True, dtype=np.int32))[0] for v in (a, b))
+        missed += int(np.bitwise_count(x ^ y).sum()) > decontaminate.RADIUS
+    assert missed <= 0.002 * total
+
+
+def test_heavily_repeated_shingles_are_found(spark):
+    base = prose(77, 59).split()
+    item = base[:35] + ["x"] * 24
+    doc = base[:35] + ["x"] * 27
+    got = decontaminate.contaminated(documents(spark, [(1, " ".join(doc))]), documents(spark, [(1, " ".join(item))], "item_id long, text string")).collect()
+    assert len(got) == 1
+
+
+def test_clean_rows_stay_whatever_their_id(spark, monkeypatch):
+    items = [(k, prose(500 + k, 30)) for k in range(5)]
+    docs = [(1, prose(1)), (1, items[0][1]), (None, prose(2)), (None, items[4][1]), (3, None), (3, "")]
+    for lot in (2, 20_000):
+        monkeypatch.setattr(decontaminate, "LOT_ITEMS", lot)
+        got = decontaminate.without_contaminated(documents(spark, docs), documents(spark, items, "item_id long, text string")).select("doc_id", "text").collect()
+        assert sorted(map(str, got)) == sorted(str(r) for r in documents(spark, [docs[k] for k in (0, 2, 4, 5)]).select("doc_id", "text").collect())
 
 
 PAGES = [
