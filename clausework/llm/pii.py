@@ -1,9 +1,9 @@
 """Personal data by candidate spans and gradient-boosted trees, in DataFrame functions only.
 
 Generators propose overlapping spans with high recall. Trees, learned by boosting from
-format and context features, give each span a probability; a threshold calibrated on a
-held-out part selects the spans to redact. Spans of the four base kinds that pass their
-fixed tests are always selected.
+format and context features, give each span a probability; thresholds calibrated for each
+kind on a held-out part select the spans to redact. Spans of the four base kinds that pass
+their fixed tests are always selected.
 """
 
 from __future__ import annotations
@@ -34,11 +34,40 @@ EXTRA: dict[str, str] = {
     "secret": r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|key)\b\x20?[=:]\x20?[\"']?[A-Za-z0-9_+/-]{8,}",
     "written_email": r"(?i)[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,64}(?:\x20?[\[(]dot[\])]\x20?[A-Za-z0-9-]{1,64}){1,4}",
 }
+#: Candidates that the trees learn from, and documents that these are taken from, the first by a hash of their text.
 SAMPLE = 20_000
-MAX_DEPTH, TREES = 3, 10
-#: Share of true spans that the selected ones have to have on the held-out part of the sample.
+SAMPLE_DOCS = 50_000
+#: Written examples for each example text of the further kinds.
+EXAMPLES = 40
+MAX_DEPTH, TREES = 3, 12
+#: Share of true spans that the selected ones of each kind have to have on the held-out part of the sample.
 PRECISION = 0.9
-FEATURES = ("length", "digits", "letters", "separators", "groups", "distinct", "after_letter", "before_letter", "cue_phone", "cue_mail", "cue_card", "cue_key", "quoted", "at_sign", "dots", "plus", "even_groups")
+FEATURES = (
+    "length", "digits", "letters", "separators", "groups", "distinct", "after_letter", "before_letter", "cue_phone", "cue_mail", "cue_card", "cue_key", "quoted", "at_sign", "dots", "plus", "even_groups",
+    "cue_other", *(f"is_{k}" for k in EXTRA),
+)
+#: There is no labelled text with spans of the further kinds, so the trees learn them from written examples: what names such data, and
+#: what only looks like it. {dN} stands for N digits, {hN} for N hexadecimal signs, {w} for a word.
+EXAMPLE_TEXTS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    "account": (
+        ("please wire to account {d12} today", "IBAN {d20} at the bank", "my bank account is {d10}, thanks", "account number: {d11}", "payment to acct {d9} was made", "visa {d15} is on file"),
+        ("order {d10} was shipped", "the sum {d12} is large", "item {d9} of the list", "part no {d11} fits", "in row {d14} of it", "serial {d16} on the back", "{w} {d9} {w}", "{w} {w} {d16} {w}", "{w}. {d13}, {w}",
+         "{w} {d16} {d16} {w}", "{w} {d10} {w}", "{w}{d12}{w} {w}", 'token = "{h8}{w}{d12}{h4}"', "{w}\n{d16} {w}"),
+    ),
+    "local_phone": (
+        ("call me at ({d3}) {d3}-{d4} now", "phone {d3}-{d3}-{d4}", "my mobile: {d3} {d3} {d4}", "tel. {d3}.{d3}.{d4}", "fax ({d3}) {d3}-{d4}"),
+        ("part {d3}-{d3}-{d4} of the kit", "rows {d3} {d3} {d4} of it", "entry ({d3}) {d3}-{d4} in the index", "sizes {d3}.{d3}.{d4} and more", "lot {d3}-{d3}-{d4} was sold", "{w} {d3}-{d3}-{d4} {w}",
+         "{w} ({d3}) {d3}-{d4} {w}", "{w} {d3} {d3} {d4} {w}"),
+    ),
+    "secret": (
+        ('token = "{h32}"', "api_key={h24}", "password: {w}{d4}{w}", "the secret={h16} is set", "passwd = '{h8}{d2}'", "key: {h40}"),
+        ("token = identifier of it", "key: important to know", "password: required here", "secret = something_more to say", "api-key: documentation is there", "passwd=changeable by you"),
+    ),
+    "written_email": (
+        ("write to {w} [at] {w} [dot] com", "mail {w}{d2}(at){w}(dot)org please", "contact: {w}.{w} [at] {w} [dot] net", "e-mail {w}[at]{w}[dot]de"),
+        ("they met {w} (at) {w} (dot) and left", "look {w} [at] {w} [dot] and comma", "a {w} (at) {w} (dot) pattern", "drawn {w} [at] {w} [dot] by dot"),
+    ),
+}
 _BLOCK = 128
 
 
@@ -55,6 +84,17 @@ def _prefix_sums(lengths: Column) -> Column:
     return let(blocks, lambda sums: F.transform(lengths, lambda _, i: F.aggregate(F.slice(sums, F.lit(1), F.floor(i / _BLOCK).cast("int")), zero, add) + F.aggregate(F.slice(lengths, (F.floor(i / _BLOCK) * _BLOCK + 1).cast("int"), i % _BLOCK), zero, add)))
 
 
+def _prefix_max(values: Column) -> Column:
+    """The largest of the values before each value, 0 where there is none, in blocks as above."""
+    larger = lambda s, x: F.greatest(s, x)
+    zero = F.lit(0).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int")), lambda b: F.aggregate(F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK)), zero, larger))
+    before = lambda tops: F.transform(
+        values, lambda _, i: F.greatest(F.aggregate(F.slice(tops, F.lit(1), F.floor(i / _BLOCK).cast("int")), zero, larger), F.aggregate(F.slice(values, (F.floor(i / _BLOCK) * _BLOCK + 1).cast("int"), i % _BLOCK), zero, larger))
+    )
+    return F.when(F.size(values) == 0, F.expr("cast(array() as array<int>)")).otherwise(let(blocks, before))
+
+
 def _spans(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value, before, after>> of the leftmost matches that don't overlap; code points, end exclusive.
 
@@ -106,18 +146,25 @@ def _features(span: Column) -> list[Column]:
     return [
         F.char_length(v).cast("double"), count("[0-9]"), count("[A-Za-z]"), count(r"[\x20().-]"), count("[0-9]+"),
         F.size(F.array_distinct(F.split(F.substring(v, 1, 64), ""))).cast("double"), flag(span["after"].rlike(r"[\p{L}]")), flag(span["before"].rlike(r"[\p{L}]$")),
-        near(r"phone|\btel|call|mobile|\bfax"), near("mail|contact"), near("card|visa|account|iban|payment"), near("token|secret|passw|key"),
+        near(r"phone|\btel\b|\btel[.:]|\bcall|mobile|\bfax|anruf|llam[ae]|appel"), near("mail|contact"), near(r"card|visa|account|\bacct|iban|payment|bank|konto|cuenta|compte"), near("token|secret|passw|key"),
         flag(span["before"].rlike("[\"']$") | v.rlike("[\"']")), count("@"), count(r"\."), count(r"^\+"), flag(v.rlike(r"^[0-9]{4}(?:[\x20-]?[0-9]{4}){3}$")),
+        near(r"\border|\bitem|\bpart|\brow|\blot\b|serial|\bentry|\bsize"), *[(span["kind"] == k).cast("double") for k in EXTRA],
     ]
 
 
 @dataclass(frozen=True)
 class SpanModel:
-    """Boosted trees as nested tuples (feature, threshold, left, right) with leaf values, their weights and the threshold."""
+    """Boosted trees as nested tuples (feature, split, left, right) with leaf values, their weights and each kind's threshold; a kind without one selects nothing."""
 
     trees: tuple
     weights: tuple[float, ...]
-    threshold: float
+    thresholds: tuple[tuple[str, float], ...]
+
+    def selects(self, span: Column) -> Column:
+        least = F.lit(2.0)
+        for kind, value in self.thresholds:
+            least = F.when(span["kind"] == kind, value).otherwise(least)
+        return self.probability(_features(span)) >= least
 
     def probability(self, features: list[Column]) -> Column:
         if not self.trees:
@@ -167,48 +214,85 @@ def _candidates(text: Column) -> Column:
     return F.concat(*named)
 
 
+_HINT = r"[0-9@]|(?i)[\[(]at[\])]|token|secret|passw|key"
+
+
 def with_spans(docs: DataFrame, model: SpanModel, out: str = "_spans") -> DataFrame:
     """``docs`` with a column array<struct<kind, start, end>>: valid base spans and the spans that the model selects."""
     text = F.coalesce("text", F.lit(""))
-    chosen = F.filter(F.when(text.rlike(r"[0-9@]|(?i)[\[(]at[\])]|token|secret|passw|key"), _candidates(text)), lambda s: s["valid"] | (~s["kind"].isin(*BASE) & (model.probability(_features(s)) >= model.threshold)))
-    slim = F.transform(chosen, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    # what lies within a base span adds nothing
-    kept = let(slim, lambda all_: F.filter(all_, lambda s: s["kind"].isin(*BASE) | ~F.exists(all_, lambda o: o["kind"].isin(*BASE) & (o["start"] <= s["start"]) & (o["end"] >= s["end"]))))
+    chosen = F.filter(F.when(text.rlike(_HINT), _candidates(text)), lambda s: s["valid"] | (~s["kind"].isin(*BASE) & model.selects(s)))
+    # what lies within a base span adds nothing: in order of starts, the furthest end of the base spans so far tells
+    placed = F.array_sort(F.transform(chosen, lambda s, i: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus_end"), (~s["kind"].isin(*BASE)).alias("extra"), i.alias("at"), s["kind"].alias("kind"))))
+    kept = let(
+        placed,
+        lambda all_: let(
+            _prefix_max(F.transform(all_, lambda s: F.when(s["extra"], 0).otherwise(-s["minus_end"]))),
+            lambda reach: F.filter(F.transform(all_, lambda s, i: F.when(~s["extra"] | (F.get(reach, i) < -s["minus_end"]), s)), lambda s: s.isNotNull()),
+        ),
+    )
+    slim = F.transform(F.array_sort(F.transform(kept, lambda s: F.struct(s["at"].alias("at"), s["kind"].alias("kind"), s["start"].alias("start"), (-s["minus_end"]).alias("end")))), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)")
-    return docs.withColumn(out, F.coalesce(kept, none))
+    return docs.withColumn(out, F.coalesce(slim, none))
+
 
+def _written(example: str) -> Column:
+    """The example with values that follow from the row's id."""
+    parts = []
+    for k, piece in enumerate(re.split(r"(\{[dhw][0-9]*\})", example)):
+        m = re.fullmatch(r"\{([dhw])([0-9]*)\}", piece)
+        if not m:
+            parts.append(F.lit(piece))
+            continue
+        raw = F.sha2(F.concat(F.col("id").cast("string"), F.lit(f":{k}:{example}")), 512)
+        signs = F.translate(raw, "abcdef", "012345") if m[1] == "d" else F.translate(raw, "0123456789", "ghijklmnop") if m[1] == "w" else raw
+        parts.append(F.substring(signs, 1, int(m[2] or 7)))
+    return F.concat(*parts)
 
-def fit_spans(docs: DataFrame, rows: int = SAMPLE) -> SpanModel:
-    """Learn the trees from at most ``rows`` candidates, the first by a hash of their text and place.
+
+def written_examples(docs: DataFrame, examples: dict[str, tuple[tuple[str, ...], tuple[str, ...]]], n: int = EXAMPLES) -> DataFrame:
+    """(kind, label, text): ``n`` texts of every example, with words around them."""
+    ids = docs.sparkSession.range(n)
+    texts = [F.struct(F.lit(kind).alias("kind"), F.lit(label).alias("label"), F.concat(F.lit("and so "), _written(e), F.lit(" for it")).alias("text")) for kind, both in examples.items() for label, side in ((1.0, both[0]), (0.0, both[1])) for e in side]
+    return ids.select(F.explode(F.array(*texts)).alias("e")).select("e.*")
+
+
+def fit_spans(docs: DataFrame, rows: int = SAMPLE, sample_docs: int = SAMPLE_DOCS) -> SpanModel:
+    """Learn the trees from at most ``rows`` candidates of about ``sample_docs`` documents, chosen by a hash of their text, and from written examples.
 
     There are no labelled spans: candidates of the base kinds are true if they pass their kind's
-    test, and false otherwise; the tests themselves are no features, so that the trees carry what
-    true spans look like and stand beside over to the other generators. A secret is true if its
-    value has letters and digits. A quarter of the sample calibrates the threshold, the lowest
-    at which PRECISION of the candidates above it are true. Without both kinds nothing is added.
+    test, and false otherwise; the tests themselves are no features, so that the trees learn what
+    true spans look like and stand beside. Spans of the further kinds are true in the texts of
+    EXAMPLE_TEXTS that name such data. A quarter of all calibrates the thresholds: for each kind the
+    lowest at which PRECISION of its candidates above it are true. A table without candidates of the
+    base kinds leaves the written examples.
     """
     text = F.col("text")
-    spans = docs.where(text.rlike(r"[0-9@]|(?i)[\[(]at[\])]")).select(F.explode(_candidates(text)).alias("s"))
-    truth = F.when(F.col("s.kind") == "secret", F.col("s.value").rlike("[0-9]") & F.col("s.value").rlike("[=:].*[A-Za-z]")).otherwise(F.col("s.valid"))
-    labelled = spans.where(F.col("s.kind").isin(*BASE, "secret")).select(F.array(*_features(F.col("s"))).alias("f"), truth.cast("double").alias("label"), F.xxhash64("s.kind", "s.value", "s.before").alias("h"))
+    n = max(1, docs.count())
+    share = min(1.0, sample_docs / n)
+    few = docs.where(text.rlike(_HINT)).where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.explode(_candidates(text)).alias("s"))
+    known = few.where(F.col("s.kind").isin(*BASE)).select("s", F.col("s.valid").cast("double").alias("label"))
+    made = written_examples(docs, EXAMPLE_TEXTS).select("kind", "label", F.explode(_candidates(text)).alias("s")).where("s.kind = kind").select("s", "label")
+    labelled = lambda df: df.select(F.array(*_features(F.col("s"))).alias("f"), F.col("s.kind").alias("kind"), "label", F.xxhash64("s.kind", "s.value", "s.before").alias("h"))
+    found = materialize(labelled(known), "span-candidates")
+    sample = labelled(made)
     # few of the candidates are true: both labels get half of the sample
-    sample = None
     for label in (0.0, 1.0):
-        part = labelled.where(F.col("label") == label).orderBy("h").limit(rows // 2)
-        sample = part if sample is None else sample.unionByName(part)
-    sample = materialize(sample, "span-sample")
+        sample = sample.unionByName(found.where(F.col("label") == label).orderBy("h").limit(rows // 2))
+    sample = materialize(sample.repartition(4), "span-sample")
     fit, rest = sample.where("pmod(h, 4) != 0"), sample.where("pmod(h, 4) = 0")
-    if fit.select("label").distinct().count() < 2:
-        return SpanModel((), (), 1.0)
     model = GBTClassifier(featuresCol="v", labelCol="label", maxDepth=MAX_DEPTH, maxIter=TREES, stepSize=0.3, seed=5).fit(fit.select(array_to_vector("f").alias("v"), "label"))
     trees = tuple(_read_tree(t.toDebugString) for t in model.trees)
-    learned = SpanModel(trees, tuple(float(w) for w in model.treeWeights), 1.0)
+    learned = SpanModel(trees, tuple(float(w) for w in model.treeWeights), ())
     p = learned.probability([F.get("f", F.lit(k)) for k in range(len(FEATURES))])
-    grid = [k / 40 for k in range(10, 40)]
-    scored = rest.select("label", p.alias("p"))
-    got = scored.agg(*[F.avg(F.when(F.col("p") >= t, F.col("label"))).alias(f"t{k}") for k, t in enumerate(grid)]).first()
-    good = [t for t, precision in zip(grid, got, strict=True) if precision is not None and precision >= PRECISION]
-    return SpanModel(trees, learned.weights, good[0] if good else 1.0)
+    grid = [k / 40 for k in range(12, 40)]
+    scored = rest.where(F.col("kind").isin(*EXTRA)).select("kind", "label", p.alias("p"))
+    got = scored.groupBy("kind").agg(*[F.avg(F.when(F.col("p") >= t, F.col("label"))).alias(f"t{k}") for k, t in enumerate(grid)]).collect()
+    thresholds = []
+    for row in sorted(got, key=lambda r: r.kind):
+        good = [t for k, t in enumerate(grid) if row[f"t{k}"] is not None and row[f"t{k}"] >= PRECISION]
+        if good:
+            thresholds.append((row.kind, good[0]))
+    return SpanModel(trees, learned.weights, tuple(thresholds))
 
 
 def _joined(spans: Column) -> Column:
@@ -224,7 +308,7 @@ def find_personal_data(docs: DataFrame, rows: int = SAMPLE) -> DataFrame:
 
     Null and empty texts have no spans and the hash of the empty string; null doc_ids and repeated
     rows each give their row; an empty table gives no rows. One map over the documents, beside
-    the pass that collects the bounded sample of candidates.
+    the candidates of the sampled ones.
     """
     docs = docs.select("doc_id", "text")
     model = fit_spans(docs, rows)
@@ -240,17 +324,19 @@ def redact(docs: DataFrame, rows: int = SAMPLE) -> DataFrame:
     Overlapping spans are replaced together, under the kind of the first. Texts without spans,
     null ones included, stay as they are.
     """
-    found = with_spans(docs, fit_spans(docs.select("doc_id", "text"), rows), "_pii")
-    ordered = F.array_sort(F.transform("_pii", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus_end"), s["kind"].alias("kind"))))
-    first = F.expr("cast(struct(0 as at, array() as parts) as struct<at:int,parts:array<string>>)")
-
-    def step(acc: Column, s: Column) -> Column:
-        end = -s["minus_end"]
-        covered = s["start"] < acc["at"]
-        piece = F.concat(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        at = F.greatest(acc["at"], end).cast("int").alias("at")
-        return F.when(covered, F.struct(at, acc["parts"].alias("parts"))).otherwise(F.struct(at, F.concat(acc["parts"], F.array(piece)).alias("parts")))
-
-    whole = F.aggregate(ordered, first, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
-    out = found.withColumn("text", F.when(F.size("_pii") > 0, whole).otherwise(F.col("text"))).drop("_pii")
+    name = "_pii"
+    while name in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    found = with_spans(docs, fit_spans(docs.select("doc_id", "text"), rows), name)
+    ordered = F.array_sort(F.transform(name, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus_end"), s["kind"].alias("kind"))))
+
+    def rewritten(spans: Column) -> Column:
+        def pieces(reach: Column) -> Column:
+            piece = lambda s, at: F.when(s["start"] < at, F.lit("")).otherwise(F.concat(F.substring(F.col("text"), at + 1, s["start"] - at), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+            return F.array_join(F.transform(spans, lambda s, i: piece(s, F.get(reach, i))), "")
+
+        ends = F.transform(spans, lambda s: -s["minus_end"])
+        return F.concat(let(_prefix_max(ends), pieces), F.substring(F.col("text"), F.array_max(ends) + 1, F.char_length("text")))
+
+    out = found.withColumn("text", F.when(F.size(name) > 0, let(ordered, rewritten)).otherwise(F.col("text"))).drop(name)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out

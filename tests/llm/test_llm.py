@@ -329,6 +329,31 @@ def test_template_needs_distinct_pages(spark):
     assert got[0] == "same shared list" and got[10] == "other"
 
 
+#: Examples that the trees have not seen.
+OTHER_EXAMPLES = {
+    "account": (("transfer it to my account no {d12} please", "bank iban {d18}", "his account {d10} was charged"), ("page {d10} of it", "{w} {w} {d14} {w}", "order number {d11} came")),
+    "local_phone": (("you can phone him: {d3}-{d3}-{d4}", "mobile ({d3}) {d3}-{d4}"), ("item {d3}-{d3}-{d4} sold", "{w} {d3}-{d3}-{d4}")),
+    "secret": (('the token: "{h24}"', "password={w}{d6}"), ("key = something_nice here", "secret: nobody_knows it")),
+    "written_email": (("mail me: {w} [at] {w} [dot] org", "contact {w}(at){w}(dot)com"), ("go {w} (at) {w} (dot) then", "seen {w} [at] {w} [dot] twice")),
+}
+
+
+def test_further_kinds_on_other_examples(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = pii.fit_spans(docs)
+    texts = pii.written_examples(docs, OTHER_EXAMPLES, 50)
+    found = pii.with_spans(texts, model).selectExpr("kind", "label", "exists(_spans, s -> s.kind = kind) as hit")
+    for r in found.groupBy("kind").agg(F.avg(F.expr("case when label = 1 then cast(hit as int) end")).alias("recall"), F.expr("sum(case when hit then label end) / count_if(hit)").alias("precision")).collect():
+        assert r.recall >= 0.9 and r.precision >= 0.8, r
+
+
+def test_many_spans_are_contained_and_rewritten_in_near_linear_time(spark):
+    text = " ".join(f"a{k}@b.org token={k:012d}x 10.0.0.{k % 256}" for k in range(4000))
+    start = time.perf_counter()
+    (row,) = pii.redact(documents(spark, [(1, text)])).select("text").collect()
+    assert row.text.count("[EMAIL]") == 4000 and row.text.count("[IP]") == 4000 and time.perf_counter() - start < 120
+
+
 def test_tree_matching():
     tree = lambda s: html._read_skeleton(s)
     assert html.simple_tree_match(tree("a(b,c(d),e)"), tree("a(b,c(d,f),g,e)"))[0] == 5
@@ -436,7 +461,7 @@ def test_trees_are_read_as_fitted(spark):
     rows = [([r.random() for _ in pii.FEATURES],) for _ in range(300)]
     df = spark.createDataFrame(rows, "f array<double>").withColumn("label", F.expr("cast(f[0] + f[1] * f[2] > 0.8 as double)")).withColumn("v", array_to_vector("f"))
     model = GBTClassifier(featuresCol="v", maxDepth=3, maxIter=5, seed=1).fit(df)
-    own = pii.SpanModel(tuple(pii._read_tree(t.toDebugString) for t in model.trees), tuple(map(float, model.treeWeights)), 0.5)
+    own = pii.SpanModel(tuple(pii._read_tree(t.toDebugString) for t in model.trees), tuple(map(float, model.treeWeights)), (("secret", 0.5),))
     both = model.transform(df).select(vector_to_array("probability")[1].alias("p"), own.probability([F.get("f", F.lit(k)) for k in range(len(pii.FEATURES))]).alias("q")).collect()
     assert all(x.p == pytest.approx(x.q, abs=1e-9) for x in both)
 
