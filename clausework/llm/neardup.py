@@ -15,8 +15,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clausework.llm.graph import components, local_roots
+from clausework.llm.joins import LEAST_HOT, MOST_HOT, hot_keys, spread_join
 from clausework.llm.scratch import materialize
 from clausework.llm.words import as_bytes, mix, shingle_set, word_hashes
 
@@ -109,6 +111,21 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _with_set_keys(docs: DataFrame, names: tuple[str, str]) -> DataFrame:
+    """``docs`` with two columns that together name each text's set of shingles, as in _sign."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = np.zeros((2, batch.num_rows), dtype=np.uint64)
+            for i, words in word_hashes(as_bytes(batch.column(at))):
+                s = shingle_set(words)
+                sums[0, i], sums[1, i] = mix(s, 21).sum(dtype=np.uint64), mix(s, 22).sum(dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x.view(np.int64)) for x in sums)], names=[*batch.schema.names, *names])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names)]))
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -157,13 +174,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _hopeful_pairs(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     side = reps.select("rep", "n_shingles", "registers")
-    both = pairs.join(side.toDF("a", "na", "ra"), "a").join(side.toDF("b", "nb", "rb"), "b")
+    first = materialize(spread_join(pairs, "a", side.toDF("a", "na", "ra")), "half-pairs")
+    both = spread_join(first, "b", side.toDF("b", "nb", "rb"))
     return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_hopeful(percent / 100), "a long, b long")
 
 
 def _linked(hopeful: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    both = hopeful.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    """The pairs (a, b) whose full sets reach the threshold. Each side's hot members are dealt over several tasks."""
+    hot = {c: hot_keys(hopeful, c) for c in ("a", "b")}
+    both = hopeful
+    for c, name in (("a", "sa"), ("b", "sb")):
+        both = both.join(F.broadcast(hot[c].withColumnRenamed("_ways", f"_ways_{c}")), c, "left").withColumn(f"_deal_{c}", F.pmod(F.xxhash64("a", "b"), F.coalesce(f"_ways_{c}", F.lit(1))).cast("int")).drop(f"_ways_{c}")
+        side = sets.toDF(c, name).join(F.broadcast(hot[c]), c, "left").withColumn(f"_deal_{c}", F.explode(F.sequence(F.lit(0), F.coalesce("_ways", F.lit(1)) - 1))).drop("_ways")
+        both = both.join(side, [c, f"_deal_{c}"])
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
 
@@ -206,6 +229,28 @@ def _block_links(percent: int):
     return run
 
 
+def without_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """One row of ``docs``, all columns, for each near-duplicate group: that of its smallest doc_id.
+
+    Rows with a null doc_id stay. Where ids repeat, each different text of an id is judged by
+    itself, so that no text goes for what another text of its id is like; of rows of one group the
+    first by doc_id and all columns stays. The common case of unique ids is one anti join on slim rows.
+    """
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if several.isEmpty():
+        drop = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
+        return docs.join(drop, docs["doc_id"] == drop["_dropped"], "left_anti")
+    taken = {c.lower() for c in docs.columns}
+    one, two, row, group = (next(n for n in (f"{'_' * k}{c}" for k in range(1, 99)) if n not in taken) for c in ("f1", "f2", "row", "group"))
+    keyed = _with_set_keys(docs.where("doc_id is not null"), (one, two)).withColumn(row, F.xxhash64("doc_id", one, two))
+    keyed = materialize(keyed.drop(one, two), "keyed")
+    near = near_duplicates(keyed.select(F.col(row).alias("doc_id"), "text").dropDuplicates(["doc_id"]), percent)
+    grouped = keyed.join(near.select(F.col("doc_id").alias(row), F.col("component_id").alias(group)), row)
+    columns = ["doc_id", *(c for c in docs.columns if c != "doc_id")]
+    first = grouped.groupBy(group).agg(F.min(F.struct(*columns)).alias(row)).select(f"{row}.*")
+    return docs.where("doc_id is null").unionByName(first)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Near-duplicate groups of ``docs`` (doc_id, text, more columns are ignored).
 
@@ -222,7 +267,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     Bands of few classes compare all pairs. In a larger band the hub is compared with all
     others; members that are not in the hub's component by then meet the whole band in block
     pairs, each one task that counts common shingles of the full sets and returns a spanning
-    forest. No pair of candidates is dropped but by the estimate, which leaves five standard
+    forest. Hot bands are found by their counts and joined by broadcast, hubs' pairs are dealt over
+    several tasks; SMALL_BAND only tells which of two exact ways is cheaper. No pair of candidates is dropped but by the estimate, which leaves five standard
     deviations, or because its ends are connected already.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -233,19 +279,25 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     reps = signed.join(classes.hint("shuffle_merge"), ["f1", "f2", "n_shingles"]).where("doc_id = rep")
     reps = materialize(reps.dropDuplicates(["f1", "f2", "n_shingles"]).select("rep", "n_shingles", "registers"), "reps")
     banded = reps.select("rep", "registers").mapInArrow(_bands, "band long, rep long")
-    parts = banded.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    banded = banded.repartition(int(parts), "band")
-    sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialize(banded.join(sizes, "band"), "bands")
+    sizes = materialize(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band-sizes")
+    # the few hot bands are told apart by a broadcast and not shuffled by band
+    least_hot = max(LEAST_HOT, BANDS * reps.count() // MOST_HOT)
+    hot = F.broadcast(sizes.where(F.col("n") > least_hot))
+    cold = banded.join(hot.select("band"), "band", "left_anti").join(sizes.where(F.col("n") <= least_hot), "band")
+    shared = materialize(cold.unionByName(banded.join(hot, "band")), "bands")
     few = shared.where(f"n <= {SMALL_BAND}").select("band", "rep")
     pairs = few.select("band", F.col("rep").alias("a")).join(few.select("band", F.col("rep").alias("b")), "band").where("a < b").select("a", "b")
     many = shared.where(f"n > {SMALL_BAND}").select("band", "rep", "n")
     # the hub of a band is the class that is in most large bands: of variants of a text, the one nearest to all
     often = many.groupBy("rep").agg(F.count("*").alias("bands"))
     hubs = many.join(often, "rep").groupBy("band").agg(F.max(F.struct("bands", "rep"))["rep"].alias("hub"))
-    many = materialize(many.join(hubs, "band"), "large-bands")
+    hubs = materialize(hubs, "hubs")
+    hot_hubs = F.broadcast(hubs.join(hot.select("band"), "band"))
+    many = many.where(F.col("n") <= least_hot).join(hubs, "band").unionByName(many.where(F.col("n") > least_hot).join(hot_hubs, "band"))
+    many = materialize(many, "large-bands")
     stars = many.where("rep != hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
-    hopeful = materialize(_hopeful_pairs(pairs.unionByName(stars).distinct(), reps, percent), "hopeful")
+    pairs = materialize(pairs.unionByName(stars).distinct(), "pairs")
+    hopeful = materialize(_hopeful_pairs(pairs, reps, percent), "hopeful")
     needed = hopeful.select(F.explode(F.array("a", "b")).alias("needed")).unionByName(many.select(F.col("rep").alias("needed"))).distinct()
     texts = docs.join(needed.hint("shuffle_merge"), docs["doc_id"] == needed["needed"], "left_semi")
     sets = materialize(texts.mapInArrow(_sets, "rep long, shingles array<long>"), "sets")
@@ -253,11 +305,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     own = components(links, "a", "b").toDF("rep", "component")
     # members outside the component of their band's hub may link with any member of the band
     named = many.join(own, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    named = named.join(own.toDF("hub", "hub_component"), "hub", "left").withColumn("outside", F.col("component") != F.coalesce("hub_component", "hub"))
-    named = materialize(named.select("band", "rep", "component", "outside"), "members")
-    blocks = named.groupBy("band").agg(F.count("*").alias("n"), F.count_if("outside").alias("out")).where("out > 0")
-    blocks = blocks.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("n"), F.ceil(F.col("out") / BLOCK).cast("int").alias("out"))
-    placed = named.join(blocks, "band").withColumn("h", F.xxhash64("rep", "band"))
+    hub_parts = hubs.join(own.toDF("hub", "hub_component"), "hub", "left").select("band", F.coalesce("hub_component", "hub").alias("hub_component"))
+    hub_parts = materialize(hub_parts, "hub-components")
+    hot_parts = F.broadcast(hub_parts.join(hot.select("band"), "band"))
+    named = named.where(F.col("n") <= least_hot).join(hub_parts, "band").unionByName(named.where(F.col("n") > least_hot).join(hot_parts, "band"))
+    named = materialize(named.select("band", "n", "rep", "component", (F.col("component") != F.col("hub_component")).alias("outside")), "members")
+    blocks = named.groupBy("band").agg(F.max("n").alias("n"), F.count_if("outside").alias("out")).where("out > 0")
+    blocks = materialize(blocks.select("band", (F.col("n") > least_hot).alias("hot"), F.ceil(F.col("n") / BLOCK).cast("int").alias("n"), F.ceil(F.col("out") / BLOCK).cast("int").alias("out")), "blocks")
+    own_parts = named.drop("n")
+    placed = own_parts.join(blocks.where("not hot").drop("hot"), "band").unionByName(own_parts.join(F.broadcast(blocks.where("hot").drop("hot")), "band")).withColumn("h", F.xxhash64("rep", "band"))
     inner = placed.where("outside").select("band", F.expr("cast(pmod(h, out) as int)").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"), "rep", "component", F.lit(0).alias("side"))
     outer = placed.select("band", F.explode(F.sequence(F.lit(0), F.col("out") - 1)).alias("i"), F.expr("cast(pmod(h, n) as int)").alias("j"), "rep", "component", F.lit(1).alias("side"))
     facing = inner.unionByName(outer).join(sets, "rep").groupBy("band", "i", "j").applyInPandas(_block_links(percent), "a long, b long")
