@@ -1,9 +1,9 @@
 """WARC archives of pages, with revisits of equal payloads and a merged capture index.
 
 Pages are written as WARC/1.1 records in text files of the shared folder. Reading turns
-each task's archives into locally sorted runs of index entries; entries are dealt by range of
-(url key, timestamp, page), and in each range a loser tree merges the runs, so that the
-index as a whole holds every URL's captures in order.
+each task's archives into one locally sorted run of index entries in the shared folder; entries
+are dealt by ranges of (url key, timestamp, page) of a bounded number of entries, and in each
+range a loser tree merges the runs, so that the index as a whole holds every URL's captures in order.
 """
 
 from __future__ import annotations
@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 from clausework.llm.scratch import materialize, new_path
 
 LEAST_REVISIT = 1000
-RECORDS_PER_FILE = 1000
+#: Records in an archive at most, by the size of their payloads in bytes: an archive stays far below what a task can hold.
+ARCHIVES = ((64 << 10, 1000), (1 << 20, 128), (None, 4))
+#: Index entries that a range is made for; a merging task holds about that many.
+RANGE_ENTRIES = 100_000
 #: Record separator of the format, and the time of page 0; a page's time is its id in seconds after that.
 END = "\r\n\r\n"
 EPOCH = 1_577_836_800
@@ -55,7 +58,7 @@ def _records(pages: DataFrame) -> DataFrame:
     )
     extra = F.when(revisit, lines(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), label("WARC-Refers-To", F.concat(F.lit("<urn:page:"), text(F.col("original")), F.lit(">"))))).otherwise(F.lit(""))
     no_url = F.when(F.col("url").isNull(), F.lit("X-No-Target: 1\r\n")).otherwise(F.lit(""))
-    return joined.select(F.concat(head, extra, no_url, crlf, block).alias("value"))
+    return joined.select("size", F.concat(head, extra, no_url, crlf, block).alias("value"))
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
@@ -63,9 +66,18 @@ def write_archives(pages: DataFrame, path: str) -> None:
 
     Of the records with equal payloads of at least 1000 bytes, that with the largest page_id is a
     response (all of them, should that id repeat) and the others are revisits without payload. A
-    payload that only has null ids is always a response. Other columns are ignored.
+    payload that only has null ids is always a response. Other columns are ignored. Records of a
+    size class of ARCHIVES share archives; a class that no page is in costs no pass.
     """
-    _records(pages).write.option("lineSep", END).option("compression", "none").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    sizes = pages.select(F.octet_length(F.coalesce("html", F.lit(""))).alias("size"))
+    bounds = [(0 if k == 0 else ARCHIVES[k - 1][0], most, records) for k, (most, records) in enumerate(ARCHIVES)]
+    inside = lambda low, most: (F.col("size") >= low) & (F.lit(True) if most is None else F.col("size") < most)
+    found = sizes.agg(*[F.count_if(inside(low, most)).alias(f"n{k}") for k, (low, most, _) in enumerate(bounds)]).first()
+    records = _records(pages)
+    for k, (low, most, per_file) in enumerate(bounds):
+        if found[f"n{k}"] or k == 0:
+            own = records.where(inside(low, most)).select("value")
+            own.write.mode("append").option("lineSep", END).option("compression", "none").option("maxRecordsPerFile", per_file).text(path)
 
 
 def url_key(url: str | None) -> str:
@@ -104,10 +116,13 @@ def parse_archive(data: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes, byte
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One sorted run of the entries of all of a task's archives, named by the first of them. Payloads are read one archive at a time."""
+    rows: list[tuple] = []
+    run = ""
     for batch in batches:
         for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rows = []
             name = path.rsplit("/", 1)[-1]
+            run = run or name
             for no, (h, http, payload) in enumerate(parse_archive(data)):
                 kind = h[b"WARC-Type"].decode()
                 digest = h[b"WARC-Payload-Digest"].decode().removeprefix("sha1:")
@@ -116,10 +131,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     raise ValueError(f"record {no} of {name} is damaged")
                 url = None if b"X-No-Target" in h else h[b"WARC-Target-URI"].decode("utf-8", "replace")
                 rows.append((url_key(url), h[b"WARC-Date"].decode(), _id(h[b"WARC-Record-ID"]), url, size, digest, kind, _id(h.get(b"WARC-Refers-To")), name, no))
-            rows.sort(key=_order)
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(INDEX_FIELDS)
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.array([name] * len(rows), pa.string())], names=[*INDEX_FIELDS, "run"])
+    rows.sort(key=_order)
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
+    for lo in range(0, len(rows), 10_000):
+        lot = rows[lo : lo + 10_000]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*lot, strict=True), kinds, strict=True)), pa.array([run] * len(lot), pa.string())], names=[*INDEX_FIELDS, "run"])
 
 
 def _order(row: tuple) -> tuple:
@@ -183,12 +199,14 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     """The capture index of the archives under ``path``, range-sorted by (url_key, captured, page_id).
 
     Every response's payload is held against its length and digest; a damaged archive fails
-    the job. Archives hold at most RECORDS_PER_FILE records, ranges only index entries; the
-    captures of one URL can span several ranges.
+    the job. Payloads stay in the archives: runs and ranges hold index entries only, as many
+    ranges as give each about RANGE_ENTRIES of them, whatever the table's size; the captures of
+    one URL can span several ranges.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
     entries = materialize(files.mapInArrow(_runs, INDEX_SCHEMA), "capture-runs")
-    dealt = entries.repartitionByRange("url_key", "captured", "page_id", "archive", "record_no")
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries.count() // RANGE_ENTRIES))
+    dealt = entries.repartitionByRange(ranges, "url_key", "captured", "page_id", "archive", "record_no")
     dealt = dealt.sortWithinPartitions("run", "url_key", "captured", F.col("page_id").asc_nulls_first(), "archive", "record_no")
     return dealt.mapInArrow(_merge, INDEX_SCHEMA.rsplit(",", 1)[0])
 
