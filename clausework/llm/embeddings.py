@@ -145,17 +145,22 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = 0.98) -> Da
     """
     rows = embeddings.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
+    # by its largest component, so that no square over- or underflows; a power of two keeps all digits
+    largest = F.array_max(F.transform("embedding", F.abs))
     usable = F.col("label").isNotNull() & F.coalesce(finite, F.lit(False))
-    rows = rows.withColumn("ok", F.coalesce(F.when(usable, (square > 0) & (square < float("inf"))), F.lit(False)))
+    rows = rows.withColumn("ok", F.coalesce(F.when(usable, largest > 0), F.lit(False)))
+    power = F.floor(F.log2(largest))
+    scaled = F.transform("embedding", lambda x: x * F.pow(F.lit(2.0), -F.floor(power / 2)) * F.pow(F.lit(2.0), F.floor(power / 2) - power))
+    rows = rows.withColumn("embedding", F.when(F.col("ok") & ~power.between(-300, 300), scaled).otherwise(F.col("embedding")))
     # +0.0 makes the two zeros one
     rows = rows.withColumn("key", F.when(F.col("ok"), F.sha2(F.concat_ws(",", F.transform("embedding", lambda x: (x + F.lit(0.0)).cast("string"))), 256)))
     rows = materialize(rows, "vectors")
     good = rows.where("ok")
     classes = good.groupBy("label", "key").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"), F.first("embedding").alias("embedding"))
-    classes = materialize(classes.withColumn("cls", F.xxhash64("label", "key")), "vector-classes")
+    # numbers given while the table is written are read back as they are: unlike hashes they cannot fall together
+    classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "vector-classes")
     width = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
-    turned = classes.select("cls", "label", "embedding", "n").mapInArrow(_rotate(_axes(classes), width), "cls long, label int, embedding array<double>, n long, turned array<double>, g0 int, g1 int")
+    turned = classes.select("cls", "label", "embedding", "n").mapInArrow(_rotate(_axes(classes), width), f"cls long, label {classes.schema['label'].dataType.simpleString()}, embedding array<double>, n long, turned array<double>, g0 int, g1 int")
     turned = materialize(turned, "turned")
     cells = turned.groupBy("label", "g0", "g1").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     near = F.explode(F.expr("array(struct(0 as d0, 0 as d1), struct(0 as d0, 1 as d1), struct(1 as d0, -1 as d1), struct(1 as d0, 0 as d1), struct(1 as d0, 1 as d1))"))
@@ -163,10 +168,11 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = 0.98) -> Da
     pairs = cells.withColumn("d", near).selectExpr("*", "g0 + d.d0 as e0", "g1 + d.d1 as e1").join(other, F.expr("label = l2 and e0 = h0 and e1 = h1"))
     pairs = pairs.select("label", "g0", "g1", "h0", "h1", "tiles2", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("s"))
     pairs = pairs.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("tiles2") - 1))).where("g0 != h0 or g1 != h1 or s <= t")
-    pairs = pairs.withColumn("pair", F.xxhash64("label", "g0", "g1", "s", "h0", "h1", "t")).withColumn("same", F.expr("cast(g0 = h0 and g1 = h1 and s = t as int)"))
+    pairs = pairs.withColumn("pair", F.monotonically_increasing_id()).withColumn("same", F.expr("cast(g0 = h0 and g1 = h1 and s = t as int)"))
+    pairs = materialize(pairs, "tile-pairs")
     ends = pairs.select("label", "g0", "g1", "s", "pair", "same", F.lit(0).alias("side"))
     ends = ends.unionByName(pairs.where("same = 0").select("label", F.col("h0").alias("g0"), F.col("h1").alias("g1"), F.col("t").alias("s"), "pair", "same", F.lit(1).alias("side")))
-    counted = turned.join(cells, ["label", "g0", "g1"]).withColumn("s", F.expr("cast(pmod(shiftright(cls, 8), tiles) as int)"))
+    counted = turned.join(cells, ["label", "g0", "g1"]).withColumn("s", F.expr("cast(pmod(xxhash64(cls), tiles) as int)"))
     members = counted.join(ends, ["label", "g0", "g1", "s"]).select("pair", "side", "same", "cls", "n", "embedding", "turned")
     found = materialize(members.groupBy("pair").applyInPandas(_compare(threshold), "cls long, links long, root long"), "vector-links")
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
