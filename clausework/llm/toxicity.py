@@ -1,30 +1,36 @@
-"""Toxicity by gradient-boosted trees over dense features, with isotonic calibration."""
+"""Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
+
+Part of the lexicon is learned from the labelled texts. So that the trees see features as they are
+on new texts, each labelled text's features come from a lexicon that was learned without it: from
+the other parts of the fitting rows, or, for the rows that calibrate, from all fitting rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausework.llm.features import byte_kinds, held_out, labelled_ids, labelled_sample, with_features
+from clausework.llm.features import byte_kinds, held_out, labelled_ids, with_features
 from clausework.llm.scratch import materialize
 from clausework.llm.words import as_bytes, letter_hashes
 
 SAMPLE = 20_000
 THRESHOLD = 0.3
-#: Folds of the sample that fit the trees and that calibrate them.
-FIT, CALIBRATE = (0, 1), 3
+#: Parts of the labelled rows by a hash of their id: the first ones fit, each with a lexicon of the others, the last one calibrates.
+FITTING = 5
+PARTS = FITTING + 1
 NEAR = 6
 STEMS = (4, 5, 6, 7, 8)
 PRECISION = 0.8
-LEXICON_SIZE = 2000
 #: Insults, and words that address the reader.
 LEXICON = ("clown", "disgusting", "dumb", "fool", "garbage", "hate", "idiot", "idiotic", "kill", "loser", "moron", "pathetic", "pig", "scum", "shut", "stupid", "trash", "ugly", "vile", "worthless")
 SECOND_PERSON = ("you", "your", "yours", "yourself", "u", "ur", "du", "dich", "dir", "dein", "deine", "tu", "te", "toi", "ton", "vous", "votre", "usted", "ti", "vuestro")
@@ -55,28 +61,38 @@ def _bits(codes: np.ndarray) -> np.ndarray:
 
 
 def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(code, texts, toxic texts) of the stems of a batch of labelled texts."""
+    """(code, part, texts, toxic texts) of the stems of a batch of labelled texts."""
     for batch in batches:
-        toxic = batch.column(1).to_numpy(zero_copy_only=False)
-        codes = [[np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]]
+        toxic, part = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+        codes: dict[tuple[int, int], list[np.ndarray]] = {}
         for i, h in letter_hashes(as_bytes(batch.column(0)), STEMS):
-            codes[int(toxic[i])].append(np.unique(h))
-        (c0, n0), (c1, n1) = (np.unique(np.concatenate(c), return_counts=True) for c in codes)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([c0, c1]).view(np.int64)), pa.array(np.concatenate([n0, n1])), pa.array(np.concatenate([0 * n0, n1]))], names=["code", "n", "toxic"])
+            codes.setdefault((int(part[i]), int(toxic[i])), []).append(np.unique(h))
+        for (k, label), found in codes.items():
+            c, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.array(np.full(len(c), k, dtype=np.int32)), pa.array(n), pa.array(n * label)], names=["code", "part", "n", "toxic"])
 
 
-def learned_lexicon(docs: DataFrame, labels: DataFrame, rows: int) -> np.ndarray:
-    """Codes of words and stems that tell toxic texts, from at most ``rows`` labelled rows.
+def learned_lexicons(sample: DataFrame) -> list[np.ndarray]:
+    """Codes of words and stems that tell toxic texts, from ``sample`` (text, label, part): for each fitting part the lexicon of the other fitting parts, at last that of all of them.
 
     A stem is a word's first STEMS bytes. A code counts if it is in at least a fiftieth of the
-    sample's toxic texts, five at least, and at least PRECISION of the texts that have it are toxic.
+    toxic texts in question, five at least, and at least PRECISION of the texts that have it are
+    toxic. That bounds a lexicon: it has at most fifty times as many codes as a toxic text has on average.
     """
-    known = labelled_ids(labels, "toxic", rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "label")
-    counts = texts.mapInArrow(_stem_counts, "code long, n long, toxic long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    least = max(5, known.where("label = 1").count() // 50)
-    best = counts.where((F.col("toxic") >= least) & (F.col("toxic") >= PRECISION * F.col("n"))).orderBy(F.desc("toxic"), "code").limit(LEXICON_SIZE)
-    return np.array([r.code for r in best.select("code").collect()], dtype=np.int64).view(np.uint64)
+    fitting = sample.where(F.col("part") < FITTING)
+    held = {r.part: r.n for r in fitting.where("label = 1").groupBy("part").agg(F.count("*").alias("n")).collect()}
+    counts = fitting.select("text", "label", "part").mapInArrow(_stem_counts, "code long, part int, n long, toxic long")
+    of = lambda c, k: F.sum(F.when(F.col("part") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}")
+    wide = counts.groupBy("code").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"), *[of(c, k) for c in ("n", "toxic") for k in range(FITTING)])
+
+    def counts_in(k: int | None) -> Column:
+        n, toxic = (F.col(c) - (F.lit(0) if k is None else F.col(f"{c}{k}")) for c in ("n", "toxic"))
+        least = max(5, (sum(held.values()) - held.get(k, 0)) // 50)
+        return (toxic >= least) & (toxic >= PRECISION * n)
+
+    flags = [counts_in(k) for k in [*range(FITTING), None]]
+    rows = wide.select("code", F.array(*flags).alias("f")).where(F.exists("f", lambda x: x)).collect()
+    return [np.array(sorted(r.code for r in rows if r.f[k]), dtype=np.int64).view(np.uint64) for k in range(PARTS)]
 
 
 def toxicity_features(learned: np.ndarray, lexicon: Sequence[str] = LEXICON) -> Callable[[list[bytes]], np.ndarray]:
@@ -131,15 +147,14 @@ class ToxicityModel:
         return scored.drop("_vector", "rawPrediction", "probability", "_p", "_class", "_calibrated")
 
 
-def fit_toxicity(features: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> ToxicityModel:
-    """Fit on at most ``rows`` labelled rows, none held out: trees on folds FIT, calibration on fold CALIBRATE.
+def fit_toxicity(sample: DataFrame) -> ToxicityModel:
+    """Fit on ``sample`` (part, _features, label): trees on the fitting parts, isotonic calibration on the last.
 
-    Without rows of both labels in a part, that part is left out; without trees all texts score 0.
+    Without rows of both labels in a part of the two, that one is left out; without trees all texts score 0.
     """
-    sample = labelled_sample(features, labels, "toxic", rows).withColumn("_vector", array_to_vector("_features"))
-    sample = sample.drop("_features").cache()
+    sample = sample.select("part", "label", array_to_vector("_features").alias("_vector")).cache()
     try:
-        fit, rest = sample.where(F.col("fold").isin(*FIT)), sample.where(F.col("fold") == CALIBRATE)
+        fit, rest = sample.where(F.col("part") < FITTING), sample.where(F.col("part") == FITTING)
         if fit.select("label").distinct().count() < 2:
             return ToxicityModel(None, None)
         trees = GBTClassifier(featuresCol="_vector", labelCol="label", predictionCol="_class", maxDepth=3, maxIter=12, stepSize=0.3, maxBins=64, seed=7).fit(fit)
@@ -159,9 +174,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, lexi
     learned), score (0 to 1), predicted (1 if score >= 0.3, else 0). Only the text enters a
     score: whole texts, null as empty; an empty text scores as one without any sign. Labels other
     than 0 and 1 are ignored, of several labels of one id the largest counts; repeated rows each
-    get their score. An empty table gives no rows.
+    get their score. An empty table gives no rows. At most ``rows`` labelled rows are learned from.
     """
-    learned = learned_lexicon(docs, labels, rows)
-    features = materialize(with_features(docs.select("doc_id", "text"), toxicity_features(learned, lexicon)).drop("text"), "toxicity-features")
-    scored = fit_toxicity(features, labels, rows).score(features)
+    docs = docs.select("doc_id", "text")
+    known = labelled_ids(labels, "toxic", rows).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(PARTS)).cast("int"))
+    sample = materialize(docs.join(F.broadcast(known), "doc_id").select("text", "label", "part"), "toxicity-sample")
+    lexicons = learned_lexicons(sample)
+    parts = [with_features(sample.where(F.col("part") == k), toxicity_features(codes, lexicon)).drop("text") for k, codes in enumerate(lexicons)]
+    model = fit_toxicity(reduce(DataFrame.unionByName, parts))
+    scored = model.score(with_features(docs, toxicity_features(lexicons[-1], lexicon)).drop("text"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score").withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
