@@ -1,6 +1,7 @@
 """The corpus pipeline stage by stage against plain computations on the same rows."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from clausework.llm import pii, quality
@@ -41,6 +42,15 @@ def test_stages(spark, sf):
     assert sorted(r.doc_id for r in cp.run(spark, sf).collect()) == sorted(ids[5])
 
 
+def test_different_texts_of_one_id_all_stay(spark, sf):
+    a, b, c = prose(41, 40), prose(42, 40), prose(43, 40)
+    rows = [(7, a), (7, b), (7, a), (8, b + " tail"), (9, c), (3, a + " x"), (None, a), (None, a), (10, ""), (10, None)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", k) for k, (i, t) in enumerate(rows)], DOCS).withColumn("f1", F.lit("x")).withColumn("Group", F.lit(1))
+    got = cp.near_duplicate(spark, docs, sf)
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in got.collect()) == sorted((str(i), t or "") for i, t in [(7, b), (9, c), (3, a + " x"), (None, a), (None, a), (10, "")])
+
+
 def test_stages_on_empty_and_odd_rows(spark, sf):
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "word", None, None, None)], DOCS)
     for _, stage in cp.STAGES:
