@@ -7,11 +7,10 @@ the columns of documents but for the last. Each result is written as Parquet and
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from clausework.llm.decontaminate import without_contaminated
 from clausework.llm.mixing import mix
-from clausework.llm.neardup import near_duplicates
+from clausework.llm.neardup import without_near_duplicates
 from clausework.llm.pii import redact
 from clausework.llm.quality import good_documents
 from clausework.llm.scratch import materialize
@@ -25,10 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; of repeated rows one. Rows with a null doc_id stay."""
-    drop = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    kept = docs.join(drop, docs["doc_id"] == drop["_dropped"], "left_anti")
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    """One document of each group of near-duplicates; different texts of one doc_id are judged each by itself. Rows with a null doc_id stay."""
+    return without_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
