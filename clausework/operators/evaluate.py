@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -160,12 +163,63 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
 P_VALUE = "cast(case when not _varies or n < 2 then 1.0 when abs(rho) >= 1.0 then 0.0 else least(1.0, 2.0 * exp(-0.5 * abs(rho * sqrt((n - 2) / (1.0 - rho * rho))))) end as double)"
 
 
-def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
-    """E-9: (concordant - discordant) / both, ties aside, from counts of distinct (x, y) pairs; guard the number of distinct pairs before use on continuous data."""
+def ordered_pairs(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[int, int]:
+    """Weighted pairs of rows of different x and y: (concordant, discordant), ranked by the bits of y's place from the top.
+
+    Two places differ first in some bit, below a common prefix; among rows of one prefix the sums of weights before each
+    row in the order of x give its pairs. Takes O(n log^2 n).
+    """
+    y = np.unique(y, return_inverse=True)[1]
+    x = np.unique(x, return_inverse=True)[1]
+    up = down = 0
+    for bit in range(max(1, int(y.max(initial=0)).bit_length())):
+        prefix, one = y >> (bit + 1), (y >> bit) & 1
+        order = np.lexsort((x, prefix))
+        p, xs, ones, w = prefix[order], x[order], one[order], n[order]
+        new_prefix = np.concatenate(([True], p[1:] != p[:-1]))
+        new_x = new_prefix | np.concatenate(([True], xs[1:] != xs[:-1]))
+        # weights of the prefix's rows of smaller x: sums before the first row of this x, less those before the prefix
+        first_x, first_p = (np.maximum.accumulate(np.where(new, np.arange(len(p)), 0)) for new in (new_x, new_prefix))
+        for value, other in ((0, 1), (1, 0)):
+            sums = np.concatenate(([0], np.cumsum(np.where(ones == value, w, 0))))
+            total = int((w * (sums[first_x] - sums[first_p]))[ones == other].sum())
+            up, down = (up + total, down) if value == 0 else (up, down + total)
+    return up, down
+
+
+def _group_pairs(x: str):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        up, down = ordered_pairs(pdf[x].to_numpy(), pdf["y"].to_numpy(), pdf["n"].to_numpy().astype(object if pdf["n"].sum() > 1 << 30 else np.int64))
+        return pd.DataFrame({"c": [Decimal(int(up))], "d": [Decimal(int(down))]})
+
+    return run
+
+
+def kendall(df: DataFrame, x: str, y: str, block: int = 50_000, most_blocks: int = 500) -> DataFrame:
+    """E-9: (concordant - discordant) / both, ties aside, from counts of distinct (x, y) pairs, without a pair join.
+
+    Values are cut into blocks of about ``block`` distinct pairs (``most_blocks`` at most) on either axis. Pairs of rows in
+    different blocks on both axes follow from the counts of the cells, at most most_blocks^2 numbers; pairs within one block
+    are counted in it by sorting.
+    """
     pairs = df.where(f"{x} is not null and {y} is not null").groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n"))
-    a, b = pairs.toDF("xa", "ya", "na"), pairs.toDF("xb", "yb", "nb")
-    met = a.join(b, F.expr("xa < xb and ya <> yb")).agg(F.sum(F.expr("case when ya < yb then na * nb else 0 end")).alias("c"), F.sum(F.expr("case when ya > yb then na * nb else 0 end")).alias("d"))
-    return met.selectExpr("cast(coalesce(c, 0) as bigint) as concordant", "cast(coalesce(d, 0) as bigint) as discordant", "cast(coalesce(cast(c - d as double) / nullif(c + d, 0), 0.0) as double) as tau")
+    blocks = min(most_blocks, max(1, -(-pairs.count() // block)))
+    levels = [k / blocks for k in range(1, blocks)]
+    cuts = [sorted(set(c)) for c in pairs.select(F.col("x").cast("double"), F.col("y").cast("double")).approxQuantile(["x", "y"], levels, 0.1 / blocks)] if levels else [[], []]
+    place = lambda c, at: F.size(F.filter(F.array(*[F.lit(v) for v in at]).cast("array<double>"), lambda v: v < F.col(c).cast("double")))
+    placed = pairs.withColumns({"xb": place("x", cuts[0]), "yb": place("y", cuts[1])})
+    cells = placed.groupBy("xb", "yb").agg(F.sum("n").alias("n")).collect()
+    grid = np.zeros((len(cuts[0]) + 1, len(cuts[1]) + 1), dtype=object)
+    for r in cells:
+        grid[r.xb, r.yb] = int(r.n)
+    after = np.cumsum(grid[::-1], axis=0)[::-1] - grid  # same y block, later x blocks
+    higher = np.cumsum(after[:, ::-1], axis=1)[:, ::-1] - after
+    lower = np.cumsum(after, axis=1) - after
+    up, down = int((grid * higher).sum()), int((grid * lower).sum())
+    within = placed.groupBy("xb").applyInPandas(_group_pairs("x"), "c decimal(38,0), d decimal(38,0)")
+    within = within.unionByName(placed.groupBy("yb").applyInPandas(_group_pairs("xb"), "c decimal(38,0), d decimal(38,0)"))
+    met = within.agg((F.coalesce(F.sum("c"), F.lit(0)) + F.lit(Decimal(up))).alias("c"), (F.coalesce(F.sum("d"), F.lit(0)) + F.lit(Decimal(down))).alias("d"))
+    return met.selectExpr("cast(c as bigint) as concordant", "cast(d as bigint) as discordant", "cast(coalesce(cast(c - d as double) / nullif(cast(c + d as double), 0), 0.0) as double) as tau")
 
 
 def mann_whitney(df: DataFrame, score: str, flag: str) -> DataFrame:

@@ -316,6 +316,20 @@ def test_ranks_of_ties(spark):
     assert evaluate.spearman(df.withColumn("y", df["y"] * 0), "x", "y").first().rho == 0
 
 
+@pytest.mark.parametrize("block", [50_000, 7])
+def test_kendall_equals_all_pairs(spark, block):
+    import itertools
+    import random
+
+    r = random.Random(3)
+    rows = [(r.randrange(40) / 7, r.random() if k % 2 else r.randrange(5) / 3) for k in range(300)]
+    c = sum((a[0] - b[0]) * (a[1] - b[1]) > 0 for a, b in itertools.combinations(rows, 2))
+    d = sum((a[0] - b[0]) * (a[1] - b[1]) < 0 for a, b in itertools.combinations(rows, 2))
+    row = evaluate.kendall(spark.createDataFrame(rows, "x double, y double"), "x", "y", block=block).first()
+    assert (row.concordant, row.discordant) == (c, d) and row.tau == pytest.approx((c - d) / (c + d))
+    assert evaluate.kendall(spark.createDataFrame([], "x double, y double"), "x", "y").first().tau == 0
+
+
 def test_word_lists_are_whole():
     from clausework.functions import vocab
 
