@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 SENTENCES: Mapping[str, str] = {
     "apache-line": "Licensed under the Apache License, Version 2.0.",
     "apache-header-1": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
-    "apache-header-2": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "apache-header-3": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
     "apache-header-4": "See the License for the specific language governing permissions and limitations under the License.",
     "mit-line": "Released under the MIT License.",
@@ -30,6 +29,18 @@ SENTENCES: Mapping[str, str] = {
     "gpl-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "gpl-copy": "You should have received a copy of the GNU General Public License along with this program.",
     "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "lgpl-header-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-warranty": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "lgpl-header-3": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-header-3": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "epl-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/.",
+    "cc0-dedication": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+    "unlicense-release": "This is free and unencumbered software released into the public domain.",
+    "unlicense-freedom": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "zlib-warranty": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "bsl-grant": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:',
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "cc-by-nc-line": "Licensed under CC BY-NC 4.0.",
     "cc-by-line": "Licensed under CC BY 4.0.",
@@ -50,12 +61,24 @@ RULES: Sequence[tuple[str, str, tuple[str, ...]]] = (
     ("gpl-3.0-reference", "GPL-3.0", ("gpl3-line",)),
     ("gpl-3.0-header", "GPL-3.0-or-later", ("gpl-header-3", "gpl-warranty")),
     ("gpl-2.0-header", "GPL-2.0-or-later", ("gpl-header-2", "gpl-warranty")),
+    ("gpl-3.0-header-with-copy", "GPL-3.0-or-later", ("gpl-header-3", "gpl-warranty", "gpl-copy")),
+    ("gpl-2.0-header-with-copy", "GPL-2.0-or-later", ("gpl-header-2", "gpl-warranty", "gpl-copy")),
+    ("lgpl-2.1-header", "LGPL-2.1-or-later", ("lgpl-header-2.1", "lgpl-warranty")),
+    ("lgpl-3.0-header", "LGPL-3.0-or-later", ("lgpl-header-3",)),
+    ("agpl-3.0-header", "AGPL-3.0-or-later", ("agpl-header-3",)),
     ("mpl-2.0-notice", "MPL-2.0", ("mpl-notice",)),
+    ("mpl-2.0-notice-with-copy", "MPL-2.0", ("mpl-notice", "mpl-copy")),
+    ("epl-2.0-notice", "EPL-2.0", ("epl-notice",)),
+    ("cc0-1.0-dedication", "CC0-1.0", ("cc0-dedication",)),
+    ("unlicense-text", "Unlicense", ("unlicense-release", "unlicense-freedom")),
+    ("zlib-text", "Zlib", ("zlib-warranty", "zlib-grant")),
+    ("bsl-1.0-text", "BSL-1.0", ("bsl-grant",)),
     ("isc-text", "ISC", ("isc-grant",)),
     ("cc-by-nc-4.0-reference", "CC-BY-NC-4.0", ("cc-by-nc-line",)),
     ("cc-by-4.0-reference", "CC-BY-4.0", ("cc-by-line",)),
     ("cc-by-sa-4.0-reference", "CC-BY-SA-4.0", ("cc-by-sa-line",)),
     ("cc-by-4.0-notice", "CC-BY-4.0", ("cc-by-work",)),
+    ("all-rights-under-license-line", "All-Rights-Reserved", ("all-rights",)),
     ("all-rights-reserved-line", "All-Rights-Reserved", ("all-rights-line",)),
 )
 
@@ -86,6 +109,21 @@ STEPS = (
 )
 
 
+def longer_rules(rules: Sequence[tuple[str, str, tuple[str, ...]]]) -> dict[str, list[tuple[str, ...]]]:
+    """For each rule the sequences of the rules that hold all of its sentences in order and more, the longest first."""
+
+    def within(short: tuple[str, ...], long: tuple[str, ...]) -> bool:
+        rest = iter(long)
+        return len(short) < len(long) and all(i in rest for i in short)
+
+    return {name: sorted((b for _, _, b in rules if within(ids, b)), key=len, reverse=True) for name, _, ids in rules}
+
+
+def _marks(ids: tuple[str, ...]) -> str:
+    """The identifiers in order, whatever stands between them, as a pattern."""
+    return ".*?".join("<" + re.escape(i).replace("\\-", "-") + ">" for i in ids)
+
+
 def normalized(sentence: str) -> str:
     """Lower-case letters and digits, single spaces."""
     out = "".join(c if c.isascii() and c.isalnum() else " " for c in sentence.lower())
@@ -131,30 +169,42 @@ def find_licenses(docs: DataFrame, sentences: Mapping[str, str] = SENTENCES, rul
     Returns one row per input row and rule that matches: doc_id, license, rule, n_sentences (known
     licence sentences in the text, of any licence), sentence_ids (their identifiers in order,
     joined by a space). A rule matches if its identifiers occur in its order, others may stand
-    between them; a longer rule does not hide a shorter one.
+    between them. The longest rule wins: a rule whose sentences are part of a longer rule has to match
+    what is left without the longer rule's matches, so that a BSD-3 text is no BSD-2 text.
 
     Null and empty texts match nothing; repeated rows each give their rows; an empty table gives
     no rows. A map over the documents without Python and without a shuffle.
     """
     named = docs.where(F.col("text").rlike(cues(sentences))).select("doc_id", _known(F.col("text"), sentences).alias("ids")).where(F.size("ids") > 0)
     joined = named.select("doc_id", F.size("ids").alias("n_sentences"), F.array_join("ids", " ").alias("sentence_ids"), F.concat_ws("", F.transform("ids", lambda i: F.concat(F.lit("<"), i, F.lit(">")))).alias("_marked"))
-    hits = F.filter(
-        F.array(*[F.when(F.col("_marked").like("%" + "%".join(f"<{i}>" for i in ids) + "%"), F.struct(F.lit(name).alias("rule"), F.lit(license).alias("license"))) for name, license, ids in rules]),
-        lambda x: x.isNotNull(),
-    )
+    longer = longer_rules(rules)
+
+    def matches(name: str, ids: tuple[str, ...]) -> Column:
+        left = F.col("_marked")
+        for other in longer[name]:
+            left = F.regexp_replace(left, _marks(other), "")
+        return left.like("%" + "%".join(f"<{i}>" for i in ids) + "%")
+
+    hits = F.filter(F.array(*[F.when(matches(name, ids), F.struct(F.lit(name).alias("rule"), F.lit(license).alias("license"))) for name, license, ids in rules]), lambda x: x.isNotNull())
     return joined.withColumn("hit", F.explode(hits)).select("doc_id", F.col("hit.license").alias("license"), F.col("hit.rule").alias("rule"), "n_sentences", "sentence_ids")
 
 
+def longer_marks(others: Sequence[tuple[str, ...]]) -> str:
+    return "|".join(_marks(b) for b in others)
+
+
 def oracle_sql(sentences: Mapping[str, str] = SENTENCES, rules: Sequence[tuple[str, str, tuple[str, ...]]] = RULES) -> str:
     """The same over a table documents, in DuckDB's SQL."""
     known = ", ".join(f"('{s}', '{name}')" for s, name in sentence_ids(sentences).items())
-    ruled = ", ".join(f"('{name}', '{license}', '%{'%'.join(f'<{i}>' for i in ids)}%')" for name, license, ids in rules)
+    longer = longer_rules(rules)
+    # what the longer rules take away, as one alternation in their order
+    ruled = ", ".join(f"('{name}', '{license}', '%{'%'.join(f'<{i}>' for i in ids)}%', '{longer_marks(longer[name])}')" for name, license, ids in rules)
     return rf"""
-with known(sentence, id) as (values {known}), rules(rule, license, pattern) as (values {ruled}),
+with known(sentence, id) as (values {known}), rules(rule, license, pattern, longer) as (values {ruled}),
 d as (
   select row_number() over () as r, doc_id, unnest(string_split(regexp_replace(lower(text), '([.!?:])[ \t\r\x0B\f]+', '\1' || chr(10), 'g'), chr(10))) as s,
     generate_subscripts(string_split(regexp_replace(lower(text), '([.!?:])[ \t\r\x0B\f]+', '\1' || chr(10), 'g'), chr(10)), 1) as k
   from documents where regexp_matches(text, '{CUES}')),
 n as (select r, doc_id, k, trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')) as s from d),
 i as (select r, doc_id, count(*) as n_sentences, string_agg(id, ' ' order by k) as sentence_ids, string_agg('<' || id || '>', '' order by k) as marked from n join known on s = sentence group by r, doc_id)
-select doc_id, license, rule, cast(n_sentences as integer) as n_sentences, sentence_ids from i join rules on marked like pattern"""
+select doc_id, license, rule, cast(n_sentences as integer) as n_sentences, sentence_ids from i join rules on (case when longer = '' then marked else regexp_replace(marked, longer, '', 'g') end) like pattern"""
