@@ -96,6 +96,10 @@ def policy_layers(q: SparkSql, t: str = "text") -> list[Layer]:
         {"effective": "greatest(0.0, policy_signal - contract_score * 0.5)"},
         {"clearly": "(policy_signal >= 0.04 and contract_score < 0.015 and policy_signal / greatest(contract_score, 0.001) >= 2.5) or (policy_signal >= 0.08 and contract_score < 0.0225)"},
         {"detection": f"case when blank or {employed} then 'NOT_POLICY' when clearly then 'POLICY' when policy_signal >= 0.04 and contract_score > 0.015 then 'UNCLEAR' else 'NOT_POLICY' end"},
+        {
+            "found_type": f"case when blank or {employed} then 'General Policy' else policy_type end",
+            "policy_explanation": f"case when blank then {q.text(vocab.BLANK_EXPLANATION)} when {employed} then {q.text(vocab.EMPLOYMENT_EXPLANATION)} else case policy_type " + " ".join(f"when {q.text(k)} then {q.text(e)}" for k, e in vocab.POLICY_EXPLANATIONS.items()) + " end end",
+        },
         {"policy_confidence": f"case when blank or {employed} then 0.0 when detection = 'POLICY' then least(1.0, effective * 3.0) else effective end"},
     ]
 
@@ -104,9 +108,10 @@ def route_counts_sql() -> list[Layer]:
     return [*quality_counts_sql(), *low_sql(), *domain_counts_sql(), *policy_counts_sql(), *type_counts_sql()]
 
 
-def route_layers(q: SparkSql) -> list[Layer]:
+def route_layers(q: SparkSql, fallback: str = "false") -> list[Layer]:
     """Over the counts of ROUTE_PARTS."""
-    return [*quality_layers(q), *policy_layers(q), *domain_layers(q), {"route": "case when is_degraded then 'unreadable' when detection = 'POLICY' then 'policy' when domain = 'NON_LEGAL' then 'non_legal' else 'audit' end"}]
+    poor = "(n_tokens = 0 or cast(quoted_count as double) / nullif(n_tokens, 0) > 0.20 or coalesce(r_symbol, 0.0) > 0.25)"
+    return [*quality_layers(q), *policy_layers(q), *domain_layers(q), {"route": f"case when {fallback} and is_degraded and {poor} then 'suppressed' when is_degraded then 'unreadable' when detection = 'POLICY' then 'policy' when domain = 'NON_LEGAL' then 'non_legal' else 'audit' end"}]
 
 
 #: Signs of a jurisdiction and of authorities.
@@ -190,13 +195,17 @@ def policy_type(docs: DataFrame) -> DataFrame:
 
 
 def detect_policy(docs: DataFrame) -> DataFrame:
-    """P-3: POLICY, UNCLEAR or NOT_POLICY; employment contracts and blank texts are none."""
-    return _select(docs, POLICY_PARTS, policy_layers(SPARK), ("detection", "policy_confidence", "policy_matched", "contract_matched"))
+    """P-3: POLICY, UNCLEAR or NOT_POLICY with confidence, type, explanation and matched terms; employment contracts and blank texts are none."""
+    return _select(docs, POLICY_PARTS, [*policy_layers(SPARK), {"policy_type": "found_type"}], ("detection", "policy_confidence", "policy_type", "policy_explanation", "policy_matched", "contract_matched"))
 
 
 def route_documents(docs: DataFrame) -> DataFrame:
-    """P-4: unreadable, policy, non_legal or audit, by gates in that order. Other columns pass through."""
-    return with_layers(with_counts(docs, ROUTE_PARTS), route_layers(SPARK)).select(*docs.columns, "route")
+    """P-4: suppressed, unreadable, policy, non_legal or audit, by gates in that order. Other columns pass through.
+
+    Suppressed are degraded documents of poor text whose response came from a fallback, where a column fallback_used tells so.
+    """
+    fallback = "coalesce(fallback_used, false)" if "fallback_used" in docs.columns else "false"
+    return with_layers(with_counts(docs, ROUTE_PARTS), route_layers(SPARK, fallback)).select(*docs.columns, "route")
 
 
 def detect_jurisdiction(exchanges: DataFrame) -> DataFrame:

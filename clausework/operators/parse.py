@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import json
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -110,11 +111,20 @@ def parse_issues(responses: DataFrame) -> DataFrame:
     return each.select("doc_id", (F.col("pos") + 1).alias("issue_no"), *[F.try_element_at("item", F.lit(f)).alias(f) for f in FIELDS], F.to_json(extras).alias("extra_fields"), "parse_method")
 
 
-def render_issues(issues: DataFrame) -> DataFrame:
-    """J-5: a document's findings as labelled text, in their order."""
-    lines = F.concat_ws("\n", *[F.concat(F.lit(f"{name}: "), F.coalesce(field, F.lit(""))) for name, field in LABELS.items()])
-    blocks = issues.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("issue_no", lines.alias("block")))).alias("b"))
-    return blocks.select("doc_id", F.array_join(F.expr("transform(b, x -> x.block)"), "\n\n").alias("rendered"))
+def render_issues(issues: DataFrame, responses: DataFrame | None = None) -> DataFrame:
+    """J-5: a document's findings as labelled text, in their order; empty fields have a bare label.
+
+    With ``responses`` (doc_id, response_text) what stood before their first "Issue:" line is put in front, and documents
+    without findings keep that alone; nothing can follow the last block, which reaches to the end.
+    """
+    lines = F.concat_ws("\n", *[F.concat(F.lit(f"{name}:"), F.when(F.coalesce(field, F.lit("")) != "", F.concat(F.lit(" "), F.col(field))).otherwise("")) for name, field in LABELS.items()])
+    blocks = issues.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("issue_no", F.rtrim(lines).alias("block")))).alias("b"))
+    rendered = blocks.select("doc_id", F.array_join(F.expr("transform(b, x -> x.block)"), "\n\n").alias("rendered"))
+    if responses is None:
+        return rendered
+    before = F.when(F.col("response_text").rlike(r"(?im)^Issue:"), F.regexp_replace(F.split("response_text", r"(?im)^Issue:", 2)[0], r"^\s+|\s+$", "")).otherwise("")
+    both = responses.select("doc_id", before.alias("_before")).join(rendered, "doc_id", "full")
+    return both.select("doc_id", F.concat_ws("\n\n", F.when(F.col("_before") != "", F.col("_before")), F.when(F.col("rendered") != "", F.col("rendered"))).alias("rendered"))
 
 
 @F.pandas_udf(T.StringType())
@@ -137,6 +147,39 @@ def repair_legacy_json(history: DataFrame, column: str) -> DataFrame:
     return valid.unionByName(mended).unionByName(history.where(F.col(column).isNull()).withColumn("repaired", F.lit(False)))
 
 
+def repair_report(mended: dict[str, DataFrame]) -> DataFrame:
+    """J-6: how many rows of each table were mended, from results of ``repair_legacy_json`` by the table's name; tables without any count 0."""
+    parts = [df.agg(F.count_if("repaired").alias("n_repaired")).select(F.lit(name).alias("table_name"), "n_repaired") for name, df in mended.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: The fields that a payload of each mode needs, and the list or text among them.
+REQUIRED = {
+    "AUDIT": ("success", "model", "mode", "response_type", "schema_version", "issue_count", "issues", "structured_parse_failed", "legacy_text"),
+    "REDACTION": ("success", "model", "mode", "response_type", "schema_version", "redacted_text", "redaction_entities", "redaction_count"),
+    "ADVISORY": ("success", "model", "mode", "response_type", "schema_version", "advisory_text"),
+}
+SCHEMA_VERSION = 1
+
+
+def validate_results(results: DataFrame) -> DataFrame:
+    """J-7: payloads (doc_id, mode, payload as JSON) with violations, the first one first, empty if valid, and a warning for scores outside 0 to 1.
+
+    A field that is there but null counts as there. An unknown mode, and a payload that is no JSON object, are violations.
+    """
+    fields = F.from_json("payload", "map<string,string>")
+    mode = F.upper("mode")
+    checks = [F.when(F.col("_f").isNull(), "invalid_json"), F.when(~F.coalesce(mode.isin(*REQUIRED), F.lit(False)), "unknown_mode")]
+    checks += [F.when((mode == m) & ~F.map_contains_key("_f", F.lit(f)), f"missing_{f}") for m, names in REQUIRED.items() for f in names]
+    checks.append(F.when(F.map_contains_key("_f", F.lit("schema_version")) & ~F.col("_f")["schema_version"].eqNullSafe(str(SCHEMA_VERSION)), "schema_version"))
+    checks += [F.when((mode == m) & F.map_contains_key("_f", F.lit(f)) & ~F.coalesce(F.col("_f")[f].startswith("["), F.lit(False)), f"{f}_no_list") for m, f in (("AUDIT", "issues"), ("REDACTION", "redaction_entities"))]
+    kind = F.expr("schema_of_variant(variant_get(try_parse_json(payload), '$.advisory_text'))")
+    checks.append(F.when((mode == "ADVISORY") & F.map_contains_key("_f", F.lit("advisory_text")) & (kind != "STRING"), "advisory_text_no_text"))
+    score = F.expr("try_cast(_f['confidence_score'] as double)")
+    rated = F.coalesce(F.col("_f")["confidence_score"].isNotNull() & mode.isin("AUDIT", "ADVISORY") & ~F.coalesce(score.between(0.0, 1.0), F.lit(False)), F.lit(False))
+    return results.withColumn("_f", fields).select("doc_id", "mode", F.concat_ws(",", *checks).alias("violations"), F.when(rated, "confidence_score_out_of_range").alias("warning"))
+
+
 def validate_payload(issues: DataFrame) -> DataFrame:
     """J-7: what a finding lacks or has wrong, joined by commas; empty if nothing."""
     checks = [F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.lit(f"missing_{c}")) for c in ("issue_title", "category", "quoted_text", "risk_explanation")]

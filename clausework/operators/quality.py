@@ -199,5 +199,7 @@ def budget_layers(prompt_chars: int, context: int, reply: int) -> list[Layer]:
 
 
 def context_budget(docs: DataFrame, prompt_chars: int = 2000, context: int = 8192, reply: int = 1024) -> DataFrame:
-    """Q-8: how much of a text fits a model's context at four characters a token; keeps the head."""
-    return _select(docs, (), budget_layers(prompt_chars, context, reply), ("kept_chars", "dropped_chars", "was_truncated", "estimated_tokens", "context_utilization_pct"))
+    """Q-8: how much of a text fits a model's context at four characters a token; keeps the head. pages_seen passes through, null where there is no such column."""
+    seen = {"pages_seen": "pages_seen" if "pages_seen" in docs.columns else "cast(null as int)"}
+    budget = with_layers(docs, [*budget_layers(prompt_chars, context, reply), seen])
+    return budget.select("doc_id", *("kept_chars", "dropped_chars", "was_truncated", "estimated_tokens", "context_utilization_pct", "pages_seen"))

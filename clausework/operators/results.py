@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clausework.functions.dialect import SPARK
+from clausework.operators.classify import validate_responses
 
 SEVERITIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 #: Terms that are highlighted.
@@ -72,13 +73,41 @@ def term_hits(docs: DataFrame) -> DataFrame:
     return wide.unpivot("doc_id", [F.col(f"`{t}`") for t in TERMS], "term", "n").where("n > 0")
 
 
-def build_results(docs: DataFrame, issues: DataFrame) -> DataFrame:
-    """H-5: one JSON payload for each routed document (doc_id, route): findings in order for audits, a message for other routes."""
-    item = F.struct("issue_no", "issue_title", "severity", "category")
-    lists = issues.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("issues"))
-    none = F.expr("cast(array() as array<struct<issue_no:int,issue_title:string,severity:string,category:string>>)")
-    payload = F.when(F.col("route") == "audit", F.to_json(F.struct(F.lit(1).alias("schema_version"), F.coalesce("issues", none).alias("issues")))).otherwise(F.to_json(F.struct(F.lit(1).alias("schema_version"), F.col("route").alias("message"))))
-    return docs.join(lists, "doc_id", "left").select("doc_id", "route", payload.alias("payload"))
+#: What is said where a document is not audited.
+MESSAGES = {
+    "non_legal": "This document does not appear to be a legal contract or agreement and has been flagged as non-contract content: {}. Only contractual documents are processed through the legal-risk audit pipeline.",
+    "suppressed": "Document quality too degraded for reliable legal analysis.",
+    "unreadable": "Document quality appears degraded or corrupted. Results may be unreliable.",
+}
+ISSUE_FIELDS = ("issue_no", "issue_title", "severity", "category", "location", "quoted_text", "risk_explanation", "suggested_improvement")
+
+
+def build_results(docs: DataFrame, issues: DataFrame, model: str = "model") -> DataFrame:
+    """H-5: one JSON payload for each routed document (doc_id, route).
+
+    Audits hold their findings in order; policies their type and explanation; non-legal texts their content type and its
+    explanation; other routes a message and a failed parse. Columns of ``docs`` that are there (confidence_score,
+    confidence_label, policy_type, policy_explanation, policy_confidence, content_type, content_explanation,
+    domain_confidence, refusal_message) go in, also as metadata; a refusal_message stands instead of everything.
+    """
+    has = lambda c: F.col(c) if c in docs.columns else F.lit(None).cast("string")
+    lists = issues.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*ISSUE_FIELDS))).alias("issues"))
+    none = F.expr("cast(array() as array<struct<issue_no:int,issue_title:string,severity:string,category:string,location:string,quoted_text:string,risk_explanation:string,suggested_improvement:string>>)")
+    joined = docs.join(lists, "doc_id", "left").withColumn("_audit", F.col("route") == "audit").withColumn("issues", F.when(F.col("_audit"), F.coalesce("issues", none)).otherwise(none))
+    text = F.when(F.col("route") == "non_legal", F.concat(F.lit(MESSAGES["non_legal"].split("{}")[0]), F.coalesce(has("content_type"), F.lit("Uncategorized Non-Legal")), F.lit(MESSAGES["non_legal"].split("{}")[1])))
+    text = text.when(F.col("route") == "suppressed", MESSAGES["suppressed"]).when(F.col("route") == "unreadable", MESSAGES["unreadable"]).otherwise("")
+    kind = F.when(has("refusal_message").isNotNull(), "refusal").when(F.col("route").isin("policy", "non_legal"), F.col("route")).otherwise("audit")
+    extra = [c for c in ("policy_type", "policy_explanation", "policy_confidence", "content_type", "content_explanation", "domain_confidence") if c in docs.columns]
+    pairs = [x for c in ("route", *extra) for x in (F.lit(c), F.col(c).cast("string"))]
+    metadata = F.map_filter(F.create_map(F.lit("model_name"), F.lit(model), *pairs), lambda _, v: v.isNotNull())
+    payload = F.to_json(
+        F.struct(
+            has("refusal_message").isNull().alias("success"), F.lit(model).alias("model"), F.lit("AUDIT").alias("mode"), kind.alias("response_type"), F.lit(1).alias("schema_version"),
+            F.size("issues").alias("issue_count"), "issues", F.col("route").isin("suppressed", "unreadable").alias("structured_parse_failed"), F.coalesce(has("refusal_message"), text).alias("legacy_text"),
+            *[F.col(c) for c in ("confidence_score", "confidence_label") if c in docs.columns], metadata.alias("metadata"),
+        )
+    )
+    return joined.select("doc_id", "route", payload.alias("payload"))
 
 
 def filter_history(history: DataFrame, filename: str | None = None, mode: str | None = None, severity: str | None = None, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
@@ -157,8 +186,11 @@ def transcripts(turns: DataFrame) -> DataFrame:
 
 
 def session_history(turns: DataFrame) -> DataFrame:
-    """H-16: exchanges of a user's turn and the assistant's next, both not blank, counted by conversation: (conv_id, n_exchanges, first_turn, last_turn)."""
+    """H-16: exchanges of a user's turn and the assistant's next, both not blank and the answer without a violation (P-6), by conversation:
+    (conv_id, n_exchanges, first_turn, last_turn, exchanges), the exchanges in order as user and assistant."""
     w = W.partitionBy("conv_id").orderBy("turn")
-    pairs = turns.withColumn("next_role", F.lead("role").over(w)).withColumn("next_text", F.lead("text").over(w))
-    valid = pairs.where("role = 'user' and next_role = 'assistant' and trim(coalesce(text, '')) <> '' and trim(coalesce(next_text, '')) <> ''")
-    return valid.groupBy("conv_id").agg(F.count("*").alias("n_exchanges"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
+    pairs = turns.withColumn("next_role", F.lead("role").over(w)).withColumn("response", F.lead("text").over(w))
+    valid = pairs.where("role = 'user' and next_role = 'assistant' and trim(coalesce(text, '')) <> '' and trim(coalesce(response, '')) <> ''")
+    checked = validate_responses(valid.select("conv_id", "turn", F.col("text").alias("query"), "response")).where("is_valid")
+    lists = checked.groupBy("conv_id").agg(F.count("*").alias("n_exchanges"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.array_sort(F.collect_list(F.struct("turn", F.col("query").alias("user"), F.col("response").alias("assistant")))).alias("e"))
+    return lists.withColumn("exchanges", F.expr("transform(e, x -> named_struct('user', x.user, 'assistant', x.assistant))")).drop("e")

@@ -42,7 +42,7 @@ def _quality() -> None:
     over_documents("q5_keyword_trust", quality.keyword_trust, [*signs, *tokens, *words, *chars, *bad, *quality.trust_layers()], ("legal_ratio", "keyword_trust"))
     over_documents("q6_assess_quality", quality.assess_quality, [*quality.quality_counts_sql(), *quality.quality_layers(DUCK)], ("quality_score", "quality_label", "is_degraded", "warnings", *quality.WEIGHTS))
     over_documents("q7_poor_quote_quality", quality.poor_quote_quality, [*signs, *tokens, *chars, *quality.malformed_layers("quoted_count"), quality.POOR], ("malformed_ratio", "is_poor"))
-    over_documents("q8_context_budget", quality.context_budget, quality.budget_layers(2000, 8192, 1024), ("kept_chars", "dropped_chars", "was_truncated", "estimated_tokens", "context_utilization_pct"))
+    over_documents("q8_context_budget", quality.context_budget, quality.budget_layers(2000, 8192, 1024), ("kept_chars", "dropped_chars", "was_truncated", "estimated_tokens", "context_utilization_pct", "cast(null as int) as pages_seen"))
 
 
 def _classify() -> None:
@@ -58,9 +58,10 @@ def _classify() -> None:
     over_documents("d6_non_legal_content_type", classify.non_legal_content_type, classify.content_type_layers(DUCK), ("content_type", "best_score", explained))
     over_documents("p1_keyword_score", classify.keyword_score, [*terms, *classify.keyword_layers("policy"), {"term_score": "policy_score", "term_matched": "policy_matched"}], ("term_score", "term_matched"))
     over_documents("p2_policy_type", classify.policy_type, [*low, *classify.type_counts_sql(), *classify.type_layers(DUCK)], ("policy_type", "type_score"))
-    over_documents("p3_detect_policy", classify.detect_policy, [*terms, *classify.type_counts_sql(), *classify.policy_layers(DUCK)], ("detection", "policy_confidence", "policy_matched", "contract_matched"))
+    over_documents("p3_detect_policy", classify.detect_policy, [*terms, *classify.type_counts_sql(), *classify.policy_layers(DUCK)], ("detection", "policy_confidence", "found_type as policy_type", "policy_explanation", "policy_matched", "contract_matched"))
     routed = layers_sql("documents", [*classify.route_counts_sql(), *classify.route_layers(DUCK)])
-    register("p4_route_documents", lambda s, d: classify.route_documents(table(s, d, "documents")).select("doc_id", "route"), f"select doc_id, route from {routed}")
+    fell = layers_sql("(select *, doc_id % 2 = 0 as fallback_used from documents)", [*classify.route_counts_sql(), *classify.route_layers(DUCK, "fallback_used")])
+    register("p4_route_documents", lambda s, d: classify.route_documents(table(s, d, "documents").selectExpr("*", "doc_id % 2 = 0 as fallback_used")).select("doc_id", "route"), f"select doc_id, route from {fell}")
     register("route_by_lang", lambda s, d: classify.route_documents(table(s, d, "documents")).groupBy("lang", "route").agg(F.count("*").alias("n_docs")), f"select lang, route, count(*) as n_docs from {routed} group by lang, route")
     signs = ("", " Under Indian law see section 5.", " As an AI model I cannot say.", " I am a language model.", " The case was cited.")
     query = "concat(text, case when turn % 4 = 0 then ' Who made you, Smith?' else '' end)"

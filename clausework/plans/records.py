@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from clausework.functions.dialect import DUCK, layers_sql
@@ -25,10 +27,33 @@ def _parse() -> None:
     register("j2_repair_json", lambda s, d: flat(s, d).where("parse_method in ('repaired', 'truncated')"), f"select * from {read} where doc_id % 5 in (2, 3)")
     register("j3_parse_labeled_text", lambda s, d: flat(s, d).where("parse_method = 'labeled'"), f"select * from {read} where doc_id % 5 = 4")
     register("j4_normalize_keys", lambda s, d: fixtures.issues(s, d).select("doc_id", "issue_no", parse.normalize_keys(F.create_map(F.lit("Issue Title"), F.col("issue_title"), F.lit("quotedText"), F.col("quoted_text"), F.lit("Extra-Key"), F.col("location"))).alias("m")).select("doc_id", "issue_no", F.expr("try_element_at(m, 'issue_title')").alias("issue_title"), F.expr("try_element_at(m, 'extra_key')").alias("extra_key"), F.size("m").alias("n_keys")), f"select doc_id, issue_no, issue_title, location as extra_key, cast(2 + case when trim(quoted_text) <> '' then 1 else 0 end as int) as n_keys from {ISSUES}")
-    labels = " || chr(10) || ".join(f"'{name}: ' || coalesce({field}, '')" for name, field in parse.LABELS.items())
-    register("j5_render_issues", lambda s, d: parse.render_issues(fixtures.issues(s, d)), f"select doc_id, string_agg({labels}, chr(10) || chr(10) order by issue_no) as rendered from {ISSUES} group by doc_id")
+    labels = " || chr(10) || ".join(f"'{name}:' || case when coalesce({field}, '') = '' then '' else ' ' || {field} end" for name, field in parse.LABELS.items())
+    rendered = f"(select doc_id, string_agg(rtrim({labels}), chr(10) || chr(10) order by issue_no) as rendered from {ISSUES} group by doc_id)"
+    register("j5_render_issues", lambda s, d: parse.render_issues(fixtures.issues(s, d)), f"select * from {rendered}")
+    wrapped = "case when doc_id % 3 = 0 then concat('Intro of ', cast(doc_id as varchar(20)), chr(10), chr(10), 'Issue: x', chr(10), 'Severity: LOW') else 'no findings' end as response_text"
+    register("j5_render_legacy_text", lambda s, d: parse.render_issues(fixtures.issues(s, d), table(s, d, "documents").selectExpr("doc_id", wrapped)), f"""
+      select doc_id, concat_ws(chr(10) || chr(10), case when doc_id % 3 = 0 then 'Intro of ' || doc_id end, rendered) as rendered from documents left join {rendered} using (doc_id)""")
     literal = "case event_id % 3 when 0 then concat('{\"a\": ', cast(event_id as varchar(20)), '}') when 1 then concat('{''a'': ', cast(event_id as varchar(20)), ', ''b'': None}') end"
     register("j6_repair_legacy_json", lambda s, d: parse.repair_legacy_json(table(s, d, "events").select("event_id", F.expr(literal.replace("''a''", "\\'a\\'").replace("''b''", "\\'b\\'")).alias("payload")), "payload").select("event_id", F.get_json_object("payload", "$.a").alias("a"), "repaired"), "select event_id, case when event_id % 3 < 2 then cast(event_id as varchar) end as a, event_id % 3 = 1 as repaired from events")
+    old = lambda s, d: parse.repair_legacy_json(table(s, d, "events").select("event_id", F.expr(literal.replace("''a''", "\\'a\\'").replace("''b''", "\\'b\\'")).alias("payload")), "payload")
+    register("j6_repair_report", lambda s, d: parse.repair_report({"audit": old(s, d).where("event_id % 2 = 0"), "redaction": old(s, d).where("event_id % 2 = 1"), "advisory": old(s, d).where("event_id < 0")}), """
+      select 'audit' as table_name, count(*) filter (event_id % 3 = 1 and event_id % 2 = 0) as n_repaired from events union all select 'redaction', count(*) filter (event_id % 3 = 1 and event_id % 2 = 1) from events union all select 'advisory', 0""")
+    common = '"success": true, "model": "m", "mode": "x", "response_type": "t"'
+    payloads = (
+        f'{{{common}, "schema_version": 1, "issue_count": 0, "issues": [], "structured_parse_failed": false, "legacy_text": "", "confidence_score": 0.5}}',
+        f'{{{common}, "schema_version": 2, "issue_count": 0, "issues": "none", "structured_parse_failed": false, "legacy_text": "", "confidence_score": 1.5}}',
+        f'{{{common}, "schema_version": 1, "advisory_text": "a", "redacted_text": "", "redaction_entities": []}}', "not json",
+    )
+    made = "case event_id % 4 " + " ".join(f"when {k} then '{x}'" for k, x in enumerate(payloads)) + " end as payload"
+    modes = "case event_id % 5 when 0 then 'audit' when 1 then 'REDACTION' when 2 then 'ADVISORY' when 3 then 'AUDIT' else 'other' end as mode"
+    verdicts = {
+        ("AUDIT", 0): ("", None), ("AUDIT", 1): ("schema_version,issues_no_list", "confidence_score_out_of_range"), ("AUDIT", 2): ("missing_issue_count,missing_issues,missing_structured_parse_failed,missing_legacy_text", None), ("AUDIT", 3): ("invalid_json", None),
+        ("REDACTION", 0): ("missing_redacted_text,missing_redaction_entities,missing_redaction_count", None), ("REDACTION", 1): ("missing_redacted_text,missing_redaction_entities,missing_redaction_count,schema_version", None), ("REDACTION", 2): ("missing_redaction_count", None), ("REDACTION", 3): ("invalid_json", None),
+        ("ADVISORY", 0): ("missing_advisory_text", None), ("ADVISORY", 1): ("missing_advisory_text,schema_version", "confidence_score_out_of_range"), ("ADVISORY", 2): ("", None), ("ADVISORY", 3): ("invalid_json", None),
+        ("OTHER", 0): ("unknown_mode", None), ("OTHER", 1): ("unknown_mode,schema_version", None), ("OTHER", 2): ("unknown_mode", None), ("OTHER", 3): ("invalid_json,unknown_mode", None),
+    }
+    expected = ", ".join(f"('{m}', {k}, '{v}', {repr(w) if w else 'null'})" for (m, k), (v, w) in verdicts.items())
+    register("j7_validate_results", lambda s, d: parse.validate_results(table(s, d, "events").selectExpr("event_id as doc_id", modes, made)), f"select e.event_id as doc_id, e.mode, v.violations, v.warning from (select *, {modes} from events) e join (values {expected}) as v(m, k, violations, warning) on upper(e.mode) = v.m and e.event_id % 4 = v.k")
     checks = ", ".join([f"case when trim(coalesce({c}, '')) = '' then 'missing_{c}' end" for c in ("issue_title", "category", "quoted_text", "risk_explanation")] + ["case when severity not in ('LOW', 'MEDIUM', 'HIGH', 'CRITICAL') then 'bad_severity' end"])
     register("j7_validate_payload", lambda s, d: parse.validate_payload(fixtures.issues(s, d)), f"select doc_id, issue_no, concat_ws(',', {checks}) as violations from {ISSUES}")
 
@@ -82,12 +107,16 @@ def _history() -> None:
     terms = ("indemnify", "perpetual", "unlimited liability", "termination", "exclusive jurisdiction", "confidentiality survives", "force majeure", "limitation of liability", "governing law", "arbitration")
     hits = " union all ".join(f"select doc_id, '{w}' as term, len(regexp_extract_all(lower(text), '\\b{'indemnif(?:y|ies|ication)' if w == 'indemnify' else w}\\b')) as n from {fixtures.contracts_sql()}" for w in terms)
     register("h4_term_hits", lambda s, d: results.term_hits(fixtures.contracts(s, d)), f"select * from ({hits}) where n > 0")
-    routed = lambda s, d: table(s, d, "documents").selectExpr("doc_id", "case when doc_id % 3 = 0 then 'policy' else 'audit' end as route")
-    item = "'{\"issue_no\":' || issue_no || ',\"issue_title\":\"' || issue_title || '\",\"severity\":\"' || severity || '\",\"category\":\"' || category || '\"}'"
-    register("h5_build_results", lambda s, d: results.build_results(routed(s, d), issues(s, d)), f"""
-      select doc_id, case when doc_id % 3 = 0 then 'policy' else 'audit' end as route,
-        case when doc_id % 3 = 0 then '{{"schema_version":1,"message":"policy"}}' else '{{"schema_version":1,"issues":[' || coalesce(l, '') || ']}}' end as payload
-      from documents left join (select doc_id, string_agg({item}, ',' order by issue_no) as l from {ISSUES} group by doc_id) using (doc_id)""")
+    routed = lambda s, d: table(s, d, "documents").selectExpr("doc_id", "case doc_id % 4 when 0 then 'policy' when 1 then 'non_legal' when 2 then 'suppressed' else 'audit' end as route", "case when doc_id % 4 = 1 then 'General Text or Notes' end as content_type", "case when doc_id % 12 = 3 then 'refused' end as refusal_message")
+    read = "doc_id route $.success $.response_type $.schema_version $.issue_count $.structured_parse_failed $.legacy_text $.metadata.content_type $.issues[0].issue_title $.issues[0].quoted_text".split()
+    register("h5_build_results", lambda s, d: results.build_results(routed(s, d), issues(s, d)).select("doc_id", "route", *[F.get_json_object("payload", c).alias(re.sub("[^a-z0-9]+", "_", c[2:])) for c in read[2:]]), f"""
+      select doc_id, case doc_id % 4 when 0 then 'policy' when 1 then 'non_legal' when 2 then 'suppressed' else 'audit' end as route, case when doc_id % 12 = 3 then 'false' else 'true' end as success,
+        case when doc_id % 12 = 3 then 'refusal' when doc_id % 4 = 0 then 'policy' when doc_id % 4 = 1 then 'non_legal' else 'audit' end as response_type, '1' as schema_version,
+        cast(case when doc_id % 4 = 3 then coalesce(n, 0) else 0 end as varchar) as issue_count, case when doc_id % 4 = 2 then 'true' else 'false' end as structured_parse_failed,
+        case when doc_id % 12 = 3 then 'refused' when doc_id % 4 = 1 then 'This document does not appear to be a legal contract or agreement and has been flagged as non-contract content: General Text or Notes. Only contractual documents are processed through the legal-risk audit pipeline.'
+          when doc_id % 4 = 2 then 'Document quality too degraded for reliable legal analysis.' else '' end as legacy_text,
+        case when doc_id % 4 = 1 then 'General Text or Notes' end as metadata_content_type, case when doc_id % 4 = 3 then title end as issues_0_issue_title, case when doc_id % 4 = 3 then quote end as issues_0_quoted_text
+      from documents left join (select doc_id, count(*) as n, min_by(issue_title, issue_no) as title, min_by(quoted_text, issue_no) as quote from {ISSUES} group by doc_id) using (doc_id)""")
     register("h6_filter_history", lambda s, d: results.filter_history(history(s, d), filename="file1", mode="AUDIT", severity="HIGH").select("id", "filename"), f"select id, filename from {HISTORY} where contains(filename, 'file1') and mode = 'AUDIT' and severity_level = 'HIGH'")
     kinds = lambda s, d: [history(s, d).where(f"record_type = '{k}'") for k in ("audit", "redaction", "advisory")]
     register("h7_history_feed", lambda s, d: results.history_feed(*kinds(s, d)), f"select id, record_type, filename, ts, item_count from {HISTORY}")
@@ -104,9 +133,12 @@ def _history() -> None:
     register("h13_recent_confidence", lambda s, d: results.recent_confidence(history(s, d)), f"select cast(round(avg(confidence) * 100, 0) as bigint) as percent, count(confidence) as n_scored from (select * from {HISTORY} order by ts desc, id desc limit 20)")
     register("h14_iso_timestamp", lambda s, d: results.iso_timestamp(history(s, d)).select("id", "iso"), f"select id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as iso from {HISTORY}")
     register("h15_transcripts", lambda s, d: results.transcripts(table(s, d, "conversations")), "select conv_id, string_agg(case when role = 'user' then 'User: ' else 'Assistant: ' end || coalesce(text, ''), chr(10) order by turn) as transcript from conversations group by conv_id")
-    register("h16_session_history", lambda s, d: results.session_history(table(s, d, "conversations")), """
-      select conv_id, count(*) as n_exchanges, min(turn) as first_turn, max(turn) as last_turn from (select *, lead(role) over w as next_role, lead(text) over w as next_text from conversations window w as (partition by conv_id order by turn))
-      where role = 'user' and next_role = 'assistant' and trim(coalesce(text, '')) <> '' and trim(coalesce(next_text, '')) <> '' group by conv_id""")
+    said = "case when role = 'assistant' and (conv_id + turn) % 7 = 0 then concat(text, ' As an AI model I cannot say.') else text end as text"
+    talks = lambda s, d: table(s, d, "conversations").selectExpr("conv_id", "turn", "role", said)
+    register("h16_session_history", lambda s, d: results.session_history(talks(s, d)).select("conv_id", "n_exchanges", "first_turn", "last_turn", F.expr("array_join(transform(exchanges, x -> concat(x.user, ' / ', x.assistant)), chr(10))").alias("exchanges")), f"""
+      select conv_id, count(*) as n_exchanges, min(turn) as first_turn, max(turn) as last_turn, string_agg(text || ' / ' || next_text, chr(10) order by turn) as exchanges
+      from (select *, lead(role) over w as next_role, lead(text) over w as next_text from (select conv_id, turn, role, {said} from conversations) window w as (partition by conv_id order by turn))
+      where role = 'user' and next_role = 'assistant' and trim(coalesce(text, '')) <> '' and trim(coalesce(next_text, '')) <> '' and not regexp_matches(next_text, '(?i)as an ai') group by conv_id""")
 
 
 def _evaluate() -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,13 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from clausework.operators.classify import route_documents
+from clausework.operators.classify import DISCLOSURE, route_documents
 
 DEFAULT_TITLE = "Advisory session"
 DEFAULT_MODE = "AUDIT"
 SESSION_OUTPUT = "conv_id long, mode string, n_exchanges long, last_turn long"
 SESSION_STATE = "mode string, n long, last long, waiting long, newest long"
 IDLE_DAYS = 1
+_DISCLOSES = re.compile(DISCLOSURE)
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -89,7 +91,7 @@ def session_sink(path: str):
 
 
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Count exchanges: a user's turn followed by an assistant's, both not blank."""
+    """Count exchanges: a user's turn followed by an assistant's, both not blank and the answer without a violation."""
     if state.hasTimedOut:
         state.remove()
         return
@@ -105,7 +107,7 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         elif role == "user":
             waiting = int(turn)
         elif waiting >= 0:
-            n, waiting = n + 1, -1
+            n, waiting = n + (not _DISCLOSES.search(text)), -1
         last = max(last, int(turn))
     newest = max(newest, int(rows["ts"].max().timestamp() * 1000))
     state.update((mode, n, last, waiting, newest))
