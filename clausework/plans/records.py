@@ -286,6 +286,8 @@ def _streams() -> None:
     register("t2_upsert_sessions", lambda s, d: streams.upsert_sessions(current(s, d), sessions(s, d).where("message_count >= 1")).select("session_id", "title", "message_count"), """
       with l as (select conv_id as session_id, max(turn) as n from conversations where turn >= 1 group by conv_id), c as (select distinct conv_id as session_id, 'Title ' || conv_id as title from conversations where turn = 0 and conv_id % 2 = 0)
       select session_id, coalesce(title, 'Advisory session') as title, coalesce(n, 0) as message_count from l full join c using (session_id)""")
+    register("t2_upsert_stream", lambda s, d: streams.upserted(streams.replayed(sessions(s, d).coalesce(1))).select("session_id", "title", "messages", "message_count"), f"""
+      select conv_id as session_id, 'Advisory session' as title, max_by(text, turn) as messages, max(turn) as message_count from conversations group by conv_id""")
     scored = lambda s, d: streams.drained(streams.score_stream(streams.replayed(table(s, d, "documents"))))
     register("t1_scored_stream", lambda s, d: scored(s, d).groupBy("route").agg(F.count("*").alias("n_docs")), f"select route, count(*) as n_docs from {layers_sql('documents', [*classify.route_counts_sql(), *classify.route_layers(DUCK)])} group by route")
     register("t4_running_stream", lambda s, d: streams.drained(streams.running_summary(streams.replayed(fixtures.history(s, d))), "complete"), f"select mode, count(*) as n_records, cast(sum(item_count) as bigint) as n_items from {HISTORY} group by mode")

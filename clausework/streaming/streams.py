@@ -18,6 +18,7 @@ from clausework.operators.classify import DISCLOSURE, route_documents
 
 DEFAULT_TITLE = "Advisory session"
 DEFAULT_MODE = "AUDIT"
+SESSIONS = "session_id long, title string, messages string, message_count long, ts timestamp"
 SESSION_OUTPUT = "conv_id long, mode string, n_exchanges long, last_turn long"
 SESSION_STATE = "mode string, n long, last long, waiting long, newest long"
 IDLE_DAYS = 1
@@ -83,13 +84,26 @@ def session_sink(path: str):
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        schema = "session_id long, title string, messages string, message_count long, ts timestamp"
-        before = spark.read.schema(schema).parquet(f"{path}/v{batch_id - 1}") if batch_id else spark.createDataFrame([], schema)
+        before = spark.read.schema(SESSIONS).parquet(f"{path}/v{batch_id - 1}") if batch_id else spark.createDataFrame([], SESSIONS)
         upsert_sessions(before, batch).select("session_id", "title", "messages", "message_count", "ts").write.mode("overwrite").parquet(f"{path}/v{batch_id}")
 
     return run
 
 
+def upserted(stream: DataFrame) -> DataFrame:
+    """T-2: the session table after all batches that a stream of sessions gives until it has read what is there."""
+    folder, done = work_folder(stream.sparkSession), []
+    sink = session_sink(folder)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        sink(batch, batch_id)
+        done.append(batch_id)
+
+    stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    return spark.read.schema(SESSIONS).parquet(f"{folder}/v{max(done)}") if done else spark.createDataFrame([], SESSIONS)
+
+
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Count exchanges: a user's turn followed by an assistant's, both not blank and the answer without a violation."""
     if state.hasTimedOut:
