@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clausework.llm.scratch import materialize, stored_bytes
+from clausework.llm.scratch import materialize
 
 #: The wrappers' size up to which they are broadcast.
 BROADCAST_BYTES = 16 << 20
@@ -501,7 +501,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     """
     host, path, cuts, key = (_fresh(pages.columns, n) for n in ("_host", "_path", "_cuts", "_key"))
     found = materialize(wrappers(pages), "wrappers").toDF(host, path, cuts)
-    small = stored_bytes(found) <= BROADCAST_BYTES
+    held = found.agg(F.sum(F.octet_length(host) + F.octet_length(path) + F.octet_length(F.array_join(cuts, "")) + 64)).first()[0]
+    small = (held or 0) <= BROADCAST_BYTES
     joined = pages.withColumn(key, host_of("url")).join(F.broadcast(found) if small else found, F.col(key) == F.col(host), "left").drop(key, host)
     at, way, out = (joined.columns.index(c) for c in ("html", path, cuts))
     keep = [i for i, c in enumerate(joined.columns) if c not in ("html", path, cuts, "text", "n_chars")]
