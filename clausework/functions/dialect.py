@@ -7,6 +7,7 @@ Operators state their rules once, as text over these spellings: Spark runs them
 from __future__ import annotations
 
 import re
+import re._parser as sre
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -196,6 +197,49 @@ def layers_sql(table: str, layers: Sequence[Layer]) -> str:
     return table
 
 
+MOST_CUES = 14
+
+
+def cues(pattern: str) -> list[str]:
+    """Lower-case words of which every match of a pattern holds one, the longest choice that the pattern's parts give; none if there is no such choice.
+
+    A plain search for a few words costs a small part of a case-insensitive pattern over a long text, and most texts hold none.
+    """
+
+    def of(parts) -> list[str] | None:
+        best: list[str] | None = None
+        run = ""
+
+        def offer(words: list[str] | None) -> None:
+            nonlocal best
+            if words and len(words) <= MOST_CUES and min(map(len, words)) >= 3 and (best is None or min(map(len, words)) > min(map(len, best))):
+                best = words
+
+        for op, value in [*parts, (None, None)]:
+            if op is sre.LITERAL:
+                run += chr(value).lower()
+                continue
+            offer([run] if run else None)
+            run = ""
+            if op is sre.SUBPATTERN:
+                offer(of(value[-1]))
+            elif op is sre.BRANCH:
+                each = [of(branch) for branch in value[1]]
+                offer(sorted({w for words in each for w in words}) if all(each) else None)
+            elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and value[0] >= 1:
+                offer(of(value[2]))
+        return best
+
+    return of(sre.parse(re.sub(r"\\x\{([0-9a-fA-F]{2})\}", r"\\x\1", pattern))) or []
+
+
+def has_cued(q: SparkSql, t: str, low: str, pattern: str) -> str:
+    """Whether ``t`` matches; Spark first looks for the pattern's cues in ``low``, the text in lower case."""
+    words = cues(pattern) if q is SPARK else []
+    found = q.has(t, pattern)
+    return f"({any_of([q.contains(low, q.text(w)) for w in words])} and {found})" if words else found
+
+
 def any_of(items: Sequence[str]) -> str:
     return "(" + " or ".join(items) + ")"
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from clausework.functions import vocab
 from clausework.functions.counts import with_counts
-from clausework.functions.dialect import DUCK, SPARK, Layer, SparkSql, flag_sum, with_layers, words_in
+from clausework.functions.dialect import DUCK, SPARK, Layer, SparkSql, flag_sum, has_cued, with_layers, words_in
 from clausework.operators.quality import WORD, quality_counts_sql, quality_layers
 
 
@@ -57,15 +57,16 @@ ROUTE_PARTS = ("signs", "tokens", "words", "phrases", "policy", "types")
 def domain_layers(q: SparkSql, t: str = "text") -> list[Layer]:
     """Over the counts of DOMAIN_PARTS."""
     return [
-        {"blank": f"({t} is null or not {q.has(t, WORD)})", "c_hits": flag_sum([q.has(f"coalesce({t}, '')", p) for p in vocab.CONTRACT_STRUCTURE])},
+        {"blank": f"({t} is null or not {q.has(t, WORD)})", "t_low": f"lower(coalesce({t}, ''))"},
+        {"c_hits": flag_sum([has_cued(q, f"coalesce({t}, '')", "t_low", p) for p in vocab.CONTRACT_STRUCTURE])},
         {
             "legal_keyword_ratio": "coalesce(cast(n_legal as double) / nullif(n_plain, 0), 0.0)",
             "structure_score": structure_score_of("c_hits", len(vocab.CONTRACT_STRUCTURE)),
             "legal_phrase_density": "coalesce(cast(p_hits as double) / nullif(n_tokens, 0), 0.0)",
-            "non_legal_penalty": f"cast(case when blank then 0.5 else least(1.0, {flag_sum([q.has(t, p) for p in vocab.NON_LEGAL_STRONG])} * 0.20 + {flag_sum([q.has(t, p) for p in vocab.NON_LEGAL_WEAK])} * 0.08) end as double)",
+            "non_legal_penalty": f"cast(case when blank then 0.5 else least(1.0, {flag_sum([has_cued(q, t, 't_low', p) for p in vocab.NON_LEGAL_STRONG])} * 0.20 + {flag_sum([has_cued(q, t, 't_low', p) for p in vocab.NON_LEGAL_WEAK])} * 0.08) end as double)",
         },
         {"signal": "legal_keyword_ratio * 0.40 + structure_score * 0.35 + legal_phrase_density * 0.25"},
-        {"lifted": f"case when {q.has(f'coalesce({t}, {chr(39) * 2})', vocab.EMPLOYMENT_TITLE)} then greatest(0.25, signal - non_legal_penalty) else greatest(0.0, signal - non_legal_penalty) end"},
+        {"lifted": f"case when {has_cued(q, f'coalesce({t}, {chr(39) * 2})', 't_low', vocab.EMPLOYMENT_TITLE)} then greatest(0.25, signal - non_legal_penalty) else greatest(0.0, signal - non_legal_penalty) end"},
         {"domain": "case when lifted <= 0.08 then 'NON_LEGAL' when lifted < 0.20 then 'POSSIBLY_LEGAL' else 'LEGAL' end", "domain_confidence": "lifted"},
     ]
 
@@ -88,9 +89,10 @@ def type_layers(q: SparkSql, types: Mapping[str, Sequence[str]] = vocab.POLICY_T
 
 def policy_layers(q: SparkSql, t: str = "text") -> list[Layer]:
     """Over the counts of POLICY_PARTS."""
-    employed = q.has(f"coalesce({t}, '')", vocab.EMPLOYMENT_TITLE)
+    employed = "is_employment"
     return [
-        {"blank": f"({t} is null or not {q.has(t, WORD)})", "p_structure": flag_sum([q.has(f"coalesce({t}, '')", p) for p in vocab.POLICY_STRUCTURE])},
+        {"blank": f"({t} is null or not {q.has(t, WORD)})", "t_low": f"lower(coalesce({t}, ''))"},
+        {"p_structure": flag_sum([has_cued(q, f"coalesce({t}, '')", "t_low", p) for p in vocab.POLICY_STRUCTURE]), "is_employment": has_cued(q, f"coalesce({t}, '')", "t_low", vocab.EMPLOYMENT_TITLE)},
         *keyword_layers("policy"), *keyword_layers("contract"), *type_layers(q),
         {"policy_signal": f"policy_score * 0.40 + ({structure_score_of('p_structure', len(vocab.POLICY_STRUCTURE))}) * 0.35 + type_score * 0.25"},
         {"effective": "greatest(0.0, policy_signal - contract_score * 0.5)"},
@@ -154,22 +156,22 @@ def _select(docs: DataFrame, parts: Sequence[str], layers: Sequence[Layer], colu
 
 def legal_keyword_ratio(docs: DataFrame, words: Sequence[str] = vocab.LEGAL_WORDS) -> DataFrame:
     """D-1: share of legal keywords among words of three letters and more; 0 without words."""
-    return _select(docs, DOMAIN_PARTS, domain_layers(SPARK)[:2], ("legal_keyword_ratio",), legal=words)
+    return _select(docs, DOMAIN_PARTS, domain_layers(SPARK)[:3], ("legal_keyword_ratio",), legal=words)
 
 
 def structure_score(docs: DataFrame) -> DataFrame:
     """D-2: share of contract outlines that match, raised from three and from six matches on."""
-    return _select(docs, DOMAIN_PARTS, domain_layers(SPARK)[:2], ("c_hits", "structure_score"))
+    return _select(docs, DOMAIN_PARTS, domain_layers(SPARK)[:3], ("c_hits", "structure_score"))
 
 
 def phrase_density(docs: DataFrame, phrases: Sequence[str] = vocab.LEGAL_PHRASES) -> DataFrame:
     """D-3: occurrences of legal phrases for each word; overlapping phrases all count."""
-    return _select(docs, DOMAIN_PARTS, domain_layers(SPARK)[:2], ("p_hits", "legal_phrase_density"), phrases=phrases)
+    return _select(docs, DOMAIN_PARTS, domain_layers(SPARK)[:3], ("p_hits", "legal_phrase_density"), phrases=phrases)
 
 
 def non_legal_penalty(docs: DataFrame) -> DataFrame:
     """D-4: penalty for signs of other kinds of text; 0.5 for blank texts."""
-    return _select(docs, DOMAIN_PARTS, domain_layers(SPARK)[:2], ("non_legal_penalty",))
+    return _select(docs, DOMAIN_PARTS, domain_layers(SPARK)[:3], ("non_legal_penalty",))
 
 
 def classify_domain(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausework.functions import findings_values as v
-from clausework.functions.dialect import SPARK, Layer, SparkSql, any_of, with_layers, words_in
+from clausework.functions.dialect import SPARK, Layer, SparkSql, any_of, has_cued, with_layers, words_in
 
 COLUMNS = ("doc_id", "issue_no", "issue_title", "severity", "category", "location", "quoted_text", "risk_explanation", "suggested_improvement")
 LEVELS = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
@@ -38,10 +38,10 @@ def document_flag_layers(q: SparkSql, t: str = "text") -> list[Layer]:
     flags = {
         "d_any": f"length({x}) > 0", "d_long": f"length({x}) > 100",
         "d_disclaims_sla": _holds_any(q, "d_low", v.SLA_DISCLAIMERS), "d_saas": _holds_any(q, "d_low", v.SAAS_TERMS), "d_sla": _holds_any(q, "d_low", v.SLA_TERMS),
-        **{f"d_{k}": q.has(x, p) for k, p in v.EXCLUSION_KINDS.items()}, "d_excludes": q.has(x, v.HAS_EXCLUSIONS),
-        "d_mutual": q.has(x, v.MUTUAL), "d_cap": q.has(x, v.DOCUMENT_CAP), "d_exclusion": q.has(x, v.DOCUMENT_EXCLUSION),
-        "d_wide_cap": q.has(x, v.WIDE_CAP), "d_wide_exclusion": q.has(x, v.WIDE_EXCLUSION), "d_unlimited": q.has(x, v.UNLIMITED),
-        "d_standard_nda": f"({q.has(x, v.NDA_EXCLUSIONS)} and {q.has(x, v.NDA_TERM)} and {q.has(x, v.NDA_RETURN)})",
+        **{f"d_{k}": has_cued(q, x, "d_low", p) for k, p in v.EXCLUSION_KINDS.items()}, "d_excludes": has_cued(q, x, "d_low", v.HAS_EXCLUSIONS),
+        "d_mutual": has_cued(q, x, "d_low", v.MUTUAL), "d_cap": has_cued(q, x, "d_low", v.DOCUMENT_CAP), "d_exclusion": has_cued(q, x, "d_low", v.DOCUMENT_EXCLUSION),
+        "d_wide_cap": has_cued(q, x, "d_low", v.WIDE_CAP), "d_wide_exclusion": has_cued(q, x, "d_low", v.WIDE_EXCLUSION), "d_unlimited": has_cued(q, x, "d_low", v.UNLIMITED),
+        "d_standard_nda": f"({has_cued(q, x, "d_low", v.NDA_EXCLUSIONS)} and {has_cued(q, x, "d_low", v.NDA_TERM)} and {has_cued(q, x, "d_low", v.NDA_RETURN)})",
         "d_one_sided_strict": _one_sided(q, x, strict=True), "d_one_sided_stems": _one_sided(q, x, strict=False),
     }
     return [{"d_low": f"lower({x})"}, flags]
@@ -50,7 +50,7 @@ def document_flag_layers(q: SparkSql, t: str = "text") -> list[Layer]:
 def _one_sided(q: SparkSql, x: str, strict: bool) -> str:
     """A duty beside an explicit denial, or a denial in a document without mutual language. ``strict`` ends stems at whole words."""
     end = r"\b" if strict else ""
-    return f"(({q.has(x, v.SOME_DUTY + end)} and {q.has(x, v.EXPLICIT_NO_DUTY)}) or ({q.has(x, v.NO_DUTY + end)} and not {q.has(x, v.MUTUAL_WORDS)}))"
+    return f"(({has_cued(q, x, "d_low", v.SOME_DUTY + end)} and {has_cued(q, x, "d_low", v.EXPLICIT_NO_DUTY)}) or ({has_cued(q, x, "d_low", v.NO_DUTY + end)} and not {has_cued(q, x, "d_low", v.MUTUAL_WORDS)}))"
 
 
 FLAGS = (

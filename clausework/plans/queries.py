@@ -47,13 +47,13 @@ def _quality() -> None:
 
 def _classify() -> None:
     words, low = quality.word_layers(), classify.low_sql()
-    domain = [*quality.token_layers(), *words, *low, *classify.domain_counts_sql(), *classify.domain_layers(DUCK)[:2]]
+    domain = [*quality.token_layers(), *words, *low, *classify.domain_counts_sql(), *classify.domain_layers(DUCK)[:3]]
     terms = [*words, *low, *classify.policy_counts_sql()]
     over_documents("d1_legal_keyword_ratio", classify.legal_keyword_ratio, domain, ("legal_keyword_ratio",))
     over_documents("d2_structure_score", classify.structure_score, domain, ("c_hits", "structure_score"))
     over_documents("d3_phrase_density", classify.phrase_density, domain, ("p_hits", "legal_phrase_density"))
     over_documents("d4_non_legal_penalty", classify.non_legal_penalty, domain, ("non_legal_penalty",))
-    over_documents("d5_classify_domain", classify.classify_domain, [*domain, *classify.domain_layers(DUCK)[2:]], ("domain", "domain_confidence"))
+    over_documents("d5_classify_domain", classify.classify_domain, [*domain, *classify.domain_layers(DUCK)[3:]], ("domain", "domain_confidence"))
     explained = "case content_type " + " ".join(f"when '{k}' then {DUCK.text(e)}" for k, e in vocab.CONTENT_EXPLANATIONS.items()) + " end as content_explanation"
     over_documents("d6_non_legal_content_type", classify.non_legal_content_type, classify.content_type_layers(DUCK), ("content_type", "best_score", explained))
     over_documents("p1_keyword_score", classify.keyword_score, [*terms, *classify.keyword_layers("policy"), {"term_score": "policy_score", "term_matched": "policy_matched"}], ("term_score", "term_matched"))
