@@ -56,20 +56,24 @@ def _axes(vectors: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
+def _turned(vectors: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Unit vectors on the principal axes."""
+    return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)) @ axes
+
+
 def _rotate(axes: dict[int, np.ndarray], width: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
             for d in np.unique(dims):
                 part = batch.filter(pa.array(dims == d))
-                m = _matrix(part.column(2))
-                turned = (m / np.linalg.norm(m, axis=1, keepdims=True)) @ axes[int(d)]
+                turned = _turned(_matrix(part.column(2)), axes[int(d)])
                 lead = np.floor(turned[:, :GRID] / width).astype(np.int32)
                 if lead.shape[1] < GRID:
                     lead = np.pad(lead, ((0, 0), (0, GRID - lead.shape[1])))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), part.column(3), pa.array(turned.tolist(), pa.list_(pa.float64())), pa.array(lead[:, 0]), pa.array(lead[:, 1])],
-                    names=["cls", "label", "embedding", "n", "turned", "g0", "g1"],
+                    [part.column(0), part.column(1), part.column(2), part.column(3), pa.array(lead[:, 0]), pa.array(lead[:, 1])],
+                    names=["cls", "label", "embedding", "n", "g0", "g1"],
                 )
 
     return run
@@ -93,7 +97,7 @@ def _survivors(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarr
     return i, j
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, axes: dict[int, np.ndarray]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for dim, own in pdf.groupby(pdf["embedding"].map(len)):
@@ -103,10 +107,11 @@ def _compare(threshold: float):
             right = left if same else right
             if not len(left) or not len(right) or not dim:
                 continue
-            i, j = _survivors(np.stack(left["turned"].to_numpy()), np.stack(right["turned"].to_numpy()), threshold)
+            # tiles travel as they are and are turned here: one copy of the vectors crosses the shuffle
+            ox, oy = (np.stack(t["embedding"].to_numpy()).astype(np.float64) for t in (left, right))
+            i, j = _survivors(_turned(ox, axes[dim]), _turned(oy, axes[dim]), threshold)
             if same:
                 i, j = i[i < j], j[i < j]
-            ox, oy = (np.stack(t["embedding"].to_numpy()).astype(np.float64) for t in (left, right))
             nx, ny = (np.sqrt((m * m).sum(axis=1)) for m in (ox, oy))
             keep = np.einsum("ij,ij->i", ox[i], oy[j]) / (nx[i] * ny[j]) >= threshold
             i, j = i[keep], j[keep]
@@ -160,8 +165,9 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = 0.98) -> Da
     # numbers given while the table is written are read back as they are: unlike hashes they cannot fall together
     classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "vector-classes")
     width = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
-    turned = classes.select("cls", "label", "embedding", "n").mapInArrow(_rotate(_axes(classes), width), f"cls long, label {classes.schema['label'].dataType.simpleString()}, embedding array<double>, n long, turned array<double>, g0 int, g1 int")
-    turned = materialize(turned, "turned")
+    axes = _axes(classes)
+    turned = classes.select("cls", "label", "embedding", "n").mapInArrow(_rotate(axes, width), f"cls long, label {classes.schema['label'].dataType.simpleString()}, embedding array<double>, n long, g0 int, g1 int")
+    turned = materialize(turned, "celled")
     cells = turned.groupBy("label", "g0", "g1").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     near = F.explode(F.expr("array(struct(0 as d0, 0 as d1), struct(0 as d0, 1 as d1), struct(1 as d0, -1 as d1), struct(1 as d0, 0 as d1), struct(1 as d0, 1 as d1))"))
     other = cells.select(F.col("label").alias("l2"), F.col("g0").alias("h0"), F.col("g1").alias("h1"), F.col("tiles").alias("tiles2"))
@@ -173,8 +179,8 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = 0.98) -> Da
     ends = pairs.select("label", "g0", "g1", "s", "pair", "same", F.lit(0).alias("side"))
     ends = ends.unionByName(pairs.where("same = 0").select("label", F.col("h0").alias("g0"), F.col("h1").alias("g1"), F.col("t").alias("s"), "pair", "same", F.lit(1).alias("side")))
     counted = turned.join(cells, ["label", "g0", "g1"]).withColumn("s", F.expr("cast(pmod(xxhash64(cls), tiles) as int)"))
-    members = counted.join(ends, ["label", "g0", "g1", "s"]).select("pair", "side", "same", "cls", "n", "embedding", "turned")
-    found = materialize(members.groupBy("pair").applyInPandas(_compare(threshold), "cls long, links long, root long"), "vector-links")
+    members = counted.join(ends, ["label", "g0", "g1", "s"]).select("pair", "side", "same", "cls", "n", "embedding")
+    found = materialize(members.groupBy("pair").applyInPandas(_compare(threshold, axes), "cls long, links long, root long"), "vector-links")
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     groups = components(found, "cls", "root").withColumnsRenamed({"node": "cls", "component_id": "group"})
     owned = classes.select("cls", "label", "key", "n", "least").join(groups, "cls", "left").withColumn("group", F.coalesce("group", "cls"))

@@ -126,6 +126,13 @@ def test_vectors_are_compared_exactly(spark, monkeypatch, threshold):
     assert embeddings.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_extreme_sizes_link(spark):
+    base = [1.0, 2.0, -3.0, 0.5]
+    rows = [(1, base, "a"), (2, [1e-200 * x for x in base], "a"), (3, [1e200 * x for x in base], "a"), (4, [5e-324, 0.0, 0.0, 0.0], "a"), (5, [-x for x in base], "a"), (6, [0.0] * 4, "a")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    assert {x.vec_id: (x.n_links, x.component_id) for x in embeddings.near_duplicate_vectors(df).collect()} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5), 6: (0, 6)}
+
+
 def test_decontamination_against_all_windows(spark):
     items = [(k, prose(1000 + k, 20 + k)) for k in range(12)] + [(50, "only three words"), (51, ""), (52, None), (None, "x y z a b c")]
     w = items[3][1].split()
