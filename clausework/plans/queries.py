@@ -191,12 +191,23 @@ def _findings() -> None:
     on_issues("n3_remap_category", findings.remap_category, findings.field_layers(DUCK), ("new_category",))
     on_issues("n4_sanitize_language", findings.sanitize_language, findings.field_layers(DUCK), ("new_explanation", "new_advice"))
     on_issues("n5_refine_improvement", findings.refine_improvement, findings.advice_layers(DUCK), ("new_improvement",))
-    key = findings.quote_key(DUCK)
+    key = "lower(regexp_replace(trim(trim(regexp_replace(quoted_text, '^\\s+|\\s+$', '', 'g'), chr(34)), chr(39)), '\\s+', ' ', 'g'))"
     register("n6_dedupe_quotes", lambda s, d: findings.dedupe_quotes(issues(s, d)), f"select doc_id, issue_no from (select *, {key} as k, row_number() over (partition by doc_id, {key} order by issue_no) as r from {sql}) where k = '' or r = 1")
     dropped = layers_sql(joined, findings.suppression_layers(DUCK))
-    names = {"7": "suppress_balanced", "8": "suppress_false_sla", "10": "suppress_noncompete", "11": "suppress_invention", "12": "suppress_mismatched_title"}
-    for k, name in names.items():
-        register(f"n{k}_{name}", lambda s, d, f=getattr(findings, name): f(issues(s, d), docs(s, d)), f"select doc_id, issue_no from {dropped} where not coalesce(n{k}, false)")
+    month = "coalesce(try_cast(regexp_extract(quoted_text, '(?i)([0-9]+)\\s*\\)?\\s*month', 1) as int) <= 6, false)"
+    anyone = lambda words: "(" + " or ".join(f"contains(lower(text), '{w}')" for w in words) + ")"
+    disclaims = anyone(("no service level", "no sla", "does not guarantee", "no guarantee", "not warrant", "as is", "as-available"))
+    hosted = anyone(("saas", "software-as-a-service", "software as a service", "subscription", "cloud", "platform", "service provider", "service level", "uptime", "availability", "service credit", "downtime", "sla"))
+    promised = anyone(("service level", "uptime", "availability", "99.5%", "98%", "99%", "sla", "guarantee", "maintain"))
+    kept = {
+        "7": ("suppress_balanced", f"select doc_id, issue_no from {dropped} where not coalesce(n7, false)"),
+        "8": ("suppress_false_sla", f"select i.doc_id, issue_no from {sql} i join {texts} t using (doc_id) where not ((issue_title ilike '%no sla%' or issue_title ilike '%no service level agreement%') and text <> '' and not {disclaims} and (not {hosted} or {promised}))"),
+        "10": ("suppress_noncompete", f"select doc_id, issue_no from {sql} where not (issue_title = 'Excessive Non-Compete Duration' and {month})"),
+        "11": ("suppress_invention", f"select doc_id, issue_no from {sql} where not (issue_title = 'Overbroad Invention Assignment' and regexp_matches(quoted_text, '(?is)develops entirely on .*? own time'))"),
+        "12": ("suppress_mismatched_title", f"select doc_id, issue_no from {dropped} where not coalesce(n12, false)"),
+    }
+    for k, (name, by_hand) in kept.items():
+        register(f"n{k}_{name}", lambda s, d, f=getattr(findings, name): f(issues(s, d), docs(s, d)), by_hand)
     register("n9_suppress_ice", lambda s, d: findings.suppress_ice(issues(s, d), docs(s, d)), f"select doc_id, issue_no from {dropped} where not n9 and not n9b")
     months = "try_cast(nullif(regexp_extract(lower(quoted_text), '([0-9]+)\\s*\\)?\\s*month', 1), '') as int) > 6"
     register("n13_rewrite_titles", lambda s, d: findings.rewrite_titles(issues(s, d)), f"""
