@@ -6,22 +6,29 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clausework.llm.joins import LEAST_HOT, MOST_HOT
 from clausework.llm.scratch import materialize
 
 
-def _with_least(pairs: DataFrame) -> DataFrame:
-    """Each (u, v) with m, the least of u and its neighbours. The join's sides can be split where u is hot."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return pairs.join(least.hint("shuffle_merge"), "u")
+def _with_least(pairs: DataFrame, limit: int) -> DataFrame:
+    """Each (u, v) with m, the least of u and its neighbours.
+
+    Nodes of more than ``limit`` neighbours are few and are joined by broadcast, so that the centre of a large star is
+    dealt to no task alone.
+    """
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+    hot = F.broadcast(least.where(F.col("n") > limit).select("u", "m"))
+    cold = pairs.join(hot.select("u"), "u", "left_anti").join(least.where(F.col("n") <= limit).select("u", "m").hint("shuffle_merge"), "u")
+    return cold.unionByName(pairs.join(hot, "u"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, limit: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _with_least(both, limit).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    joined = _with_least(edges)
+def _small_star(edges: DataFrame, limit: int) -> DataFrame:
+    joined = _with_least(edges, limit)
     to_least = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = edges.groupBy("u").agg(F.min("v").alias("v"))
     return to_least.unionByName(own).distinct()
@@ -42,7 +49,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         if state == seen or not state[0]:
             break
         seen = state
-        edges = materialize(_small_star(_large_star(edges)), "edges")
+        limit = max(LEAST_HOT, state[0] // MOST_HOT)
+        edges = materialize(_small_star(_large_star(edges, limit), limit), "edges")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component_id"))
     roots = stars.select(F.col("component_id").alias("node"), "component_id").distinct()
     return stars.unionByName(roots)
