@@ -102,8 +102,7 @@ def test_components_of_chains_and_stars(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
-def test_components_around_hot_nodes(spark, monkeypatch):
-    monkeypatch.setattr(graph, "LEAST_HOT", 3)
+def test_components_around_hot_nodes(spark):
     r = random.Random(2)
     edges = [(5, i) for i in range(100, 160)] + [(i, 1) for i in range(100, 110)] + [(200 + r.randrange(30), 200 + r.randrange(30)) for _ in range(60)] + [(7, 7), (None, 3)]
     nodes = sorted({x for e in edges if None not in e and e[0] != e[1] for x in e})
