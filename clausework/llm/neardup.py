@@ -183,7 +183,9 @@ def _linked(hopeful: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold. Each side's hot members are dealt over several tasks."""
     hot = {c: hot_keys(hopeful, c) for c in ("a", "b")}
     both = hopeful
-    for c, name in (("a", "sa"), ("b", "sb")):
+    if hot["a"].isEmpty() and hot["b"].isEmpty():
+        both, hot = hopeful.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b"), {}
+    for c, name in (("a", "sa"), ("b", "sb")) if hot else ():
         both = both.join(F.broadcast(hot[c].withColumnRenamed("_ways", f"_ways_{c}")), c, "left").withColumn(f"_deal_{c}", F.pmod(F.xxhash64("a", "b"), F.coalesce(f"_ways_{c}", F.lit(1))).cast("int")).drop(f"_ways_{c}")
         side = sets.toDF(c, name).join(F.broadcast(hot[c]), c, "left").withColumn(f"_deal_{c}", F.explode(F.sequence(F.lit(0), F.coalesce("_ways", F.lit(1)) - 1))).drop("_ways")
         both = both.join(side, [c, f"_deal_{c}"])
