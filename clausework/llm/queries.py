@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from clausework.llm.decontaminate import contaminated
@@ -12,6 +13,7 @@ from clausework.llm import licenses
 from clausework.llm.html import main_text
 from clausework.llm.mixing import SCHEDULES, SHARE, WEIGHTS, mix
 from clausework.llm.neardup import near_duplicates
+from clausework.llm.packing import pack
 from clausework.llm.pii import find_personal_data
 from clausework.llm.quality import quality_scores
 from clausework.llm.toxicity import toxicity_scores
@@ -63,6 +65,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_neardup": op1_minhash_neardup,
     "op2_embedding_neardup": op2_embedding_neardup,
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 
 
