@@ -16,6 +16,7 @@ from clausework.llm.neardup import near_duplicates
 from clausework.llm.packing import pack
 from clausework.llm.pii import find_personal_data
 from clausework.llm.quality import quality_scores
+from clausework.llm.search import ranked_search
 from clausework.llm.toxicity import toxicity_scores
 from clausework.llm.warc import LEAST_REVISIT, capture_history
 
@@ -65,6 +66,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op11_ranked_search": op11_ranked_search,
     "op13_best_fit_packing": op13_best_fit_packing,
 }
 
@@ -140,4 +146,24 @@ select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
   case when original <> page_id then original end as refers_to
 from m"""
 
-ORACLES: dict[str, str] = {"op4_warc": _WARC_SQL, "op6_licenses": licenses.oracle_sql(), "op7_mixing": _mixing_sql()}
+_SEARCH_SQL = """
+with dt as (
+  select row, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')) as term
+  from (select row_number() over () as row, doc_id, text from documents)),
+it as (
+  select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')) as term
+  from benchmark),
+lengths as (select row, doc_id, count(*) as n from dt group by all),
+totals as (select cast(count(*) as bigint) as docs, cast(sum(n) as bigint) as words from lengths),
+tfs as (select row, term, count(*) as tf from dt where term in (select term from it) group by all),
+weights as (select term, cast(floor(1000 * ln((2e0 * any_value(docs) + 2) / (2 * count(*) + 1))) as bigint) as w from tfs, totals group by term),
+scores as (
+  select item_id, row, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words)))) as bigint) as score
+  from it join tfs using (term) join weights using (term) join lengths using (row), totals
+  group by item_id, row),
+ranked as (
+  select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as rank
+  from scores join lengths using (row) where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 50"""
+
+ORACLES: dict[str, str] = {"op11_ranked_search": _SEARCH_SQL, "op4_warc": _WARC_SQL, "op6_licenses": licenses.oracle_sql(), "op7_mixing": _mixing_sql()}
