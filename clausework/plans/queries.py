@@ -96,12 +96,21 @@ def _redact() -> None:
             return out.select("doc_id", F.explode("candidates").alias("c")).select("doc_id", "c.entity_type", "c.start", "c.end", "c.original_text", "c.confidence", *(["c.reason"] if n > 3 else []))
 
         register(name, query)
-    # the types whose patterns DuckDB can state: no look-around, no Unicode classes
-    plain = ("EMAIL", "ADDRESS", "COMPANY", "DATE", "ID_NUMBER", "LOCATION", "PERSON")
-    sign = lambda t: ("(?i)" if redact.ENTITY_PATTERNS[t][1] else "") + redact.ENTITY_PATTERNS[t][0].replace(r"(?<![\d-])", "")
-    counted = " union all ".join(f"select doc_id, '{t}' as entity_type, len(regexp_extract_all(text, {DUCK.regex(sign(t))})) as n from {texts}" for t in plain if t != "ADDRESS")
+    # DuckDB's word bounds know ASCII only and it has no look-around: other letters and digits become a word sign, bounds before signs are spelled out
+    part, last = r"\d{1,3}[\s.-]?", r"\d{3,4}[\s.-]?\d{4}\b"
+    two = r"(?:\(?\d{2,4}\)?[\s.-]?)?"
+    units = "(?:USD|INR|EUR|GBP|dollars?|rupees?|euros?|pounds?)"
+    stated = {t: ("(?i)" if flag else "") + pattern for t, (pattern, flag, _) in redact.ENTITY_PATTERNS.items()} | {
+        "PHONE": rf"\B\+{part}{two}{last}|\B\(\d{{2,4}}\)?[\s.-]?{last}|\b{part}{two}{last}|\b(?:\d{{2,4}}\)?[\s.-]?)?{last}",
+        "MONEY": rf"(?i)\B[$₹€£]\s?(?:\d[\d,]*\.\d{{1,2}}\b|\d[\d,]*,\B|\d(?:[\d,]*\d)?\b)|\b\d[\d,]*(?:\.\d{{1,2}})?\s?{units}\b",
+        "ADDRESS": "(?i)(?:^|[^-0-9A-Za-z_])" + redact.ENTITY_PATTERNS["ADDRESS"][0].removeprefix(r"(?<![\d-])\b"),
+        "EMAIL": redact.ENTITY_PATTERNS["EMAIL"][0].replace("._%+-", ".%+-"),
+    }
+    signs = "regexp_replace(regexp_replace({}, '[^\\P{{L}}A-Za-z]', '_', 'g'), '[^\\P{{N}}0-9]', '_', 'g')".format
+    over = {t: signs("replace(text, '_', 'z')" if t == "EMAIL" else "text") for t in stated}
+    counted = " union all ".join(f"select doc_id, '{t}' as entity_type, len(regexp_extract_all({over[t]}, {DUCK.regex(pattern)})) as n from {texts}" for t, pattern in stated.items())
     counts = lambda s, d: redact.detect_candidates(docs(s, d)).select("doc_id", F.explode("candidates").alias("c")).groupBy("doc_id", F.col("c.entity_type").alias("entity_type")).agg(F.count("*").alias("n"))
-    register("r1_candidate_counts", lambda s, d: counts(s, d).where("entity_type not in ('PHONE', 'MONEY', 'ADDRESS')"), f"select doc_id, entity_type, n from ({counted}) where n > 0")
+    register("r1_candidate_counts", counts, f"select doc_id, entity_type, n from ({counted}) where n > 0")
     register("r6_resolve_overlaps", lambda s, d: flat(redact.resolve_overlaps(redact.reject_false_numbers(redact.classify_person(redact.adjust_confidence(redact.strip_leadin(redact.detect_candidates(docs(s, d)))))))))
     register("r7_reconcile_repeats", lambda s, d: flat(found(s, d)))
     register("r7_stepwise", lambda s, d: flat(redact.stepwise_entities(docs(s, d))))
