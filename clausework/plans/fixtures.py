@@ -190,9 +190,23 @@ def _item(q: SparkSql) -> str:
 
 
 _LABELLED = "concat('Issue: ', issue_title, chr(10), 'Severity: ', severity, chr(10), 'Quoted Text: ', replace(quoted_text, chr(10), ' '))"
-#: Five kinds of response around a document's findings: array, object, fenced with a comma too many, cut off after the last finding, labelled text.
-_RESPONSE = """case doc_id % 5 when 0 then concat('[', items, ']') when 1 then concat('{"issues": [', items, ']}') when 2 then concat('```json', chr(10), '{"issues": [', items, ',]}', chr(10), '```')
-  when 3 then concat('{"issues": [', items, ', {"Issue Ti') else labelled end as response_text"""
+#: Kinds of response around a document's findings, by doc_id: how its text is made, and how it is read ('' where it holds no finding).
+RESPONSE_KINDS = (
+    ("concat('[', items, ']')", "strict"),
+    ("concat('{\"issues\": [', items, ']}')", "strict"),
+    ("concat('```json', chr(10), '{\"issues\": [', items, ',]}', chr(10), '```')", "repaired"),
+    ("concat('{\"issues\": [', items, ', {\"Issue Ti')", "repaired"),
+    ("labelled", "labeled"),
+    ("concat('Here are the findings:', chr(10), '[', items, ']')", "strict"),
+    ("concat('Sure, see [1]:', chr(10), '```json', chr(10), '{\"issues\": [', items, ']}', chr(10), '```', chr(10), 'Done {a}.')", "strict"),
+    ("'{\"error\": {\"code\": [429], \"note\": \"rate limit\"}}'", ""),
+    ("concat('{\"note\": {\"n\": 1}} and then {\"result\": {\"issues\": [', items, ']}} as asked.')", "strict"),
+    ("concat('[', replace(items, '\"severity\": \"', concat('\"severity\": \"', chr(10), chr(9))), ']')", "strict"),
+    ("concat('[', items, ', {\"severity\": tru')", "truncated"),
+    ("concat('A 5\" pipe: [', items, ' , ] and [so', chr(10), 'on')", "repaired"),
+    ("'The contract looks [fine] to me.'", ""),
+)
+_RESPONSE = f"case doc_id % {len(RESPONSE_KINDS)} " + " ".join(f"when {k} then {text}" for k, (text, _) in enumerate(RESPONSE_KINDS)) + " end as response_text"
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,13 +19,13 @@ NOW = "timestamp '2024-03-01 00:00:00'"
 
 def _parse() -> None:
     parsed = lambda s, d: parse.parse_issues(fixtures.responses(s, d))
-    kinds = "case doc_id % 5 when 0 then 'strict' when 1 then 'strict' when 2 then 'repaired' when 3 then 'truncated' else 'labeled' end as parse_method"
-    clean = "case when doc_id % 5 < 4 then replace(replace(replace(quoted_text, chr(92), ' '), chr(34), ' '), chr(10), ' ') else quoted_text end"
-    read = f"(select doc_id, issue_no, issue_title, severity, nullif(trim(regexp_replace({clean}, '\\s+', ' ', 'g')), '') as quoted_text, {kinds} from {ISSUES})"
+    kinds = f"case doc_id % {len(fixtures.RESPONSE_KINDS)} " + " ".join(f"when {k} then '{m}'" for k, (_, m) in enumerate(fixtures.RESPONSE_KINDS)) + " end"
+    clean = "case when doc_id % 13 <> 4 then replace(replace(replace(quoted_text, chr(92), ' '), chr(34), ' '), chr(10), ' ') else quoted_text end"
+    read = f"(select * from (select doc_id, issue_no, issue_title, severity, nullif(trim(regexp_replace({clean}, '\\s+', ' ', 'g')), '') as quoted_text, {kinds} as parse_method from {ISSUES}) where parse_method <> '')"
     flat = lambda s, d: parsed(s, d).select("doc_id", "issue_no", "issue_title", "severity", F.regexp_replace(F.trim("quoted_text"), r"\s+", " ").alias("quoted_text"), "parse_method")
     register("j1_parse_issues", flat, f"select * from {read}")
-    register("j2_repair_json", lambda s, d: flat(s, d).where("parse_method in ('repaired', 'truncated')"), f"select * from {read} where doc_id % 5 in (2, 3)")
-    register("j3_parse_labeled_text", lambda s, d: flat(s, d).where("parse_method = 'labeled'"), f"select * from {read} where doc_id % 5 = 4")
+    register("j2_repair_json", lambda s, d: flat(s, d).where("parse_method in ('repaired', 'truncated')"), f"select * from {read} where parse_method in ('repaired', 'truncated')")
+    register("j3_parse_labeled_text", lambda s, d: flat(s, d).where("parse_method = 'labeled'"), f"select * from {read} where parse_method = 'labeled'")
     register("j4_normalize_keys", lambda s, d: fixtures.issues(s, d).select("doc_id", "issue_no", parse.normalize_keys(F.create_map(F.lit("Issue Title"), F.col("issue_title"), F.lit("quotedText"), F.col("quoted_text"), F.lit("Extra-Key"), F.col("location"))).alias("m")).select("doc_id", "issue_no", F.expr("try_element_at(m, 'issue_title')").alias("issue_title"), F.expr("try_element_at(m, 'extra_key')").alias("extra_key"), F.size("m").alias("n_keys")), f"select doc_id, issue_no, issue_title, location as extra_key, cast(2 + case when trim(quoted_text) <> '' then 1 else 0 end as int) as n_keys from {ISSUES}")
     labels = " || chr(10) || ".join(f"'{name}:' || case when coalesce({field}, '') = '' then '' else ' ' || {field} end" for name, field in parse.LABELS.items())
     rendered = f"(select doc_id, string_agg(rtrim({labels}), chr(10) || chr(10) order by issue_no) as rendered from {ISSUES} group by doc_id)"
