@@ -6,7 +6,9 @@ blank documents have no clauses. Findings of a document meet by equi-joins on (d
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,9 +55,12 @@ PROHIBITED = (
 )
 NEVER_STRUCTURAL = ("indemnification", "liability exposure")
 HEADING = r"^(?:\d+(?:\.\d+)*[.)]\s+[A-Z]|(?:Section|Article|Clause|Paragraph)\s+\d+|(?:EXHIBIT|APPENDIX|SCHEDULE)\s+[A-Z])"
-GENERATED_RISK = (
+#: Place, explanation and advice of the finding that a conflict of a document makes.
+GENERATED = (
+    "Multiple sections",
     "The contract contains contradictory language across different sections: one clause specifies that certain obligations survive termination for a defined period, while another clause "
-    "states that all obligations cease immediately upon termination. These provisions cannot both be satisfied simultaneously."
+    "states that all obligations cease immediately upon termination. These provisions cannot both be satisfied simultaneously.",
+    "Resolve the contradiction by specifying whether the obligations survive termination or cease immediately, and ensure consistent language across all related clauses.",
 )
 EXCERPT = 300
 _MARK = "\x1e\x1f\x1e"
@@ -177,7 +182,8 @@ def elevate_contradictions(issues: DataFrame, docs: DataFrame) -> DataFrame:
     """C-8: findings in conflict, with each other or with the document's own conflict, become structural inconsistencies.
 
     Indemnities and liabilities keep their category. A document whose clauses conflict without any such finding gets one
-    made from the first surviving and the first ending clause; its issue_no follows the document's last.
+    made from the first surviving and the first ending clause, with its place, explanation and advice; its issue_no follows
+    the document's last. All columns of ``issues`` stay; original_category and contradiction_detected are added.
     """
     found = document_conflicts(docs).where("conflicts <> ''")
     flagged = issue_conflicts(issues).withColumn("hit", F.lit(True))
@@ -185,18 +191,18 @@ def elevate_contradictions(issues: DataFrame, docs: DataFrame) -> DataFrame:
     touches = F.expr(f"arrays_overlap({topics(SPARK, WHOLE)}, split(coalesce(conflicts, '-'), '[|]'))")
     marked = marked.withColumn("hit", F.coalesce("hit", F.lit(False)) | touches)
     raised = F.col("hit") & (F.coalesce("category", F.lit("")) != "Structural Inconsistency") & ~F.lower(F.coalesce("category", F.lit(""))).isin(*NEVER_STRUCTURAL)
-    kept = marked.withColumn("_up", raised).select(
-        "doc_id", "issue_no", "issue_title", "severity", F.when(F.col("_up"), "Structural Inconsistency").otherwise(F.col("category")).alias("category"),
-        F.when(F.col("_up"), F.col("category")).alias("original_category"), F.col("_up").alias("contradiction_detected"), "quoted_text",
-    )
+    up = {"original_category": F.when(raised, F.col("category")), "contradiction_detected": raised, "category": F.when(raised, "Structural Inconsistency").otherwise(F.col("category"))}
+    kept = marked.withColumns(up).drop("conflicts", "hit")
     counts = marked.groupBy("doc_id").agg(F.max("issue_no").alias("_last"), F.max("hit").alias("_hit"))
     bare = found.where("first_surviving <> first_ending").join(counts, "doc_id", "left").where("not coalesce(_hit, false)")
+    place, why, advice = (F.lit(x) for x in GENERATED)
     made = bare.select(
         "doc_id", F.expr("cast(coalesce(_last, 0) + 1 as int)").alias("issue_no"), F.lit("Structural Inconsistency").alias("issue_title"), F.lit("MEDIUM").alias("severity"),
-        F.lit("Structural Inconsistency").alias("category"), F.lit(None).cast("string").alias("original_category"), F.lit(False).alias("contradiction_detected"),
+        F.lit("Structural Inconsistency").alias("category"), place.alias("location"), why.alias("risk_explanation"), advice.alias("suggested_improvement"), F.lit(False).alias("contradiction_detected"),
         F.expr(f"concat(left(first_surviving, {EXCERPT}), ' | ', left(first_ending, {EXCERPT}))").alias("quoted_text"),
     )
-    return kept.unionByName(made)
+    wanted = [c for c in made.columns if c in kept.columns]
+    return kept.unionByName(made.select(*wanted), allowMissingColumns=True)
 
 
 #: Fixed values of the three document rules: title, category, severity, place.
@@ -216,10 +222,10 @@ SINGLE_TRIGGER = r"(?i)immediately\s+accelerate|become\s+fully\s+vested|(?:accel
 DOUBLE_TRIGGER = r"(?i)if[^\n]*(?:employ|terminat)[^\n]*accelerat|accelerat[^\n]*only[^\n]*if"
 
 
-def _section(q: SparkSql, at: str) -> str:
+def _section(q: SparkSql, at: str, lines: str = "d_lines") -> str:
     """Lines from one before the first index to two behind the last; null without an index."""
     first, last = q.least_of(at), q.most_of(at)
-    return f"case when {q.size(at)} > 0 then {q.join(q.cut('d_lines', f'greatest(0, {first} - 1)', f'(least({q.size('d_lines')}, {last} + 3) - greatest(0, {first} - 1))'), chr(10))} end"
+    return f"case when {q.size(at)} > 0 then {q.join(q.cut(lines, f'greatest(0, {first} - 1)', f'(least({q.size(lines)}, {last} + 3) - greatest(0, {first} - 1))'), chr(10))} end"
 
 
 def _quoted(q: SparkSql, section: str, n: int) -> str:
@@ -251,13 +257,90 @@ def verifier_layers(q: SparkSql, t: str = "text") -> list[Layer]:
     ]
 
 
-def verify_clauses(docs: DataFrame) -> DataFrame:
-    """N-19: findings of three rules on the text itself, one row each: doc_id, issue_title, category, severity, location, quoted_text."""
-    found = with_layers(docs.select("doc_id", "text"), verifier_layers(SPARK))
+@dataclass(frozen=True)
+class Verifier:
+    """A rule on a document's whole text and the finding that it makes.
+
+    ``fires`` and ``quote`` are SQL expressions over the document's columns and those that ``layers``
+    add (text is the document); ``section_verifier`` makes one from patterns.
+    """
+
+    name: str
+    issue_title: str
+    category: str
+    severity: str
+    location: str
+    risk_explanation: str
+    suggested_improvement: str
+    fires: str
+    quote: str
+    layers: Callable[[SparkSql], list[Layer]]
+
+    def values(self) -> dict[str, str]:
+        return {k: getattr(self, k) for k in ("issue_title", "category", "severity", "location", "risk_explanation", "suggested_improvement")}
+
+
+#: Explanation and advice of the three document rules.
+VERIFIED_TEXTS = {
+    "as_is": (
+        "The AS IS / no warranty provision disclaims all implied warranties (merchantability, fitness, title, non-infringement). In a paid service agreement, this creates significant risk for "
+        "the paying party who has no guarantee of service quality or functionality.",
+        "Include standard warranty that the service will perform substantially in accordance with the documentation and that professional-grade efforts will be used. Limit exclusions to implied "
+        "warranties only where necessary.",
+    ),
+    "asymmetric": (
+        "The agreement contains asymmetric termination rights: the provider can terminate for convenience at any time while the customer can only terminate for material breach. This creates a "
+        "fundamental power imbalance where the disadvantaged party's business depends on a service the provider can cancel at will.",
+        "Make termination rights mutual: both parties should have the same termination rights, or at minimum provide the disadvantaged party with a corresponding right to terminate for "
+        "convenience.",
+    ),
+    "single_trigger": (
+        "Single-trigger change of control accelerates all unvested equity upon change of control alone, without requiring termination. This creates a perverse incentive for the executive to "
+        "facilitate a sale regardless of shareholder interest. Double-trigger (acceleration only if terminated after CIC) is the market standard.",
+        "Replace single-trigger with double-trigger vesting: acceleration should occur only if the executive is terminated (without cause or for good reason) within 12-24 months following a "
+        "change of control.",
+    ),
+}
+VERIFIER_NAMES = {"as_is": "as_is_no_warranty", "asymmetric": "asymmetric_termination", "single_trigger": "single_trigger_coc"}
+VERIFIERS = tuple(Verifier(VERIFIER_NAMES[k], *values, *VERIFIED_TEXTS[k], k, f"{k}_quote", verifier_layers) for k, values in RULES.items())
+
 
-    def item(rule: str, values: Sequence[str]) -> str:
-        fields = ", ".join(f"'{k}', {SPARK.text(x)}" for k, x in zip(("issue_title", "category", "severity", "location"), values, strict=True))
-        return f"if({rule} and {rule}_quote <> '', named_struct({fields}, 'quoted_text', {rule}_quote), null)"
+def section_verifier(
+    name: str, issue_title: str, category: str, severity: str, location: str, risk_explanation: str, suggested_improvement: str, lines: str, confirm: Sequence[str] = (), deny: Sequence[str] = (), quoted_lines: int = 4
+) -> Verifier:
+    """A verifier that takes the section around the lines with the pattern ``lines``; all of ``confirm`` and none of ``deny`` must be in it. Its first lines are the quote."""
+    if not re.fullmatch("[a-z][a-z0-9_]*", name):
+        raise ValueError(f"a verifier's name is its columns' prefix: {name!r}")
 
-    rows = F.expr(f"explode(filter(array({', '.join(item(r, x) for r, x in RULES.items())}), x -> x is not null))")
-    return found.select("doc_id", rows.alias("f")).select("doc_id", "f.*")
+    def layers(q: SparkSql) -> list[Layer]:
+        x = "coalesce(text, '')"
+        at, section = f"{name}__at", f"{name}__section"
+        tests = [q.has(section, p) for p in confirm] + [f"not {q.has(section, p)}" for p in deny]
+        return [
+            {f"{name}__lines": q.split(x, r"\n")},
+            {at: f"case when {q.has(x, lines)} then {q.where(f'{name}__lines', 'c', q.has('c', lines))} else {q.keep(q.array(['0']), 'k', 'k < 0')} end"},
+            {section: _section(q, at, f"{name}__lines")},
+            {f"{name}__fires": f"coalesce({' and '.join([f'{section} is not null', *tests])}, false)", f"{name}__quote": _quoted(q, section, quoted_lines)},
+        ]
+
+    return Verifier(name, issue_title, category, severity, location, risk_explanation, suggested_improvement, f"{name}__fires", f"{name}__quote", layers)
+
+
+def verify_clauses(docs: DataFrame, verifiers: Sequence[Verifier] = VERIFIERS) -> DataFrame:
+    """N-19: findings of the ``verifiers`` on the text itself, one row each, in their order within a document.
+
+    Returns doc_id, issue_title, category, severity, location, quoted_text, risk_explanation, suggested_improvement,
+    detection_method ('verifier'), verifier. A rule without a quote finds nothing. No shuffle.
+    """
+    if len({v.name for v in verifiers}) < len(verifiers):
+        raise ValueError("two verifiers of one name")
+    steps = dict.fromkeys(v.layers for v in verifiers)
+    found = with_layers(docs.select("doc_id", "text"), [layer for step in steps for layer in step(SPARK)])
+
+    def item(v: Verifier) -> str:
+        fields = {k: SPARK.text(x) for k, x in v.values().items()} | {"quoted_text": v.quote, "detection_method": "'verifier'", "verifier": SPARK.text(v.name)}
+        return f"if(({v.fires}) and {v.quote} <> '', named_struct({', '.join(f"'{k}', {x}" for k, x in fields.items())}), null)"
+
+    rows = F.expr(f"explode(filter(array({', '.join(map(item, verifiers))}), x -> x is not null))")
+    order = ["issue_title", "category", "severity", "location", "quoted_text", "risk_explanation", "suggested_improvement", "detection_method", "verifier"]
+    return found.select("doc_id", rows.alias("f")).select("doc_id", *[f"f.{c}" for c in order])

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausework.functions import findings_values as v
@@ -308,9 +308,14 @@ def stage_trace(issues: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def merge_verifier_findings(issues: DataFrame, found: DataFrame) -> DataFrame:
-    """N-20: add rule findings unless the document has one of the same title and category, whatever the case and outer blanks."""
+    """N-20: add rule findings unless the document has one of the same title and category, whatever the case and outer blanks.
+
+    The columns of both stay, null where one side lacks them. Added findings are numbered behind the document's last, by verifier.
+    """
     key = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
     known = issues.select("doc_id", key("issue_title").alias("_t"), key("category").alias("_c")).distinct()
-    new = found.withColumns({"_t": key("issue_title"), "_c": key("category")}).join(known, ["doc_id", "_t", "_c"], "left_anti")
-    columns = ["doc_id", "issue_title", "category", "severity", "quoted_text"]
-    return issues.select(*columns).unionByName(new.select(*columns))
+    new = found.withColumns({"_t": key("issue_title"), "_c": key("category")}).join(known, ["doc_id", "_t", "_c"], "left_anti").drop("_t", "_c")
+    last = issues.groupBy("doc_id").agg(F.max("issue_no").alias("_last"))
+    order = Window.partitionBy("doc_id").orderBy(*[c for c in ("verifier", "issue_title", "category") if c in found.columns])
+    numbered = new.join(last, "doc_id", "left").withColumn("issue_no", (F.coalesce("_last", F.lit(0)) + F.row_number().over(order)).cast("int")).drop("_last")
+    return issues.unionByName(numbered, allowMissingColumns=True)

@@ -87,6 +87,28 @@ def issues_sql() -> str:
     return f"(select {', '.join(ISSUES)} from {layers_sql(base, layers)})"
 
 
+#: Titles that fit the quotes, one for each.
+FITTING = (
+    "Mutual Indemnification", "Excessive Non-Compete Duration", "Incomplete Confidentiality Exclusions", "Confidentiality Termination", "Unlimited Liability Indemnity", "Overbroad Invention Assignment",
+    "Sole Discretion Service", "Uptime Service Level", "Solicitation of Staff", "Consultant Deliverables", "Mutual Indemnification", "Non-Competition", "Liability Indemnity",
+)
+
+
+def _fitting(q: SparkSql) -> tuple[str, ...]:
+    half = "floor(issue_no / 2)" if q is SPARK else "(issue_no // 2)"
+    title = f"case when doc_id % 3 > 0 then {_pick(q, f'doc_id * 11 + cast({half} as int)', FITTING)} else issue_title end as issue_title"
+    return tuple(title if c == "issue_title" else c for c in ISSUES)
+
+
+def fitting_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings, two thirds of them with titles that fit their quotes."""
+    return issues(spark, sf_dir).selectExpr(*_fitting(SPARK))
+
+
+def fitting_issues_sql() -> str:
+    return f"(select {', '.join(_fitting(DUCK))} from {issues_sql()})"
+
+
 def contract_layers(q: SparkSql) -> list[Layer]:
     """Each text with one of the sections behind it, after a blank line."""
     bodies = [q.join(q.array([q.text("")] + [q.text(p) for p in parts]), "\n\n") if parts else "''" for parts in SECTIONS]

@@ -160,10 +160,14 @@ def _clauses() -> None:
     touched = f"(select i.doc_id, i.issue_no from (select doc_id, issue_no, unnest({clauses.topics(DUCK, clauses.WHOLE)}) as domain from {fixtures.issues_sql()}) i join (select doc_id, unnest(string_split(conflicts, '|')) as domain from {conflicts} where conflicts <> '') c using (doc_id, domain))"
     hit = f"(select doc_id, issue_no from {flagged_issues} union select doc_id, issue_no from {touched})"
     up = "h.issue_no is not null and category <> 'Structural Inconsistency' and lower(category) not in ('indemnification', 'liability exposure')"
-    register("c8_elevate_contradictions", lambda s, d: clauses.elevate_contradictions(fixtures.issues(s, d), contracts(s, d)), f"""
-      select i.doc_id, i.issue_no, issue_title, severity, case when {up} then 'Structural Inconsistency' else category end as category, case when {up} then category end as original_category, ({up}) as contradiction_detected, quoted_text
+    place, why, advice = (DUCK.text(x) for x in clauses.GENERATED)
+    every = "doc_id issue_no issue_title severity category original_category contradiction_detected location quoted_text risk_explanation suggested_improvement".split()
+    register("c8_elevate_contradictions", lambda s, d: clauses.elevate_contradictions(fixtures.issues(s, d), contracts(s, d)).select(*every), f"""
+      select i.doc_id, i.issue_no, issue_title, severity, case when {up} then 'Structural Inconsistency' else category end as category, case when {up} then category end as original_category, ({up}) as contradiction_detected,
+        location, quoted_text, risk_explanation, suggested_improvement
       from {fixtures.issues_sql()} i left join {hit} h on i.doc_id = h.doc_id and i.issue_no = h.issue_no
-      union all select c.doc_id, cast(coalesce(m.n, 0) + 1 as int), 'Structural Inconsistency', 'MEDIUM', 'Structural Inconsistency', null, false, left(first_surviving, 300) || ' | ' || left(first_ending, 300)
+      union all select c.doc_id, cast(coalesce(m.n, 0) + 1 as int), 'Structural Inconsistency', 'MEDIUM', 'Structural Inconsistency', null, false,
+        {place}, left(first_surviving, 300) || ' | ' || left(first_ending, 300), {why}, {advice}
       from {conflicts} c left join (select doc_id, max(issue_no) as n from {fixtures.issues_sql()} group by doc_id) m using (doc_id) where conflicts <> '' and first_surviving <> first_ending and c.doc_id not in (select doc_id from {hit})""")
 
 
@@ -235,11 +239,13 @@ def _findings() -> None:
     register("n18_stage_trace", lambda s, d: findings.stage_trace(issues(s, d), docs(s, d)), f"""
       with x as (select * from {dropped}), st(stage_no, stage) as (values {stages}), c as (select st.stage_no, st.stage, (select count(*) from x where suppressed_by = st.stage) as n_dropped from st)
       select stage_no, stage, n_dropped, cast((select count(*) from x) - sum(n_dropped) over (order by stage_no) as bigint) as n_issues from c""")
-    found = _verified_sql(texts)
+    told = ", ".join(f"({DUCK.text(clauses.RULES[k][0])}, {DUCK.text(why)}, {DUCK.text(advice)}, '{clauses.VERIFIER_NAMES[k]}')" for k, (why, advice) in clauses.VERIFIED_TEXTS.items())
+    found = f"(select f.*, v.why as risk_explanation, v.advice as suggested_improvement, 'verifier' as detection_method, v.name as verifier from {_verified_sql(texts)} f join (values {told}) v(title, why, advice, name) on f.issue_title = v.title)"
     register("n19_verify_clauses", lambda s, d: clauses.verify_clauses(docs(s, d)), f"select * from {found}")
     register("n20_merge_verifier_findings", lambda s, d: findings.merge_verifier_findings(issues(s, d), clauses.verify_clauses(docs(s, d))), f"""
-      select doc_id, issue_title, category, severity, quoted_text from {sql} union all
-      select f.doc_id, f.issue_title, f.category, f.severity, f.quoted_text from {found} f where not exists (select 1 from {sql} i where i.doc_id = f.doc_id and lower(i.issue_title) = lower(f.issue_title) and lower(i.category) = lower(f.category))""")
+      select i.*, null as detection_method, null as verifier from {sql} i union all by name
+      select f.*, cast(coalesce(m.n, 0) + row_number() over (partition by f.doc_id order by f.verifier) as int) as issue_no from {found} f left join (select doc_id, max(issue_no) as n from {sql} group by doc_id) m using (doc_id)
+      where not exists (select 1 from {sql} i where i.doc_id = f.doc_id and lower(i.issue_title) = lower(f.issue_title) and lower(i.category) = lower(f.category))""")
 
 
 _quality()
