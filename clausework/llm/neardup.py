@@ -244,8 +244,10 @@ def without_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         return docs.join(drop, docs["doc_id"] == drop["_dropped"], "left_anti")
     taken = {c.lower() for c in docs.columns}
     one, two, row, group = (next(n for n in (f"{'_' * k}{c}" for k in range(1, 99)) if n not in taken) for c in ("f1", "f2", "row", "group"))
-    keyed = _with_set_keys(docs.where("doc_id is not null"), (one, two)).withColumn(row, F.xxhash64("doc_id", one, two))
-    keyed = materialize(keyed.drop(one, two), "keyed")
+    keyed = materialize(_with_set_keys(docs.where("doc_id is not null"), (one, two)), "keyed")
+    # numbers given while the table is written: unlike a hash of id and text they cannot fall together
+    names = materialize(keyed.select("doc_id", one, two).distinct().withColumn(row, F.monotonically_increasing_id()), "row-names")
+    keyed = keyed.join(names, ["doc_id", one, two]).drop(one, two)
     near = near_duplicates(keyed.select(F.col(row).alias("doc_id"), "text").dropDuplicates(["doc_id"]), percent)
     grouped = keyed.join(near.select(F.col("doc_id").alias(row), F.col("component_id").alias(group)), row)
     columns = ["doc_id", *(c for c in docs.columns if c != "doc_id")]
