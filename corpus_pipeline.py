@@ -39,8 +39,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with the words that the mix takes of them and their training positions."""
-    return mix(docs)
+    """All documents, texts too, with the words that the mix takes of them and their training positions."""
+    return mix(docs, carry=("text", "lang", "n_chars"))
 
 
 STAGES = [
