@@ -110,19 +110,47 @@ def build_results(docs: DataFrame, issues: DataFrame, model: str = "model") -> D
     return joined.select("doc_id", "route", payload.alias("payload"))
 
 
+def _within(history: DataFrame, since: datetime | None, until: datetime | None) -> DataFrame:
+    """Records of a time span; where the table is laid out by ``date``, the span's dates are told to the scan, which a bound on ``ts`` alone is not."""
+    dated = "date" in history.columns
+    for bound, ge in ((since, True), (until, False)):
+        if bound is not None:
+            test = F.col("ts") >= F.lit(bound) if ge else F.col("ts") <= F.lit(bound)
+            day = (F.col("date") >= F.lit(bound.date()) if ge else F.col("date") <= F.lit(bound.date())) if dated else F.lit(True)
+            history = history.where(test & day)
+    return history
+
+
 def filter_history(history: DataFrame, filename: str | None = None, mode: str | None = None, severity: str | None = None, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
-    """H-6: records by part of the file name, mode, severity and time; filters reach the scan."""
-    tests = [("filename", F.col("filename").contains(filename) if filename else None), ("mode", F.col("mode") == mode if mode else None), ("severity", F.col("severity_level") == severity if severity else None)]
-    tests += [("since", F.col("ts") >= F.lit(since) if since else None), ("until", F.col("ts") <= F.lit(until) if until else None)]
-    for _, test in tests:
+    """H-6: records by part of the file name, mode, severity and time; filters reach the scan, dates as partition filters.
+
+    Audits in ADVISORY mode belong to the sessions and are left out; so are all ADVISORY rows of a table without record_type.
+    """
+    audit = F.col("record_type") == "audit" if "record_type" in history.columns else F.lit(True)
+    history = history.where(~(audit & (F.coalesce("mode", F.lit("")) == "ADVISORY")))
+    tests = [F.col("filename").contains(filename) if filename else None, F.col("mode") == mode if mode else None, F.col("severity_level") == severity if severity else None]
+    for test in tests:
         history = history.where(test) if test is not None else history
-    return history
+    return _within(history, since, until)
+
 
+#: Which kinds of records a mode shows.
+KINDS_OF_MODE = {"AUDIT": ("audit",), "REDACTION": ("audit", "redaction"), "ADVISORY": ("advisory",)}
 
-def history_feed(audits: DataFrame, redactions: DataFrame, sessions: DataFrame, record_type: str = "all") -> DataFrame:
-    """H-7: the chosen kinds of records under the same columns."""
+
+def history_feed(audits: DataFrame, redactions: DataFrame, sessions: DataFrame, record_type: str = "all", mode: str | None = None) -> DataFrame:
+    """H-7: the chosen kinds of records under the same columns.
+
+    ``record_type`` chooses one kind; with "all" a ``mode`` chooses: AUDIT audits, REDACTION audits and redactions, ADVISORY
+    sessions, another one nothing. Audits are those of the mode where one is given, and never ADVISORY ones.
+    """
     parts = {"audit": audits, "redaction": redactions, "advisory": sessions}
-    chosen = [df.select("id", F.lit(k).alias("record_type"), "filename", "ts", "item_count") for k, df in parts.items() if record_type in ("all", k)]
+    wanted = (record_type,) if record_type != "all" else KINDS_OF_MODE.get(mode.upper(), ()) if mode else tuple(parts)
+    if "mode" in audits.columns:
+        parts["audit"] = audits.where(F.coalesce("mode", F.lit("")) != "ADVISORY")
+        parts["audit"] = parts["audit"].where(F.col("mode") == mode) if mode else parts["audit"]
+    shown = {k: df.select("id", F.lit(k).alias("record_type"), "filename", "ts", "item_count") for k, df in parts.items()}
+    chosen = [df for k, df in shown.items() if k in wanted] or [shown["audit"].where(F.lit(False))]
     out = chosen[0]
     for df in chosen[1:]:
         out = out.unionByName(df, allowMissingColumns=True)
@@ -130,10 +158,22 @@ def history_feed(audits: DataFrame, redactions: DataFrame, sessions: DataFrame,
 
 
 def page(feed: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
-    """H-8: a page of the newest records; ties by kind and falling id. A limit of 1 to 100 is the feature."""
+    """H-8: a page of the newest records; ties by kind and falling id. A limit of 1 to 100 is the feature. For deep pages see ``page_after``."""
     return feed.orderBy(F.col("ts").desc(), "record_type", F.col("id").desc()).offset(offset).limit(min(100, max(1, limit)))
 
 
+def page_after(feed: DataFrame, cursor: tuple[datetime, str, int] | None, limit: int = 20) -> DataFrame:
+    """H-8: the page behind a record (its ts, record_type and id), in the order of ``page``; the first one without a cursor.
+
+    The cursor is a filter on the scan, on the dates of a dated table too, so that any page costs a limit and no offset.
+    Records without a time come last in ``page`` and have no cursor here.
+    """
+    if cursor is not None:
+        ts, kind, record = cursor
+        feed = _within(feed, None, ts).where((F.col("ts") < F.lit(ts)) | (F.col("record_type") > kind) | ((F.col("record_type") == kind) & (F.col("id") < record)))
+    return page(feed.where("ts is not null"), limit)
+
+
 def get_record(feed: DataFrame, record_type: str, record_id: int) -> DataFrame:
     """H-9: one record."""
     return feed.where((F.col("record_type") == record_type) & (F.col("id") == record_id))

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
+from datetime import datetime
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausework.functions.dialect import DUCK, layers_sql
 from clausework.operators import classify, confidence, evaluate, parse, quality, redact, results
 from clausework.plans import fixtures
 from clausework.plans.queries import register, table
-from clausework.sources import corpus
+from clausework.sources import corpus, store
 from clausework.streaming import streams
 
 ISSUES, TRUTH, RUNS, HISTORY = fixtures.issues_sql(), fixtures.truth_sql(), fixtures.runs_sql(), fixtures.history_sql()
@@ -117,10 +120,58 @@ def _history() -> None:
           when doc_id % 4 = 2 then 'Document quality too degraded for reliable legal analysis.' else '' end as legacy_text,
         case when doc_id % 4 = 1 then 'General Text or Notes' end as metadata_content_type, case when doc_id % 4 = 3 then title end as issues_0_issue_title, case when doc_id % 4 = 3 then quote end as issues_0_quoted_text
       from documents left join (select doc_id, count(*) as n, min_by(issue_title, issue_no) as title, min_by(quoted_text, issue_no) as quote from {ISSUES} group by doc_id) using (doc_id)""")
-    register("h6_filter_history", lambda s, d: results.filter_history(history(s, d), filename="file1", mode="AUDIT", severity="HIGH").select("id", "filename"), f"select id, filename from {HISTORY} where contains(filename, 'file1') and mode = 'AUDIT' and severity_level = 'HIGH'")
-    kinds = lambda s, d: [history(s, d).where(f"record_type = '{k}'") for k in ("audit", "redaction", "advisory")]
-    register("h7_history_feed", lambda s, d: results.history_feed(*kinds(s, d)), f"select id, record_type, filename, ts, item_count from {HISTORY}")
+    # every seventh audit is marked as advisory
+    marked = "case when id % 7 = 0 then 'ADVISORY' else mode end as mode"
+    mixed = lambda s, d: history(s, d).selectExpr(*[c for c in fixtures.HISTORY if c != "mode"], marked)
+    mixed_sql = f"(select * exclude (mode), {marked} from {HISTORY})"
+    register("h6_filter_history", lambda s, d: results.filter_history(mixed(s, d), filename="file1", severity="HIGH").select("id", "record_type", "filename"), f"select id, record_type, filename from {mixed_sql} where contains(filename, 'file1') and severity_level = 'HIGH' and not (record_type = 'audit' and mode = 'ADVISORY')")
+
+    def dated(s, d):
+        rows = mixed(s, d)
+        stored = store.DatedTable(s, f"{streams.work_folder(s)}/history", rows.schema)
+        for batch in (0, 1, 1):  # the second batch comes twice
+            stored.append(rows.where(f"id % 2 = {batch}"), batch)
+        return stored
+
+    span = (datetime(2024, 1, 10, 6), datetime(2024, 1, 20, 18, 30))
+    between = "ts between timestamp '2024-01-10 06:00:00' and timestamp '2024-01-20 18:30:00'"
+    register("h6_filter_dates", lambda s, d: results.filter_history(s.read.parquet(dated(s, d).path), mode="AUDIT", since=span[0], until=span[1]).select("id", "ts"), f"select id, ts from {mixed_sql} where mode = 'AUDIT' and {between}")
+    kinds = lambda s, d: [mixed(s, d).where(f"record_type = '{k}'") for k in ("audit", "redaction", "advisory")]
+    shown = {("all", None): "not (record_type = 'audit' and mode = 'ADVISORY')", ("all", "AUDIT"): "record_type = 'audit' and mode = 'AUDIT'", ("all", "REDACTION"): "record_type = 'redaction'", ("all", "ADVISORY"): "record_type = 'advisory'", ("redaction", None): "record_type = 'redaction'", ("all", "OTHER"): "false"}
+
+    def feeds(s, d):
+        parts = [results.history_feed(*kinds(s, d), record_type=t, mode=m).withColumn("chosen", F.lit(f"{t} {m}")) for t, m in shown]
+        return reduce(DataFrame.unionByName, parts)
+
+    register("h7_history_feed", lambda s, d: results.history_feed(*kinds(s, d)), f"select id, record_type, filename, ts, item_count from {mixed_sql} where not (record_type = 'audit' and mode = 'ADVISORY')")
+    register("h7_history_feed_modes", feeds, " union all ".join(f"select id, record_type, filename, ts, item_count, '{t} {m}' as chosen from {mixed_sql} where {test}" for (t, m), test in shown.items()))
     register("h8_page", lambda s, d: results.page(history(s, d), 20, 40).select("id", "record_type", "ts"), f"select id, record_type, ts from {HISTORY} order by ts desc, record_type, id desc limit 20 offset 40")
+
+    def later_page(s, d):
+        last = results.page(history(s, d), 100).agg(F.min(F.struct("ts", "record_type", "id"))["ts"]).first()[0]
+        at = history(s, d).where(F.col("ts") == F.lit(last)).orderBy(F.col("record_type").desc(), "id").first()
+        return results.page_after(s.read.parquet(dated(s, d).path), (at["ts"], at["record_type"], at["id"]), 30).select("id", "record_type", "ts")
+
+    register("h8_page_after", later_page, f"select id, record_type, ts from {HISTORY} order by ts desc, record_type, id desc limit 30 offset 100")
+
+    def stored_without(s, d):
+        rows = history(s, d)
+        kept = store.KeyedTable(s, f"{streams.work_folder(s)}/records", rows.schema, ["record_type", "id"], 8)
+        kept.upsert(rows, batch=0)
+        kept.upsert(rows.where("id % 10 = 3").selectExpr("record_type", "id", "-1 as item_count"), batch=1)
+        kept.upsert(rows.where("id % 10 = 3").selectExpr("record_type", "id", "-2 as item_count"), batch=1)  # comes again: nothing
+        kept.delete(rows.where("item_count = 0").select("record_type", "id"), batch=2)
+        return kept.rows()
+
+    register("h9_delete_stored", lambda s, d: stored_without(s, d).select("id", "record_type", "filename", "item_count"), f"select id, record_type, filename, case when id % 10 = 3 then -1 else item_count end as item_count from {HISTORY} where item_count <> 0")
+    register("h10_retain_stored", lambda s, d: dated(s, d).retain(datetime(2024, 1, 25, 12), 10, ["record_type"]), f"select record_type, count(*) filter (ts < timestamp '2024-01-15 12:00:00') as n_deleted, count(*) filter (ts >= timestamp '2024-01-15 12:00:00') as n_kept from {HISTORY} group by record_type")
+
+    def after_retention(s, d):
+        stored = dated(s, d)
+        stored.retain(datetime(2024, 1, 25, 12), 10)
+        return stored.rows().select("id", "record_type")
+
+    register("h10_retained_rows", after_retention, f"select id, record_type from {HISTORY} where ts >= timestamp '2024-01-15 12:00:00'")
     register("h9_get_record", lambda s, d: results.get_record(history(s, d), "audit", 3).select("id", "record_type", "filename"), f"select id, record_type, filename from {HISTORY} where record_type = 'audit' and id = 3")
     register("h9_delete_records", lambda s, d: results.delete_records(history(s, d), history(s, d).where("item_count = 0").select("record_type", "id")).select("id", "record_type"), f"select id, record_type from {HISTORY} where item_count <> 0")
     now = lambda: F.expr(NOW)
@@ -286,16 +337,47 @@ def _streams() -> None:
     register("t2_upsert_sessions", lambda s, d: streams.upsert_sessions(current(s, d), sessions(s, d).where("message_count >= 1")).select("session_id", "title", "message_count"), """
       with l as (select conv_id as session_id, max(turn) as n from conversations where turn >= 1 group by conv_id), c as (select distinct conv_id as session_id, 'Title ' || conv_id as title from conversations where turn = 0 and conv_id % 2 = 0)
       select session_id, coalesce(title, 'Advisory session') as title, coalesce(n, 0) as message_count from l full join c using (session_id)""")
-    register("t2_upsert_stream", lambda s, d: streams.upserted(streams.replayed(sessions(s, d).coalesce(1))).select("session_id", "title", "messages", "message_count"), f"""
+    register("t2_upsert_stream", lambda s, d: streams.upserted(streams.replayed(sessions(s, d).coalesce(1)), 8).select("session_id", "title", "messages", "message_count"), f"""
       select conv_id as session_id, 'Advisory session' as title, max_by(text, turn) as messages, max(turn) as message_count from conversations group by conv_id""")
     scored = lambda s, d: streams.drained(streams.score_stream(streams.replayed(table(s, d, "documents"))))
     register("t1_scored_stream", lambda s, d: scored(s, d).groupBy("route").agg(F.count("*").alias("n_docs")), f"select route, count(*) as n_docs from {layers_sql('documents', [*classify.route_counts_sql(), *classify.route_layers(DUCK)])} group by route")
     register("t4_running_stream", lambda s, d: streams.drained(streams.running_summary(streams.replayed(fixtures.history(s, d))), "complete"), f"select mode, count(*) as n_records, cast(sum(item_count) as bigint) as n_items from {HISTORY} group by mode")
-    register("t5_retain_stream", lambda s, d: streams.drained(streams.retain_stream(streams.replayed(fixtures.history(s, d).unionByName(fixtures.history(s, d))))).select("id", "record_type"), f"select id, record_type from {HISTORY}")
-    timed = lambda s, d: table(s, d, "conversations").selectExpr("*", "timestamp_seconds(1700000000 + turn) as ts")
-    register("t3_session_state", lambda s, d: streams.drained(streams.session_state(streams.replayed(timed(s, d))), "update").where("n_exchanges > 0").select("conv_id", "n_exchanges"), """
-      select conv_id, count(*) as n_exchanges from (select *, lead(role) over w as next_role, lead(text) over w as next_text from conversations window w as (partition by conv_id order by turn))
-      where role = 'user' and next_role = 'assistant' and trim(coalesce(text, '')) <> '' and trim(coalesce(next_text, '')) <> '' group by conv_id""")
+    register("t5_retain_stream", lambda s, d: streams.retained(streams.replayed(fixtures.history(s, d).unionByName(fixtures.history(s, d))), 10).select("id", "record_type"), f"select id, record_type from {HISTORY} where ts >= (select max(ts) from {HISTORY}) - interval 10 days")
+    # turns at even places; odd ones set a mode, or clear the conversation behind its second exchange
+    said = """select conv_id, cast(2 * turn as bigint) as turn, role, text from conversations
+      union all select conv_id, -1, 'system', case when conv_id % 8 = 1 then 'mode poetry' else 'mode advisory' end from conversations where turn = 0 and conv_id % 4 = 1
+      union all select conv_id, 5, 'system', 'reset' from conversations where turn = 0 and conv_id % 4 = 2 union all select conv_id, 7, 'system', 'mode redaction' from conversations where turn = 0 and conv_id % 8 = 2"""
+
+    def timed(s, d):
+        table(s, d, "conversations").createOrReplaceTempView("conversations")
+        return s.sql(f"select *, timestamp_seconds(1700000000 + turn) as ts from ({said})")
+
+    register("t3_session_state", lambda s, d: streams.drained(streams.session_state(streams.replayed(timed(s, d).coalesce(1))), "update").select("conv_id", "mode", "n_exchanges", "last_turn", F.expr("array_join(transform(exchanges, x -> concat(x.turn, ': ', x.user, ' / ', x.assistant)), chr(10))").alias("exchanges")), f"""
+      with t as (select * from ({said})),
+      p as (select *, lead(role) over w as next_role, lead(text) over w as next_text from t where not (role = 'system' and text like 'mode %') window w as (partition by conv_id order by turn)),
+      e as (select conv_id, turn, text || ' / ' || next_text as exchange from p where role = 'user' and next_role = 'assistant' and trim(coalesce(text, '')) <> '' and trim(coalesce(next_text, '')) <> '' and not (conv_id % 4 = 2 and turn < 5)),
+      l as (select conv_id, count(*) as n, string_agg(turn || ': ' || exchange, chr(10) order by turn) as exchanges from e group by conv_id)
+      select conv_id, case when conv_id % 8 = 2 then 'REDACTION' when conv_id % 8 = 5 then 'ADVISORY' else 'AUDIT' end as mode, coalesce(any_value(n), 0) as n_exchanges, max(turn) as last_turn, coalesce(any_value(l.exchanges), '') as exchanges
+      from t left join l using (conv_id) group by conv_id""")
+
+    def reviewed(s, d):
+        docs = fixtures.contracts(s, d).selectExpr("*", "case doc_id % 3 when 0 then 'audit' when 1 then 'REDACTION' else 'ADVISORY' end as mode", "timestamp_seconds(1700000000 + 7200 * doc_id) as ts")
+        docs = docs.join(fixtures.responses(s, d), "doc_id", "left").repartition(2, "doc_id")
+        folder = streams.work_folder(s)
+        docs.write.parquet(f"{folder}/in")
+        stream = s.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        streams.reviewed(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+        # the second batch comes again, as after a failure before its commit
+        s.read.parquet(f"{folder}/out/_incoming/batch=1").write.parquet(f"{folder}/again")
+        streams.review_sink(f"{folder}/out")(s.read.parquet(f"{folder}/again"), 1)
+        routes, redactions = (s.read.parquet(f"{folder}/out/{k}").groupBy("doc_id").agg(F.count("*").alias(f"n_{k}")) for k in ("routes", "redactions"))
+        history = streams.DatedTable(s, f"{folder}/out/history", streams.HISTORY).rows().groupBy(F.col("id").alias("doc_id"), "record_type").agg(F.count("*").alias("n_records"))
+        return docs.select("doc_id").join(routes, "doc_id", "left").join(redactions, "doc_id", "left").join(history, "doc_id", "left").na.fill(0)
+
+    routed = layers_sql(fixtures.contracts_sql(), [*classify.route_counts_sql(), *classify.route_layers(DUCK)])
+    register("t1_review_stream", reviewed, f"""
+      select doc_id, case when doc_id % 3 = 0 then 1 else 0 end as n_routes, case when doc_id % 3 = 1 then 1 else 0 end as n_redactions,
+        case when doc_id % 3 = 1 then 'redaction' when doc_id % 3 = 0 and route = 'audit' then 'audit' end as record_type, case when doc_id % 3 = 1 or (doc_id % 3 = 0 and route = 'audit') then 1 else 0 end as n_records from {routed}""")
     register("t4_running_summary", lambda s, d: streams.running_summary(fixtures.history(s, d)), f"select mode, count(*) as n_records, cast(sum(item_count) as bigint) as n_items from {HISTORY} group by mode")
 
 

@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from datetime import datetime, time
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from clausework.operators.chain import audit_chain, chain_findings
 from clausework.operators.classify import DISCLOSURE, route_documents
+from clausework.operators.clauses import VERIFIERS, Verifier
+from clausework.operators.parse import parse_issues
+from clausework.operators.redact import redact_documents
+from clausework.sources.corpus import redaction_rows
+from clausework.sources.store import BUCKETS, DatedTable, KeyedTable
 
 DEFAULT_TITLE = "Advisory session"
 DEFAULT_MODE = "AUDIT"
 SESSIONS = "session_id long, title string, messages string, message_count long, ts timestamp"
-SESSION_OUTPUT = "conv_id long, mode string, n_exchanges long, last_turn long"
-SESSION_STATE = "mode string, n long, last long, waiting long, newest long"
+MODES = ("AUDIT", "REDACTION", "ADVISORY")
 IDLE_DAYS = 1
 _DISCLOSES = re.compile(DISCLOSURE)
 
@@ -28,12 +35,14 @@ _DISCLOSES = re.compile(DISCLOSURE)
 def work_folder(spark: SparkSession) -> str:
     """A new folder under the session's ``spark.checkpoint.dir``.
 
-    Where that is unset, a local session takes a temporary folder and a cluster the warehouse, which its machines share.
+    Where that is unset, a local session takes a temporary folder; a cluster must name one that its machines share.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
-        local = spark.sparkContext.master.startswith("local")
-        shared = tempfile.mkdtemp(prefix="clausework-") if local else spark.conf.get("spark.sql.warehouse.dir")
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        shared = tempfile.mkdtemp(prefix="clausework-")
     return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -76,67 +85,85 @@ def upsert_sessions(current: DataFrame, batch: DataFrame) -> DataFrame:
     return both.select("session_id", F.coalesce("title", F.lit(DEFAULT_TITLE)).alias("title"), *[F.coalesce(f"new_{c}", c).alias(c) for c in ("messages", "message_count", "ts")])
 
 
-def session_sink(path: str):
-    """T-2: a foreachBatch function that keeps the session table under ``path`` in numbered versions.
+def session_table(spark: SparkSession, path: str, buckets: int = BUCKETS) -> KeyedTable:
+    """T-2: the keyed table of sessions under ``path``."""
+    return KeyedTable(spark, path, SESSIONS, ["session_id"], buckets)
 
-    A batch writes the version after its predecessor's; a repeated batch writes the same again.
-    """
+
+def session_sink(path: str, buckets: int = BUCKETS):
+    """T-2: a foreachBatch function that keeps the session table under ``path``: a batch writes the buckets of its sessions only, a repeated batch nothing."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.schema(SESSIONS).parquet(f"{path}/v{batch_id - 1}") if batch_id else spark.createDataFrame([], SESSIONS)
-        upsert_sessions(before, batch).select("session_id", "title", "messages", "message_count", "ts").write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        new = latest_sessions(batch)
+        session_table(batch.sparkSession, path, buckets).upsert(new, keep=["title"], defaults={"title": F.lit(DEFAULT_TITLE)}, batch=batch_id)
 
     return run
 
 
-def upserted(stream: DataFrame) -> DataFrame:
+def upserted(stream: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """T-2: the session table after all batches that a stream of sessions gives until it has read what is there."""
-    folder, done = work_folder(stream.sparkSession), []
-    sink = session_sink(folder)
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        sink(batch, batch_id)
-        done.append(batch_id)
-
-    stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    spark = stream.sparkSession
-    return spark.read.schema(SESSIONS).parquet(f"{folder}/v{max(done)}") if done else spark.createDataFrame([], SESSIONS)
-
-
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Count exchanges: a user's turn followed by an assistant's, both not blank and the answer without a violation."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    mode, n, last, waiting, newest = state.get if state.exists else (DEFAULT_MODE, 0, -1, -1, 0)
-    rows = pd.concat(list(batches)).sort_values("turn")
-    for turn, role, text in zip(rows["turn"], rows["role"], rows["text"], strict=True):
-        if role == "system" and text == "reset":
-            mode, n, waiting = DEFAULT_MODE, 0, -1
-        elif role == "system" and (text or "").startswith("mode "):
-            mode = text[5:].strip().upper()
-        elif not (text or "").strip():
-            waiting = -1
-        elif role == "user":
-            waiting = int(turn)
-        elif waiting >= 0:
-            n, waiting = n + (not _DISCLOSES.search(text)), -1
-        last = max(last, int(turn))
-    newest = max(newest, int(rows["ts"].max().timestamp() * 1000))
-    state.update((mode, n, last, waiting, newest))
-    state.setTimeoutTimestamp(max(newest + IDLE_DAYS * 24 * 3600 * 1000, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame({"conv_id": [key[0]], "mode": [mode], "n_exchanges": [n], "last_turn": [last]})
+    folder = work_folder(stream.sparkSession)
+    stream.writeStream.foreachBatch(session_sink(folder, buckets)).option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return session_table(stream.sparkSession, folder, buckets).rows()
+
+
+class _Sessions(StatefulProcessor):
+    """A conversation's mode and exchanges: the user's turn that waits for its answer, and a list of the exchanges so far."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.info = handle.getValueState("info", "mode string, waiting long, question string, last long, newest long")
+        self.exchanges = handle.getListState("exchanges", "turn long, user string, assistant string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        mode, waiting, question, last, newest = self.info.get() if self.info.exists() else (DEFAULT_MODE, -1, None, -1, 0)
+        turns = pd.concat(list(rows)).sort_values("turn")
+        for turn, role, text in zip(turns["turn"], turns["role"], turns["text"], strict=True):
+            text = text if isinstance(text, str) else ""
+            if role == "system" and text.strip().lower() == "reset":
+                mode, waiting = DEFAULT_MODE, -1
+                self.exchanges.clear()
+            elif role == "system" and text.lower().startswith("mode "):
+                wanted = text[5:].strip().upper()
+                mode = wanted if wanted in MODES else mode
+            elif role == "user" and text.strip():
+                waiting, question = int(turn), text
+            else:
+                if role == "assistant" and waiting >= 0 and text.strip() and not _DISCLOSES.search(text):
+                    self.exchanges.appendValue((waiting, question, text))
+                waiting = -1
+            last = max(last, int(turn))
+        newest = max(newest, int(turns["ts"].max().timestamp() * 1000))
+        self.info.update((mode, waiting, question, last, newest))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(newest + IDLE_DAYS * 24 * 3600 * 1000)
+        held = [{"turn": t, "user": u, "assistant": a} for t, u, a in self.exchanges.get()]
+        yield pd.DataFrame({"conv_id": [key[0]], "mode": [mode], "n_exchanges": [len(held)], "last_turn": [last], "exchanges": [json.dumps(held, ensure_ascii=False)]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.info.clear()
+        self.exchanges.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
 
 
 def session_state(turns: DataFrame) -> DataFrame:
-    """T-3: per conversation (conv_id, turn, role, text, ts) the mode and the number of exchanges so far.
-
-    A system turn "reset" clears a conversation, "mode X" sets its mode. State ends by event time, IDLE_DAYS after the
-    conversation's last turn, so a run over what is there ends and replays agree.
+    """T-3: snapshots of conversations (conv_id, turn, role, text, ts): conv_id, mode, n_exchanges, last_turn, exchanges.
+
+    An exchange is a user's turn that the next turn answers, both not blank and the answer without a violation; exchanges
+    hold turn, user and assistant in order. A system turn "reset" empties a conversation and sets the mode back, "mode X" sets
+    one of MODES; others are ignored. Each batch that brings turns of a conversation gives its snapshot.
+    Exchanges are a list in the state store, to which a turn adds without reading the rest; a timer of event time
+    empties a conversation IDLE_DAYS after its last turn, so a run over what is there ends and replays agree.
+    Sets the session's state store to RocksDB, which list states and timers need.
     """
+    turns.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     timed = turns.withWatermark("ts", f"{IDLE_DAYS} days").groupBy("conv_id")
-    return timed.applyInPandasWithState(_fold, SESSION_OUTPUT, SESSION_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    out = timed.transformWithStateInPandas(_Sessions(), "conv_id long, mode string, n_exchanges long, last_turn long, exchanges string", "Update", "EventTime")
+    return out.withColumn("exchanges", F.from_json("exchanges", "array<struct<turn:long,user:string,assistant:string>>"))
 
 
 def running_summary(feed: DataFrame) -> DataFrame:
@@ -145,5 +172,66 @@ def running_summary(feed: DataFrame) -> DataFrame:
 
 
 def retain_stream(feed: DataFrame, days: int = 90) -> DataFrame:
-    """T-5: records of arriving history within ``days`` of the newest time seen, once each by (record_type, id)."""
+    """T-5: records of arriving history once each by (record_type, id), as long as their time is within ``days`` of the newest one seen."""
     return feed.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", f"{days} days").dropDuplicatesWithinWatermark(["record_type", "id"])
+
+
+def retention_sink(path: str, days: int = 90):
+    """T-5: a foreachBatch function that appends records to a dated table and deletes what is older than ``days`` before the newest of its records."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        table = DatedTable(batch.sparkSession, path, batch.schema)
+        table.append(batch, batch_id)
+        dates = table.dates()
+        if dates:
+            newest = table.rows(since=datetime.combine(dates[-1], time.min)).agg(F.max("ts")).first()[0]
+            table.retain(newest, days)
+
+    return run
+
+
+def retained(feed: DataFrame, days: int = 90) -> DataFrame:
+    """T-5: what the dated table holds after all batches of a stream of history."""
+    folder = work_folder(feed.sparkSession)
+    once = retain_stream(feed, days)
+    once.writeStream.foreachBatch(retention_sink(folder, days)).option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return DatedTable(feed.sparkSession, folder, once.schema).rows()
+
+
+HISTORY = "id long, record_type string, filename string, ts timestamp, mode string, item_count long, severity_level string"
+
+
+def review_sink(path: str, verifiers: Sequence[Verifier] = VERIFIERS):
+    """T-1: a foreachBatch function over documents (doc_id, text, response_text, mode, ts) with three sinks under ``path``.
+
+    routes: the route of each AUDIT document; findings: those of the chain over its response, where the route is an audit;
+    redactions: redacted text and safe entities of each REDACTION document; history: a dated record for each audit and each
+    redaction. Each sink is written under the batch number, so that a batch that comes again adds nothing, whichever
+    sinks it had reached.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        keep = lambda df, name: (df.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}"), spark.read.schema(df.schema).parquet(f"{path}/{name}/batch={batch_id}"))[1]
+        batch = keep(batch.select("doc_id", "text", "response_text", F.upper("mode").alias("mode"), "ts"), "_incoming")
+        routed = keep(route_documents(batch.where("mode = 'AUDIT'")).select("doc_id", "ts", "route"), "routes")
+        audits = batch.join(routed.where("route = 'audit'").select("doc_id"), "doc_id", "left_semi")
+        rows = audit_chain(audits.select("doc_id", "text"), parse_issues(audits.select("doc_id", "response_text")), verifiers)
+        found = keep(chain_findings(rows), "findings")
+        redacted = keep(redaction_rows(redact_documents(batch.where("mode = 'REDACTION'").select("doc_id", "text"))), "redactions")
+        name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename")
+        level = lambda n: F.when(n > 0, "HIGH").otherwise("LOW").alias("severity_level")
+        n = F.coalesce("n", F.lit(0)).cast("long")
+        counted = audits.select("doc_id", "ts").join(found.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left")
+        audited = counted.select(F.col("doc_id").alias("id"), F.lit("audit").alias("record_type"), name, "ts", F.lit("AUDIT").alias("mode"), n.alias("item_count"), level(n))
+        masked = redacted.join(batch.select("doc_id", "ts"), "doc_id")
+        hidden = F.col("redaction_count").cast("long")
+        masked = masked.select(F.col("doc_id").alias("id"), F.lit("redaction").alias("record_type"), "filename", "ts", F.lit("REDACTION").alias("mode"), hidden.alias("item_count"), level(hidden))
+        DatedTable(spark, f"{path}/history", HISTORY).append(audited.unionByName(masked), batch_id)
+
+    return run
+
+
+def reviewed(docs: DataFrame, path: str, checkpoint: str, verifiers: Sequence[Verifier] = VERIFIERS) -> StreamingQuery:
+    """T-1: a stream of documents into the sinks of ``review_sink``, until all that is there has been read."""
+    return docs.writeStream.foreachBatch(review_sink(path, verifiers)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -55,7 +55,7 @@ def test_sessions_are_upserted(spark, tmp_path):
     sink = streams.session_sink(str(tmp_path / "s"))
     sink(rows.select(*[c.split()[0] for c in schema.split(", ")]), 0)
     sink(rows.where("session_id = 1").withColumn("message_count", F.lit(9).cast("long")), 1)
-    got = {r.session_id: (r.title, r.message_count) for r in spark.read.parquet(str(tmp_path / "s" / "v1")).collect()}
+    got = {r.session_id: (r.title, r.message_count) for r in streams.session_table(spark, str(tmp_path / "s")).rows().collect()}
     assert got == {1: (streams.DEFAULT_TITLE, 9), 2: (streams.DEFAULT_TITLE, 1)}
 
 
