@@ -7,7 +7,7 @@ from decimal import Decimal
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausework.functions.dialect import SPARK, SparkSql, clamp
@@ -143,11 +143,42 @@ def correctness_scores(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("run_id", "doc_id", *[f"cast({e} as double) as {k}" for k, e in SCORES.items()])
 
 
-def _ranks(df: DataFrame, x: str, by: Sequence[str]) -> DataFrame:
-    """Average ranks from the distinct values: the window holds one row for each value, not for each document."""
+def _cuts(values: DataFrame, columns: Sequence[str], block: int, most: int) -> list[list[float]]:
+    """For each column values that cut its rows into parts of about ``block``, ``most`` at most."""
+    parts = min(most, max(1, -(-values.count() // block)))
+    levels = [k / parts for k in range(1, parts)]
+    if not levels:
+        return [[] for _ in columns]
+    found = values.select(*[F.col(c).cast("double").alias(c) for c in columns]).approxQuantile(list(columns), levels, 0.1 / parts)
+    return [sorted(set(c)) for c in found]
+
+
+def _place(column: str, cuts: Sequence[float]) -> Column:
+    """The part of a value: even ones lie between two cuts, odd ones hold the one value that is a cut."""
+    at, value = F.array(*[F.lit(float(v)) for v in cuts]).cast("array<double>"), F.col(column).cast("double")
+    return 2 * F.size(F.filter(at, lambda v: v < value)) + F.array_contains(at, value).cast("int")
+
+
+#: Distinct values of a part that one window sorts, about, and parts at most.
+RANK_BLOCK, RANK_PARTS = 200_000, 400
+
+
+def _ranks(df: DataFrame, x: str, by: Sequence[str], block: int = RANK_BLOCK) -> DataFrame:
+    """Average ranks from the distinct values and their counts.
+
+    Values are cut into parts by quantiles: a rank is the number of rows in the parts before, from sums of one row per
+    part, and of those before it in its own part, the only rows that a window sorts.
+    """
     values = df.groupBy(*by, x).agg(F.count("*").alias("_n"))
-    part = f"partition by {', '.join(by)} " if by else ""
-    return values.withColumn(f"rank_{x}", F.expr(f"coalesce(sum(_n) over ({part}order by {x} rows between unbounded preceding and 1 preceding), 0) + (_n + 1) / 2.0").cast("double")).drop("_n")
+    (cuts,) = _cuts(values, [x], block, RANK_PARTS)
+    placed = values.withColumn("_part", _place(x, cuts))
+    keys = ", ".join(by)
+    over = lambda *more: f"partition by {', '.join([*by, *more])} " if by or more else ""
+    sums = placed.groupBy(*by, "_part").agg(F.sum("_n").alias("_in"))
+    before = sums.withColumn("_before", F.expr(f"coalesce(sum(_in) over ({over()}order by _part rows between unbounded preceding and 1 preceding), 0)")).drop("_in")
+    own = f"coalesce(sum(_n) over ({over('_part')}order by {x} rows between unbounded preceding and 1 preceding), 0)"
+    ranked = placed.withColumn("_own", F.expr(own)).join(before, [*by, "_part"] if keys else ["_part"])
+    return ranked.withColumn(f"rank_{x}", F.expr("_before + _own + (_n + 1) / 2.0").cast("double")).drop("_n", "_part", "_own", "_before")
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
@@ -195,29 +226,27 @@ def _group_pairs(x: str):
     return run
 
 
-def kendall(df: DataFrame, x: str, y: str, block: int = 50_000, most_blocks: int = 500) -> DataFrame:
+def kendall(df: DataFrame, x: str, y: str, block: int = 50_000, most_blocks: int = 250) -> DataFrame:
     """E-9: (concordant - discordant) / both, ties aside, from counts of distinct (x, y) pairs, without a pair join.
 
-    Values are cut into blocks of about ``block`` distinct pairs (``most_blocks`` at most) on either axis. Pairs of rows in
-    different blocks on both axes follow from the counts of the cells, at most most_blocks^2 numbers; pairs within one block
-    are counted in it by sorting.
+    Values are cut into blocks of about ``block`` distinct pairs (``most_blocks`` cuts at most) on either axis, and each cut
+    is a block of its own. Pairs of rows in different blocks on both axes follow from the counts of the cells, at most
+    (2 * most_blocks + 1)^2 numbers; pairs within one block are counted in it by sorting, but for blocks of a single value,
+    however many rows share it: they hold ties only.
     """
     pairs = df.where(f"{x} is not null and {y} is not null").groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n"))
-    blocks = min(most_blocks, max(1, -(-pairs.count() // block)))
-    levels = [k / blocks for k in range(1, blocks)]
-    cuts = [sorted(set(c)) for c in pairs.select(F.col("x").cast("double"), F.col("y").cast("double")).approxQuantile(["x", "y"], levels, 0.1 / blocks)] if levels else [[], []]
-    place = lambda c, at: F.size(F.filter(F.array(*[F.lit(v) for v in at]).cast("array<double>"), lambda v: v < F.col(c).cast("double")))
-    placed = pairs.withColumns({"xb": place("x", cuts[0]), "yb": place("y", cuts[1])})
+    cuts = _cuts(pairs, ["x", "y"], block, most_blocks)
+    placed = pairs.withColumns({"xb": _place("x", cuts[0]), "yb": _place("y", cuts[1])})
     cells = placed.groupBy("xb", "yb").agg(F.sum("n").alias("n")).collect()
-    grid = np.zeros((len(cuts[0]) + 1, len(cuts[1]) + 1), dtype=object)
+    grid = np.zeros((2 * len(cuts[0]) + 1, 2 * len(cuts[1]) + 1), dtype=object)
     for r in cells:
         grid[r.xb, r.yb] = int(r.n)
     after = np.cumsum(grid[::-1], axis=0)[::-1] - grid  # same y block, later x blocks
     higher = np.cumsum(after[:, ::-1], axis=1)[:, ::-1] - after
     lower = np.cumsum(after, axis=1) - after
     up, down = int((grid * higher).sum()), int((grid * lower).sum())
-    within = placed.groupBy("xb").applyInPandas(_group_pairs("x"), "c decimal(38,0), d decimal(38,0)")
-    within = within.unionByName(placed.groupBy("yb").applyInPandas(_group_pairs("xb"), "c decimal(38,0), d decimal(38,0)"))
+    within = placed.where("xb % 2 = 0").groupBy("xb").applyInPandas(_group_pairs("x"), "c decimal(38,0), d decimal(38,0)")
+    within = within.unionByName(placed.where("yb % 2 = 0").groupBy("yb").applyInPandas(_group_pairs("xb"), "c decimal(38,0), d decimal(38,0)"))
     met = within.agg((F.coalesce(F.sum("c"), F.lit(0)) + F.lit(Decimal(up))).alias("c"), (F.coalesce(F.sum("d"), F.lit(0)) + F.lit(Decimal(down))).alias("d"))
     return met.selectExpr("cast(c as bigint) as concordant", "cast(d as bigint) as discordant", "cast(coalesce(cast(c - d as double) / nullif(cast(c + d as double), 0), 0.0) as double) as tau")
 
@@ -363,3 +392,36 @@ def regression_gates(results: DataFrame, gates: Sequence[tuple[str, str, float]]
     """E-19: named limits (gate, condition, bound) on each row of ``results``: (doc_id, gate, passed). Conditions are SQL over the row with {} for the bound."""
     checks = F.array(*[F.struct(F.lit(name).alias("gate"), F.expr(condition.format(bound)).alias("passed")) for name, condition, bound in gates])
     return results.select("doc_id", F.explode(checks).alias("c")).select("doc_id", "c.gate", "c.passed")
+
+
+#: Conditions of a gate's kinds, over a result's row with the gate's words and bound.
+GATE_KINDS = {
+    "label_is": "confidence_label = words", "label_is_not": "confidence_label <> words", "type_is": "response_type = words",
+    "requires_category": "exists(categories, c -> contains(lower(c), lower(words)))", "forbids_category": "not exists(categories, c -> lower(c) = lower(words))",
+    "requires_title": "exists(titles, t -> contains(lower(t), lower(words)))", "at_least_findings": "n_findings >= bound", "at_most_findings": "n_findings <= bound",
+    "at_least_score": "confidence_score >= bound", "at_most_score": "confidence_score <= bound", "parsed": "not parse_failed", "warned": "coalesce(quality_warning, '') <> ''",
+}
+
+
+def result_rows(results: DataFrame, issues: DataFrame) -> DataFrame:
+    """What gates look at: ``results`` (doc_id, confidence_label, confidence_score, response_type, parse_failed, quality_warning) with each document's categories, titles and number of findings."""
+    lists = issues.groupBy("doc_id").agg(F.count("*").alias("n_findings"), F.collect_set(F.coalesce("category", F.lit(""))).alias("categories"), F.collect_set(F.coalesce("issue_title", F.lit(""))).alias("titles"))
+    none = F.array().cast("array<string>")
+    joined = results.join(lists, "doc_id", "left")
+    return joined.withColumns({"n_findings": F.coalesce("n_findings", F.lit(0)), "categories": F.coalesce("categories", none), "titles": F.coalesce("titles", none)})
+
+
+def run_gates(rows: DataFrame, gates: DataFrame) -> DataFrame:
+    """E-19: cases as rows: ``gates`` (case_name, doc_id, kind, words, bound) held against ``rows`` (see ``result_rows``).
+
+    Returns one row per case and document: case_name, doc_id, passed, reasons (the kinds that fail, with their words or
+    bound, sorted and joined by "; "). A document without a result, an unknown kind and a condition over a null fail.
+    Gates and results meet by doc_id; see ``regression_gates`` for limits that hold for every document.
+    """
+    own = gates.join(rows.withColumn("_there", F.lit(True)), "doc_id", "left")
+    met = F.expr("case kind " + " ".join(f"when '{k}' then {test}" for k, test in GATE_KINDS.items()) + " end")
+    said = F.concat("kind", F.lit(" "), F.coalesce("words", F.col("bound").cast("string"), F.lit("")))
+    why = F.when(F.col("_there").isNull(), "no result").when(~F.coalesce(met, F.lit(False)), F.rtrim(said))
+    tested = own.select("case_name", "doc_id", why.alias("why"))
+    out = tested.groupBy("case_name", "doc_id").agg(F.array_join(F.array_sort(F.collect_set("why")), "; ").alias("reasons"))
+    return out.select("case_name", "doc_id", (F.col("reasons") == "").alias("passed"), "reasons")

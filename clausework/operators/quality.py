@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from clausework.functions import vocab
 from clausework.functions.counts import with_counts
@@ -203,3 +204,18 @@ def context_budget(docs: DataFrame, prompt_chars: int = 2000, context: int = 819
     seen = {"pages_seen": "pages_seen" if "pages_seen" in docs.columns else "cast(null as int)"}
     budget = with_layers(docs, [*budget_layers(prompt_chars, context, reply), seen])
     return budget.select("doc_id", *("kept_chars", "dropped_chars", "was_truncated", "estimated_tokens", "context_utilization_pct", "pages_seen"))
+
+
+def pages_in_budget(pages: DataFrame, prompt_chars: int = 2000, context: int = 8192, reply: int = 1024, separator: str = "") -> DataFrame:
+    """Q-8: the budget of documents given as pages (doc_id, page_no, text), and how many of their pages the kept head reaches.
+
+    Returns doc_id, n_pages, pages_seen, kept_chars, dropped_chars, was_truncated. Pages lie in their order with ``separator``
+    between them, as ``assemble_pages`` joins them; a page is seen if the cut lies behind its first character, empty pages
+    before the cut are. Page lengths are summed in a window of the document; no text is put together.
+    """
+    room, gap = max(0, (context - reply) * 4 - prompt_chars), len(separator)
+    sized = pages.select("doc_id", "page_no", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
+    placed = sized.withColumn("begin", F.expr(f"coalesce(sum(size + {gap}) over (partition by doc_id order by page_no rows between unbounded preceding and 1 preceding), 0)"))
+    whole = placed.groupBy("doc_id").agg(F.count("*").alias("n_pages"), (F.sum(F.col("size") + gap) - gap).alias("n"), F.count_if((F.col("begin") < room) | (F.col("begin") + F.col("size") <= room)).alias("pages_seen"))
+    kept = F.least("n", F.lit(room)).cast("long")
+    return whole.select("doc_id", "n_pages", "pages_seen", kept.alias("kept_chars"), (F.col("n") - kept).cast("long").alias("dropped_chars"), (F.col("n") > room).alias("was_truncated"))

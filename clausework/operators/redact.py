@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 import pyarrow as pa
@@ -303,15 +303,35 @@ def _no_number(kind: str, found: str, start: int, end: int, text: str) -> bool:
     return (len(code[1]) > 1 and not any(t in window for t in _ID_LABELS)) or len(code[2]) > 9
 
 
-def entities_of(text: str | None, compiled: dict[str, re.Pattern[str]]) -> list[tuple[int, int, str, str, float]]:
-    """R-1 to R-7 for one text: (start, end, type, text, confidence) by start. Sorting once and looking at neighbours only keeps it near linear in the candidates."""
+def with_entity(name: str, pattern: str, confidence: float, flags: int = 0, before: str | None = None, rules: Mapping[str, tuple[str, int, float]] = ENTITY_PATTERNS) -> dict[str, tuple[str, int, float]]:
+    """``rules`` with one more type of entity, or another pattern for a known one.
+
+    A type's place is its priority where spans overlap: in front of the type ``before``, a known one's own, else the last.
+    """
+    re.compile(pattern, flags)
+    rule, out = (pattern, flags, confidence), {}
+    for known, value in rules.items():
+        if known == before:
+            out[name] = rule
+        if known != name or (before is None):
+            out[known] = rule if known == name else value
+    return out if name in out else {**out, name: rule}
+
+
+def entities_of(text: str | None, compiled: Mapping[str, tuple[re.Pattern[str], float]]) -> list[tuple[int, int, str, str, float]]:
+    """R-1 to R-7 for one text: (start, end, type, text, confidence) by start. Sorting once and looking at neighbours only keeps it near linear in the candidates.
+
+    ``compiled`` are the types' patterns and confidences in order of priority.
+    """
+    first = {t: k for k, t in enumerate(compiled)}
+    rank = lambda t: first.get(t, len(first))
     if not text:
         return []
     low, counts = text.lower(), {}
     taken, refused = [], []
-    for kind, pattern in compiled.items():
+    for kind, (pattern, confidence) in compiled.items():
         for m in pattern.finditer(text):
-            found, start, end, sure, now, no = m[0], m.start(), m.end(), ENTITY_PATTERNS[kind][2], kind, False
+            found, start, end, sure, now, no = m[0], m.start(), m.end(), confidence, kind, False
             if kind == "PERSON":
                 words = found.split()
                 if len(words) >= 2 and words[0].lower() in LEADIN:
@@ -320,7 +340,7 @@ def entities_of(text: str | None, compiled: dict[str, re.Pattern[str]]) -> list[
             if no:
                 refused.append((found, start, end, sure))
             elif not _no_number(kind, found, start, end, text):
-                taken.append((PRIORITY[now], -sure, start - end, start, end, now, kind, found, sure))
+                taken.append((rank(now), -sure, start - end, start, end, now, kind, found, sure))
     spans, kept = _Spans(), []
     for c in sorted(taken):
         if spans.add(c[3], c[4]):
@@ -336,7 +356,7 @@ def entities_of(text: str | None, compiled: dict[str, re.Pattern[str]]) -> list[
     out = []
     for name, members in groups.items():
         votes = Counter(e[2] for e in members)
-        kind = min(votes, key=lambda t: (-votes[t], PRIORITY[t]))
+        kind = min(votes, key=lambda t: (-votes[t], rank(t)))
         if any(e[3] == "PERSON" for e in members) and len(members) + len(again.get(name, ())) >= 2:
             kind = "PERSON"
         out += [(e[0], e[1], kind, e[4], e[5]) for e in members]
@@ -344,9 +364,9 @@ def entities_of(text: str | None, compiled: dict[str, re.Pattern[str]]) -> list[
     return sorted(out)
 
 
-def entity_kernel(types: Sequence[str]):
+def entity_kernel(types: Sequence[str], rules: Mapping[str, tuple[str, int, float]] = ENTITY_PATTERNS):
     """R-1 to R-7 as one Arrow function from texts to arrays of entities: flat arrays with offsets, no object per entity."""
-    compiled = {t: re.compile(ENTITY_PATTERNS[t][0], ENTITY_PATTERNS[t][1]) for t in types}
+    compiled = {t: (re.compile(rules[t][0], rules[t][1]), rules[t][2]) for t in types}
 
     @F.arrow_udf(ENTITIES)
     def run(texts: pa.Array) -> pa.Array:
@@ -364,15 +384,18 @@ def entity_kernel(types: Sequence[str]):
     return run
 
 
-def detect_entities(docs: DataFrame, options: dict[str, bool] | None = None, out: str = "entities") -> DataFrame:
-    """R-1 to R-7 in one map: the entities that the single steps above give, as an array by start."""
+def detect_entities(docs: DataFrame, options: dict[str, bool] | None = None, out: str = "entities", rules: Mapping[str, tuple[str, int, float]] = ENTITY_PATTERNS) -> DataFrame:
+    """R-1 to R-7 in one map: the entities that the single steps above give, as an array by start.
+
+    ``rules`` are the types in order of priority, each with its pattern, flags and confidence; see ``with_entity``.
+    """
     off = {t for name, on in (options or {}).items() if not on for t in OPTIONS[name]}
-    return docs.withColumn(out, entity_kernel([t for t in ENTITY_PATTERNS if t not in off])("text"))
+    return docs.withColumn(out, entity_kernel([t for t in rules if t not in off], rules)("text"))
 
 
-def redact_documents(docs: DataFrame, options: dict[str, bool] | None = None) -> DataFrame:
+def redact_documents(docs: DataFrame, options: dict[str, bool] | None = None, rules: Mapping[str, tuple[str, int, float]] = ENTITY_PATTERNS) -> DataFrame:
     """Bulk redaction: R-1 to R-8 as one map over the documents. Adds entities and redacted_text."""
-    return apply_redactions(detect_entities(docs, options))
+    return apply_redactions(detect_entities(docs, options, rules=rules))
 
 
 def stepwise_entities(docs: DataFrame, options: dict[str, bool] | None = None) -> DataFrame:

@@ -278,7 +278,34 @@ def _evaluate() -> None:
     register("e19_regression_gates", lambda s, d: evaluate.regression_gates(a(s, d), gates), " union all ".join(f"select doc_id, '{n}' as gate, {c.format(v)} as passed from {counted}" for n, c, v in gates))
 
 
+    answered = """select doc_id, case doc_id % 3 when 0 then 'HIGH' when 1 then 'MEDIUM' else 'LOW' end as confidence_label, cast((doc_id * 37) % 101 as double) / 100 as confidence_score,
+      case when doc_id % 5 = 0 then 'non_legal' else 'audit' end as response_type, doc_id % 11 = 0 as parse_failed, case when doc_id % 7 = 0 then 'degraded' end as quality_warning from documents where doc_id % 17 <> 3"""
+    cases = [("clean", "label_is_not", "LOW", None), ("clean", "forbids_category", "confidentiality", None), ("indemnity", "requires_category", "INDEMN", None), ("indemnity", "at_most_findings", None, 2.0), ("spam", "at_least_score", None, 0.3), ("spam", "parsed", None, None), ("spam", "type_is", "audit", None), ("odd", "warned", None, None), ("odd", "no_such_kind", "x", None), ("title", "requires_title", "sla", None)]
+
+    def gated(s, d):
+        table(s, d, "documents").createOrReplaceTempView("documents")
+        rows = evaluate.result_rows(s.sql(answered), issues(s, d))
+        own = F.inline(F.array(*[F.struct(F.lit(c).alias("case_name"), F.lit(k).alias("kind"), F.lit(w).cast("string").alias("words"), F.lit(n).cast("double").alias("bound")) for c, k, w, n in cases]))
+        return evaluate.run_gates(rows, table(s, d, "documents").select("doc_id", own))
+
+    fails = {"clean": ["case when exists (select 1 from i where i.doc_id = r.doc_id and lower(category) = 'confidentiality') then 'forbids_category confidentiality' end", "case when confidence_label = 'LOW' then 'label_is_not LOW' end"],
+      "indemnity": ["case when (select count(*) from i where i.doc_id = r.doc_id) > 2 then 'at_most_findings 2.0' end", "case when not exists (select 1 from i where i.doc_id = r.doc_id and category ilike '%indemn%') then 'requires_category INDEMN' end"],
+      "spam": ["case when confidence_score < 0.3 then 'at_least_score 0.3' end", "case when parse_failed then 'parsed' end", "case when response_type <> 'audit' then 'type_is audit' end"],
+      "odd": ["'no_such_kind x'", "case when quality_warning is null then 'warned' end"], "title": ["case when not exists (select 1 from i where i.doc_id = r.doc_id and issue_title ilike '%sla%') then 'requires_title sla' end"]}
+    each = " union all ".join(f"select doc_id, '{c}' as case_name, concat_ws('; ', {', '.join(tests)}) as reasons from r" for c, tests in fails.items())
+    names = ", ".join(f"('{c}')" for c in fails)
+    register("e19_case_gates", gated, f"""with i as (select * from {ISSUES}), r as ({answered}), t as ({each}),
+      x as (select * from t union all select doc_id, c as case_name, 'no result' as reasons from documents, (values {names}) v(c) where doc_id % 17 = 3)
+      select case_name, doc_id, reasons = '' as passed, reasons from x""")
+
+
 def _sources() -> None:
+    each_page, most = 700, (8192 - 1024) * 4 - 2000
+    pages_of = lambda s, d: table(s, d, "documents").selectExpr("doc_id", "text", "explode(sequence(0, cast(greatest(ceil(length(text) / 700.0), 1) as int) - 1)) as page_no").selectExpr("doc_id", "page_no", f"substr(text, 1 + {each_page} * page_no, {each_page}) as text")
+    register("q8_pages_in_budget", lambda s, d: quality.pages_in_budget(pages_of(s, d), separator="\n"), f"""
+      with p as (select doc_id, unnest(generate_series(0, cast(greatest(ceil(length(text) / 700.0), 1) as bigint) - 1)) as k, length(text) as size, cast(greatest(ceil(length(text) / 700.0), 1) as bigint) as pages from documents)
+      select doc_id, count(*) as n_pages, count(*) filter (k * {each_page + 1} < {most} or size = 0) as pages_seen, least({most}, any_value(size) + count(*) - 1) as kept_chars, greatest(0, any_value(size) + count(*) - 1 - {most}) as dropped_chars,
+        any_value(size) + count(*) - 1 > {most} as was_truncated from p group by doc_id""")
     files = "concat('f', cast(doc_id as varchar(20)), case doc_id % 4 when 0 then '.pdf' when 1 then '.txt' when 2 then '.DOCX' else '.exe' end) as filename, case when doc_id % 13 = 0 then 0 else length(text) * 1000 end as size_bytes"
     register("io2_admission_gate", lambda s, d: corpus.admission_gate(table(s, d, "documents").selectExpr("doc_id", "text", *[x.strip() for x in (files.rsplit(", case when doc_id % 13", 1)[0], "case when doc_id % 13" + files.rsplit(", case when doc_id % 13", 1)[1])])).select("doc_id", "filename", "reject_reason"), f"select doc_id, filename, reject_reason from {layers_sql(f'(select *, {files} from documents)', corpus.admission_layers(DUCK))}")
     pages = lambda s, d: table(s, d, "pages").selectExpr("page_id div 4 as doc_id", "page_id % 4 as page_no", "html as text")

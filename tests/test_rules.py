@@ -344,3 +344,40 @@ def test_policy_of_admissions_scores(spark):
 
     (row,) = classify.keyword_score(spark.createDataFrame([(1, "admissions accreditation accommodation xyz")], "doc_id long, text string")).collect()
     assert row.term_score == 0.75 and row.term_matched == "accommodation|accreditation|admissions"
+
+
+def test_own_entities(spark):
+    rules = redact.with_entity("CASE_NO", r"\bCASE-\d{4}\b", 0.95, before="ID_NUMBER")
+    assert list(rules).index("CASE_NO") == list(rules).index("ID_NUMBER") - 1 and "CASE_NO" not in redact.ENTITY_PATTERNS
+    docs = spark.createDataFrame([(1, "See CASE-12345678 or CASE-1234, mail a@b.co.")], "doc_id long, text string")
+    (row,) = redact.redact_documents(docs, rules=rules).collect()
+    assert row.redacted_text == "See [REDACTED_ID_NUMBER] or [REDACTED_CASE_NO], mail [REDACTED_EMAIL]."
+    stricter = redact.with_entity("EMAIL", r"never", 0.5)
+    assert list(stricter) == list(redact.ENTITY_PATTERNS)
+    assert "a@b.co" in redact.redact_documents(docs, rules=stricter).first().redacted_text
+
+
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_ranks_in_parts(spark, block):
+    values = [(g, (k * 7) % 13 if g else 5) for g in (0, 1) for k in range(40)]
+    df = spark.createDataFrame(values, "g long, x long")
+    got = {(r.g, r.x): r.rank_x for r in evaluate._ranks(df, "x", ["g"], block).collect()}
+    for g, x in set(values):
+        own = [v for h, v in values if h == g]
+        assert got[g, x] == sum(v < x for v in own) + (own.count(x) + 1) / 2
+    alone = {r.x: r.rank_x for r in evaluate._ranks(df, "x", [], block).collect()}
+    assert alone[5] == sum(v < 5 for _, v in values) + (sum(v == 5 for _, v in values) + 1) / 2
+
+
+def test_gates_of_missing_results(spark):
+    results = spark.createDataFrame([(1, "HIGH", 0.9, "audit", False, None)], "doc_id long, confidence_label string, confidence_score double, response_type string, parse_failed boolean, quality_warning string")
+    issues = spark.createDataFrame([(1, "T", "Indemnification")], "doc_id long, issue_title string, category string")
+    gates = spark.createDataFrame([("a", 1, "label_is", "HIGH", None), ("a", 1, "requires_category", "indemn", None), ("a", 1, "at_least_findings", None, 1.0), ("b", 2, "parsed", None, None)], "case_name string, doc_id long, kind string, words string, bound double")
+    got = {r.case_name: (r.passed, r.reasons) for r in evaluate.run_gates(evaluate.result_rows(results, issues), gates).collect()}
+    assert got == {"a": (True, ""), "b": (False, "no result")}
+
+
+def test_pages_reached_by_the_cut(spark):
+    pages = spark.createDataFrame([(1, 1, "a" * 30), (1, 2, "b" * 30), (1, 3, "c"), (2, 1, None), (3, 1, "x" * 40), (3, 2, "")], "doc_id long, page_no long, text string")
+    got = {r.doc_id: (r.n_pages, r.pages_seen, r.kept_chars, r.dropped_chars) for r in quality.pages_in_budget(pages, prompt_chars=0, context=10, reply=0).collect()}
+    assert got == {1: (3, 2, 40, 21), 2: (1, 1, 0, 0), 3: (2, 2, 40, 0)}
