@@ -140,7 +140,9 @@ def _dominating(counts: Counter, j: int, capacity: int) -> list[int] | None:
     if len(small) == 3 and sum(small) <= room:
         return None
     best = 0
-    for a in range(room - 1, (room + 1) // 2 - 1, -1):  # the largest pair that fits: a is its larger piece
+    for a in range(min(first, room - 1), 0, -1):  # the largest pair that fits: a is its larger piece
+        if 2 * a <= best:
+            break
         if counts[a] > own[a] and (b := _largest(counts, min(a, room - a), own + Counter([a]))):
             best = max(best, a + b)
     if best <= first:
@@ -312,7 +314,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_id
     counts = {r["length"]: r["n"] for r in before.groupBy("length").agg(F.sum("n").alias("n")).toLocalIterator()}
     places = _places(packing_plan(counts, capacity))
     carry = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-    ranked = pieces.join(before.drop("n"), ["task", "length"]).withColumn("rank", F.col("before") + F.col("own_rank"))
+    # a row for each task and size: it grows with the input, so it is not to be broadcast
+    ranked = pieces.join(before.drop("n").hint("shuffle_merge"), ["task", "length"]).withColumn("rank", F.col("before") + F.col("own_rank"))
     out = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long{ids}, sequence_id long, offset long"
     return ranked.select(*carry, "rank").mapInArrow(_placed(places, carry), out)
 

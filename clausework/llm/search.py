@@ -88,7 +88,7 @@ def _index_block(block: int, texts: list[bytes], ids: pa.Array, wanted: np.ndarr
         yield pa.RecordBatch.from_arrays(columns, names=["block", "term", "docs", "tfs", "sizes", "doc_ids", "n_docs", "n_words"])
 
 
-def _index(wanted: np.ndarray):
+def _index(wanted: np.ndarray, most_docs: int, most_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 24
         texts: list[bytes] = []
@@ -99,7 +99,7 @@ def _index(wanted: np.ndarray):
             kind = batch.schema.field(0).type
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = (text or "").encode()
-                if texts and (held + len(raw) > BLOCK_BYTES or len(texts) == BLOCK_DOCS):
+                if texts and (held + len(raw) > most_bytes or len(texts) == most_docs):
                     yield from _index_block(block, texts, pa.array(ids, kind), wanted)
                     block, texts, ids, held = block + 1, [], [], 0
                 texts.append(raw)
@@ -133,7 +133,7 @@ class _Best:
             self.floor = max(self.floor, self.heap[0][0])
 
 
-def _search_item(summed: tuple[np.ndarray, np.ndarray] | None, lists: list[tuple[int, tuple]], best: _Best, stretches: int) -> None:
+def _search_item(summed: tuple[np.ndarray, np.ndarray] | None, lists: list[tuple[int, tuple]], best: _Best, stretches: int, stretch: int) -> None:
     """Document-at-a-time over one block.
 
     ``summed`` is the iterator of accumulators (places, sums); ``lists`` are the long lists as
@@ -144,9 +144,9 @@ def _search_item(summed: tuple[np.ndarray, np.ndarray] | None, lists: list[tuple
     iterators = [(at, w * impact, first, w * top) for w, (at, impact, first, top) in lists]
     if summed is not None:
         at, sums = summed
-        first = np.searchsorted(at, np.arange(stretches + 1) * STRETCH)
+        first = np.searchsorted(at, np.arange(stretches + 1) * stretch)
         top = np.zeros(stretches, dtype=np.int64)
-        np.maximum.at(top, at // STRETCH, sums)
+        np.maximum.at(top, at // stretch, sums)
         iterators.append((at, sums, first, top))
     if not iterators:
         return
@@ -157,13 +157,13 @@ def _search_item(summed: tuple[np.ndarray, np.ndarray] | None, lists: list[tuple
             continue  # the last rank has risen since
         order = np.argsort(-here, kind="stable")
         rest = here.sum()
-        score = np.zeros(STRETCH, dtype=np.int64)
+        score = np.zeros(stretch, dtype=np.int64)
         seen = None
         for i in order:
             if not here[i]:
                 break
             at, value, first, _ = iterators[i]
-            part, gain = at[first[k] : first[k + 1]] - k * STRETCH, value[first[k] : first[k + 1]]
+            part, gain = at[first[k] : first[k + 1]] - k * stretch, value[first[k] : first[k + 1]]
             if rest >= max(1, best.floor):  # the lists from here on can still bring a document to the last rank
                 score[part] += gain
             else:
@@ -178,17 +178,17 @@ def _search_item(summed: tuple[np.ndarray, np.ndarray] | None, lists: list[tuple
                 score[seen[hit]] += gain[to[hit]]
             rest -= here[i]
         found = np.flatnonzero(score >= max(1, best.floor)) if seen is None else seen[score[seen] >= max(1, best.floor)]
-        best.offer(score[found], found + k * STRETCH)
+        best.offer(score[found], found + k * stretch)
 
 
-def _search(queries: dict, floors: dict, docs: int, words: int, top: int):
+def _search(queries: dict, floors: dict, docs: int, words: int, top: int, stretch: int):
     """queries: item -> [(term, weight)] of its long lists; floors: item -> score that its last rank has at least."""
 
     def run(index: pa.Table, sums: pa.Table) -> pa.Table:
         head = index.filter(pc.is_null(index["term"]))
         ids = head["doc_ids"].combine_chunks().flatten()
         index = index.filter(pc.is_valid(index["term"]))
-        stretches = -(-len(ids) // STRETCH)
+        stretches = -(-len(ids) // stretch)
         # places follow the doc_id, so that ties go to the smaller one; null comes last
         order = pc.sort_indices(ids, null_placement="at_end").to_numpy() if len(ids) else np.zeros(0, dtype=np.int64)
         place = np.empty(len(ids), dtype=np.int64)
@@ -199,9 +199,9 @@ def _search(queries: dict, floors: dict, docs: int, words: int, top: int):
             impact = _impact(tf, n, docs, words)
             turn = np.argsort(place[at])
             at, impact = place[at][turn], impact[turn]
-            first = np.searchsorted(at, np.arange(stretches + 1) * STRETCH)
+            first = np.searchsorted(at, np.arange(stretches + 1) * stretch)
             most = np.zeros(stretches, dtype=np.int64)
-            np.maximum.at(most, at // STRETCH, impact)
+            np.maximum.at(most, at // stretch, impact)
             lists[term] = (at, impact, first, most)
         summed = {}
         if len(sums):
@@ -215,7 +215,7 @@ def _search(queries: dict, floors: dict, docs: int, words: int, top: int):
             own = [(w, lists[t]) for t, w in terms if t in lists]
             if own or item in summed:
                 best = _Best(top, floors.get(item, 0))
-                _search_item(summed.get(item), own, best, stretches)
+                _search_item(summed.get(item), own, best, stretches, stretch)
                 out += [(item, -d, s) for s, d in best.heap]
         items, at, score = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"item": pa.array(items, pa.int64()), "doc_id": ids.take(pa.array(order[list(at)] if at else [], pa.int64())), "score": pa.array(score, pa.int64())})
@@ -244,7 +244,7 @@ def ranked_search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFram
     terms = materialize(ids.select("item", found.alias("term")), "item-terms")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"block long, term binary, docs array<long>, tfs array<long>, sizes array<long>, doc_ids array<{kind}>, n_docs long, n_words long"
-    index = materialize(docs.select("doc_id", "text").mapInArrow(_index(_term_filter(terms)), schema), "index")
+    index = materialize(docs.select("doc_id", "text").mapInArrow(_index(_term_filter(terms), BLOCK_DOCS, BLOCK_BYTES), schema), "index")
     n_docs, n_words = (x or 0 for x in index.agg(F.sum("n_docs"), F.sum("n_words")).first())
     weighted = _weights(terms, index, n_docs)
     lots = max(1, -(-terms.count() // LOT_TERMS))
@@ -286,6 +286,6 @@ def _lot(weighted: DataFrame, index: DataFrame, n_docs: int, n_words: int, top:
     used = lists.join(F.broadcast(long_lists.select("term").distinct()), "term", "left_semi")
     heads = index.where("term is null").select("block", "doc_ids")
     both = used.unionByName(heads, allowMissingColumns=True)
-    search = _search(queries, floors, n_docs, n_words, top)
+    search = _search(queries, floors, n_docs, n_words, top, STRETCH)
     hits = both.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(search, f"item long, doc_id {kind}, score long")
     return materialize(hits, f"hits-{number}")
