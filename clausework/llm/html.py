@@ -6,8 +6,8 @@ folded tree then differ in their labels, so that simple tree matching aligns the
 of a host by the paths of their labels, and the wrapper is what the pages' paths add up to.
 Nodes whose text is the same on most pages are the template; nodes with varying text are slots, and
 the content is the slots of the lowest container that holds them all. Links only and boilerplate
-marks (elements, roles, words of class and id) break ties: they tell menus, adverts and comments,
-which vary too, from content.
+marks (elements, roles, class names made of marking words) break ties: they tell menus, adverts and
+comments, which vary too, from content; article and main elements do where they hold most of it.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ _SCOPES = frozenset("table ul ol dl select article section body div td th".split
 _BOILERPLATE_TAGS = frozenset("nav header footer aside form script style noscript template iframe button select textarea input svg canvas object dialog menu title".split())
 _BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _BOILERPLATE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split())
+#: Words that may stand beside those in a name; any other one makes it another thing ("product-notice").
+_NEUTRAL_WORDS = frozenset("area article bar block body bottom box btn button buttons col column container content desktop div element fixed footer global group header holder id inner item items js left links list main mobile module nav old outer overlay page panel post posts primary region right row secondary section signup site sticky top unit user wrap wrapper".split())
 #: Parts of a text that are no containers of one.
 _BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl li dt dd table blockquote pre figure figcaption address details hr".split())
 #: Elements that two of which are two things, unless they share a class.
@@ -71,16 +73,24 @@ class Node:
     children: list = field(default_factory=list)
 
 
+def _names_boilerplate(name: str) -> bool:
+    """Whether a class or id is made of marking words and neutral ones only. What heads or foots an article's own parts is no page header."""
+    words = [w for w in re.split(r"[^a-z]+", name) if w]
+    marking = [w for w in words if w in _BOILERPLATE_WORDS]
+    if not marking or any(w not in _BOILERPLATE_WORDS and w not in _NEUTRAL_WORDS for w in words):
+        return False
+    return not (set(marking) <= {"header", "footer", "banner", "masthead"} and not {"article", "post", "content", "body", "section", "item"}.isdisjoint(words))
+
+
 def _element(tag: str, attributes: str) -> Node:
     if "=" not in attributes:
         return Node(tag, tag, tag in _BOILERPLATE_TAGS, tag in ("article", "main"))
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     names = (found.get("class", "") + " " + found.get("id", "")).lower()
-    words = re.split(r"[^a-z]+", names)
     role = found.get("role", "").lower()
     main = tag in ("article", "main") or role in ("main", "article") or found.get("itemprop", "") == "articleBody"
     page = tag in ("html", "body")
-    boilerplate = tag in _BOILERPLATE_TAGS or not page and (role in _BOILERPLATE_ROLES or not main and not _BOILERPLATE_WORDS.isdisjoint(words))
+    boilerplate = tag in _BOILERPLATE_TAGS or not page and (role in _BOILERPLATE_ROLES or not main and any(map(_names_boilerplate, names.split())))
     stable = sorted({n for n in names.split() if _NAME.fullmatch(n)})[:3] if tag in _CONTAINERS and not page else []
     return Node(tag, ".".join([tag, *stable]), boilerplate, main)
 
@@ -345,24 +355,47 @@ def _weigh(wrapper: Folded) -> dict[int, tuple[int, int, int]]:
     return out
 
 
+#: Share of all slots from which articles are the content and what varies beside them is not.
+ARTICLE_SHARE = 0.5
+
+
 def content_of(wrapper: Folded) -> tuple[str, list[str]]:
-    """Path to the content node, and the paths below it of containers that are template and of menus.
+    """Path to the content node, and the paths below it of containers that are template, of menus, and of what stands beside articles.
 
-    The content node is the lowest container that holds all slots; an article or main element with slots breaks the
-    tie between it and what varies beside it. Text that is all links is a menu, but not in such an element.
+    The content node is the lowest container that holds all slots. Only a tie is broken by names: where article and main
+    elements hold ARTICLE_SHARE of all slots, they are the content, all of them, and other varying containers beside
+    them are comments, teasers or adverts; where they hold less, everything that varies is content. Text that is all links
+    is a menu, but not in such an element.
     """
     mass = _weigh(wrapper)
     slot = (lambda n: mass[id(n)][0]) if mass[id(wrapper)][0] else (lambda n: mass[id(n)][1])
     menu = lambda n: mass[id(n)][1] > 0 and mass[id(n)][2] >= LINK_SHARE * mass[id(n)][1]
-    best: tuple[int, Folded, str] | None = None
-    todo = [(wrapper, f"/{wrapper.label}")]
+    named: list[tuple[list[Folded], int]] = []
+    todo: list[list[Folded]] = [[wrapper]]
     while todo:
-        node, path = todo.pop()
-        if node is not wrapper and node.label.split(".")[0].split("~")[0] in ("article", "main") and not node.marked and slot(node) and (best is None or slot(node) > best[0]):
-            best = (slot(node), node, path)
-        todo += [(c, f"{path}/{c.label}") for c in reversed(node.children)]
-    if best:
-        node, path = best[1:]
+        line = todo.pop()
+        node = line[-1]
+        if node is not wrapper and not node.marked and slot(node) and node.label.split(".")[0].split("~")[0] in ("article", "main"):
+            named.append((line, slot(node)))
+        else:
+            todo += [[*line, c] for c in reversed(node.children)]
+    chosen = named if sum(n for _, n in named) >= ARTICLE_SHARE * slot(wrapper) and named else []
+    dropped: list[str] = []
+    if chosen:
+        lines = [line for line, _ in chosen]
+        depth = 0
+        while all(len(x) > depth for x in lines) and len({id(x[depth]) for x in lines}) == 1:
+            depth += 1
+        node, path = lines[0][depth - 1], "/" + "/".join(n.label for n in lines[0][:depth])
+        inside, ways = {id(x[-1]) for x in lines}, {id(n) for x in lines for n in x}
+        beside = [(node, path)] if id(node) not in inside else []
+        while beside:
+            n, here = beside.pop()
+            for c in n.children:
+                if id(c) not in ways and not c.marked and c.label.split(".")[0].split("~")[0] in _CONTAINERS:
+                    dropped.append(f"{here}/{c.label}")
+                elif id(c) in ways and id(c) not in inside:
+                    beside.append((c, f"{here}/{c.label}"))
     else:
         node, path = wrapper, f"/{wrapper.label}"
         while True:
@@ -371,16 +404,15 @@ def content_of(wrapper: Folded) -> tuple[str, list[str]]:
             if len(inner) != 1 or own or inner[0].label.split(".")[0].split("~")[0] in _BLOCKS:
                 break
             node, path = inner[0], f"{path}/{inner[0].label}"
-    dropped = []
     todo = [(c, f"{path}/{c.label}") for c in node.children]
     while todo:
         n, here = todo.pop()
         constant = n.label.split(".")[0].split("~")[0] in _CONTAINERS and mass[id(n)][1] > 0 and all(x.template or not x.chars for x in _nodes(n))
-        if not n.marked and (constant or (not best and menu(n))):
+        if not n.marked and (constant or (not chosen and menu(n))):
             dropped.append(here)
         else:
             todo += [(c, f"{here}/{c.label}") for c in n.children]
-    return path, sorted(dropped)
+    return path, sorted(set(dropped))
 
 
 def find(root: Node, path: str) -> list[Node]:

@@ -276,6 +276,34 @@ def test_main_text_of_pages_without_article(spark):
     assert got[20].split() == ["Head"] + ["word"] * 60 + ["point"]
 
 
+def _texts(spark, bodies, host="a"):
+    rows = [(k, f"http://{host}.example/{k}", f"<html><body><nav>Menu</nav>{b}<footer>us</footer></body></html>") for k, b in enumerate(bodies)]
+    got = dict(html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "text").collect())
+    return [got[k] for k in range(len(bodies))]
+
+
+def test_slots_decide_and_names_break_ties(spark):
+    long = lambda k: " ".join(f"word{k}x{i}" for i in range(40))
+    n = range(5)
+    # two articles are both content; a teaser in an article does not displace the main text
+    assert _texts(spark, [f"<article><p>one {k}</p></article><article><p>two {k} {long(k)}</p></article>" for k in n]) == [f"one {k} two {k} {long(k)}" for k in n]
+    assert _texts(spark, [f"<article>teaser {k}</article><div class=body><p>{long(k)}</p></div>" for k in n]) == [f"teaser {k} {long(k)}" for k in n]
+    # a marking word within another name cuts nothing; whole names do
+    inside = "<article><div class='product-notice'>note {0}</div><div class='header-image'><h1>Title {0}</h1></div><div class='article-header'>by {0}</div><p>{1}</p><div class='cookie-notice'>eat {0}</div><div class='ad ad-box'>buy {0}</div></article>"
+    assert _texts(spark, [inside.format(k, long(k)) for k in n]) == [f"note {k} Title {k} by {k} {long(k)}" for k in n]
+    # unmarked comments beside an article are told apart by it; deeper articles too
+    assert _texts(spark, [f"<div class=page><div><article><p>{long(k)}</p></article></div><div>user {k} says hi</div></div>" for k in n]) == [long(k) for k in n]
+    assert _texts(spark, [f"<div class=comments><p>user {k} says hi</p></div><div><p>{long(k)}</p></div>" for k in n]) == [long(k) for k in n]
+
+
+@pytest.mark.parametrize("name", ["div", "section"])
+def test_given_pages_need_no_article(spark, sf_dir, name):
+    """The wrapper finds the same text where the articles are plain containers."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    plain = pages.withColumn("html", F.regexp_replace("html", "(</?)article\\b", f"$1{name}"))
+    assert sorted(html.main_text(plain).collect()) == sorted(html.main_text(pages).collect())
+
+
 def test_all_layouts_of_a_host_make_its_wrapper(spark):
     orders = list(itertools.permutations(("<p>p %d</p>", "<ul><li>l %d</li></ul>", "<table><tr><td>t %d</td></tr></table>", "<h2>h %d</h2>")))
     common = [(k, "http://a.example/", f"<body><div>Home About</div><section><p>only {k}</p></section></body>") for k in range(40)]
