@@ -170,14 +170,21 @@ def loser_tree_merge(runs: list[list[tuple]]) -> Iterator[tuple]:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One range's entries, sorted by run: merge its runs and hand them on in lots."""
-    runs: dict[str, list[tuple]] = {}
+    """One range's entries: merge its runs and hand them on in lots.
+
+    A run's entries come in its order, in one piece for each task that read a part of it; a piece
+    ends where the order falls, so nothing is sorted again whatever order the pieces come in.
+    """
+    pieces: dict[str, list[list[tuple]]] = {}
     schema = None
     for batch in batches:
         schema = batch.schema
         names = batch.column(len(INDEX_FIELDS)).to_pylist()
         for run, row in zip(names, zip(*(batch.column(i).to_pylist() for i in range(len(INDEX_FIELDS))), strict=True), strict=True):
-            runs.setdefault(run, []).append(row)
+            own = pieces.setdefault(run, [])
+            if not own or _order(row) < _order(own[-1][-1]):
+                own.append([])
+            own[-1].append(row)
     if schema is None:
         return
     lot: list[tuple] = []
@@ -186,7 +193,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(lot: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*lot, strict=True), fields, strict=True)], names=[f.name for f in fields])
 
-    for row in loser_tree_merge(list(runs.values())):
+    for row in loser_tree_merge([piece for own in pieces.values() for piece in own]):
         lot.append(row)
         if len(lot) == 10_000:
             yield out(lot)
@@ -207,7 +214,6 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     entries = materialize(files.mapInArrow(_runs, INDEX_SCHEMA), "capture-runs")
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries.count() // RANGE_ENTRIES))
     dealt = entries.repartitionByRange(ranges, "url_key", "captured", "page_id", "archive", "record_no")
-    dealt = dealt.sortWithinPartitions("run", "url_key", "captured", F.col("page_id").asc_nulls_first(), "archive", "record_no")
     return dealt.mapInArrow(_merge, INDEX_SCHEMA.rsplit(",", 1)[0])
 
 
