@@ -48,6 +48,23 @@ SENTENCES: Mapping[str, str] = {
     "cc-by-work": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "all-rights": "All rights reserved under license.",
     "all-rights-line": "All rights reserved.",
+    "gpl-header-2-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "gpl-header-3-only": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation.",
+    "gnu-verbatim": "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    "gpl3-text-1": "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+    "gpl3-text-2": "The licenses for most software and other practical works are designed to take away your freedom to share and change the works.",
+    "gpl2-text-1": "The licenses for most software are designed to take away your freedom to share and change it.",
+    "gpl2-text-2": "By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.",
+    "lgpl2.1-text": "This license, the Lesser General Public License, applies to some specially designated software packages--typically libraries--of the Free Software Foundation and other authors who decide to use it.",
+    "lgpl3-text": "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",
+    "agpl3-text": "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.",
+    "apache-text-1": "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "apache-text-2": "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+    "mpl-text-1": "Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license:",
+    "mpl-text-2": "All distribution of Covered Software in Source Code Form, including any Modifications that You create or to which You contribute, must be under the terms of this License.",
+    "classpath-1": "Linking this library statically or dynamically with other modules is making a combined work based on this library.",
+    "classpath-2": "As a special exception, the copyright holders of this library give you permission to link this library with independent modules to produce an executable, regardless of the license terms of these independent modules, and to copy and distribute the resulting executable under terms of your choice, provided that you also meet, for each linked independent module, the terms and conditions of the license of that module.",
+    "gcc-runtime": "Under Section 7 of GPL version 3, you are granted additional permissions described in the GCC Runtime Library Exception, version 3.1, as published by the Free Software Foundation.",
 }
 #: (rule, licence, sentences in order); other sentences may stand between them.
 RULES: Sequence[tuple[str, str, tuple[str, ...]]] = (
@@ -63,6 +80,18 @@ RULES: Sequence[tuple[str, str, tuple[str, ...]]] = (
     ("gpl-2.0-header", "GPL-2.0-or-later", ("gpl-header-2", "gpl-warranty")),
     ("gpl-3.0-header-with-copy", "GPL-3.0-or-later", ("gpl-header-3", "gpl-warranty", "gpl-copy")),
     ("gpl-2.0-header-with-copy", "GPL-2.0-or-later", ("gpl-header-2", "gpl-warranty", "gpl-copy")),
+    ("gpl-2.0-only-header", "GPL-2.0-only", ("gpl-header-2-only", "gpl-warranty")),
+    ("gpl-3.0-only-header", "GPL-3.0-only", ("gpl-header-3-only", "gpl-warranty")),
+    ("gpl-2.0-header-with-classpath", "GPL-2.0-or-later WITH Classpath-exception-2.0", ("gpl-header-2", "gpl-warranty", "classpath-1", "classpath-2")),
+    ("gpl-2.0-only-header-with-classpath", "GPL-2.0-only WITH Classpath-exception-2.0", ("gpl-header-2-only", "gpl-warranty", "classpath-1", "classpath-2")),
+    ("gpl-3.0-header-with-gcc-runtime", "GPL-3.0-or-later WITH GCC-exception-3.1", ("gpl-header-3", "gpl-warranty", "gcc-runtime")),
+    ("gpl-3.0-text", "GPL-3.0", ("gnu-verbatim", "gpl3-text-1", "gpl3-text-2")),
+    ("gpl-2.0-text", "GPL-2.0", ("gnu-verbatim", "gpl2-text-1", "gpl2-text-2")),
+    ("lgpl-2.1-text", "LGPL-2.1", ("gnu-verbatim", "gpl2-text-1", "lgpl2.1-text")),
+    ("lgpl-3.0-text", "LGPL-3.0", ("gnu-verbatim", "lgpl3-text")),
+    ("agpl-3.0-text", "AGPL-3.0", ("gnu-verbatim", "agpl3-text", "gpl3-text-2")),
+    ("apache-2.0-text", "Apache-2.0", ("apache-text-1", "apache-text-2")),
+    ("mpl-2.0-text", "MPL-2.0", ("mpl-text-1", "mpl-text-2")),
     ("lgpl-2.1-header", "LGPL-2.1-or-later", ("lgpl-header-2.1", "lgpl-warranty")),
     ("lgpl-3.0-header", "LGPL-3.0-or-later", ("lgpl-header-3",)),
     ("agpl-3.0-header", "AGPL-3.0-or-later", ("agpl-header-3",)),

@@ -135,3 +135,20 @@ def test_further_columns_and_long_texts(spark, sf_dir, tmp_path, name):
         assert {r.component_id for r in a.where("doc_id > 9000").collect()} == {9001}
     if name.startswith("op8"):
         assert {r.n_email for r in a.where("doc_id > 9000").collect()} == {1}
+
+
+def test_exceptions_and_whole_licences(spark):
+    from clausework.llm.licenses import SENTENCES, find_licenses
+
+    def said(*names):
+        return "\n".join(SENTENCES[n] for n in names)
+
+    wrapped = said("gpl-header-2-only", "gpl-warranty").replace("it under", "it\n * under").replace("hope that", "hope\n * that")
+    texts = {
+        1: said("gpl-header-2", "gpl-warranty", "classpath-1", "classpath-2"), 2: wrapped, 3: said("gnu-verbatim", "gpl3-text-1", "gpl3-text-2"), 4: said("gnu-verbatim", "gpl2-text-1", "lgpl2.1-text"),
+        5: said("gpl-header-2", "gpl-warranty"), 6: said("gpl-header-3", "gpl-warranty", "gcc-runtime"), 7: "x\n" + said("apache-text-1") + "\nmore\n" + said("apache-text-2"), 8: said("gnu-verbatim"),
+    }
+    rows = find_licenses(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).select("doc_id", "license").collect()
+    assert sorted(map(tuple, rows)) == [
+        (1, "GPL-2.0-or-later WITH Classpath-exception-2.0"), (2, "GPL-2.0-only"), (3, "GPL-3.0"), (4, "LGPL-2.1"), (5, "GPL-2.0-or-later"), (6, "GPL-3.0-or-later WITH GCC-exception-3.1"), (7, "Apache-2.0"),
+    ]
