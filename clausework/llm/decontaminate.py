@@ -209,7 +209,7 @@ def _keeper(index: BenchmarkIndex, percent: int, text: int):
 def _passes(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The items in lots of at most LOT_ITEMS items and about LOT_BYTES, streamed to the driver lot by lot."""
     lot, held = [], 0
-    for row in benchmark.select("item_id", "text").where("item_id is not null and text is not null").toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").toLocalIterator():
         lot.append((row.item_id, row.text))
         held += len(row.text.encode())
         if len(lot) >= LOT_ITEMS or held >= LOT_BYTES:
@@ -229,7 +229,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75) -> Da
     texts and items match nothing; items with a null id are left out; repeated items of one id
     can give several rows. Repeated documents each give their rows, null doc_ids included. An
     empty table on either side gives no rows. Texts of any length are read whole, in one map
-    over the documents for every lot of the benchmark and without a shuffle.
+    over the documents for every lot of the benchmark and without a shuffle: a benchmark of n items
+    reads the documents n / LOT_ITEMS times. Ids of both sides are cast to long.
     """
     spark, docs = docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = None

@@ -69,7 +69,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     words that is run through again for a target above the source's size; a row takes the part
     of the axis before the target. A source's takes add up to its rounded target, reruns agree.
     A null source is a source of its own, wordless rows take nothing; a null doc_id counts as a
-    value; equal rows share one place and split it evenly by order. An empty table gives no rows.
+    value; equal rows share one place and split it evenly by order, in one window group: a table that
+    repeats one row very often should be grouped first. An empty table gives no rows.
 
     Offsets come from sums per (source, hash bucket) and a window within a bucket, so that a
     source with a third of all rows spreads over 16 ** BUCKET_DIGITS groups.

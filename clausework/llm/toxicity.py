@@ -77,7 +77,8 @@ def learned_lexicons(sample: DataFrame) -> list[np.ndarray]:
 
     A stem is a word's first STEMS bytes. A code counts if it is in at least a fiftieth of the
     toxic texts in question, five at least, and at least PRECISION of the texts that have it are
-    toxic. That bounds a lexicon: it has at most fifty times as many codes as a toxic text has on average.
+    toxic. That bounds a lexicon: it has at most fifty times as many codes as a toxic text has on average
+    (about 50,000 for texts of 1000 different words and stems), eight bytes each on the driver.
     """
     fitting = sample.where(F.col("part") < FITTING)
     held = {r.part: r.n for r in fitting.where("label = 1").groupBy("part").agg(F.count("*").alias("n")).collect()}
