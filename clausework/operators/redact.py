@@ -318,6 +318,20 @@ def with_entity(name: str, pattern: str, confidence: float, flags: int = 0, befo
     return out if name in out else {**out, name: rule}
 
 
+#: Words of which each match of COMPANY holds one, and types of which each match holds a digit.
+_COMPANY_CUES = ("Inc", "LLC", "Ltd", "Limited", "Corp", "Company", "Co", "LLP", "PLC", "Services", "Solutions", "Group", "Holdings")
+_DIGITS = frozenset(ENTITY_PATTERNS[t][0] for t in ("PHONE", "ADDRESS", "MONEY", "DATE"))
+_CUES = {ENTITY_PATTERNS["EMAIL"][0]: ("@",), ENTITY_PATTERNS["COMPANY"][0]: _COMPANY_CUES, ENTITY_PATTERNS["LOCATION"][0]: tuple(sorted(_PLACES))}
+_DIGIT = re.compile(r"\d")
+
+
+def _possible(pattern: str, text: str, digit: bool) -> bool:
+    """Whether a text holds what each match of a known pattern needs; a plain search, so that most texts are spared most patterns."""
+    if pattern in _DIGITS:
+        return digit
+    return pattern not in _CUES or any(cue in text for cue in _CUES[pattern])
+
+
 def entities_of(text: str | None, compiled: Mapping[str, tuple[re.Pattern[str], float]]) -> list[tuple[int, int, str, str, float]]:
     """R-1 to R-7 for one text: (start, end, type, text, confidence) by start. Sorting once and looking at neighbours only keeps it near linear in the candidates.
 
@@ -329,8 +343,9 @@ def entities_of(text: str | None, compiled: Mapping[str, tuple[re.Pattern[str],
         return []
     low, counts = text.lower(), {}
     taken, refused = [], []
+    digit = _DIGIT.search(text) is not None
     for kind, (pattern, confidence) in compiled.items():
-        for m in pattern.finditer(text):
+        for m in pattern.finditer(text) if _possible(pattern.pattern, text, digit) else ():
             found, start, end, sure, now, no = m[0], m.start(), m.end(), confidence, kind, False
             if kind == "PERSON":
                 words = found.split()
