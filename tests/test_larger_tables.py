@@ -1,9 +1,13 @@
 """Cases that the small tables do not hold and larger ones do."""
 
+import random
+import re
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from clausework.operators import redact
 
 
 def both(spark, folder, name, tables):
@@ -22,3 +26,19 @@ def test_session_history_drops_disclosures_only(spark, tmp_path, answer, kept):
     turns = spark.createDataFrame([(1, 1, "user", "Q"), (1, 2, "assistant", answer), (1, 3, "user", "R"), (1, 4, "assistant", "Fine.")], "conv_id long, turn long, role string, text string")
     ours, theirs = both(spark, tmp_path, "h16_session_history", {"conversations": turns})
     assert ours == theirs and ours[0][1] == 1 + kept
+
+
+@pytest.mark.parametrize("name", ["r1_detect_candidates", "r1_candidate_counts", "r6_resolve_overlaps", "r7_reconcile_repeats", "r12_entity_stats", "r12_entity_positions"])
+def test_spans_are_found_once(spark, sf_dir, name):
+    plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_spared_search_gives_the_same_matches():
+    bits = "Jan|feb |Sept.| march|12| 3,|2021|/|-|01| |\n| |ID|id|tin|Passport|license no.|#|ABCDE1234F|AB12|x|é|ı|ſep|İ|٣|$|€ |1,200.50|usd|(|555|)|+1|-4567|123-45-6789|Old Mill|Road|_|.|GSTIN|99999999".split("|")
+    rnd = random.Random(3)
+    for _ in range(5000):
+        text = "".join(rnd.choices(bits, k=rnd.randint(1, 14)))
+        compiled = [re.compile(p, flags) for p, flags, _ in redact.ENTITY_PATTERNS.values()]
+        found = [[m.span() for m in hits] for hits in redact.matches(text, text.lower(), compiled)]
+        assert found == [[m.span() for m in p.finditer(text)] for p in compiled]
