@@ -42,3 +42,8 @@ def test_spared_search_gives_the_same_matches():
         compiled = [re.compile(p, flags) for p, flags, _ in redact.ENTITY_PATTERNS.values()]
         found = [[m.span() for m in hits] for hits in redact.matches(text, text.lower(), compiled)]
         assert found == [[m.span() for m in p.finditer(text)] for p in compiled]
+
+
+def test_steps_of_redaction_are_not_copied(spark, sf_dir):
+    plan = entry.queries()["r7_stepwise"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1 and len(plan) < 200_000
