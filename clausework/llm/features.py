@@ -63,13 +63,13 @@ def dot(features: str, weights: Sequence[float]) -> Column:
     return total
 
 
-def labelled_ids(labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """At most ``rows`` rows (doc_id, label) that are labelled 0 or 1 and not held out, the first by a hash of doc_id."""
+def labelled_ids(labels: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """The rows (doc_id, label) that are labelled 0 or 1 and not held out; with ``rows`` at most so many, the first by a hash of doc_id."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("double").alias("label"))
-    return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return known if rows is None else known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
-def labelled_sample(features: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+def labelled_sample(features: DataFrame, labels: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """The rows (doc_id, fold, _features, label) of ``features`` with one of the labelled_ids."""
-    sample = features.select("doc_id", "_features").join(F.broadcast(labelled_ids(labels, label, rows)), "doc_id")
+    sample = features.select("doc_id", "_features").join(labelled_ids(labels, label, rows), "doc_id")
     return sample.select("doc_id", fold(F.col("doc_id")).alias("fold"), "_features", "label")

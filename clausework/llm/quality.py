@@ -10,13 +10,16 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausework.llm.features import byte_kinds, dot, held_out, labelled_ids, labelled_sample, with_features
+from clausework.llm.features import byte_kinds, dot, held_out, labelled_sample, with_features
 from clausework.llm.scratch import materialize
 from clausework.llm.words import shingle_hashes, word_hashes
 
-#: Labelled rows that a model learns from at most, and buckets in which rows of both labels meet as pairs.
-SAMPLE = 20_000
-PAIR_BUCKETS = 2048
+#: Labelled rows that a model learns from at most: all.
+SAMPLE: int | None = None
+#: Hash buckets that a labelled row is in, the least number of all buckets, and rows of the rarer label in each on average where there are more.
+SLOTS = 4
+PAIR_BUCKETS = 64
+RARER_IN_BUCKET = 4
 THRESHOLD = 0.7
 
 FEATURES = ("upper", "bang", "symbol", "digit", "some_upper", "some_symbol", "repeated_words", "repeat_runs", "repeated_shingles", "rare_words", "long_words", "log_words", "short", "no_words")
@@ -61,32 +64,36 @@ def _constant() -> QualityModel:
     return QualityModel([0.0] * len(FEATURES), 0.0, 1.0)
 
 
-def fit_quality(features: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> QualityModel:
-    """Learn from at most ``rows`` labelled rows, none of them held out.
+def fit_quality(features: DataFrame, labels: DataFrame, rows: int | None = SAMPLE) -> QualityModel:
+    """Learn from all labelled rows that are not held out, or from the first ``rows`` by a hash.
 
-    Rows of label 1 and of label 0 that meet in one of PAIR_BUCKETS hash buckets form preference
-    pairs; the logistic loss on their feature differences, without an intercept, gives the
-    Bradley-Terry weights. The cut is the quantile of the sample's scores that separates its
-    labels best. Without rows of both labels every text scores THRESHOLD. The pairs of the ``rows`` labelled
-    rows are cached while they are fitted; a lost executor's part is made again.
+    Each row is in SLOTS hash buckets, whose number grows with the rows of the rarer label; rows of label 1 and
+    of label 0 that meet in one form preference pairs, about SLOTS * RARER_IN_BUCKET for each row of the commoner label, so
+    that hardly one in a million is left without a pair (more, where the rarer label has fewer rows than there are buckets). The
+    logistic loss on their feature differences, without an intercept, gives the Bradley-Terry weights; it is the
+    same for a difference and its reverse, so every other bucket gives reverses. The cut is the quantile of the scores that
+    separates all labels best. Without rows of both labels every text scores THRESHOLD. The pairs are cached while they
+    are fitted; a lost executor's part is made again.
     """
-    sample = materialize(labelled_sample(features, labels, "quality", rows), "quality-sample")
-    if sample.select("label").distinct().count() < 2:
+    known = materialize(labelled_sample(features, labels, "quality", rows), "quality-labelled")
+    counts = {row["label"]: row["count"] for row in known.groupBy("label").count().collect()}
+    if len(counts) < 2:
         return _constant()
-    slots = sample.withColumn("slot", F.explode(F.expr(f"transform(sequence(0, 3), k -> pmod(xxhash64(doc_id, k), {PAIR_BUCKETS}))")))
+    buckets = max(PAIR_BUCKETS, min(counts.values()) * SLOTS // RARER_IN_BUCKET)
+    slots = known.withColumn("slot", F.explode(F.expr(f"transform(sequence(0, {SLOTS - 1}), k -> pmod(xxhash64(doc_id, k), {buckets}L))")))
     better, worse = (slots.where(f"label = {v}").select("slot", F.col("_features").alias(name)) for v, name in ((1, "x"), (0, "y")))
-    pairs = better.join(worse, "slot")
-    way = lambda a, b, v: pairs.select(array_to_vector(F.zip_with(a, b, lambda p, q: p - q)).alias("features"), F.lit(v).alias("label"))
-    both = way("x", "y", 1.0).unionByName(way("y", "x", 0.0)).cache()
+    forth = F.col("slot") % 2 == 0
+    difference = F.when(forth, F.zip_with("x", "y", lambda p, q: p - q)).otherwise(F.zip_with("y", "x", lambda p, q: p - q))
+    pairs = better.join(worse, "slot").select(array_to_vector(difference).alias("features"), forth.cast("double").alias("label")).cache()
     try:
-        if both.isEmpty():
+        if pairs.isEmpty():
             return _constant()
-        model = LogisticRegression(fitIntercept=False, regParam=1e-4, maxIter=60).fit(both)
+        model = LogisticRegression(fitIntercept=False, regParam=1e-4, maxIter=60).fit(pairs)
     finally:
-        both.unpersist()
+        pairs.unpersist()
     weights = [float(w) for w in model.coefficients]
-    scored = sample.select("label", dot("_features", weights).alias("raw"))
-    n0 = scored.where("label = 0").count() / scored.count()
+    scored = known.select("label", dot("_features", weights).alias("raw"))
+    n0 = counts[0.0] / sum(counts.values())
     levels = sorted({min(0.999, max(0.001, n0 * f)) for f in np.linspace(0.4, 1.6, 49)})
     cuts = scored.approxQuantile("raw", levels, 0.0005)
     right = scored.agg(*[F.avg(((F.col("raw") >= c) == (F.col("label") == 1)).cast("double")).alias(f"c{k}") for k, c in enumerate(cuts)]).first()
@@ -96,7 +103,7 @@ def fit_quality(features: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Q
     return QualityModel(weights, (good[0] + good[-1]) / 2, max(1e-9, (high - low) / 8))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, rows: int | None = SAMPLE) -> DataFrame:
     """Score every row of ``docs`` (doc_id, text) by a model of ``labels`` (doc_id, quality).
 
     Returns doc_id, held_out (crc32 of the id as text modulo 4 is 2: such labels are not
@@ -110,12 +117,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Da
     return features.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs``, all columns, with a score of at least THRESHOLD, in one more pass over the texts."""
-    chosen = materialize(labelled_ids(labels, "quality", rows).withColumnRenamed("label", "quality"), "quality-labels")
-    learn = docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").select("doc_id", "text").distinct()
-    features = with_features(learn, quality_features).drop("text")
-    model = fit_quality(features, chosen, rows)
+def good_documents(docs: DataFrame, labels: DataFrame, rows: int | None = SAMPLE) -> DataFrame:
+    """The rows of ``docs``, all columns, with a score of at least THRESHOLD. Two passes over the texts: features of those that can be learned from, which meet the labels without their texts, and the scores."""
+    learn = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", F.xxhash64("text").alias("_hash"))
+    features = with_features(learn, quality_features).drop("text").dropDuplicates(["doc_id", "_hash"])
+    model = fit_quality(features, labels, rows)
     name = "_quality_features"
     while name in {c.lower() for c in docs.columns}:
         name = f"_{name}"

@@ -60,6 +60,16 @@ def test_quality_weights_minimize_the_pairs_loss(spark, quality_table):
     assert right(model.cut) >= max(right(c) for c in np.quantile(raw, np.linspace(0.02, 0.98, 97))) - 0.02
 
 
+def test_quality_learns_from_all_labels(spark):
+    """The first 20,000 labelled rows by hash are all of label 1: what tells the labels apart is in the others."""
+    ids = spark.range(32_000).selectExpr("id as doc_id", "row_number() over (order by xxhash64(id), id) as place")
+    rows = ids.selectExpr("doc_id", f"array_repeat(if(place > 28000, 0.1D, 0.9D), {len(quality.FEATURES)}) as _features", "if(place > 28000, 0, 1) as quality").cache()
+    model = quality.fit_quality(rows.select("doc_id", "_features"), rows.select("doc_id", "quality"))
+    assert model.weights[0] > 0
+    wrong = rows.where((model.score() >= quality.THRESHOLD) != (F.col("quality") == 1)).count()
+    assert wrong == 0
+
+
 def test_quality_scores_follow_from_the_weights(spark, quality_table):
     features, labels = quality_table
     model = quality.fit_quality(features, labels)
