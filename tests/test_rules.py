@@ -381,3 +381,19 @@ def test_pages_reached_by_the_cut(spark):
     pages = spark.createDataFrame([(1, 1, "a" * 30), (1, 2, "b" * 30), (1, 3, "c"), (2, 1, None), (3, 1, "x" * 40), (3, 2, "")], "doc_id long, page_no long, text string")
     got = {r.doc_id: (r.n_pages, r.pages_seen, r.kept_chars, r.dropped_chars) for r in quality.pages_in_budget(pages, prompt_chars=0, context=10, reply=0).collect()}
     assert got == {1: (3, 2, 40, 21), 2: (1, 1, 0, 0), 3: (2, 2, 40, 0)}
+
+
+def test_rules_of_clauses_look_for_cues_first(spark):
+    """Every pattern of a clause's signs has cues, so that most clauses are spared it, and both ways give the same."""
+    from clausework.functions.dialect import SPARK, cues
+
+    patterns = {"is_survival": clauses.SURVIVAL, "is_termination": clauses.TERMINATION, "is_finite": clauses.FINITE, "is_perpetual": clauses.PERPETUAL, "is_insufficient": clauses.TOO_SHORT}
+    assert all(cues(p) for p in patterns.values())
+    texts = (
+        "Duties SHALL Survive.", "All terms\tof it survive", "they shall not  continue", "no LONGER bound", "Three (3) Years", "lasts for 2 years", "in  Perpetuity", "Without\nlimit", "the time  frame is too brev", "LACKS any end  date",
+        "stated EndDate", "period missing", "permanent duty", "end date provided", "no end to obligations", "continues forever", "", "plain words of a year", "the period is long",
+    )
+    rows = spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "doc_id long, clause_no int, clause string")
+    plain = rows.selectExpr("doc_id", "clause_no", *[f"{SPARK.has('clause', p)} as {n}" for n, p in patterns.items()])
+    assert sorted(clauses.clause_flags(rows).collect()) == sorted(plain.collect())
+    assert plain.selectExpr(*[f"count_if({n})" for n in patterns]).first() == (2, 2, 2, 2, 8)
