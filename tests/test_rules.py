@@ -3,6 +3,7 @@
 import pytest
 
 from clausework.operators import clauses, confidence, evaluate, findings, parse, quality, redact
+from clausework.plans import fixtures
 
 
 def entities(spark, text):
@@ -397,3 +398,13 @@ def test_rules_of_clauses_look_for_cues_first(spark):
     plain = rows.selectExpr("doc_id", "clause_no", *[f"{SPARK.has('clause', p)} as {n}" for n, p in patterns.items()])
     assert sorted(clauses.clause_flags(rows).collect()) == sorted(plain.collect())
     assert plain.selectExpr(*[f"count_if({n})" for n in patterns]).first() == (2, 2, 2, 2, 8)
+
+
+def test_previews_find_entities_once(spark, sf_dir):
+    """The chosen entities and the previews come from entities that were written once, not from two searches."""
+    from clausework.plans.queries import QUERIES
+
+    out = QUERIES["r9_preview_redactions"](spark, sf_dir)
+    assert "EvalPython" not in out._jdf.queryExecution().optimizedPlan().toString()
+    docs = redact.detect_entities(fixtures.letters(spark, sf_dir)).selectExpr("doc_id", "size(entities) as n_total", "size(entities) div 2 as n_active")
+    assert sorted(out.select("doc_id", "n_total", "n_active").collect()) == sorted(docs.collect())
