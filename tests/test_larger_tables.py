@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from clausework.functions import counts, vocab
+from clausework.functions.dialect import spaced_cues
 from clausework.operators import redact
 
 
@@ -47,3 +49,40 @@ def test_spared_search_gives_the_same_matches():
 def test_steps_of_redaction_are_not_copied(spark, sf_dir):
     plan = entry.queries()["r7_stepwise"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("aggregate(") == 1 and len(plan) < 200_000
+
+
+@pytest.mark.parametrize("name", ["route_by_lang", "t1_score_stream", "d5_classify_domain", "p3_detect_policy"])
+def test_cues_of_outlines_are_found_in_one_pass(spark, sf_dir, name):
+    plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Contains(" not in plan and "lower(" not in plan
+
+
+ODD_OUTLINES = [
+    None, "", " \n ", "By \n\t and  Between A and B", "EMPLOYMENT\r\n CONTRACT", "x EMPLOYMENT CONTRACT", "I  \f think so", "alibi was", "\n  1.\n Scope", "wow!!! what??", "wow!!", "NON-COMPLIANCE", "failure  to comply",
+    '"ABC  D"\nshall\tmean', "This policy sets\nout", "12. Terms", "Well,\n I", "aaa--- ***", "___ ...", "duties \n obligations", "the end.", "purpose\n:", "<!-- x -->\n", "non_disclosure deed", "\u0130n witness", "SHALL\nBE\nDEEMED",
+]
+
+
+@pytest.mark.parametrize("name", ["d2_structure_score", "d4_non_legal_penalty", "p3_detect_policy", "q2_repeat_and_burst_factors", "t1_score_stream"])
+def test_outlines_with_odd_white_space(spark, tmp_path, name):
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(ODD_OUTLINES)], "doc_id long, text string, lang string, source string")
+    ours, theirs = both(spark, tmp_path, name, {"documents": docs})
+    assert str(ours) == str(theirs)
+
+
+def test_each_outline_has_cues_over_white_space():
+    assert spaced_cues(r"(?i)\bby\s+and\s+(?:be)?tween\b") == ("by and between", "by and tween")
+    assert spaced_cues(r"(?i)\?{2,}|!{3,}") == ("!!!", "??") and spaced_cues(r"a\s*:") == ("a :", "a:") and not spaced_cues(r"(?m)^\s*\d+\.\s+[A-Z]")
+    assert [p for p in vocab.OUTLINES if p not in counts.CUED] == [r"(?im)^\s*\d+\.\s+[A-Z]"]
+
+
+def test_tokens_of_joined_texts_are_those_of_each():
+    bits = [*"ab cdXZ019._-@#$%!*\u00e9\u00bd\u00b2\u2167\u0663\u017f\u212a\u0130\u4e2d\u4e00\u0301\x1c\x85\n\t ", "strng", "bcdfg", "o0o", "***", "...", "rhythms"]
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choices(bits, k=rnd.randint(0, 20))) for _ in range(3000)]
+    got = [r for lot in counts.in_lots(texts, 500) for r in counts.Signs(lot).token_counts({})]
+    for text, row in zip(texts, got, strict=True):
+        marks = [counts.token_marks(w) for w in text.split()]
+        assert row[:4] == (len(marks), *(sum(m[k] for m in marks) for k in range(3))), text
+        assert row[4] or not re.search(r"([^\w\s])\1\1", text)
+        assert row[5] == bool(re.search(r"[!@#$%^&*+=~|\\<>?]{3,}", text))
