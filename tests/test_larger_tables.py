@@ -10,6 +10,7 @@ import __spark_entry__ as entry
 from clausework.functions import counts, vocab
 from clausework.functions.dialect import spaced_cues
 from clausework.operators import redact
+from clausework.streaming import streams
 
 
 def both(spark, folder, name, tables):
@@ -86,3 +87,19 @@ def test_tokens_of_joined_texts_are_those_of_each():
         assert row[:4] == (len(marks), *(sum(m[k] for m in marks) for k in range(3))), text
         assert row[4] or not re.search(r"([^\w\s])\1\1", text)
         assert row[5] == bool(re.search(r"[!@#$%^&*+=~|\\<>?]{3,}", text))
+
+
+def test_text_files_lie_in_few_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "work_folder", lambda s: str(tmp_path / "work"))
+    turns = spark.createDataFrame([(k, t, role, f"{k}\n\u00e9 {t}") for k in range(300) for t, role in enumerate(("user", "assistant"))] + [(-7, 0, "user", None)], "conv_id long, turn long, role string, text string")
+    ours, theirs = both(spark, tmp_path, "io1_read_text_corpus", {"conversations": turns})
+    assert sorted(map(str, ours)) == sorted(map(str, theirs)) and len(ours) == 301
+    files = list((tmp_path / "work").rglob("part-*.txt"))
+    assert len(files) == 301 and len({f.parent for f in files}) <= 64
+
+
+def test_text_file_without_a_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "work_folder", lambda s: str(tmp_path / "work"))
+    spark.createDataFrame([(None, 0, "user", "x")], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = entry.queries()["io1_read_text_corpus"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [(None, "User: x\n")]
