@@ -1,8 +1,9 @@
 """Tables that change: what a change touches, what a repeated batch does, and what the plans read."""
 
-from datetime import datetime
+from datetime import date, datetime, timedelta
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from clausework.operators import results
@@ -92,3 +93,33 @@ def test_sessions_by_batches(spark, tmp_path):
     one = [(r.n_exchanges, [(e.turn, e.user, e.assistant) for e in r.exchanges]) for r in sorted(got, key=lambda r: r.last_turn) if r.conv_id == 1]
     assert one == [(0, []), (1, [(0, "hi", "hello")]), (2, [(0, "hi", "hello"), (4, "y", "fine")])]
     assert [(r.mode, r.n_exchanges) for r in sorted(got, key=lambda r: r.last_turn) if r.conv_id == 2] == [("REDACTION", 0), ("AUDIT", 0)]
+
+
+@pytest.mark.parametrize(("step", "first"), [(3, "-01"), (40, "-01-01")])
+def test_many_dates_lie_in_few_folders(spark, tmp_path, step, first):
+    made = lambda ids, days: spark.createDataFrame([(k, "audit", datetime(2024, 1, 1, 12) + timedelta(days=d), "AUDIT", "f", "LOW") for k, d in zip(ids, days, strict=True)], "id long, record_type string, ts timestamp, mode string, filename string, severity_level string")
+    rows, late = made(range(300), range(0, 300 * step, step)), made([1000, 1001], [200 * step, 200 * step + 1])
+    table = DatedTable(spark, str(tmp_path), rows.schema)
+    for batch, df in enumerate((rows, late)):
+        for _ in range(2):
+            table.append(df, batch)
+    held = sorted((r.id, r.ts) for r in rows.unionByName(late).collect())
+    got = lambda df: sorted((r.id, r.ts) for r in df.collect())
+    assert got(table.rows()) == held and len(list(tmp_path.glob("date=*/batch=0"))) <= 40
+    assert all(p.parent.name.endswith(first) for p in tmp_path.glob("date=*/batch=0")) and len(list(tmp_path.glob("date=*/batch=1"))) == 2
+    stored = spark.read.parquet(str(tmp_path))
+    at = [held[k][1] for k in (0, 7, 150)] + [datetime(2024 + step * 150 // 365, 1, 1), datetime(2024 + step * 150 // 365, 6, 1)]
+    for since, until in [(a, b) for a in at for b in (a, at[2], None) if b is None or a <= b]:
+        wanted = [x for x in held if since <= x[1] and (until is None or x[1] <= until)]
+        assert got(table.rows(since, until)) == wanted == got(results.filter_history(stored, since=since, until=until))
+    assert [r.id for r in results.page_after(stored, (held[9][1], "audit", held[9][0]), 20).collect()] == list(range(8, -1, -1))
+    # cuts inside a span, at its first day, and behind all but the last records
+    for now in (held[100][1], datetime(at[3].year, at[3].month, 1), held[-1][1]):
+        later = files(tmp_path)
+        table.retain(now, 1)
+        held = [x for x in held if x[1] >= now - timedelta(days=1)]
+        assert got(table.rows()) == held
+        edge = str((now - timedelta(days=1)).date())
+        kept = {p for p in later if p.parent.parent.name > f"date={edge}"}
+        assert kept and {p: later[p] for p in kept}.items() <= files(tmp_path).items()
+        assert set(table.dates()) == {date.fromisoformat(p.parent.parent.name[5:]) for p in files(tmp_path)}
